@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from .line_dedup import OP10_SQL, op10_line_dedup
+from .near_dedup import op5_near_dedup
 
 
 def queries() -> dict:
-    return {"op10_line_dedup": op10_line_dedup}
+    return {
+        "op5_near_dedup": op5_near_dedup,
+        "op10_line_dedup": op10_line_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": OP10_SQL}
+    return {
+        "op10_line_dedup": OP10_SQL,
+    }
