@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .language_model import op2_lm_scoring
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .near_dedup import op5_near_dedup
 
 
 def queries() -> dict:
     return {
+        "op2_lm_scoring": op2_lm_scoring,
         "op5_near_dedup": op5_near_dedup,
         "op10_line_dedup": op10_line_dedup,
     }
