@@ -5,12 +5,14 @@ from __future__ import annotations
 from .language_model import op2_lm_scoring
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .near_dedup import op5_near_dedup
+from .toxicity import op7_toxicity
 
 
 def queries() -> dict:
     return {
         "op2_lm_scoring": op2_lm_scoring,
         "op5_near_dedup": op5_near_dedup,
+        "op7_toxicity": op7_toxicity,
         "op10_line_dedup": op10_line_dedup,
     }
 
