@@ -5,6 +5,7 @@ from __future__ import annotations
 from .language_model import op2_lm_scoring
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .near_dedup import op5_near_dedup
+from .packing import op9_packing
 from .toxicity import op7_toxicity
 
 
@@ -13,6 +14,7 @@ def queries() -> dict:
         "op2_lm_scoring": op2_lm_scoring,
         "op5_near_dedup": op5_near_dedup,
         "op7_toxicity": op7_toxicity,
+        "op9_packing": op9_packing,
         "op10_line_dedup": op10_line_dedup,
     }
 
