@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import OP1_SQL, op1_decontamination
 from .language_model import op2_lm_scoring
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .near_dedup import op5_near_dedup
@@ -11,6 +12,7 @@ from .toxicity import op7_toxicity
 
 def queries() -> dict:
     return {
+        "op1_decontamination": op1_decontamination,
         "op2_lm_scoring": op2_lm_scoring,
         "op5_near_dedup": op5_near_dedup,
         "op7_toxicity": op7_toxicity,
@@ -21,5 +23,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_decontamination": OP1_SQL,
         "op10_line_dedup": OP10_SQL,
     }
