@@ -7,6 +7,7 @@ from .language_model import op2_lm_scoring
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .near_dedup import op5_near_dedup
 from .packing import op9_packing
+from .sharding import op6_sharding
 from .toxicity import op7_toxicity
 
 
@@ -15,6 +16,7 @@ def queries() -> dict:
         "op1_decontamination": op1_decontamination,
         "op2_lm_scoring": op2_lm_scoring,
         "op5_near_dedup": op5_near_dedup,
+        "op6_sharding": op6_sharding,
         "op7_toxicity": op7_toxicity,
         "op9_packing": op9_packing,
         "op10_line_dedup": op10_line_dedup,
