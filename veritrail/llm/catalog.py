@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import OP1_SQL, op1_decontamination
 from .language_model import op2_lm_scoring
 from .line_dedup import OP10_SQL, op10_line_dedup
+from .media import op3_media
 from .near_dedup import op5_near_dedup
 from .packing import op9_packing
 from .sharding import op6_sharding
@@ -15,6 +16,7 @@ def queries() -> dict:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_lm_scoring": op2_lm_scoring,
+        "op3_media": op3_media,
         "op5_near_dedup": op5_near_dedup,
         "op6_sharding": op6_sharding,
         "op7_toxicity": op7_toxicity,
