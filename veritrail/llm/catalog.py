@@ -10,6 +10,7 @@ from .near_dedup import op5_near_dedup
 from .packing import op9_packing
 from .sharding import op6_sharding
 from .toxicity import op7_toxicity
+from .warc import op4_warc
 
 
 def queries() -> dict:
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op1_decontamination": op1_decontamination,
         "op2_lm_scoring": op2_lm_scoring,
         "op3_media": op3_media,
+        "op4_warc": op4_warc,
         "op5_near_dedup": op5_near_dedup,
         "op6_sharding": op6_sharding,
         "op7_toxicity": op7_toxicity,
