@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import op8_chat
 from .decontamination import OP1_SQL, op1_decontamination
 from .language_model import op2_lm_scoring
 from .line_dedup import OP10_SQL, op10_line_dedup
@@ -22,6 +23,7 @@ def queries() -> dict:
         "op5_near_dedup": op5_near_dedup,
         "op6_sharding": op6_sharding,
         "op7_toxicity": op7_toxicity,
+        "op8_chat": op8_chat,
         "op9_packing": op9_packing,
         "op10_line_dedup": op10_line_dedup,
     }
