@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import HashArrays, bits_for, map_file, scratch, stored, write_file
 
@@ -193,11 +194,12 @@ def _dropped(keys: list[bytes], ids: list[int | None], arrays: HashArrays) -> np
     return found[back] & (values["keeper"][back] != own)
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """doc_id, kept_text, n_lines and n_dropped of each row; a text is kept whole where no line goes."""
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 40, min_docs: int = 5, carry: str | None = None) -> DataFrame:
+    """doc_id, kept_text, n_lines and n_dropped of each row; a text is kept whole where no line goes. ``carry``: a column that goes along."""
     spark = docs.sparkSession
     uri = scratch(spark, "lines")
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    more = [carry] if carry else []
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *more)
     lines = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0
     seen = TwiceSeen(uri, min(MAX_BITS, max(16, int(np.ceil(np.log2(max(1, lines * BITS_PER_KEY)))))))
     _build(docs, "text", seen, min_chars)
@@ -219,9 +221,11 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
             n = [x.count("\n") + 1 for x in out]
             for r, gone in goes.items():
                 out[r] = "\n".join(line for i, line in enumerate(out[r].split("\n")) if i not in gone)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "kept_text": pa.array(out, pa.string()), "n_lines": pa.array(n, pa.int64()), "n_dropped": pa.array([len(goes.get(r, ())) for r in range(len(out))], pa.int64())})
+            dropped = [len(goes.get(r, ())) for r in range(len(out))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), *batch.columns[2:]], ["doc_id", "kept_text", "n_lines", "n_dropped", *more])
 
-    return docs.mapInArrow(rewrite, "doc_id long, kept_text string, n_lines long, n_dropped long")
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), *(docs.schema[c] for c in more)])
+    return docs.mapInArrow(rewrite, schema)
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
