@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def component_labels(nodes: DataFrame, links: DataFrame, uri: str) -> DataFrame:
-    """rep and component (the smallest rep that its links reach) of each node. ``nodes``: rep; ``links``: a, b.
+def component_roots(links: DataFrame, uri: str) -> DataFrame:
+    """rep and component (the smallest rep that its links reach) of each linked node but the roots. ``links``: a, b.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014): each round
     hangs neighbours below their smallest one, until all of a component hang below
@@ -15,32 +15,31 @@ def component_labels(nodes: DataFrame, links: DataFrame, uri: str) -> DataFrame:
     chains. A node's step is a minimum over its links, so a hub costs one partial
     aggregation. Each round is written below ``uri``.
     """
-    spark = nodes.sparkSession
+    spark = links.sparkSession
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{uri}/{name}")
         return spark.read.schema(df.schema).parquet(f"{uri}/{name}")
 
-    def star(edges: DataFrame, large: bool) -> DataFrame:
-        if large:
-            ends = edges.union(edges.select("b", "a"))
-            low = ends.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-            made = ends.join(low, "a").where("b > a").select(F.col("m").alias("a"), "b")
-        else:
-            down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-            low = down.groupBy("a").agg(F.min("b").alias("m"))
-            made = down.join(low, "a").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
+    def stars(edges: DataFrame) -> bool:
+        """Whether every node is a root or hangs below one root."""
+        ends = edges.select(F.col("b").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(edges.select("a", F.lit(0), F.lit(1)))
+        sums = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+        return not sums.agg(F.max((F.col("below") > 1) | (F.col("below") > 0) & (F.col("above") > 0))).first()[0]
+
+    def large(edges: DataFrame) -> DataFrame:
+        ends = edges.union(edges.select("b", "a"))
+        low = ends.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        return ends.join(low, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b")
+
+    def small(edges: DataFrame) -> DataFrame:
+        down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        low = down.groupBy("a").agg(F.min("b").alias("m"))
+        made = down.join(low, "a").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
         return made.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    edges = kept(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "r0")
-    sign = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count("*")
-    before, k = tuple(edges.agg(*sign).first()), 0
-    while before[1]:
+    edges, k = kept(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "r0"), 0
+    while not stars(edges):
         k += 1
-        edges = kept(star(star(edges, True), False), f"r{k}")
-        after = tuple(edges.agg(*sign).first())
-        if after == before:
-            break
-        before = after
-    roots = edges.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("component"))
-    return kept(nodes.join(roots, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component")), "labels")
+        edges = kept(small(large(edges)), f"r{k}")
+    return edges.select(F.col("b").alias("rep"), F.col("a").alias("component"))

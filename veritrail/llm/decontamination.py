@@ -25,14 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import scratch, stored
+from .shared import scratch, small, stored
 
 #: What stands between words, after lower-casing A-Z.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 10
-#: Rows of at most so many terms, or of document numbers, are broadcast: some 16 MB.
-MOST_BROADCAST = 200_000
 
 
 def words(text: Column) -> Column:
@@ -41,10 +39,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(low, F.lit("")), BETWEEN), lambda w: w != "")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
-
-
 def item_terms(items: DataFrame, item_id: str, text: str) -> DataFrame:
     """item_id, j and term of each item word, and the item's length n."""
     w = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), words(F.col(text)).alias("w"))
@@ -54,7 +48,7 @@ def item_terms(items: DataFrame, item_id: str, text: str) -> DataFrame:
 def postings(docs: DataFrame, terms: DataFrame, doc_id: str, text: str, uri: str) -> DataFrame:
     """Stored positional postings (term number, doc_id, pos) of the words in ``terms`` (term, t)."""
     w = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.posexplode(words(F.col(text))).alias("pos", "term"))
-    return stored(w.join(_small(terms), "term").select("t", "doc_id", "pos"), "postings", uri)
+    return stored(w.join(small(terms), "term").select("t", "doc_id", "pos"), "postings", uri)
 
 
 class Index:
@@ -80,14 +74,14 @@ class Index:
     def diagonals(self) -> DataFrame:
         """item_id, doc_id and start (the document position of the item's word 0, also below 0) where anchors meet."""
         anchors = self.windows().select("item_id", F.least("k", F.lit(2)).alias("need"), "j", "t").distinct()
-        hits = self.postings.join(_small(stored(anchors, "anchors", self.uri)), "t")
+        hits = self.postings.join(small(stored(anchors, "anchors", self.uri)), "t")
         on = hits.groupBy("item_id", "doc_id", (F.col("pos") - F.col("j")).alias("start")).agg(F.count("*").alias("c"), F.max("need").alias("need"))
         return on.where("c >= need").select("item_id", "doc_id", "start")
 
     def runs(self) -> DataFrame:
         """item_id, doc_id, start, first and last: item words first to last occur in a row, at start + first on, and hold a window."""
         found = stored(self.diagonals(), "diagonals", self.uri)
-        near = self.postings.join(_small(found.select("doc_id").distinct()), "doc_id", "left_semi")
+        near = self.postings.join(small(found.select("doc_id").distinct()), "doc_id", "left_semi")
         path = found.join(self.items, "item_id").withColumn("pos", F.col("start") + F.col("j"))
         met = path.join(near, ["doc_id", "pos", "t"])
         run = F.col("j") - F.row_number().over(Window.partitionBy("item_id", "doc_id", "start").orderBy("j"))
@@ -104,9 +98,9 @@ class Index:
         w = self.windows()
         rare = w.where("r = 1").select("item_id", "s", "k", F.col("j").alias("j1"), "t")
         second = w.where("r = 2").select("item_id", "s", F.col("j").alias("j2"), F.col("t").alias("t2"))
-        at = self.postings.join(_small(rare), "t").select("item_id", "s", "k", "j1", "doc_id", (F.col("pos") - F.col("j1")).alias("d1"))
+        at = self.postings.join(small(rare), "t").select("item_id", "s", "k", "j1", "doc_id", (F.col("pos") - F.col("j1")).alias("d1"))
         shift = F.explode(F.sequence(F.lit(-slop), F.lit(slop)))
-        both = at.join(_small(second), ["item_id", "s"], "left").withColumn("shift", shift)
+        both = at.join(small(second), ["item_id", "s"], "left").withColumn("shift", shift)
         met = both.withColumn("pos", F.col("d1") + F.col("j2") + F.col("shift")).join(self.postings.select("doc_id", "pos", F.col("t").alias("t2")), ["doc_id", "pos", "t2"])
         alone = both.where("j2 IS NULL")
         cands = met.select("item_id", "s", "k", "doc_id", "d1").unionByName(alone.select("item_id", "s", "k", "doc_id", "d1")).distinct()
@@ -122,7 +116,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     hit = runs.select("doc_id", F.explode(F.sequence(F.col("start") + F.col("first"), F.col("start") + F.col("last"))).alias("pos")).distinct()
     hits = hit.groupBy("doc_id").agg(F.count("*").alias("n_hit"))
     held = runs.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    found = _small(stored(hits.join(held, "doc_id"), "found", index.uri))
+    found = small(stored(hits.join(held, "doc_id"), "found", index.uri))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.size(words(F.col(text))).cast("long").alias("n_words"))
     out = rows.join(found, "doc_id", "left")
     n = F.coalesce("n_hit", F.lit(0).cast("long"))

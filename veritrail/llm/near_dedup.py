@@ -15,8 +15,8 @@ probability near the Jaccard similarity for b near 1.
    hopeless pairs go. The rest is confirmed on full shingle sets.
 4. Links make components. Buckets whose classes then lie in several components are
    looked at again: pairs across components that the sketches do not rule out are
-   confirmed, more of them in each round, until none is left. So no link is lost to
-   the choice of leaders.
+   confirmed, eight times as many of a class in each round, until none was put off.
+   So no link is lost to the choice of leaders.
 
 Texts without words are linked with nothing. A null doc_id takes part in no link.
 Rows that repeat a doc_id are one document: whatever any of them is linked with, it is
@@ -31,8 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import component_labels
-from .shared import scratch, stored
+from .components import component_roots
+from .shared import scratch, small, stored
 from .words import SPACED, batches, grams, hashes, mix
 
 BANDS, ROWS = 32, 4
@@ -181,9 +181,10 @@ def _estimated(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFr
     return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full shingle sets are similar enough. Only texts of documents in pairs are read and moved."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, uri: str) -> DataFrame:
+    """Pairs, and whether their full shingle sets are similar enough. Only sets of documents in pairs are moved."""
+    pairs = stored(pairs, "pairs", uri)
+    wanted = small(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
 
     def run(it):
         for batch in it:
@@ -200,39 +201,87 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return both.groupBy("a", "b").agg(F.max(ok).alias("linked"))
 
 
-def _across(bands: DataFrame, labels: DataFrame, classes: DataFrame, done: DataFrame, threshold: float, most: int) -> DataFrame:
-    """Pairs across components that share a bucket and were not confirmed yet: of each class and other component the ``most`` likeliest."""
+def _pairs_within(starts: np.ndarray, sizes: np.ndarray, most: int):
+    """Index pairs x < y within runs of rows, at most about ``most`` at a time."""
+    left = np.repeat(starts + sizes, sizes) - np.arange(starts[0], starts[-1] + sizes[-1]) - 1  # partners after each row
+    row = np.arange(starts[0], starts[-1] + sizes[-1])
+    cuts = np.searchsorted(np.cumsum(left), np.arange(most, left.sum() + most, most))
+    for i, j in zip([0, *(cuts + 1)], [*(cuts + 1), len(row)], strict=True):
+        x = np.repeat(row[i:j], left[i:j])
+        if len(x):
+            yield x, x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(left[i:j]) - left[i:j], left[i:j])
+
+
+def _across(bands: DataFrame, labels: DataFrame, classes: DataFrame, threshold: float, most: int) -> DataFrame:
+    """Pairs a, b across components that share a bucket and whose sketches allow a link: of each class and other component the ``most`` likeliest; cut where there were more.
+
+    A bucket of more than ``BLOCK`` classes is dealt out as pairs of blocks.
+    """
     held = bands.join(labels, "rep")
     mixed = held.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi")
     members = held.join(mixed.select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("g")), "bucket").join(classes.select("rep", "n", "registers"), "rep")
     members = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
-    mates = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j")))
-    dealt = members.withColumn("cell", F.explode(mates))
+    cells = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.least(j, F.col("block")) * F.col("g") + F.greatest(j, F.col("block")))
+    dealt = members.withColumn("cell", F.explode(cells)).select("bucket", "cell", "rep", "component", "n", "registers")
     least = _least(threshold)
 
-    def run(table: pa.Table) -> pa.Table:
-        rep, comp, block, n = (table[k].to_numpy() for k in ("rep", "component", "block", "n"))
-        cell = table["cell"][0].as_py()
-        regs = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        out_a, out_b, cut = [], [], []
-        for x in np.flatnonzero(block == cell["i"]):
-            other = np.flatnonzero((comp != comp[x]) & (block == cell["j"]) & ((block != block[x]) | (rep > rep[x])) & (np.minimum(n, n[x]) >= threshold * np.maximum(n, n[x])))
-            for s in range(0, len(other), 512):
-                o = other[s : s + 512]
-                est = joint_similarity(np.broadcast_to(regs[x], (len(o), REGISTERS)), regs[o], np.full(len(o), float(n[x])), n[o].astype(float))
-                o, est = o[est >= least], est[est >= least]
-                for c in np.unique(comp[o]):
-                    mine = np.flatnonzero(comp[o] == c)
-                    mine = mine[np.argsort(-est[mine], kind="stable")]
-                    for y in o[mine[:most]]:
-                        out_a.append(min(rep[x], rep[y]))
-                        out_b.append(max(rep[x], rep[y]))
-                        cut.append(len(mine) > most)
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()), "cut": pa.array(cut, pa.bool_())})
-
-    pairs = dealt.groupBy("bucket", "cell").applyInArrow(run, "a long, b long, cut boolean")
-    pairs = pairs.groupBy("a", "b").agg(F.max("cut").alias("cut"))
-    return pairs.join(done.select("a", "b", F.lit(True).alias("known")), ["a", "b"], "left")
+    def likely(rep, comp, n, regs, starts, sizes):
+        seen = np.zeros(0, np.uint64)
+        for x, y in _pairs_within(starts, sizes, 1 << 17):
+            ok = (comp[x] != comp[y]) & (np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]))
+            x, y = x[ok], y[ok]
+            with np.errstate(over="ignore"):
+                key, first = np.unique(mix(np.minimum(rep[x], rep[y]).astype(np.uint64)) + np.maximum(rep[x], rep[y]).astype(np.uint64), return_index=True)
+            new = ~np.isin(key, seen)
+            seen = np.union1d(seen, key[new]) if len(seen) < 1 << 20 else key[new]
+            x, y = x[first[new]], y[first[new]]
+            for i in range(0, len(x), 4096):
+                u, v = x[i : i + 4096], y[i : i + 4096]
+                near = (regs[u] == regs[v]).sum(1) >= REGISTERS * (least - 0.15)  # far from hopeless
+                u, v = u[near], v[near]
+                est = joint_similarity(regs[u], regs[v], n[u].astype(float), n[v].astype(float)) if len(u) else np.zeros(0)
+                good = est >= least
+                yield u[good], v[good], est[good]
+
+    def run(it):
+        def emit(table: pa.Table):
+            rep, comp, n, bucket, cell = (table[k].to_numpy() for k in ("rep", "component", "n", "bucket", "cell"))
+            regs = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
+            starts = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (cell[1:] != cell[:-1])]))
+            got = list(likely(rep, comp, n, regs, starts, np.diff(np.append(starts, len(rep)))))
+            u, v, est = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in range(3))
+            # the rank of each pair among those of its class and the other's component, from both ends
+            rank = np.zeros((2, len(u)), np.int64)
+            for side, (x, y) in enumerate(((u, v), (v, u))):
+                order = np.lexsort((-est, comp[y], rep[x]))
+                new = np.concatenate([[True], (rep[x][order][1:] != rep[x][order][:-1]) | (comp[y][order][1:] != comp[y][order][:-1])])[: len(u)]
+                at = np.flatnonzero(new)
+                rank[side, order] = np.arange(len(u)) - np.repeat(at, np.diff(np.append(at, len(u))))
+            kept = (rank < most).any(0)
+            cut = np.array([not kept.all()] * int(kept.sum()), bool)
+            a, b = np.minimum(rep[u], rep[v])[kept], np.maximum(rep[u], rep[v])[kept]
+            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "cut": pa.array(cut, pa.bool_())})
+
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= 1 << 14:  # whole cells; the last one may go on
+                table = pa.Table.from_batches(held)
+                bucket, cell = table["bucket"].to_numpy(), table["cell"].to_numpy()
+                end = int(np.flatnonzero((bucket != bucket[-1]) | (cell != cell[-1]))[-1]) + 1 if (bucket[0], cell[0]) != (bucket[-1], cell[-1]) else 0
+                if end:
+                    yield emit(table.slice(0, end))
+                held = table.slice(end).to_batches()
+                rows = table.num_rows - end
+        if held:
+            yield emit(pa.Table.from_batches(held))
+
+    pairs = dealt.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell").mapInArrow(run, "a long, b long, cut boolean")
+    return pairs.groupBy("a", "b").agg(F.max("cut").alias("cut"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
@@ -246,21 +295,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     bands = stored(_shared_buckets(_banded(classes)), "bands", uri)
     leaders = bands.groupBy("bucket").agg(F.min("rep").alias("a"))
     stars = bands.withColumnRenamed("rep", "b").join(leaders, "bucket").where("a < b").select("a", "b").distinct()
-    done = stored(_confirmed(_estimated(stars, classes, threshold), docs, percent), "links0", uri)
-    most, k = 4, 0
-    while True:
+    done = stored(_confirmed(_estimated(stars, classes, threshold), docs, percent, f"{uri}/0"), "links0", uri)
+    roots = component_roots(done.where("linked"), f"{uri}/components0")
+    labels = stored(classes.select("rep").join(roots, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component")), "labels0", uri)
+    most, k, cut = 64, 0, True
+    while cut:
         k += 1
-        labels = component_labels(classes.select("rep"), done.where("linked").select("a", "b"), f"{uri}/components{k}")
-        open_pairs = stored(_across(bands, labels, classes, done, threshold, most), f"across{k}", uri)
-        fresh = open_pairs.where("known IS NULL").select("a", "b")
-        if fresh.isEmpty():
-            if open_pairs.where("cut").isEmpty():
-                break
-            most *= 8
-            continue
-        found = stored(_confirmed(fresh, docs, percent), f"links{k}", uri)
+        likely = stored(_across(bands, labels, classes, threshold, most).join(done.select("a", "b", "linked"), ["a", "b"], "left"), f"across{k}", uri)
+        found = stored(_confirmed(likely.where("linked IS NULL").select("a", "b"), docs, percent, f"{uri}/{k}"), f"links{k}", uri)
         done = stored(done.unionByName(found), f"done{k}", uri)
-        most *= 8
+        cut, most = not likely.where("cut").isEmpty(), most * 8
+        ends = found.where("linked").join(labels.toDF("a", "ca"), "a").join(labels.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        roots = component_roots(ends, f"{uri}/components{k}").toDF("component", "root")
+        labels = stored(labels.join(roots, "component", "left").select("rep", F.coalesce("root", "component").alias("component")), f"labels{k}", uri)
     by_print = classes.join(labels, "rep").select("fingerprint", "component")
     out = sketched.select("doc_id", "n_shingles", "fingerprint").join(by_print, "fingerprint", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -64,6 +64,17 @@ def stored(df: DataFrame, label: str, uri: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(uri)
 
 
+#: Tables of at most so many narrow rows are broadcast: some 16 MB.
+MOST_BROADCAST = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Marked for broadcasting if it has few rows, else left to a shuffle. Counts the rows, so store what is costly."""
+    from pyspark.sql.functions import broadcast
+
+    return broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
 def _filesystem(uri: str):
     from pyarrow import fs
 
