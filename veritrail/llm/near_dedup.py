@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import component_roots
+from ..operators.components import component_roots
 from .shared import scratch, small, stored
 from .words import SPACED, batches, grams, hashes, mix
 

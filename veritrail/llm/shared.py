@@ -8,71 +8,14 @@ one is copied once into the worker's temporary folder and mapped there.
 
 from __future__ import annotations
 
-import atexit
 import os
 import tempfile
 import uuid
 from urllib.parse import unquote, urlparse
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
 
-_scratches: list[tuple[SparkSession, str]] = []
-
-
-def folder(spark: SparkSession) -> str:
-    """URI of the shared folder; a temporary one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="veritrail-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base if urlparse(base).scheme else "file://" + os.path.abspath(base)
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """URI of a new folder for one run of an operator; ``release`` removes it."""
-    uri = f"{folder(spark).rstrip('/')}/veritrail-{label}-{uuid.uuid4().hex}"
-    _scratches.append((spark, uri))
-    return uri
-
-
-def release(spark: SparkSession) -> None:
-    """Deletes all scratch folders of this session. Results that were not written read them: write first."""
-    jvm = spark.sparkContext._jvm
-    for at in [x for x in _scratches if x[0] is spark]:
-        path = jvm.org.apache.hadoop.fs.Path(at[1])
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        _scratches.remove(at)
-
-
-@atexit.register
-def _release_all() -> None:
-    for spark, _ in list(_scratches):
-        try:
-            release(spark)
-        except Exception:  # the session has ended
-            return
-
-
-def stored(df: DataFrame, label: str, uri: str | None = None) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    uri = f"{uri or scratch(spark, label)}/{label}"
-    df.write.mode("overwrite").parquet(uri)
-    return spark.read.schema(df.schema).parquet(uri)
-
-
-#: Tables of at most so many narrow rows are broadcast: some 16 MB.
-MOST_BROADCAST = 200_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """Marked for broadcasting if it has few rows, else left to a shuffle. Counts the rows, so store what is costly."""
-    from pyspark.sql.functions import broadcast
-
-    return broadcast(df) if df.count() <= MOST_BROADCAST else df
+from ..store import scratch, small, stored  # noqa: F401  (operators take all of it from here)
 
 
 def _filesystem(uri: str):
