@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..store import stored
+
 
 def component_roots(links: DataFrame, uri: str) -> DataFrame:
     """rep and component (the smallest rep that its links reach) of each linked node but the roots. ``links``: a, b.
@@ -15,12 +17,6 @@ def component_roots(links: DataFrame, uri: str) -> DataFrame:
     chains. A node's step is a minimum over its links, so a hub costs one partial
     aggregation. Each round is written below ``uri``.
     """
-    spark = links.sparkSession
-
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{uri}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{uri}/{name}")
-
     def stars(edges: DataFrame) -> bool:
         """Whether every node is a root or hangs below one root."""
         ends = edges.select(F.col("b").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(edges.select("a", F.lit(0), F.lit(1)))
@@ -38,8 +34,8 @@ def component_roots(links: DataFrame, uri: str) -> DataFrame:
         made = down.join(low, "a").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
         return made.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    edges, k = kept(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "r0"), 0
+    edges, k = stored(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "r0", uri), 0
     while not stars(edges):
         k += 1
-        edges = kept(small(large(edges)), f"r{k}")
+        edges = stored(small(large(edges)), f"r{k}", uri)
     return edges.select(F.col("b").alias("rep"), F.col("a").alias("component"))

@@ -46,7 +46,7 @@ EDGES_SQL = """
 raw AS (
   SELECT 'Supplier#' || l_suppkey AS head_name, CASE l_returnflag WHEN 'R' THEN 'USES' WHEN 'A' THEN 'TARGETS' ELSE 'EXPLOITS' END AS rel_type,
     p_brand || ' ' || p_type AS tail_name, concat(year(o_orderdate), '_', o_orderkey) AS source, CAST(l_shipdate AS DATE) AS tau,
-    1 - l_discount AS confidence, 'line ' || l_linenumber AS evidence, l_linenumber, l_linenumber * 1000000000000 + l_partkey * 10000 + l_suppkey % 10000 AS ord
+    1 - l_discount AS confidence, 'line ' || l_linenumber AS evidence, l_linenumber, struct_pack(n := l_linenumber, p := l_partkey, s := l_suppkey, d := l_shipdate, c := l_discount) AS ord
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
 edges AS (
   SELECT head_name, rel_type, tail_name, source, arg_max(tau, ord) AS tau, arg_max(confidence, ord) AS confidence, arg_max(evidence, ord) AS evidence
@@ -82,7 +82,7 @@ def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.to_date("l_shipdate").cast("timestamp").alias("tau"), F.to_date("l_shipdate").cast("string").alias("tau_raw"), F.lit("day").alias("tau_precision"),
         F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("evidence"), (1 - F.col("l_discount")).alias("confidence"),
         F.lit("2024-01-01").cast("timestamp").alias("created_at"), "l_linenumber",
-        (F.col("l_linenumber").cast("long") * 1000000000000 + F.col("l_partkey") * 10000 + F.col("l_suppkey") % 10000).alias("ord"),
+        F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_discount").alias("ord"),  # lines repeat; this orders all that differ
     )
 
 
