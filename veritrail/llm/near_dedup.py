@@ -9,14 +9,15 @@ probability near the Jaccard similarity for b near 1.
    registers. Documents of one fingerprint are one class, whatever their number;
    a class goes on as its smallest doc_id.
 2. Bands of registers put classes into buckets. In each bucket the smallest class
-   leads: its pairs with the others are candidates, so a bucket of m classes makes
-   m - 1 pairs.
+   leads. Each class is first compared with the leader that it shares most buckets
+   with: one pair a class, however large its buckets.
 3. A pair's similarity is estimated by joint likelihood of both register arrays;
    hopeless pairs go. The rest is confirmed on full shingle sets.
 4. Links make components. Buckets whose classes then lie in several components are
-   looked at again: pairs across components that the sketches do not rule out are
-   confirmed, eight times as many of a class in each round, until none was put off.
-   So no link is lost to the choice of leaders.
+   looked at again: sketches tell which classes may have a partner in another
+   component, and the full sets of these are compared in their bucket's task. It
+   gives one link for each class and other component, so no link is lost to the
+   choice of leaders, and no rows stand for pairs that are none.
 
 Texts without words are linked with nothing. A null doc_id takes part in no link.
 Rows that repeat a doc_id are one document: whatever any of them is linked with, it is
@@ -41,7 +42,8 @@ REGISTERS = BANDS * ROWS
 B, A, Q = 1.001, 20.0, (1 << 16) - 2
 #: A pair goes unconfirmed only if its estimate is so many standard errors too low.
 SIGMAS = 6.0
-BLOCK = 2048
+#: Classes and shingles of a bucket that one task compares at most, times two.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 
 with np.errstate(over="ignore"):
     _seeds = mix(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -149,7 +151,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def _banded(classes: DataFrame) -> DataFrame:
-    """Bucket and class: a row for each band."""
+    """Bucket, band and class: a row for each band."""
 
     def run(it):
         for batch in it:
@@ -160,9 +162,9 @@ def _banded(classes: DataFrame) -> DataFrame:
                 key = np.arange(BANDS, dtype=np.uint64)[None, :] + np.uint64(1)
                 for r in range(ROWS):
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + regs[:, :, r])
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(key.reshape(-1).view(np.int64)), "rep": pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))})
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(key.reshape(-1).view(np.int64)), "band": pa.array(np.tile(np.arange(BANDS, dtype=np.int8), len(regs))), "rep": pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))})
 
-    return classes.select("rep", "registers").mapInArrow(run, "bucket long, rep long")
+    return classes.select("rep", "registers").mapInArrow(run, "bucket long, band byte, rep long")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -181,24 +183,26 @@ def _estimated(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFr
     return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, uri: str) -> DataFrame:
-    """Pairs, and whether their full shingle sets are similar enough. Only sets of documents in pairs are moved."""
-    pairs = stored(pairs, "pairs", uri)
-    wanted = small(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id and shingles of wanted documents. Only their texts are worked on, only their sets move."""
 
     def run(it):
         for batch in it:
             for a, b, data, bounds in batches(batch, "text", 2 << 20):
                 sets = [x.view(np.int64) for x in shingle_sets(data, bounds)]
-                flat = pa.array(np.concatenate(sets)) if sets else pa.array([], pa.int64())
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sets])]), pa.int32()), flat)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sets])]), pa.int32()), pa.array(np.concatenate(sets)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], ["doc_id", "shingles"])
 
-    sets = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.join(small(wanted.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose full shingle sets are similar enough."""
+    sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     both = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
     ok = F.lit(100) * shared >= F.lit(percent) * (F.size("sa") + F.size("sb") - shared)
-    return both.groupBy("a", "b").agg(F.max(ok).alias("linked"))
+    return both.where(ok).select("a", "b").distinct()
 
 
 def _pairs_within(starts: np.ndarray, sizes: np.ndarray, most: int):
@@ -212,76 +216,100 @@ def _pairs_within(starts: np.ndarray, sizes: np.ndarray, most: int):
             yield x, x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(left[i:j]) - left[i:j], left[i:j])
 
 
-def _across(bands: DataFrame, labels: DataFrame, classes: DataFrame, threshold: float, most: int) -> DataFrame:
-    """Pairs a, b across components that share a bucket and whose sketches allow a link: of each class and other component the ``most`` likeliest; cut where there were more.
-
-    A bucket of more than ``BLOCK`` classes is dealt out as pairs of blocks.
+def _whole_cells(it, least: int = 1 << 14):
+    """Tables of rows sorted by bucket and cell, cut only between cells."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in it:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= least:
+            table = pa.Table.from_batches(held)
+            bucket, cell = table["bucket"].to_numpy(), table["cell"].to_numpy()
+            other = np.flatnonzero((bucket != bucket[-1]) | (cell != cell[-1]))
+            end = int(other[-1]) + 1 if len(other) else 0
+            if end:
+                yield table.slice(0, end)
+            held, rows = table.slice(end).to_batches(), table.num_rows - end
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _starts(bucket: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (cell[1:] != cell[:-1])]))
+
+
+def _suspects(bands: DataFrame, labels: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """bucket, cell, rep, component: classes that have a partner in another component in their bucket, as far as sketches tell.
+
+    A bucket with many shingles is dealt out as pairs of blocks. A pair that shares
+    several buckets is looked at in the first of their bands.
     """
-    held = bands.join(labels, "rep")
-    mixed = held.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi")
-    members = held.join(mixed.select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("g")), "bucket").join(classes.select("rep", "n", "registers"), "rep")
-    members = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
+    held = bands.join(labels, "rep").join(classes.select("rep", "n", "registers"), "rep")
+    mixed = held.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), F.sum("n").alias("s")).where("lo < hi")
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("s") / BLOCK_SHINGLES)).cast("int")
+    members = held.join(mixed.select("bucket", blocks.alias("g")), "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.least(j, F.col("block")) * F.col("g") + F.greatest(j, F.col("block")))
-    dealt = members.withColumn("cell", F.explode(cells)).select("bucket", "cell", "rep", "component", "n", "registers")
+    dealt = members.withColumn("cell", F.explode(cells)).select("bucket", "band", "cell", "rep", "component", "n", "registers")
     least = _least(threshold)
 
-    def likely(rep, comp, n, regs, starts, sizes):
-        seen = np.zeros(0, np.uint64)
-        for x, y in _pairs_within(starts, sizes, 1 << 17):
-            ok = (comp[x] != comp[y]) & (np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]))
-            x, y = x[ok], y[ok]
-            with np.errstate(over="ignore"):
-                key, first = np.unique(mix(np.minimum(rep[x], rep[y]).astype(np.uint64)) + np.maximum(rep[x], rep[y]).astype(np.uint64), return_index=True)
-            new = ~np.isin(key, seen)
-            seen = np.union1d(seen, key[new]) if len(seen) < 1 << 20 else key[new]
-            x, y = x[first[new]], y[first[new]]
-            for i in range(0, len(x), 4096):
-                u, v = x[i : i + 4096], y[i : i + 4096]
-                near = (regs[u] == regs[v]).sum(1) >= REGISTERS * (least - 0.15)  # far from hopeless
-                u, v = u[near], v[near]
-                est = joint_similarity(regs[u], regs[v], n[u].astype(float), n[v].astype(float)) if len(u) else np.zeros(0)
-                good = est >= least
-                yield u[good], v[good], est[good]
-
     def run(it):
-        def emit(table: pa.Table):
-            rep, comp, n, bucket, cell = (table[k].to_numpy() for k in ("rep", "component", "n", "bucket", "cell"))
+        for table in _whole_cells(it):
+            rep, comp, n, band, bucket, cell = (table[k].to_numpy() for k in ("rep", "component", "n", "band", "bucket", "cell"))
             regs = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
-            starts = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (cell[1:] != cell[:-1])]))
-            got = list(likely(rep, comp, n, regs, starts, np.diff(np.append(starts, len(rep)))))
-            u, v, est = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in range(3))
-            # the rank of each pair among those of its class and the other's component, from both ends
-            rank = np.zeros((2, len(u)), np.int64)
-            for side, (x, y) in enumerate(((u, v), (v, u))):
-                order = np.lexsort((-est, comp[y], rep[x]))
-                new = np.concatenate([[True], (rep[x][order][1:] != rep[x][order][:-1]) | (comp[y][order][1:] != comp[y][order][:-1])])[: len(u)]
-                at = np.flatnonzero(new)
-                rank[side, order] = np.arange(len(u)) - np.repeat(at, np.diff(np.append(at, len(u))))
-            kept = (rank < most).any(0)
-            cut = np.array([not kept.all()] * int(kept.sum()), bool)
-            a, b = np.minimum(rep[u], rep[v])[kept], np.maximum(rep[u], rep[v])[kept]
-            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "cut": pa.array(cut, pa.bool_())})
-
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in it:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= 1 << 14:  # whole cells; the last one may go on
-                table = pa.Table.from_batches(held)
-                bucket, cell = table["bucket"].to_numpy(), table["cell"].to_numpy()
-                end = int(np.flatnonzero((bucket != bucket[-1]) | (cell != cell[-1]))[-1]) + 1 if (bucket[0], cell[0]) != (bucket[-1], cell[-1]) else 0
-                if end:
-                    yield emit(table.slice(0, end))
-                held = table.slice(end).to_batches()
-                rows = table.num_rows - end
-        if held:
-            yield emit(pa.Table.from_batches(held))
-
-    pairs = dealt.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell").mapInArrow(run, "a long, b long, cut boolean")
-    return pairs.groupBy("a", "b").agg(F.max("cut").alias("cut"))
+            starts = _starts(bucket, cell)
+            flagged = np.zeros(len(rep), bool)
+            for x, y in _pairs_within(starts, np.diff(np.append(starts, len(rep))), 1 << 17):
+                ok = (comp[x] != comp[y]) & (np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]))
+                x, y = x[ok], y[ok]
+                for i in range(0, len(x), 4096):
+                    u, v = x[i : i + 4096], y[i : i + 4096]
+                    same = regs[u] == regs[v]
+                    first = same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band[u]
+                    u, v = (k[first & (same.sum(1) >= REGISTERS * (least - 0.15))] for k in (u, v))  # neither another band's nor hopeless
+                    if len(u):
+                        good = joint_similarity(regs[u], regs[v], n[u].astype(float), n[v].astype(float)) >= least
+                        flagged[u[good]] = flagged[v[good]] = True
+            yield table.select(["bucket", "cell", "rep", "component"]).filter(pa.array(flagged)).combine_chunks().to_batches()[0] if flagged.any() else pa.RecordBatch.from_pylist([], table.select(["bucket", "cell", "rep", "component"]).schema)
+
+    return dealt.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell").mapInArrow(run, "bucket long, cell int, rep long, component long")
+
+
+def _across(suspects: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links a, b between components, of full sets: for each class and other component in its cell one, if there is any."""
+    sets = _sets(docs, suspects.select(F.col("rep").alias("doc_id"))).toDF("rep", "shingles")
+    rows = suspects.join(sets, "rep").select("bucket", "cell", "rep", "component", "shingles")
+
+    def links(rep, comp, sets, size):
+        at = np.repeat(np.arange(len(rep)), size)
+        order = np.argsort(sets, kind="stable")
+        keys, first = np.unique(sets[order], return_index=True)
+        holder, end = at[order], np.append(first[1:], len(sets))
+        cut = np.concatenate([[0], np.cumsum(size)])
+        names, members = np.unique(comp, return_counts=True)
+        for x in np.flatnonzero(comp != names[members.argmax()]):  # the largest component's rows are the others' partners
+            k = np.searchsorted(keys, sets[cut[x] : cut[x + 1]])
+            n = end[k] - first[k]
+            spots = np.repeat(first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            shared = np.bincount(holder[spots], minlength=len(rep))
+            ok = (comp != comp[x]) & (100 * shared >= percent * (size + size[x] - shared))
+            found = np.flatnonzero(ok)
+            for y in found[np.unique(comp[found], return_index=True)[1]]:
+                yield rep[x], rep[y]
+
+    def run(it):
+        for table in _whole_cells(it, 1):
+            rep, comp, bucket, cell = (table[k].to_numpy() for k in ("rep", "component", "bucket", "cell"))
+            lists = table["shingles"].combine_chunks()
+            size, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+            cut = np.concatenate([[0], np.cumsum(size)])
+            starts = _starts(bucket, cell)
+            got = [p for i, j in zip(starts, [*starts[1:], len(rep)], strict=True) for p in links(rep[i:j], comp[i:j], flat[cut[i] : cut[j]], size[i:j])]
+            yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in got], pa.int64()), "b": pa.array([p[1] for p in got], pa.int64())})
+
+    return rows.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
@@ -294,20 +322,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = stored(named.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "classes", uri)
     bands = stored(_shared_buckets(_banded(classes)), "bands", uri)
     leaders = bands.groupBy("bucket").agg(F.min("rep").alias("a"))
-    stars = bands.withColumnRenamed("rep", "b").join(leaders, "bucket").where("a < b").select("a", "b").distinct()
-    done = stored(_confirmed(_estimated(stars, classes, threshold), docs, percent, f"{uri}/0"), "links0", uri)
-    roots = component_roots(done.where("linked"), f"{uri}/components0")
+    led = bands.withColumnRenamed("rep", "b").join(leaders, "bucket").where("a < b").groupBy("b", "a").agg(F.count("*").alias("m"))
+    stars = led.groupBy("b").agg(F.max_by("a", F.struct("m", -F.col("a"))).alias("a")).select("a", "b")
+    likely = stored(_estimated(stars, classes, threshold), "likely", uri)
+    roots = component_roots(stored(_confirmed(likely, docs, percent), "links0", uri), f"{uri}/components0")
     labels = stored(classes.select("rep").join(roots, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component")), "labels0", uri)
-    most, k, cut = 64, 0, True
-    while cut:
-        k += 1
-        likely = stored(_across(bands, labels, classes, threshold, most).join(done.select("a", "b", "linked"), ["a", "b"], "left"), f"across{k}", uri)
-        found = stored(_confirmed(likely.where("linked IS NULL").select("a", "b"), docs, percent, f"{uri}/{k}"), f"links{k}", uri)
-        done = stored(done.unionByName(found), f"done{k}", uri)
-        cut, most = not likely.where("cut").isEmpty(), most * 8
-        ends = found.where("linked").join(labels.toDF("a", "ca"), "a").join(labels.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        roots = component_roots(ends, f"{uri}/components{k}").toDF("component", "root")
-        labels = stored(labels.join(roots, "component", "left").select("rep", F.coalesce("root", "component").alias("component")), f"labels{k}", uri)
+    suspects = stored(_suspects(bands, labels, classes, threshold), "suspects", uri)
+    found = stored(_across(suspects, docs, percent), "links1", uri)
+    ends = found.join(labels.toDF("a", "ca"), "a").join(labels.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    roots = component_roots(ends, f"{uri}/components1").toDF("component", "root")
+    labels = labels.join(roots, "component", "left").select("rep", F.coalesce("root", "component").alias("component"))
     by_print = classes.join(labels, "rep").select("fingerprint", "component")
     out = sketched.select("doc_id", "n_shingles", "fingerprint").join(by_print, "fingerprint", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
