@@ -201,7 +201,7 @@ def to_arrow(features: pa.Table) -> pa.Table:
     """A part of ``feature_table`` with log_mel as a fixed-shape tensor column of ROWS x MELS."""
     kind = pa.fixed_shape_tensor(pa.float32(), (ROWS, MELS))
     flat = features["log_mel"].combine_chunks()
-    fixed = pa.FixedSizeListArray.from_arrays(flat.flatten(), ROWS * MELS)
+    fixed = pa.FixedSizeListArray.from_arrays(flat.flatten().cast(pa.float32()), ROWS * MELS)
     return features.set_column(features.schema.get_field_index("log_mel"), "log_mel", pa.ExtensionArray.from_storage(kind, fixed))
 
 
