@@ -57,7 +57,8 @@ def stored(df: DataFrame, label: str, uri: str | None = None) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     uri = f"{uri or scratch(spark, label)}/{label}"
-    df.write.mode("overwrite").parquet(uri)
+    # zstd streams: other codecs hold direct buffers until the next full collection, which many small tables add up
+    df.write.mode("overwrite").option("compression", "zstd").parquet(uri)
     return spark.read.schema(df.schema).parquet(uri)
 
 
