@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from .chat import op8_chat
+from .chat import OP8_SQL, op8_chat
 from .decontamination import OP1_SQL, op1_decontamination
 from .language_model import op2_lm_scoring
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .media import op3_media
-from .near_dedup import op5_near_dedup
+from .near_dedup import OP5_SQL, op5_near_dedup
 from .packing import op9_packing
 from .sharding import op6_sharding
 from .toxicity import op7_toxicity
-from .warc import op4_warc
+from .warc import OP4_SQL, op4_warc
 
 
 def queries() -> dict:
@@ -32,5 +32,8 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": OP1_SQL,
+        "op4_warc": OP4_SQL,
+        "op5_near_dedup": OP5_SQL,
+        "op8_chat": OP8_SQL,
         "op10_line_dedup": OP10_SQL,
     }

@@ -225,3 +225,13 @@ def op4_warc(spark, sf_dir: str) -> DataFrame:
     got = resolved(read(spark, files))
     number = lambda c: F.expr(f"try_cast(substring_index({c}, ':', -1) AS long)")
     return got.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (SELECT html, max(page_id) AS best FROM p GROUP BY html)
+SELECT page_id, strlen(p.html)::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, (5 * i // 4 + 1)::INT, 2))::INT >> (3 - 5 * i % 4)::INT) & 31), 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to
+FROM p JOIN b ON p.html = b.html
+"""
