@@ -480,12 +480,12 @@ facts AS (SELECT *, CASE r WHEN 'EXPLOITS' THEN 2 ELSE 3 END AS priority, row_nu
 
 
 def supplier_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Confidence stands in for trust: some edges have all of it, so that longer paths rank high too. Edges are stored once: each hop joins them again."""
+    """Confidence stands in for trust: some edges have all of it, so that longer paths rank high too. Edges and steps are stored: each hop joins them again."""
     e = edges(spark, sf_dir).withColumns({"trust": F.col("confidence"), "trusted": F.col("confidence") >= 0.95})
     e = stored(e, "edges", scratch(spark, "paths"))
-    steps = traverse.walkable(e, nodes_of(e))
+    steps = stored(traverse.walkable(e, nodes_of(e)), "steps", scratch(spark, "paths"))
     seeds = spark.createDataFrame([("Supplier#1",)], "canonical_id string")
-    return traverse.ranked_paths(stored(traverse.best_paths(steps, seeds, 4, 100), "paths", scratch(spark, "paths")))
+    return traverse.ranked_paths(traverse.best_paths(steps, seeds, 4, 100))
 
 
 @query(f"WITH {PATHS_SQL} SELECT rank, start, array_to_string(eids, ' / ') AS eids, length, round(path_trust, 9) AS path_trust FROM ranked")
