@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded
+
 START, END = "<|im_start|>", "<|im_end|>"
 ESCAPE = "\\"
 #: Tokens that a placeholder stands for: per image tile, second of audio, document page.
@@ -141,7 +143,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
             kinds = [pa.string(), pa.int32(), pa.int32(), kind, pa.int64()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["conv_id", "turn", "role", "formatted", "loss_start", "loss_end", "attachments", "attachment_tokens"])
 
-    return turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "content" if content else "text").mapInArrow(run, FORMATTED)
+    return bounded(turns).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "content" if content else "text").mapInArrow(run, FORMATTED)
 
 
 def conversations(formatted: DataFrame) -> DataFrame:

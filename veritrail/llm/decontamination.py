@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import scratch, small, stored
+from .shared import bounded, scratch, small, stored
 
 #: What stands between words, after lower-casing A-Z.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -55,7 +55,7 @@ class Index:
     """Postings of a corpus for one benchmark, and the benchmark's words by term number."""
 
     def __init__(self, docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW):
-        self.uri, self.window = scratch(docs.sparkSession, "index"), window
+        self.uri, self.window = scratch(bounded(docs).sparkSession, "index"), window
         named = item_terms(items, item_id, item_text)
         terms = stored(named.select("term").distinct().select("term", F.xxhash64("term").alias("t")), "terms", self.uri)
         self.items = stored(named.join(terms, "term").select("item_id", "n", "j", "t"), "items", self.uri)

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded
+
 FRAME, PAD = 576, 255
 RATE, UP, DOWN = 16_000, 1, 2
 TAPS = 16  # on each side of the centre, in input samples
@@ -157,7 +159,7 @@ def with_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
                 texts = part.column(1).to_pylist()
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len((x or "").encode()) for x in texts], pa.int64()), pa.array([store(padded(x)) for x in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 def media_features(media: DataFrame) -> DataFrame:
@@ -175,7 +177,7 @@ def media_features(media: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [x.split()[0] for x in schema.split(", ")])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    return bounded(media).select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
 
 
 def feature_table(media: DataFrame) -> DataFrame:
@@ -194,7 +196,7 @@ def feature_table(media: DataFrame) -> DataFrame:
                     inside = [{"start_ms": max(a, start), "end_ms": min(b, end)} for a, b in spans if a < end and b > start]
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array([i], pa.int64()), "k": pa.array([k // ROWS], pa.int32()), "start_ms": [start], "end_ms": [end], "frames": pa.array([n], pa.int32()), "log_mel": pa.array([part.reshape(-1)], pa.list_(pa.float32())), "spans": pa.array([inside], pa.list_(pa.struct([("start_ms", pa.float64()), ("end_ms", pa.float64())])))})
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, k int, start_ms double, end_ms double, frames int, log_mel array<float>, spans array<struct<start_ms: double, end_ms: double>>")
+    return bounded(media).select("doc_id", "media").mapInArrow(run, "doc_id long, k int, start_ms double, end_ms double, frames int, log_mel array<float>, spans array<struct<start_ms: double, end_ms: double>>")
 
 
 def to_arrow(features: pa.Table) -> pa.Table:

@@ -23,6 +23,7 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .shared import scratch, stored
+from .shared import bounded, scratch, stored
 
 CAPACITY, END_ID = 1024, 2
 #: Pieces that one task ranks, roughly.
@@ -52,13 +53,19 @@ class Tokenizer:
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str):
         import tiktoken
-        from tokenizers import Tokenizer as Json
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.full = Json.from_file(json_path)
-        self.full.encode_special_tokens = True
+        self.json_path = json_path
+
+    @cached_property
+    def full(self):
+        from tokenizers import Tokenizer as Json
+
+        out = Json.from_file(self.json_path)
+        out.encode_special_tokens = True
+        return out
 
     @classmethod
     def of(cls, spec: tuple[str, str, str]) -> "Tokenizer":
@@ -101,7 +108,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: tuple[str, str,
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 1 else pa.int64()) for k, c in enumerate(columns)], PIECES.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return bounded(docs).select("doc_id", "text").mapInArrow(run, PIECES)
 
 
 @dataclass

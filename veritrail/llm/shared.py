@@ -14,10 +14,30 @@ import uuid
 from urllib.parse import unquote, urlparse
 
 import numpy as np
+from pyspark.sql import DataFrame
 
 from ..store import scratch, small, stored  # noqa: F401  (operators take all of it from here)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``; batches that its session reads and sends to Python workers hold a few megabytes from now on, whatever the rows' length.
+
+    The defaults fit narrow rows: 4,096 texts are read at a time, and 64 MB sent, of
+    which the JVM and the worker hold several. A session that has its own limits keeps
+    them.
+    """
+    conf = df.sparkSession.conf
+    defaults = {
+        "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "4000"),
+        "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m"),
+        "spark.sql.parquet.columnarReaderBatchSize": ("4096", "1024"),
+    }
+    for key, (default, value) in defaults.items():
+        if conf.get(key, default) == default:
+            conf.set(key, value)
+    return df
+
+
 def _filesystem(uri: str):
     from pyarrow import fs
 

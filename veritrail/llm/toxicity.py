@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded
 from .words import ALNUM, batches, grams, hashes, rows_of
 
 DIM_BITS = 20
@@ -69,7 +70,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     if n > TRAIN_ROWS:
         labels = labels.where(order < int((1 << 30) * TRAIN_ROWS / n))
         docs = docs.where(order < int((1 << 30) * TRAIN_ROWS / n))
-    rows = docs.select("doc_id", "text").join(labels, "doc_id")
+    rows = bounded(docs).select("doc_id", "text").join(labels, "doc_id")
 
     def extract(it):
         for batch in it:
@@ -113,7 +114,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], doc_id:
                 total = np.bincount(key >> DIM_BITS, dense[key & ((1 << DIM_BITS) - 1)], b - a) + bias
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, b - a), "score": 1 / (1 + np.exp(-np.clip(total, -35, 35)))})
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
 def held_out(doc_id: Column) -> Column:

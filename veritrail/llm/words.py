@@ -43,7 +43,7 @@ def _powers(n: int) -> np.ndarray:
     return _power
 
 
-def batches(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def batches(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows of about ``most`` bytes of text (one row at least): first row, end, bytes, each row's bounds in them. Null is empty."""
     texts = pc.fill_null(batch.column(column), "").cast(pa.large_string())
     n = len(texts)
@@ -60,7 +60,7 @@ def batches(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator
         a = b
 
 
-def hashes(data: np.ndarray, bounds: np.ndarray, word: np.ndarray, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def hashes(data: np.ndarray, bounds: np.ndarray, word: np.ndarray, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and each row's bounds among them. Works through ``step`` bytes at a time, so a text may be of any length."""
     found, starts, at, n = [], [], 0, len(data)
     inner = bounds[1:-1]
