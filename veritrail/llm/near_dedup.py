@@ -16,8 +16,8 @@ probability near the Jaccard similarity for b near 1.
 4. Links make components. Buckets whose classes then lie in several components are
    looked at again: sketches tell which classes may have a partner in another
    component, and the full sets of these are compared in their bucket's task. It
-   gives one link for each class and other component, so no link is lost to the
-   choice of leaders, and no rows stand for pairs that are none.
+   gives the links that join components, one less than it joins: nothing is lost to
+   the choice of leaders, and no rows stand for other pairs.
 
 Texts without words are linked with nothing. A null doc_id takes part in no link.
 Rows that repeat a doc_id are one document: whatever any of them is linked with, it is
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import component_roots
-from .shared import scratch, small, stored
+from .shared import bounded, scratch, small, stored
 from .words import SPACED, batches, grams, hashes, mix
 
 BANDS, ROWS = 32, 4
@@ -136,7 +136,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     def run(it):
         for batch in it:
-            for a, b, data, bounds in batches(batch, "text", 2 << 20):
+            for a, b, data, bounds in batches(batch, "text"):
                 sets = shingle_sets(data, bounds)
                 some = [i for i, x in enumerate(sets) if len(x)]
                 sketch = registers([sets[i] for i in some]) if some else []
@@ -188,7 +188,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(it):
         for batch in it:
-            for a, b, data, bounds in batches(batch, "text", 2 << 20):
+            for a, b, data, bounds in batches(batch, "text"):
                 sets = [x.view(np.int64) for x in shingle_sets(data, bounds)]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sets])]), pa.int32()), pa.array(np.concatenate(sets)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], ["doc_id", "shingles"])
@@ -278,7 +278,7 @@ def _suspects(bands: DataFrame, labels: DataFrame, classes: DataFrame, threshold
 
 
 def _across(suspects: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Links a, b between components, of full sets: for each class and other component in its cell one, if there is any."""
+    """Links a, b between components, of full sets: in each cell as many as join all that can be joined there, fewer than it has components."""
     sets = _sets(docs, suspects.select(F.col("rep").alias("doc_id"))).toDF("rep", "shingles")
     rows = suspects.join(sets, "rep").select("bucket", "cell", "rep", "component", "shingles")
 
@@ -288,15 +288,16 @@ def _across(suspects: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         keys, first = np.unique(sets[order], return_index=True)
         holder, end = at[order], np.append(first[1:], len(sets))
         cut = np.concatenate([[0], np.cumsum(size)])
-        names, members = np.unique(comp, return_counts=True)
-        for x in np.flatnonzero(comp != names[members.argmax()]):  # the largest component's rows are the others' partners
+        names, comp, members = np.unique(comp, return_inverse=True, return_counts=True)
+        joined = np.arange(len(names))  # the set of each component, by its number
+        for x in np.flatnonzero(comp != members.argmax()):  # the largest component's rows are the others' partners
             k = np.searchsorted(keys, sets[cut[x] : cut[x + 1]])
             n = end[k] - first[k]
             spots = np.repeat(first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             shared = np.bincount(holder[spots], minlength=len(rep))
-            ok = (comp != comp[x]) & (100 * shared >= percent * (size + size[x] - shared))
-            found = np.flatnonzero(ok)
-            for y in found[np.unique(comp[found], return_index=True)[1]]:
+            found = np.flatnonzero((joined[comp] != joined[comp[x]]) & (100 * shared >= percent * (size + size[x] - shared)))
+            for y in found[np.unique(joined[comp[found]], return_index=True)[1]]:
+                joined[joined == joined[comp[y]]] = joined[comp[x]]
                 yield rep[x], rep[y]
 
     def run(it):
@@ -316,7 +317,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and kept of each row."""
     spark, threshold = docs.sparkSession, percent / 100
     uri = scratch(spark, "near")
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketched = stored(sketches(docs), "sketches", uri)
     named = sketched.where("doc_id IS NOT NULL AND fingerprint IS NOT NULL")
     classes = stored(named.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "classes", uri)
