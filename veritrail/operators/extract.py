@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import IOC_RELATION_OF, SKIPPED_IOC_TYPES
 from ..functions.cve import product_name
-from ..functions.text import blank, clean_entity_text, extract_json, snippet
+from ..functions.text import blank, clean_entity_text, extract_json, is_narrative, snippet
 from ..functions.trust import parse_confidence
 from ..schemas import ENTITIES, LLM_RESPONSE, RELATIONS
 
@@ -60,8 +60,6 @@ def extract_cves(cves: DataFrame) -> DataFrame:
 
 def prompts(events: DataFrame) -> DataFrame:
     """id, date and prompt of events whose title tells something."""
-    from ..functions.text import is_narrative
-
     return events.where(is_narrative(F.col("info_title"))).select("id", "date", F.concat(F.lit(PROMPT), F.col("info_title")).alias("prompt"))
 
 
