@@ -39,10 +39,6 @@ SPACE = " \t\n\x0b\x0c\r"
 BITS_PER_KEY, MIN_SEGMENT_BITS, MAX_BITS = 8, 20, 33
 
 
-def line_key(line: str) -> bytes:
-    return line.strip(SPACE).encode("utf-8", "surrogatepass").lower()
-
-
 def _keys(text: str | None, min_chars: int) -> Iterator[tuple[int, bytes]]:
     """Number and key of each line that is long enough."""
     for i, line in enumerate((text or "").split("\n")):
