@@ -34,8 +34,8 @@ def component_roots(links: DataFrame, uri: str) -> DataFrame:
         made = down.join(low, "a").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
         return made.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    edges, k = stored(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "r0", uri), 0
+    edges, k = stored(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "r0", uri, True), 0
     while not stars(edges):
         k += 1
-        edges = stored(small(large(edges)), f"r{k}", uri)
+        edges = stored(small(large(edges)), f"r{k}", uri, True)
     return edges.select(F.col("b").alias("rep"), F.col("a").alias("component"))

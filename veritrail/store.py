@@ -53,9 +53,15 @@ def _release_all() -> None:
             return
 
 
-def stored(df: DataFrame, label: str, uri: str | None = None) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read again: cuts lineage and survives lost executors."""
+def stored(df: DataFrame, label: str, uri: str | None = None, narrow: bool = False) -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read again: cuts lineage and survives lost executors.
+
+    ``narrow``: rows are few or short, so files are at most twice the cores: with more,
+    creating files (each a process of its own on local folders) costs most of the time.
+    """
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
     uri = f"{uri or scratch(spark, label)}/{label}"
     # zstd streams: other codecs hold direct buffers until the next full collection, which many small tables add up
     df.write.mode("overwrite").option("compression", "zstd").parquet(uri)
