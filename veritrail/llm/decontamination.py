@@ -57,10 +57,10 @@ class Index:
     def __init__(self, docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW):
         self.uri, self.window = scratch(bounded(docs).sparkSession, "index"), window
         named = item_terms(items, item_id, item_text)
-        terms = stored(named.select("term").distinct().select("term", F.xxhash64("term").alias("t")), "terms", self.uri)
-        self.items = stored(named.join(terms, "term").select("item_id", "n", "j", "t"), "items", self.uri)
+        terms = stored(named.select("term").distinct().select("term", F.xxhash64("term").alias("t")), "terms", self.uri, True)
+        self.items = stored(named.join(terms, "term").select("item_id", "n", "j", "t"), "items", self.uri, True)
         self.postings = postings(docs, terms, doc_id, text, self.uri)
-        self.frequency = stored(self.postings.groupBy("t").agg(F.count("*").alias("f")), "frequency", self.uri)
+        self.frequency = stored(self.postings.groupBy("t").agg(F.count("*").alias("f")), "frequency", self.uri, True)
 
     def windows(self) -> DataFrame:
         """item_id, s (first word), and the rarest two words of each window that has no term outside the index: j, t, r (1 or 2)."""
@@ -74,13 +74,13 @@ class Index:
     def diagonals(self) -> DataFrame:
         """item_id, doc_id and start (the document position of the item's word 0, also below 0) where anchors meet."""
         anchors = self.windows().select("item_id", F.least("k", F.lit(2)).alias("need"), "j", "t").distinct()
-        hits = self.postings.join(small(stored(anchors, "anchors", self.uri)), "t")
+        hits = self.postings.join(small(stored(anchors, "anchors", self.uri, True)), "t")
         on = hits.groupBy("item_id", "doc_id", (F.col("pos") - F.col("j")).alias("start")).agg(F.count("*").alias("c"), F.max("need").alias("need"))
         return on.where("c >= need").select("item_id", "doc_id", "start")
 
     def runs(self) -> DataFrame:
         """item_id, doc_id, start, first and last: item words first to last occur in a row, at start + first on, and hold a window."""
-        found = stored(self.diagonals(), "diagonals", self.uri)
+        found = stored(self.diagonals(), "diagonals", self.uri, True)
         near = self.postings.join(small(found.select("doc_id").distinct()), "doc_id", "left_semi")
         path = found.join(self.items, "item_id").withColumn("pos", F.col("start") + F.col("j"))
         met = path.join(near, ["doc_id", "pos", "t"])
@@ -112,11 +112,11 @@ class Index:
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (sorted ids as strings) and contaminated of each row."""
     index = Index(docs, items, doc_id, text, item_id, item_text, window)
-    runs = stored(index.runs(), "runs", index.uri)
+    runs = stored(index.runs(), "runs", index.uri, True)
     hit = runs.select("doc_id", F.explode(F.sequence(F.col("start") + F.col("first"), F.col("start") + F.col("last"))).alias("pos")).distinct()
     hits = hit.groupBy("doc_id").agg(F.count("*").alias("n_hit"))
     held = runs.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    found = small(stored(hits.join(held, "doc_id"), "found", index.uri))
+    found = small(stored(hits.join(held, "doc_id"), "found", index.uri, True))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.size(words(F.col(text))).cast("long").alias("n_words"))
     out = rows.join(found, "doc_id", "left")
     n = F.coalesce("n_hit", F.lit(0).cast("long"))

@@ -325,11 +325,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     leaders = bands.groupBy("bucket").agg(F.min("rep").alias("a"))
     led = bands.withColumnRenamed("rep", "b").join(leaders, "bucket").where("a < b").groupBy("b", "a").agg(F.count("*").alias("m"))
     stars = led.groupBy("b").agg(F.max_by("a", F.struct("m", -F.col("a"))).alias("a")).select("a", "b")
-    likely = stored(_estimated(stars, classes, threshold), "likely", uri)
-    roots = component_roots(stored(_confirmed(likely, docs, percent), "links0", uri), f"{uri}/components0")
-    labels = stored(classes.select("rep").join(roots, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component")), "labels0", uri)
-    suspects = stored(_suspects(bands, labels, classes, threshold), "suspects", uri)
-    found = stored(_across(suspects, docs, percent), "links1", uri)
+    likely = stored(_estimated(stars, classes, threshold), "likely", uri, True)
+    roots = component_roots(stored(_confirmed(likely, docs, percent), "links0", uri, True), f"{uri}/components0")
+    labels = stored(classes.select("rep").join(roots, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component")), "labels0", uri, True)
+    suspects = stored(_suspects(bands, labels, classes, threshold), "suspects", uri, True)
+    found = stored(_across(suspects, docs, percent), "links1", uri, True)
     ends = found.join(labels.toDF("a", "ca"), "a").join(labels.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     roots = component_roots(ends, f"{uri}/components1").toDF("component", "root")
     labels = labels.join(roots, "component", "left").select("rep", F.coalesce("root", "component").alias("component"))
