@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import HashArrays, bits_for, scratch
+from .shared import HashArrays, bits_for, bounded, scratch
 from .words import BASE, SPACED, batches, hashes, mix
 
 BLOCK = 3 << 20
@@ -89,8 +89,15 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _counted(first: np.ndarray, second: np.ndarray, grid: Grid):
     """Packed block of each shard of these bigrams."""
-    words, back = np.unique(np.concatenate([first, second]), return_inverse=True)
-    a, b = back[: len(first)].astype(np.uint64), back[len(first) :].astype(np.uint64)
+    n = len(second)
+    before = np.append(START, second[:-1])
+    start = first == START
+    other = np.flatnonzero(~start & (first != before))  # where a long text was cut
+    words, back = np.unique(np.concatenate([second, [START], first[other]]), return_inverse=True)
+    b = back[:n].astype(np.uint64)
+    a = np.append(np.uint64(back[n]), b[:-1])
+    a[start], a[other] = back[n], back[n + 1 :]
+    del before, back
     key = np.sort((a << np.uint64(32)) | b)
     at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     n, key = np.diff(np.append(at, len(key))), key[at]
@@ -134,7 +141,6 @@ class BigramModel:
 
     def score(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability of each second word after the first, and its count in training."""
-        seen = {k: np.zeros(len(second), np.float64) for k in WORD_COLUMNS}
         unique, back = np.unique(second, return_inverse=True)
         _, got = self.words.lookup(unique)
         seen = {k: v[back].astype(np.float64) for k, v in got.items()}
@@ -167,9 +173,9 @@ def train(docs: DataFrame, text: str = "text") -> BigramModel:
     """Counts all of ``docs``. Files go to the shared folder."""
     spark = docs.sparkSession
     uri = scratch(spark, "bigrams")
-    docs = docs.select(F.col(text).alias("text"))
+    docs = bounded(docs).select(F.col(text).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    grid = Grid(bits_for(size / 6, 2 << 20))
+    grid = Grid(bits_for(size / 6, 1 << 20))
     bigrams = HashArrays(uri, "bigrams", grid.bits, {"n": "<u4"})
     words = HashArrays(uri, "words", bits_for(size / 60, 1 << 18), WORD_COLUMNS)
 
@@ -249,7 +255,7 @@ def score(docs: DataFrame, model: BigramModel, doc_id: str = "doc_id", text: str
     def run(it):
         unit = np.log10(model.tokens + 0.1 * (model.types + 1))
         for batch in it:
-            for a, b, data, bounds in batches(batch, "text"):
+            for a, b, data, bounds in batches(batch, "text", 2 << 20):
                 first, second, cut = sequences(data, bounds)
                 p, c = model.score(first, second)
                 base = np.log10(c + 0.1) - unit
@@ -257,7 +263,7 @@ def score(docs: DataFrame, model: BigramModel, doc_id: str = "doc_id", text: str
                 total = np.add.reduceat(p, cut[:-1])
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, b - a), "n_tokens": n, "n_known": np.add.reduceat((c > 0).astype(np.int64), cut[:-1]), "base_score": np.add.reduceat(base, cut[:-1]), "score": total, "perplexity": 10.0 ** np.minimum(-total / n, 300)})
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double, perplexity double")
+    return bounded(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double, perplexity double")
 
 
 def held_out(doc_id: Column) -> Column:
