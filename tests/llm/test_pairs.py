@@ -165,6 +165,17 @@ def test_passages(spark):
     assert sum(bool(x[2]) for x in want.values()) >= 8
 
 
+def test_repeated_items(spark):
+    first, second = [f"a{k}" for k in range(14)], [f"b{k}" for k in range(14)]
+    both = " ".join(first[:12] + second[:12])
+    items = [(1, " ".join(first)), (1, " ".join(first)), (2, " ".join(second)), (2, both), (2, "solo word"), (3, "solo word")]
+    rows = [(0, "x " + " ".join(first[2:13]) + " y"), (1, " ".join(second)), (2, both), (3, "solo word solo"), (4, " ".join(first[:9]))]
+    got = decontamination.decontaminate(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    want = passages(rows, items)
+    assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in got.collect()} == want
+    assert [want[k][2] for k in range(5)] == [["1", "2"], ["2"], ["1", "2"], ["2", "3"], []]
+
+
 def test_nothing_to_find(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     got = decontamination.decontaminate(docs(spark, [(1, "a b"), (None, "a b")]), empty).collect()

@@ -14,6 +14,9 @@
 Small sides (the benchmark's terms; candidate documents) are broadcast if counted
 below a limit, and joined by a shuffle beyond it.
 
+Items are matched by number, one for each distinct pair of id and text, and get their
+ids when matches are collected: copies count once, other texts of an id are looked for too.
+
 Null and empty texts have no words. Null ids of items are dropped, null doc_ids are
 kept as rows without hits. Rows that repeat a doc_id are one document in the hits:
 its words are counted as often as the rows, n_hit is the same for all of them.
@@ -39,10 +42,15 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(low, F.lit("")), BETWEEN), lambda w: w != "")
 
 
-def item_terms(items: DataFrame, item_id: str, text: str) -> DataFrame:
-    """item_id, j and term of each item word, and the item's length n."""
-    w = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), words(F.col(text)).alias("w"))
-    return w.select("item_id", F.size("w").alias("n"), F.posexplode("w").alias("j", "term"))
+def numbered(items: DataFrame, item_id: str, text: str, uri: str) -> DataFrame:
+    """Stored distinct items: item (a number for each id and text), item_id and text."""
+    rows = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).distinct()
+    return stored(rows.select(F.monotonically_increasing_id().alias("item"), "item_id", "text"), "numbered", uri, True)
+
+
+def item_terms(items: DataFrame) -> DataFrame:
+    """item, j and term of each item word, and the item's length n."""
+    return items.select("item", words(F.col("text")).alias("w")).select("item", F.size("w").alias("n"), F.posexplode("w").alias("j", "term"))
 
 
 def postings(docs: DataFrame, terms: DataFrame, doc_id: str, text: str, uri: str) -> DataFrame:
@@ -56,57 +64,63 @@ class Index:
 
     def __init__(self, docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW):
         self.uri, self.window = scratch(bounded(docs).sparkSession, "index"), window
-        named = item_terms(items, item_id, item_text)
+        self.numbered = numbered(items, item_id, item_text, self.uri)
+        named = item_terms(self.numbered)
         terms = stored(named.select("term").distinct().select("term", F.xxhash64("term").alias("t")), "terms", self.uri, True)
-        self.items = stored(named.join(terms, "term").select("item_id", "n", "j", "t"), "items", self.uri, True)
+        self.items = stored(named.join(terms, "term").select("item", "n", "j", "t"), "items", self.uri, True)
         self.postings = postings(docs, terms, doc_id, text, self.uri)
         self.frequency = stored(self.postings.groupBy("t").agg(F.count("*").alias("f")), "frequency", self.uri, True)
 
+    def named(self, found: DataFrame) -> DataFrame:
+        """``found`` with the item_id of its item; texts of one id are one item."""
+        return found.join(small(self.numbered.select("item", "item_id")), "item")
+
     def windows(self) -> DataFrame:
-        """item_id, s (first word), and the rarest two words of each window that has no term outside the index: j, t, r (1 or 2)."""
+        """item, s (first word), and the rarest two words of each window that has no term outside the index: j, t, r (1 or 2)."""
         k = F.least(F.col("n"), F.lit(self.window))
-        starts = self.items.groupBy("item_id").agg(F.max("n").alias("n")).select("item_id", k.alias("k"), F.explode(F.sequence(F.lit(0), F.col("n") - k)).alias("s"))
-        inside = starts.join(self.items.select("item_id", "j", "t"), "item_id").where("j >= s AND j < s + k").join(self.frequency, "t", "left")
-        whole = F.count("f").over(Window.partitionBy("item_id", "s"))
-        rarest = F.row_number().over(Window.partitionBy("item_id", "s").orderBy("f", "j"))
-        return inside.withColumns({"found": whole, "r": rarest}).where("found = k AND r <= 2").select("item_id", "s", "k", "j", "t", "r")
+        starts = self.items.groupBy("item").agg(F.max("n").alias("n")).select("item", k.alias("k"), F.explode(F.sequence(F.lit(0), F.col("n") - k)).alias("s"))
+        inside = starts.join(self.items.select("item", "j", "t"), "item").where("j >= s AND j < s + k").join(self.frequency, "t", "left")
+        whole = F.count("f").over(Window.partitionBy("item", "s"))
+        rarest = F.row_number().over(Window.partitionBy("item", "s").orderBy("f", "j"))
+        return inside.withColumns({"found": whole, "r": rarest}).where("found = k AND r <= 2").select("item", "s", "k", "j", "t", "r")
 
     def diagonals(self) -> DataFrame:
-        """item_id, doc_id and start (the document position of the item's word 0, also below 0) where anchors meet."""
-        anchors = self.windows().select("item_id", F.least("k", F.lit(2)).alias("need"), "j", "t").distinct()
+        """item, doc_id and start (the document position of the item's word 0, also below 0) where anchors meet."""
+        anchors = self.windows().select("item", F.least("k", F.lit(2)).alias("need"), "j", "t").distinct()
         hits = self.postings.join(small(stored(anchors, "anchors", self.uri, True)), "t")
-        on = hits.groupBy("item_id", "doc_id", (F.col("pos") - F.col("j")).alias("start")).agg(F.count("*").alias("c"), F.max("need").alias("need"))
-        return on.where("c >= need").select("item_id", "doc_id", "start")
+        on = hits.groupBy("item", "doc_id", (F.col("pos") - F.col("j")).alias("start")).agg(F.count("*").alias("c"), F.max("need").alias("need"))
+        return on.where("c >= need").select("item", "doc_id", "start")
 
     def runs(self) -> DataFrame:
-        """item_id, doc_id, start, first and last: item words first to last occur in a row, at start + first on, and hold a window."""
+        """item, doc_id, start, first and last: item words first to last occur in a row, at start + first on, and hold a window."""
         found = stored(self.diagonals(), "diagonals", self.uri, True)
         near = self.postings.join(small(found.select("doc_id").distinct()), "doc_id", "left_semi")
-        path = found.join(self.items, "item_id").withColumn("pos", F.col("start") + F.col("j"))
+        path = found.join(self.items, "item").withColumn("pos", F.col("start") + F.col("j"))
         met = path.join(near, ["doc_id", "pos", "t"])
-        run = F.col("j") - F.row_number().over(Window.partitionBy("item_id", "doc_id", "start").orderBy("j"))
-        runs = met.select("item_id", "doc_id", "start", "n", "j").distinct().withColumn("run", run)
-        runs = runs.groupBy("item_id", "doc_id", "start", "run").agg(F.min("j").alias("first"), F.max("j").alias("last"), F.max("n").alias("n"))
-        return runs.where(F.col("last") - F.col("first") + 1 >= F.least(F.col("n"), F.lit(self.window))).select("item_id", "doc_id", "start", "first", "last")
+        run = F.col("j") - F.row_number().over(Window.partitionBy("item", "doc_id", "start").orderBy("j"))
+        runs = met.select("item", "doc_id", "start", "n", "j").distinct().withColumn("run", run)
+        runs = runs.groupBy("item", "doc_id", "start", "run").agg(F.min("j").alias("first"), F.max("j").alias("last"), F.max("n").alias("n"))
+        return runs.where(F.col("last") - F.col("first") + 1 >= F.least(F.col("n"), F.lit(self.window))).select("item", "doc_id", "start", "first", "last")
 
     def phrases(self) -> DataFrame:
         """Exact matches: item_id, doc_id, pos (of the first word) and length of each longest run."""
-        return self.runs().select("item_id", "doc_id", (F.col("start") + F.col("first")).alias("pos"), (F.col("last") - F.col("first") + 1).alias("length"))
+        return self.named(self.runs()).select("item_id", "doc_id", (F.col("start") + F.col("first")).alias("pos"), (F.col("last") - F.col("first") + 1).alias("length")).distinct()
 
     def near(self, slop: int) -> DataFrame:
         """Proximity matches: item_id, s and doc_id where all of a window's words stand within ``slop`` of their places relative to its rarest word."""
         w = self.windows()
-        rare = w.where("r = 1").select("item_id", "s", "k", F.col("j").alias("j1"), "t")
-        second = w.where("r = 2").select("item_id", "s", F.col("j").alias("j2"), F.col("t").alias("t2"))
-        at = self.postings.join(small(rare), "t").select("item_id", "s", "k", "j1", "doc_id", (F.col("pos") - F.col("j1")).alias("d1"))
+        rare = w.where("r = 1").select("item", "s", "k", F.col("j").alias("j1"), "t")
+        second = w.where("r = 2").select("item", "s", F.col("j").alias("j2"), F.col("t").alias("t2"))
+        at = self.postings.join(small(rare), "t").select("item", "s", "k", "j1", "doc_id", (F.col("pos") - F.col("j1")).alias("d1"))
         shift = F.explode(F.sequence(F.lit(-slop), F.lit(slop)))
-        both = at.join(small(second), ["item_id", "s"], "left").withColumn("shift", shift)
+        both = at.join(small(second), ["item", "s"], "left").withColumn("shift", shift)
         met = both.withColumn("pos", F.col("d1") + F.col("j2") + F.col("shift")).join(self.postings.select("doc_id", "pos", F.col("t").alias("t2")), ["doc_id", "pos", "t2"])
         alone = both.where("j2 IS NULL")
-        cands = met.select("item_id", "s", "k", "doc_id", "d1").unionByName(alone.select("item_id", "s", "k", "doc_id", "d1")).distinct()
-        path = cands.join(self.items.select("item_id", "j", "t"), "item_id").where("j >= s AND j < s + k").withColumn("shift", shift)
+        cands = met.select("item", "s", "k", "doc_id", "d1").unionByName(alone.select("item", "s", "k", "doc_id", "d1")).distinct()
+        path = cands.join(self.items.select("item", "j", "t"), "item").where("j >= s AND j < s + k").withColumn("shift", shift)
         full = path.withColumn("pos", F.col("d1") + F.col("j") + F.col("shift")).join(self.postings, ["doc_id", "pos", "t"])
-        return full.groupBy("item_id", "s", "k", "doc_id", "d1").agg(F.count_distinct("j").alias("c")).where("c = k").select("item_id", "s", "doc_id").distinct()
+        met = full.groupBy("item", "s", "k", "doc_id", "d1").agg(F.count_distinct("j").alias("c")).where("c = k")
+        return self.named(met).select("item_id", "s", "doc_id").distinct()
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -115,7 +129,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     runs = stored(index.runs(), "runs", index.uri, True)
     hit = runs.select("doc_id", F.explode(F.sequence(F.col("start") + F.col("first"), F.col("start") + F.col("last"))).alias("pos")).distinct()
     hits = hit.groupBy("doc_id").agg(F.count("*").alias("n_hit"))
-    held = runs.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    held = index.named(runs.select("doc_id", "item").distinct()).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     found = small(stored(hits.join(held, "doc_id"), "found", index.uri, True))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.size(words(F.col(text))).cast("long").alias("n_words"))
     out = rows.join(found, "doc_id", "left")
