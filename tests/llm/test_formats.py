@@ -62,6 +62,14 @@ def test_pieces_of_long_media(monkeypatch):
     assert np.allclose(whole[0], again[0]) and whole[1] == again[1]
 
 
+@pytest.mark.parametrize("m", [1, 2, 3, 4, 5])
+def test_last_byte_counts(m):
+    text = ("some words of text " * 200)[: 576 * m - 1]
+    one, two = (media.features(media.padded(text + x)) for x in "az")
+    assert media.feature_text(*one) != media.feature_text(*two)
+    assert all(b <= 1000 * 576 * m / media.RATE for _, b in one[1])
+
+
 def test_segments():
     e = np.array([0, 0, 5, 2.05, 2, 2.05, 0, 0, 9, 0])
     assert media.segments(e) == [(2, 3), (8, 8)] or media.segments(e)[0][0] == 2

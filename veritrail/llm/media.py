@@ -103,9 +103,14 @@ def mel_bank() -> np.ndarray:
 
 
 def log_mel(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 mel energies (frames x MELS, 3 decimals) and frame energies of resampled signal."""
-    frames = 1 + max(0, len(x) - WINDOW) // HOP
-    x = np.pad(x, (0, max(0, WINDOW - len(x))))
+    """log10 mel energies (frames x MELS, 3 decimals) and frame energies of resampled signal.
+
+    A frame starts at each hop, so the last ones reach beyond the end: silence there
+    is no part of their energy.
+    """
+    n = len(x)
+    frames = max(1, -(-n // HOP))
+    x = np.pad(x, (0, (frames - 1) * HOP + WINDOW - n))
     hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(WINDOW) / WINDOW)
     mel, energy = np.empty((frames, MELS)), np.empty(frames)
     for a in range(0, frames, 2048):
@@ -113,7 +118,7 @@ def log_mel(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         view = np.lib.stride_tricks.sliding_window_view(x[a * HOP : (b - 1) * HOP + WINDOW], WINDOW)[::HOP]
         power = np.abs(np.fft.rfft(view * hann, axis=1)) ** 2
         mel[a:b] = power @ mel_bank().T
-        energy[a:b] = (view**2).mean(1)
+        energy[a:b] = (view**2).sum(1) / np.clip(n - np.arange(a, b) * HOP, 1, WINDOW)
     return np.round(np.log10(np.maximum(mel, FLOOR)), 3), energy
 
 
@@ -136,9 +141,10 @@ def features(samples) -> tuple[np.ndarray, list[tuple[float, float]]]:
         y = resample((raw[lo:hi].astype(np.float64) - 128) / 128)
         skip = (a - lo) * UP // DOWN
         parts.append(y[skip : skip + -(-(min(a + PIECE, len(raw)) - a) * UP // DOWN)])
-    mel, energy = log_mel(np.concatenate(parts))
+    whole = np.concatenate(parts)
+    mel, energy = log_mel(whole)
     ms = 1000 * DOWN / UP / RATE
-    return mel, [(a * HOP * ms, (b * HOP + WINDOW) * ms) for a, b in segments(energy)]
+    return mel, [(a * HOP * ms, min(b * HOP + WINDOW, len(whole)) * ms) for a, b in segments(energy)]
 
 
 def feature_text(mel: np.ndarray, spans: list[tuple[float, float]]) -> str:
@@ -187,12 +193,13 @@ def feature_table(media: DataFrame) -> DataFrame:
         ms = 1000 * DOWN / UP / RATE
         for batch in it:
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                mel, spans = features(payload(x.as_py()))
+                samples = payload(x.as_py())
+                mel, spans = features(samples)
                 for k in range(0, len(mel), ROWS):
                     part = np.full((ROWS, MELS), np.log10(FLOOR), np.float32)
                     n = min(ROWS, len(mel) - k)
                     part[:n] = mel[k : k + n]
-                    start, end = k * HOP * ms, ((k + n - 1) * HOP + WINDOW) * ms
+                    start, end = k * HOP * ms, min((k + n - 1) * HOP + WINDOW, -(-len(samples) * UP // DOWN)) * ms
                     inside = [{"start_ms": max(a, start), "end_ms": min(b, end)} for a, b in spans if a < end and b > start]
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array([i], pa.int64()), "k": pa.array([k // ROWS], pa.int32()), "start_ms": [start], "end_ms": [end], "frames": pa.array([n], pa.int32()), "log_mel": pa.array([part.reshape(-1)], pa.list_(pa.float32())), "spans": pa.array([inside], pa.list_(pa.struct([("start_ms", pa.float64()), ("end_ms", pa.float64())])))})
 
