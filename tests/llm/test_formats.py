@@ -86,6 +86,21 @@ def test_tensors(spark):
     assert arrow["log_mel"].combine_chunks().to_numpy_ndarray().shape == (len(rows), media.ROWS, media.MELS)
 
 
+def test_stored_media(spark, monkeypatch):
+    uris = []
+    monkeypatch.setattr(media, "scratch", lambda s, label: uris.append(scratch(s, label)) or uris[-1])
+    texts = [*TEXTS, "loud \x01\x02 \x7f and ~~~~ quiet " * 3000]
+    docs = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = media.media_features(media.with_media(docs)).collect()
+    want = [media.feature_text(*media.features(media.padded(t))) for t in texts]
+    assert sorted(r.feature for r in got) == sorted(want)
+    assert spark.read.parquet(f"{uris[0]}/media").count() == len(texts)
+    names = [r.file for r in spark.read.parquet(f"{uris[0]}/files").collect()]
+    tables = [pa.ipc.open_stream(media.open_file(x)).read_all() for x in names]
+    assert {t.schema.field("log_mel").type for t in tables} == {pa.fixed_shape_tensor(pa.float32(), (media.ROWS, media.MELS))}
+    assert sum(sum(t["frames"].to_pylist()) for t in tables) == sum(len(media.features(media.padded(t))[0]) for t in texts)
+
+
 def test_warc(spark):
     rng = random.Random(0)
     html = [None, "", "<p>a</p>", "<p>a</p>", "é" * 5000, "x" * 300000, "\x1f\x8b\x08 in text WARC/1.1\r\n\r\n"] + ["".join(chr(rng.randrange(32, 2000)) for _ in range(rng.randrange(3000))) for _ in range(60)]

@@ -12,7 +12,9 @@ by its RIFF chunks. Features of the samples:
 
 ``feature_table`` cuts the log-mel matrix into tensors of ``ROWS`` x ``MELS`` (a
 fixed-shape Arrow tensor extension column for ``to_arrow``), each with its time span;
-the last one is padded with the floor. All sums run over one document in double
+the last one is padded with the floor. ``media_features`` stores the media and then
+their tensors, as Arrow streams with a fixed-shape tensor column; its digests and
+features are what is read back of both. All sums run over one document in double
 precision and are rounded, so equal texts give equal values. Long texts are worked
 through in pieces of ``PIECE`` samples that overlap as frames need.
 
@@ -23,7 +25,9 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded
+from .shared import bounded, open_file, scratch, stored, write_file
 
 FRAME, PAD = 576, 255
 RATE, UP, DOWN = 16_000, 1, 2
@@ -40,6 +44,8 @@ WINDOW, HOP, MELS, ROWS = 256, 128, 32, 64
 HIGH, LOW = 1.1, 0.9  # of the mean frame energy
 FLOOR = 1e-6
 PIECE = 1 << 20
+#: Tensors of an Arrow batch; bytes from which a file of tensors is closed.
+BATCH, FILE_BYTES = 128, 8 << 20
 
 
 def padded(text: str | None) -> bytes:
@@ -169,39 +175,142 @@ def with_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """What is read back of each row's media: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    """What is read back of each row's stored media and tensors: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature."""
+    uri = scratch(media.sparkSession, "media")
+    numbered = bounded(media).select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_bytes", "media")
+    held = stored(numbered, "media", uri)
+    files = stored(write_tensors(held, uri), "files", uri)
+    return digests(held).join(read_features(files).hint("merge"), "row").drop("row")  # a list of files looks small enough to broadcast
+
+
+def digests(media: DataFrame) -> DataFrame:
+    """row, doc_id, n_bytes, and sizes and hashes of each row's media."""
+    schema = "row long, doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
 
     def run(it):
         for batch in it:
             rows = []
-            for x in batch.column(2):
+            for x in batch.column(3):
                 raw = x.as_py()
                 got = payload(raw)
-                rows.append((len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), feature_text(*features(got))))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [x.split()[0] for x in schema.split(", ")])
+                rows.append((len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-32:]), len(raw), hashlib.sha256(raw).hexdigest()))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [x.split()[0] for x in schema.split(", ")])
+
+    return bounded(media).select("row", "doc_id", "n_bytes", "media").mapInArrow(run, schema)
+
+
+def tensors(samples) -> Iterator[tuple]:
+    """k, start_ms, end_ms, frames, tensor (ROWS x MELS) and spans of each part of the features."""
+    ms = 1000 * DOWN / UP / RATE
+    mel, spans = features(samples)
+    for k in range(0, len(mel), ROWS):
+        part = np.full((ROWS, MELS), np.log10(FLOOR), np.float32)
+        n = min(ROWS, len(mel) - k)
+        part[:n] = mel[k : k + n]
+        start, end = k * HOP * ms, min((k + n - 1) * HOP + WINDOW, -(-len(samples) * UP // DOWN)) * ms
+        yield k // ROWS, start, end, n, part, [{"start_ms": max(a, start), "end_ms": min(b, end)} for a, b in spans if a < end and b > start]
+
+
+def joined_spans(parts: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Whole spans from what the tensors hold of them: parts of one span overlap, spans at most touch."""
+    out: list[tuple[float, float]] = []
+    for a, b in sorted(parts):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+SPANS = pa.list_(pa.struct([("start_ms", pa.float64()), ("end_ms", pa.float64())]))
+TENSOR = pa.fixed_shape_tensor(pa.float32(), (ROWS, MELS))
+FILE = pa.schema([("row", pa.int64()), ("k", pa.int32()), ("start_ms", pa.float64()), ("end_ms", pa.float64()), ("frames", pa.int32()), ("log_mel", TENSOR), ("spans", SPANS)])
+
+
+def write_tensors(media: DataFrame, uri: str) -> DataFrame:
+    """Writes each row's tensors into Arrow streams of about ``FILE_BYTES`` below ``uri``; gives file and rows (tensors) of each. A row is whole in one file."""
 
-    return bounded(media).select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    def run(it):
+        sink = writer = None
+        held, total = [], 0
+
+        def flush():
+            nonlocal sink, writer, held, total
+            if writer is None:
+                sink = pa.BufferOutputStream()
+                writer = pa.ipc.new_stream(sink, FILE, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 9)))
+            row, k, start, end, n, part, spans = zip(*held, strict=True)
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(part).reshape(-1)), ROWS * MELS)
+            columns = [pa.array(x, f.type) for x, f in zip((row, k, start, end, n), FILE, strict=False)]
+            writer.write_batch(pa.RecordBatch.from_arrays([*columns, pa.ExtensionArray.from_storage(TENSOR, flat), pa.array(spans, SPANS)], schema=FILE))
+            total, held = total + len(held), []
+
+        def close():
+            nonlocal writer, total
+            writer.close()
+            name, n = f"{uri}/tensors/{uuid.uuid4().hex}.arrow", total
+            write_file(name, [sink.getvalue()])
+            writer, total = None, 0
+            return pa.RecordBatch.from_pydict({"file": pa.array([name]), "rows": pa.array([n], pa.int64())})
+
+        for batch in it:
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for t in tensors(payload(x.as_py())):
+                    held.append((i, *t))
+                    if len(held) >= BATCH:
+                        flush()
+                if writer is not None and sink.tell() >= FILE_BYTES:
+                    if held:
+                        flush()
+                    yield close()
+        if held:
+            flush()
+        if writer is not None:
+            yield close()
+
+    return bounded(media).select("row", "media").mapInArrow(run, "file string, rows long")
+
+
+def read_features(files: DataFrame) -> DataFrame:
+    """row and feature, from the tensors and spans in files of ``write_tensors``."""
+
+    def run(it):
+        for batch in it:
+            for name in batch.column(0).to_pylist():
+                rows, texts, parts, spans, last = [], [], [], [], None
+
+                def done():
+                    mel = np.round(np.concatenate(parts).astype(np.float64), 3)
+                    rows.append(last)
+                    texts.append(feature_text(mel, joined_spans(spans)))
+
+                with open_file(name) as src, pa.ipc.open_stream(src) as stream:
+                    for part in stream:
+                        cube = part["log_mel"].to_numpy_ndarray()
+                        for i, n, x, held in zip(part["row"].to_pylist(), part["frames"].to_pylist(), cube, part["spans"].to_pylist(), strict=True):
+                            if i != last and parts:
+                                done()
+                                parts, spans = [], []
+                            last = i
+                            parts.append(x[:n])
+                            spans += [(s["start_ms"], s["end_ms"]) for s in held]
+                if parts:
+                    done()
+                yield pa.RecordBatch.from_pydict({"row": pa.array(rows, pa.int64()), "feature": pa.array(texts, pa.string())})
+
+    return files.repartition(max(1, files.count())).select("file").mapInArrow(run, "row long, feature string")
 
 
 def feature_table(media: DataFrame) -> DataFrame:
     """Tensors of each row's media: doc_id, k, start_ms, end_ms, frames (that are not padding), log_mel (ROWS * MELS floats) and spans."""
 
     def run(it):
-        ms = 1000 * DOWN / UP / RATE
         for batch in it:
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                samples = payload(x.as_py())
-                mel, spans = features(samples)
-                for k in range(0, len(mel), ROWS):
-                    part = np.full((ROWS, MELS), np.log10(FLOOR), np.float32)
-                    n = min(ROWS, len(mel) - k)
-                    part[:n] = mel[k : k + n]
-                    start, end = k * HOP * ms, min((k + n - 1) * HOP + WINDOW, -(-len(samples) * UP // DOWN)) * ms
-                    inside = [{"start_ms": max(a, start), "end_ms": min(b, end)} for a, b in spans if a < end and b > start]
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array([i], pa.int64()), "k": pa.array([k // ROWS], pa.int32()), "start_ms": [start], "end_ms": [end], "frames": pa.array([n], pa.int32()), "log_mel": pa.array([part.reshape(-1)], pa.list_(pa.float32())), "spans": pa.array([inside], pa.list_(pa.struct([("start_ms", pa.float64()), ("end_ms", pa.float64())])))})
+                for k, start, end, n, part, inside in tensors(payload(x.as_py())):
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array([i], pa.int64()), "k": pa.array([k], pa.int32()), "start_ms": [start], "end_ms": [end], "frames": pa.array([n], pa.int32()), "log_mel": pa.array([part.reshape(-1)], pa.list_(pa.float32())), "spans": pa.array([inside], SPANS)})
 
     return bounded(media).select("doc_id", "media").mapInArrow(run, "doc_id long, k int, start_ms double, end_ms double, frames int, log_mel array<float>, spans array<struct<start_ms: double, end_ms: double>>")
 
