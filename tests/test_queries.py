@@ -46,6 +46,12 @@ def test_runs(spark, name):
     assert Q.QUERIES[name](spark, str(DATA)).count() > 0
 
 
+def test_long_urls_are_normalised_whole(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "http://x/" + "a" * 70 + "/END-of_it")], "page_id long, url string")
+    monkeypatch.setattr(Q, "table", lambda *_: pages)
+    assert Q.QUERIES["name_normalize"](spark, "").first().norm == "http x " + "a" * 70 + " end of it"
+
+
 def test_entry_works():
     import __spark_entry__ as e
 

@@ -225,7 +225,7 @@ def token_count(spark, sf_dir):
 
 @query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(coalesce(left(url, 60), '')) , '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS norm FROM (SELECT page_id AS doc_id, url FROM pages)""")
 def name_normalize(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), X.normalize_name(F.substring("url", 1, 60)).alias("norm"))
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), X.normalize_name(F.col("url")).alias("norm"))
 
 
 @query("SELECT conv_id, turn, CASE turn % 3 WHEN 2 THEN '' ELSE trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) END AS said FROM conversations")
