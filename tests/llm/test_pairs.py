@@ -75,6 +75,14 @@ def test_near_duplicates_of_nothing(spark):
     assert [tuple(r) for r in got] == [(3, 3, True), (3, 3, True), (4, 4, True), (None, None, True), (None, None, True)]
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [(5, a), (5, b), (3, b), (8, a), (9, a + " more"), (1, c), (1, d), (2, c), (4, d + " more"), (6, None), (6, a), (7, "alone in this text")]
+    got = sorted(tuple(r) for r in near_dedup.near_duplicates(docs(spark, rows)).select("doc_id", "component_id", "kept").collect())
+    root = {5: 3, 3: 3, 8: 3, 9: 3, 6: 3, 1: 1, 2: 1, 4: 1, 7: 7}
+    assert got == sorted((i, root[i], root[i] == i) for i, _ in rows)
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(0)
     a = np.unique(rng.integers(0, 2**63, 2000, dtype=np.uint64))

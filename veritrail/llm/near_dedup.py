@@ -7,7 +7,7 @@ probability near the Jaccard similarity for b near 1.
 
 1. Each document becomes a fingerprint of its shingle set, the set's size and its
    registers. Documents of one fingerprint are one class, whatever their number;
-   a class goes on as its smallest doc_id.
+   a class goes on under a number, its texts are read from its smallest doc_id.
 2. Bands of registers put classes into buckets. In each bucket the smallest class
    leads. Each class is first compared with the leader that it shares most buckets
    with: one pair a class, however large its buckets.
@@ -21,7 +21,7 @@ probability near the Jaccard similarity for b near 1.
 
 Texts without words are linked with nothing. A null doc_id takes part in no link.
 Rows that repeat a doc_id are one document: whatever any of them is linked with, it is
-linked with.
+linked with. Classes that share a doc_id are linked, whatever their texts.
 """
 
 from __future__ import annotations
@@ -184,21 +184,34 @@ def _estimated(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFr
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id and shingles of wanted documents. Only their texts are worked on, only their sets move."""
+    """rep and shingles of wanted classes (stored: rep, lead, fingerprint). Only the texts of their leads are worked on, only their sets move."""
 
     def run(it):
         for batch in it:
-            for a, b, data, bounds in batches(batch, "text"):
-                sets = [x.view(np.int64) for x in shingle_sets(data, bounds)]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sets])]), pa.int32()), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], ["doc_id", "shingles"])
+            for _, _, data, bounds in batches(batch, "text"):
+                sets = shingle_sets(data, bounds)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sets])]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), lists], ["fingerprint", "shingles"])
+
+    texts = docs.join(small(wanted.select(F.col("lead").alias("doc_id")).distinct()), "doc_id", "left_semi").select("text")
+    return texts.mapInArrow(run, "fingerprint binary, shingles array<long>").join(small(wanted.select("rep", "fingerprint")), "fingerprint").select("rep", "shingles")
+
+
+def _wanted(reps: DataFrame, classes: DataFrame, label: str, uri: str) -> DataFrame:
+    return stored(classes.join(small(reps.distinct()), "rep", "left_semi").select("rep", "lead", "fingerprint"), label, uri, True)
+
 
-    return docs.join(small(wanted.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+def _same_documents(named: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links a, b between the classes that share a doc_id: each with the one of least fingerprint."""
+    several = named.groupBy("doc_id").agg(F.min("fingerprint").alias("lo"), F.max("fingerprint").alias("hi")).where("lo < hi").select("doc_id", "lo")
+    links = named.select("doc_id", "fingerprint").join(several, "doc_id").where("fingerprint > lo").select("lo", "fingerprint").distinct()
+    c = classes.select("fingerprint", "rep")
+    return links.join(c.toDF("lo", "a"), "lo").join(c.toDF("fingerprint", "b"), "fingerprint").select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, uri: str) -> DataFrame:
     """Pairs whose full shingle sets are similar enough."""
-    sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
+    sets = _sets(docs, _wanted(pairs.select(F.explode(F.array("a", "b")).alias("rep")), classes, "wanted0", uri))
     both = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
     ok = F.lit(100) * shared >= F.lit(percent) * (F.size("sa") + F.size("sb") - shared)
@@ -277,9 +290,9 @@ def _suspects(bands: DataFrame, labels: DataFrame, classes: DataFrame, threshold
     return dealt.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell").mapInArrow(run, "bucket long, cell int, rep long, component long")
 
 
-def _across(suspects: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _across(suspects: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, uri: str) -> DataFrame:
     """Links a, b between components, of full sets: in each cell as many as join all that can be joined there, fewer than it has components."""
-    sets = _sets(docs, suspects.select(F.col("rep").alias("doc_id"))).toDF("rep", "shingles")
+    sets = _sets(docs, _wanted(suspects.select("rep"), classes, "wanted1", uri))
     rows = suspects.join(sets, "rep").select("bucket", "cell", "rep", "component", "shingles")
 
     def links(rep, comp, sets, size):
@@ -320,21 +333,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     docs = bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketched = stored(sketches(docs), "sketches", uri)
     named = sketched.where("doc_id IS NOT NULL AND fingerprint IS NOT NULL")
-    classes = stored(named.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "classes", uri)
+    grouped = named.groupBy("fingerprint").agg(F.min("doc_id").alias("lead"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
+    classes = stored(grouped.withColumn("rep", F.monotonically_increasing_id()), "classes", uri)
     bands = stored(_shared_buckets(_banded(classes)), "bands", uri)
     leaders = bands.groupBy("bucket").agg(F.min("rep").alias("a"))
     led = bands.withColumnRenamed("rep", "b").join(leaders, "bucket").where("a < b").groupBy("b", "a").agg(F.count("*").alias("m"))
     stars = led.groupBy("b").agg(F.max_by("a", F.struct("m", -F.col("a"))).alias("a")).select("a", "b")
     likely = stored(_estimated(stars, classes, threshold), "likely", uri, True)
-    roots = component_roots(stored(_confirmed(likely, docs, percent), "links0", uri, True), f"{uri}/components0")
+    links = _confirmed(likely, docs, classes, percent, uri).unionByName(_same_documents(named, classes))
+    roots = component_roots(stored(links, "links0", uri, True), f"{uri}/components0")
     labels = stored(classes.select("rep").join(roots, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component")), "labels0", uri, True)
     suspects = stored(_suspects(bands, labels, classes, threshold), "suspects", uri, True)
-    found = stored(_across(suspects, docs, percent), "links1", uri, True)
+    found = stored(_across(suspects, docs, classes, percent, uri), "links1", uri, True)
     ends = found.join(labels.toDF("a", "ca"), "a").join(labels.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     roots = component_roots(ends, f"{uri}/components1").toDF("component", "root")
     labels = labels.join(roots, "component", "left").select("rep", F.coalesce("root", "component").alias("component"))
-    by_print = classes.join(labels, "rep").select("fingerprint", "component")
-    out = sketched.select("doc_id", "n_shingles", "fingerprint").join(by_print, "fingerprint", "left")
+    by_class = stored(classes.select("fingerprint", "lead", "rep").join(labels, "rep").select("fingerprint", "lead", "component"), "labels1", uri, True)
+    least = by_class.groupBy("component").agg(F.min("lead").alias("least"), F.count("*").alias("m")).where("m > 1").select("component", "least")
+    by_print = by_class.join(small(stored(least, "least", uri, True)), "component", "left").select("fingerprint", F.coalesce("least", "lead").alias("component"))
+    wordless = small(sketched.where("doc_id IS NOT NULL AND fingerprint IS NULL").select("doc_id").distinct())
+    other = named.join(wordless, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("fingerprint").alias("other"))  # of rows that repeat a wordless one's id
+    rows = sketched.select("doc_id", "n_shingles", "fingerprint").join(small(stored(other, "other", uri, True)), "doc_id", "left")
+    out = rows.select("doc_id", "n_shingles", F.coalesce("fingerprint", "other").alias("fingerprint")).join(by_print, "fingerprint", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
