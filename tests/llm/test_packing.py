@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from veritrail.llm import packing, sharding
 
-DOCS = "doc_id long, text string, length long, shard int, salt int"
+DOCS = "doc_id long, text string, length long, shard int, salt int"  # names that operators use inside
 
 
 def docs(spark, rows):
@@ -41,6 +41,27 @@ def test_fast_path_agrees(text):
     assert t.fast.encode_ordinary(text) == reference_cached().encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab1 \n\t'-é中文字，。\u00a0\x1cs", max_size=60))
+def test_parts_are_cut_between_tokens(text):
+    t = packing.Tokenizer.of(packing.default_tokenizer())
+    was, packing.PART = packing.PART, 3
+    try:
+        assert "".join(t.parts(text)) == text
+        assert list(t.ids(text)) == reference_cached().encode(text, add_special_tokens=False).ids
+    finally:
+        packing.PART = was
+
+
+@pytest.mark.parametrize("text", [" " * 3_000_000, "\n" * 3_000_000, "a" * 3_000_000, " \n" * 1_000_000, "x" + "\t" * 1_000_000 + "y", "中" * 300_000, "ab " * 1_000_000], ids=["spaces", "lines", "letters", "mixed", "tabs", "chinese", "words"])
+def test_long_texts(text):
+    t = packing.Tokenizer.of(packing.default_tokenizer())
+    ids = t.ids(text)
+    assert reference_cached().decode([int(x) for x in ids], skip_special_tokens=False) == text
+    if len(text) <= 300_000:
+        assert list(ids) == reference_cached().encode(text, add_special_tokens=False).ids
+
+
 _reference = []
 
 
@@ -93,7 +114,7 @@ def test_plans_are_tight_and_small():
 def test_pack(spark, monkeypatch):
     monkeypatch.setattr(packing, "RANKED", 40)
     rng = random.Random(0)
-    rows = [(0, None), (1, ""), (2, "a" * 9000), (3, "<|endoftext|> x"), (4, "word " * 5000), (5, "中文字 текст"), (6, "same"), (6, "same"), (None, "no id")]
+    rows = [(0, None), (1, ""), (2, "a" * 9000), (3, "<|endoftext|> x"), (4, "word " * 5000), (5, "中文字 текст"), (6, "same"), (6, "same"), (None, "no id"), (None, "no id")]
     rows += [(10 + k, "same length") for k in range(100)] + [(200 + k, " ".join(f"w{rng.randrange(99)}" for _ in range(rng.randrange(900)))) for k in range(60)]
     got = packing.pack(docs(spark, rows)).collect()
     t = reference()

@@ -7,13 +7,16 @@ size. ``plan`` packs that histogram: from the longest pieces down it puts each r
 of equal pieces into the run of equal bins that fits best, by weighted dot product
 of need and residual or by norm of what would be left, and only if every capacity
 holds. Pieces then find their place by their rank among pieces of their length,
-which Spark counts in two steps, salted, so no length is one task's.
+which Spark counts in two steps, by stored numbers of pieces, so that no length is one
+task's, whatever ids its documents have.
 
 A document is its token ids and an end id. Longer ones than ``capacity`` are cut
 into full pieces; the first piece takes what is over.
 
 Null and empty texts are the end id alone. Rows that repeat a doc_id are packed each
-by itself; a null doc_id too.
+by itself; a null doc_id too. Long texts are tokenised in parts, cut where no token can
+cross, so memory follows ``PART`` and not the text; long white space has a tokenizer of
+its own (see ``Tokenizer``).
 """
 
 from __future__ import annotations
@@ -36,8 +39,10 @@ from pyspark.sql.window import Window
 from .shared import bounded, scratch, stored
 
 CAPACITY, END_ID = 1024, 2
-#: Pieces that one task ranks, roughly.
-RANKED = 50_000
+#: Characters of a text that are tokenised at a time, at least; white space from which on the slower tokenizer is used.
+PART, LONG_SPACE = 1 << 18, 10_000
+#: Pieces of one length that are ranked together, roughly.
+RANKED = 2_000
 PIECES = T.StructType([T.StructField("doc_id", T.LongType())] + [T.StructField(k, T.LongType() if k not in ("piece",) else T.IntegerType()) for k in ("piece", "start", "length", "ids_crc32")])
 
 
@@ -45,10 +50,15 @@ class Tokenizer:
     """Ids of texts by a byte-level BPE vocabulary; strings of special tokens are ordinary text.
 
     Texts of Latin letters go through the vocabulary's rank file, others through the
-    JSON file, whose library knows other Unicode tables. Both give the same ids.
+    JSON file, whose library knows other Unicode tables. Both give the same ids. The
+    first one's matcher goes as deep as a run of white space is long and breaks off on
+    very long ones, so these go through the JSON file too.
     """
 
     _plain = regex.compile("[^\x00-ɏ‐-‧]")
+    _space = regex.compile(r"[\s\x1c-\x1f]{%d}" % LONG_SPACE)
+    #: A single space or line end between letters or digits starts a token; a Chinese comma or full stop after a Chinese character does.
+    _seam = regex.compile(r"(?<=[\p{L}\p{N}])[ \n](?=[\p{L}\p{N}])|(?<=[\u4e00-\u9fff])(?=[，。])")
     _made: dict[tuple[str, str, str], "Tokenizer"] = {}
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str):
@@ -73,8 +83,21 @@ class Tokenizer:
             cls._made[spec] = cls(*spec)
         return cls._made[spec]
 
+    def parts(self, text: str) -> Iterator[str]:
+        """Parts of ``PART`` characters and what it takes to reach a place where no token can cross."""
+        at = 0
+        while len(text) - at > PART and (seam := self._seam.search(text, at + PART)):
+            yield text[at : seam.start()]
+            at = seam.start()
+        yield text[at:]
+
     def ids(self, text: str) -> np.ndarray:
-        if self._plain.search(text):
+        if len(text) <= PART:
+            return self._ids(text)
+        return np.concatenate([self._ids(x) for x in self.parts(text)])
+
+    def _ids(self, text: str) -> np.ndarray:
+        if self._plain.search(text) or (len(text) >= LONG_SPACE and self._space.search(text)):
             return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(self.fast.encode_ordinary(text), np.uint32)
 
@@ -185,15 +208,16 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacities
     capacities = capacities or Capacities()
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    cuts = stored(pieces(docs, capacities.tokens, tokenizer), "pieces", scratch(spark, "packing"))
+    numbered = pieces(docs, capacities.tokens, tokenizer).withColumn("k", F.monotonically_increasing_id())
+    cuts = stored(numbered, "pieces", scratch(spark, "packing"))
     counts = {r["length"]: r["n"] for r in cuts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # as many rows as lengths at most
     places = plan(counts, capacities)
-    salts = max(1, -(-sum(counts.values()) // RANKED))
-    salted = cuts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    parts = spark.createDataFrame([(k, -(-n // RANKED)) for k, n in counts.items()], "length long, parts long")
+    salted = cuts.join(F.broadcast(parts), "length").withColumn("salt", F.pmod(F.xxhash64("k"), F.col("parts")))
     groups = Window.partitionBy("length", "salt")
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = salted.withColumn("rank", F.row_number().over(groups.orderBy("doc_id", "piece", "ids_crc32")) - 1)
+    ranked = salted.withColumn("rank", F.row_number().over(groups.orderBy("k")) - 1)
     ranked = ranked.join(sizes.select("length", "salt", before.alias("before")), ["length", "salt"])
 
     def place(it):
