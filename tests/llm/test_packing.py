@@ -155,15 +155,49 @@ def test_tree_is_a_best_fit():
     assert height(tree.root) <= 1.45 * np.log2(len(held) + 2)
 
 
-def test_fixed_capacity():
-    shard_of, n = sharding.pack_items([("a", 6), ("b", 5), ("c", 4), ("d", 3), ("e", 2), ("big", 30)], 10)
-    assert n == 3 and shard_of["a"] == shard_of["c"] and len({shard_of[k] for k in "bde"}) == 1
+def best_fit(sizes, capacity):
+    """Loads of shards, packed group by group."""
+    left = []
+    for n in sorted(sizes, reverse=True):
+        fits = [k for k, x in enumerate(left) if x >= n]
+        k = min(fits, key=lambda k: (left[k], k), default=None)
+        if k is None:
+            left.append(capacity)
+            k = len(left) - 1
+        left[k] -= n
+    return sorted(capacity - x for x in left)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 30), max_size=80), st.integers(5, 40))
+def test_plan_is_best_fit_decreasing(sizes, capacity):
+    counts = {n: sizes.count(n) for n in sizes}
+    places, opened = sharding.plan(counts, capacity)
+    held = {}
+    for n, rank, number, first, each in places:
+        for k in range(rank, rank + number):
+            held.setdefault(first + (k - rank) // each, []).append(n)
+    assert sorted(sum(x) for x in held.values()) == best_fit(sizes, capacity)
+    assert sorted(held) == list(range(opened))
+    assert {n: sum(p[2] for p in places if p[0] == n) for n in counts} == counts
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=60), st.integers(1, 9))
+def test_even_plan(sizes, shards):
+    counts = {n: sizes.count(n) for n in sizes}
+    places = sharding.even_plan(counts, shards)
+    loads = {}
+    for n, _, number, first, each in places:
+        for k in range(number):
+            loads[first + k // each] = loads.get(first + k // each, 0) + n
+    assert len(loads) <= shards and sum(loads.values()) == sum(sizes)
 
 
 def test_shards(spark):
     rng = random.Random(0)
     texts = ["copy " * 40] * 300 + [None, None, "", ""] + ["".join(rng.choice("abcé ") for _ in range(rng.randrange(2000))) for _ in range(600)]
-    rows = list(enumerate(texts)) + [(0, texts[0]), (None, "x")]
+    rows = list(enumerate(texts)) + [(0, texts[0]), (None, "x"), (None, "x")]
     got = sharding.shard_documents(docs(spark, rows), 8).collect()
     assert len(got) == len(rows)
     by_id = dict(rows)
@@ -181,10 +215,32 @@ def test_shards(spark):
 
 
 def test_capacity_mode(spark):
-    rows = spark.createDataFrame([(f"g{k % 20}", 10) for k in range(200)], "grp string, size long")
-    got = sharding.assign(rows, "grp", "size", capacity=250)
-    per = {r["shard"]: r["n"] for r in got.groupBy("shard").agg({"size": "sum"}).withColumnRenamed("sum(size)", "n").collect()}
-    assert max(per.values()) <= 250 and len(per) == 10
+    rows = spark.range(200_000).selectExpr("concat('g', id % 100000) AS grp", "5L AS size", "id AS shard", "id AS rank")
+    got = sharding.assign(rows, "grp", "size", capacity=100)
+    per = got.groupBy("shard").agg({"size": "sum", "grp": "count"}).collect()
+    assert len(per) == 10_000 and {r["sum(size)"] for r in per} == {100} and {r["count(grp)"] for r in per} == {20}
+    assert got.groupBy("grp").agg({"shard": "min", "*": "count"}).count() == 100_000 == got.select("grp", "shard").distinct().count()
+    assert got.select("rank").distinct().count() == 200_000
+
+
+def test_groups_as_they_come(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RANKED", 7)
+    rng = random.Random(3)
+    rows = [(f"g{rng.randrange(300)}", rng.randrange(1, 40)) for _ in range(900)] + [("hot", 1)] * 3000 + [(None, 2)] * 50 + [("none", None), ("zero", 0), ("big", 5000)]
+    got = sharding.assign(spark.createDataFrame(rows, "g string, n long"), "g", "n", capacity=400).collect()
+    assert sorted(((r.g, r.n) for r in got), key=str) == sorted(rows, key=str)
+    sizes, shard_of = {}, {}
+    for r in got:
+        sizes[r.g] = sizes.get(r.g, 0) + (r.n or 0)
+        assert shard_of.setdefault(r.g, r.shard) == r.shard
+    own = {g: n for g, n in sizes.items() if n > 400}
+    assert set(own) == {"hot", "big"} and all([shard_of[x] for x in sizes if sizes[x]].count(shard_of[g]) == 1 for g in own)
+    held = {}
+    for g, n in sizes.items():
+        if 0 < n <= 400:
+            held.setdefault(shard_of[g], []).append(n)
+    assert sorted(sum(x) for x in held.values()) == best_fit([n for n in sizes.values() if 0 < n <= 400], 400)
+    assert sharding.assign(spark.createDataFrame([], "g string, n long"), "g", "n", capacity=400).count() == 0
 
 
 def test_pipeline(spark):

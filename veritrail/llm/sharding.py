@@ -1,33 +1,42 @@
 """Sharding by best-fit decreasing: indivisible groups of rows enter fixed-capacity shards.
 
-Groups sorted by size enter the shard with the tightest remaining capacity that
-holds them, found in a balanced tree of capacities. Two tasks share the work: Spark
-adds up group sizes; the driver packs items. Items are the large groups (above a
-share of the total, so their number is bounded) and ``TAIL`` hash classes of all
-smaller groups, taken whole. So at most ``TAIL * (1 + 1 / GRAIN)`` items are packed,
-whatever the input's size, and groups stay undivided.
-
-``pack_items`` opens as few shards of a given capacity as it can. With a given
-number of shards, ``even_shards`` looks for the least capacity that needs no more.
-
-Groups are equal texts here, null being one group. Rows that repeat a doc_id or text
-belong to one group; a null doc_id is a row like any other.
+Groups sorted by size enter the shard with the tightest remaining capacity that holds
+them, found in a balanced tree of capacities. Groups of one size are interchangeable,
+and so are shards with equal remaining capacity: ``plan`` packs the histogram of sizes
+into runs of shards, a step for each size and kind of shard, and gives what packing
+group by group would. Its input has a row for each different size: n of them need
+groups of n * (n + 1) / 2 in total, so 100 TB have 14 million at most. Spark adds up
+the sizes, ranks the groups of each size in salted parts and looks up each rank's shard.
+
+``assign`` opens as few shards of a given capacity as it can, or, given a number of
+shards, looks for the least capacity that needs no more.
+
+Rows of groups that hold much of the input are joined with their shard by a broadcast
+of a bounded number of groups, others by a shuffle. A null group is a group; a null size
+is 0, and groups without size enter shard 0. A group above the capacity gets a shard of
+its own. Groups are equal texts in ``shard_documents``, null being one of its own. Rows
+that repeat a doc_id or text belong to one group; a null doc_id is a row like any other.
+Slots go by doc_id, then checksum and size of the text; rows that are alike in these get
+theirs in any order. Columns of the input keep their values, whatever their names, but
+for ``shard`` and ``slot``, which are replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections import deque
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import scratch, stored
+from .shared import map_file, scratch, small, stored, write_file
 
-#: Hash classes of small groups; a group above a fraction GRAIN / TAIL of the total is an item of its own.
-TAIL, GRAIN = 4096, 0.5
-#: Rows of a shard that one task numbers, roughly.
-NUMBERED = 50_000
+#: A group of more than this part of all bytes or rows is joined by broadcasting: at most twice as many.
+HOT = 4096
+#: Rows or groups that are ranked together, roughly.
+RANKED = 20_000
 
 
 class Capacities:
@@ -108,74 +117,143 @@ class Capacities:
         return best
 
 
-def pack_items(sizes: Iterable[tuple], capacity: int) -> tuple[dict, int]:
-    """Shard of each item (name, size), and the number of shards. An item above the capacity gets a shard of its own."""
-    tree, shard_of, opened = Capacities(), {}, 0
-    for name, size in sorted(sizes, key=lambda x: (-x[1], str(x[0]))):
-        at = tree.tightest(size)
-        if at is None:
-            at = (capacity, opened)
-            opened += 1
-        else:
-            tree.remove(at)
-        shard_of[name] = at[1]
-        if at[0] > size:
-            tree.add((at[0] - size, at[1]))
-    return shard_of, opened
-
-
-def even_shards(sizes: list[tuple], shards: int) -> dict:
-    """Shard of each item, with the least capacity for which best fit needs no more than so many."""
-    total, largest = sum(n for _, n in sizes), max((n for _, n in sizes), default=0)
-    low = max(-(-total // shards), 1)
-    high = low + largest
-    while pack_items(sizes, high)[1] > shards:
-        high *= 2
-    while low < high:
+def plan(counts: dict[int, int], capacity: int, most: int | None = None) -> tuple[np.ndarray, int] | None:
+    """Shards of all groups, and their number: rows of size, first rank, number, first shard and groups a shard, sorted by the first two.
+
+    ``counts``: number of groups of each size. The group of rank k is in shard
+    ``first + (k - first rank) // groups a shard``. None if it takes more than ``most`` shards.
+    """
+    tree, runs, places, opened = Capacities(), {}, [], 0  # runs: remaining capacity -> runs of shards (first, number)
+
+    def put(left: int, first: int, n: int) -> None:
+        if left > 0:
+            if left not in runs:
+                runs[left] = deque()
+                tree.add((left, 0))
+            runs[left].append((first, n))
+
+    for size in sorted(counts, reverse=True):
+        n, rank = counts[size], 0
+        if size <= 0:
+            places.append((size, 0, n, 0, n))
+            opened = max(opened, 1)
+            continue
+        while n:
+            at = tree.tightest(size)
+            if at is None:
+                left, first = capacity, opened
+                shards = -(-n // max(1, capacity // size))
+                opened += shards
+                if most is not None and opened > most:
+                    return None
+            else:
+                left = at[0]
+                first, shards = runs[left].popleft()
+                if not runs[left]:
+                    del runs[left]
+                    tree.remove(at)
+            each = max(1, left // size)
+            full = min(shards, n // each)
+            if full:
+                places.append((size, rank, full * each, first, each))
+                put(left - each * size, first, full)
+                n, rank, first, shards = n - full * each, rank + full * each, first + full, shards - full
+            if n and shards:
+                places.append((size, rank, n, first, n))
+                put(left - n * size, first, 1)
+                n, first, shards = 0, first + 1, shards - 1
+            if shards:
+                put(left, first, shards)
+    return np.array(sorted(places), np.int64).reshape(-1, 5), opened
+
+
+def even_plan(counts: dict[int, int], shards: int) -> np.ndarray:
+    """The plan with the least capacity found for which best fit needs no more than so many shards."""
+    total = sum(size * n for size, n in counts.items())
+    low = max(-(-total // shards), 1) - 1  # too little, or next to it
+    step = max(1, low // 4096)
+    while (best := plan(counts, low + step, shards)) is None:
+        low, step = low + step, 2 * step
+    high = low + step
+    while high - low > 1:
         mid = (low + high) // 2
-        if pack_items(sizes, mid)[1] <= shards:
-            high = mid
+        if (got := plan(counts, mid, shards)) is None:
+            low = mid
         else:
-            low = mid + 1
-    return pack_items(sizes, low)[0]
+            high, best = mid, got
+    return best[0]
+
+
+def _ranked(rows: DataFrame, key: str, parts: DataFrame, order: list) -> DataFrame:
+    """``rows`` and rank, from 0 within each key. ``parts``: key and parts, into how many its rows are dealt by their number k."""
+    salted = rows.join(parts, key).withColumn("salt", F.pmod(F.xxhash64("k"), F.col("parts"))).drop("parts")
+    sizes = salted.groupBy(key, "salt").agg(F.count("*").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy(key).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rank = F.row_number().over(Window.partitionBy(key, "salt").orderBy(*order)) - 1
+    out = salted.withColumn("rank", rank).join(sizes.select(key, "salt", before.alias("before")), [key, "salt"])
+    return out.withColumn("rank", (F.col("rank") + F.col("before")).cast("long")).drop("salt", "before")
 
 
 def assign(rows: DataFrame, group: str, size: str, shards: int | None = None, capacity: int | None = None) -> DataFrame:
-    """``rows`` and the shard of each, by ``shards`` even ones or as few as hold ``capacity`` each. ``group``: a non-null column that compares equal within a group."""
-    total = rows.agg(F.sum(size)).first()[0] or 0
-    least = total * GRAIN / TAIL
-    tail = F.pmod(F.xxhash64(group), F.lit(TAIL)).cast("int")
-    sizes = rows.groupBy(group).agg(F.sum(size).alias("n"))
-    large = [(r[0], r["n"]) for r in sizes.where(F.col("n") > least).select(F.col(group), "n").collect()]  # TAIL / GRAIN rows at most
-    rest = [(r["tail"], r["n"]) for r in sizes.where(F.col("n") <= least).groupBy(tail.alias("tail")).agg(F.sum("n").alias("n")).collect()]  # TAIL rows at most
-    items = [(("large", k), n) for k, n in large] + [(("tail", k), n) for k, n in rest]
-    shard_of = even_shards(items, shards) if shards else pack_items(items, capacity)[0]
+    """``rows`` and the shard of each, by ``shards`` even ones or as few as hold ``capacity`` each."""
     spark = rows.sparkSession
-    own = spark.createDataFrame([(k, shard_of[("large", k)]) for k, _ in large], f"{group} {rows.schema[group].dataType.simpleString()}, _own int")
-    others = spark.createDataFrame([(k, shard_of[("tail", k)]) for k, _ in rest], "_tail int, _rest int")
-    out = rows.withColumn("_tail", tail).join(F.broadcast(own), group, "left").join(F.broadcast(others), "_tail", "left")
-    return out.withColumn("shard", F.coalesce("_own", "_rest")).drop("_tail", "_own", "_rest")
+    uri = scratch(spark, "groups")
+    packed = rows.select(F.struct(*(c for c in rows.columns if c != "shard")).alias("row"), F.col(group).alias("g"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("n"))
+    sums = packed.groupBy("g").agg(F.sum("n").alias("n"), F.count("*").alias("c"))
+    groups = stored(sums.withColumn("k", F.monotonically_increasing_id()), "groups", uri)
+    kinds = stored(groups.groupBy("n").agg(F.count("*").alias("m")), "kinds", uri)
+    counts = {r["n"]: r["m"] for r in kinds.collect()}  # different sizes: see above
+    all_bytes, all_rows = (groups.agg(F.sum("n"), F.sum("c")).first()[k] or 0 for k in (0, 1))
+    places = even_plan(counts, shards) if shards else plan(counts, capacity)[0]
+    name = f"{uri}/places.bin"
+    write_file(name, [np.ascontiguousarray(places)])
+
+    def place(it):
+        at = map_file(name).view(np.int64).reshape(-1, 5)
+        for batch in it:
+            n, rank = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            last = np.searchsorted(at[:, 0], n, side="right")
+            row = _last_at_most(at, np.searchsorted(at[:, 0], n), last, rank)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at[row, 3] + (rank - at[row, 1]) // at[row, 4]), batch.column(3)], ["g", "shard", "hot"])
+
+    parts = small(kinds.select("n", F.ceil(F.col("m") / RANKED).alias("parts")))
+    hot = (F.col("n") * HOT > all_bytes) | (F.col("c") * HOT > all_rows)
+    ranked = _ranked(groups, "n", parts, ["k"]).select("g", "n", "rank", hot.alias("hot"))
+    kind = rows.schema[group].dataType.simpleString()
+    placed = stored(ranked.mapInArrow(place, f"g {kind}, shard long, hot boolean"), "placed", uri)
+    large, rest = F.broadcast(placed.where("hot").select("g", "shard")), placed.where("NOT hot").select("g", "shard")
+    same = lambda a, b: a["g"].eqNullSafe(b["g"])
+    others = packed.join(large, same(packed, large), "left_anti")
+    out = packed.join(large, same(packed, large)).select("row", "shard").unionByName(others.join(rest, same(others, rest)).select("row", "shard"))
+    return out.select("row.*", F.col("shard").cast("int").alias("shard"))
+
+
+def _last_at_most(at: np.ndarray, low: np.ndarray, high: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The last row of ``at`` within [low, high) whose first rank is at most rank."""
+    low, high = low.copy(), high.copy()
+    while (wide := high - low > 1).any():
+        mid = (low + high) // 2
+        ok = at[np.minimum(mid, len(at) - 1), 1] <= rank
+        low, high = np.where(wide & ok, mid, low), np.where(wide & ~ok, mid, high)
+    return low
 
 
-def numbered(rows: DataFrame, shard: str, order: str) -> DataFrame:
-    """``rows`` and a gapless slot from 0 in each shard. Ranks are counted in salted parts, so a shard is not one task's."""
-    salts = max(1, rows.count() // NUMBERED)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(salts)))
-    parts = salted.groupBy(shard, "_salt").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(shard).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rank = F.row_number().over(Window.partitionBy(shard, "_salt").orderBy(order)) - 1
-    out = salted.withColumn("_rank", rank).join(parts.select(shard, "_salt", before.alias("_before")), [shard, "_salt"])
-    return out.withColumn("slot", (F.col("_rank") + F.col("_before")).cast("long")).drop("_salt", "_rank", "_before")
+def numbered(rows: DataFrame, shard: str, *order: str) -> DataFrame:
+    """``rows`` and a gapless slot from 0 in each shard, in the order of these columns. Ranks are counted in salted parts, so a shard is not one task's."""
+    packed = rows.select(F.struct(*(c for c in rows.columns if c != "slot")).alias("row"), F.col(shard).alias("of"), F.struct(*order).alias("by"))
+    packed = stored(packed.withColumn("k", F.monotonically_increasing_id()), "rows", scratch(rows.sparkSession, "slots"))
+    parts = packed.groupBy("of").agg(F.ceil(F.count("*") / RANKED).alias("parts"))
+    got = _ranked(packed, "of", small(stored(parts, "parts", scratch(rows.sparkSession, "slots"))), ["by", "k"])
+    return got.select("row.*", F.col("rank").alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of each row: equal texts share a shard, shards are near equal in bytes."""
     raw = F.encode(F.coalesce(F.col(text), F.lit("")), "utf-8")
-    # null and empty texts differ as groups
-    group = F.when(F.col(text).isNull(), F.lit("null")).otherwise(F.sha2(raw, 256))
+    group = F.when(F.col(text).isNotNull(), F.unhex(F.sha2(raw, 256)))
     rows = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), group.alias("grp"))
     rows = stored(rows, "sizes", scratch(docs.sparkSession, "shards"))
-    return numbered(assign(rows, "grp", "size", shards=shards), "shard", "doc_id").drop("grp")
+    return numbered(assign(rows, "grp", "size", shards=shards).drop("grp"), "shard", "doc_id", "text_crc32", "size")
 
 
 def op6_sharding(spark, sf_dir: str) -> DataFrame:
