@@ -6,10 +6,12 @@ import datetime as dt
 import difflib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from veritrail.config import TACTICS, RetrievalConfig
 from veritrail.operators import align, context, extract, graph, retrieve, traverse, trust
+from veritrail.operators import components
 from veritrail.operators.components import component_roots
 from veritrail.plans import jobs
 from veritrail.schemas import EDGES, EVENTS, EXTRACTION, NODES
@@ -118,7 +120,9 @@ def test_terms(spark):
     assert got == {n: brute(n) for n in names} and got["Initial Access"] == 1.0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [10**6, 3])
+def test_components(spark, monkeypatch, hub):
+    monkeypatch.setattr(components, "HUB", hub)
     rng = random.Random(3)
     links = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(k, k + 1) for k in range(100, 140)]
     parent = {}
@@ -260,3 +264,14 @@ def test_store(spark):
     df = stored(spark.range(5), "x")
     assert df.count() == 5 and small(df).count() == 5
     release(spark)
+
+
+def test_small_goes_by_bytes(spark, monkeypatch):
+    from veritrail import store
+
+    plan = lambda df: spark.range(9).toDF("k").join(store.small(df), "k")._jdf.queryExecution().toString()
+    rows = spark.range(50).selectExpr("id AS k", "repeat('x', 1000) AS t", "array(id) AS a")
+    assert "hint" in plan(rows).lower()
+    monkeypatch.setattr(store, "MOST_BROADCAST", 40_000)
+    assert "hint" not in plan(rows).lower() and "hint" in plan(rows.select("k")).lower()
+    assert "hint" in plan(rows.limit(0)).lower()

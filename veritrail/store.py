@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 _scratches: list[tuple[SparkSession, str]] = []
 
-#: Tables of at most so many narrow rows are broadcast: some 16 MB.
-MOST_BROADCAST = 200_000
+#: Tables of at most so many bytes are broadcast. A row counts for so many besides its columns: what a hash table adds.
+MOST_BROADCAST, ROW_BYTES = 16 << 20, 32
+#: Types of columns that take up 8 bytes or less.
+WIDTH = {"boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp"}
+ROWS_A_FILE = 250_000
 
 
 def folder(spark: SparkSession) -> str:
@@ -53,15 +56,15 @@ def _release_all() -> None:
             return
 
 
-def stored(df: DataFrame, label: str, uri: str | None = None, narrow: bool = False) -> DataFrame:
+def stored(df: DataFrame, label: str, uri: str | None = None, rows: int | None = None) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read again: cuts lineage and survives lost executors.
 
-    ``narrow``: rows are few or short, so files are at most twice the cores: with more,
-    creating files (each a process of its own on local folders) costs most of the time.
+    ``rows``: a bound on the number of its rows, where they are narrow. They are gathered
+    into a file for each ``ROWS_A_FILE`` then; what makes them keeps its own tasks.
     """
     spark = df.sparkSession
-    if narrow:
-        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
+    if rows is not None:
+        df = df.repartition(max(1, -(-rows // ROWS_A_FILE)))
     uri = f"{uri or scratch(spark, label)}/{label}"
     # zstd streams: other codecs hold direct buffers until the next full collection, which many small tables add up
     df.write.mode("overwrite").option("compression", "zstd").parquet(uri)
@@ -69,5 +72,7 @@ def stored(df: DataFrame, label: str, uri: str | None = None, narrow: bool = Fal
 
 
 def small(df: DataFrame) -> DataFrame:
-    """Marked for broadcasting if it has few rows, else left to a shuffle. Counts the rows, so store what is costly."""
-    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+    """Marked for broadcasting if its rows take up few bytes, else left to a shuffle. Looks through the rows, so store what is costly."""
+    varying = [F.octet_length(c if kind in ("string", "binary") else F.to_json(F.struct(c))).cast("long") for c, kind in df.dtypes if kind not in WIDTH]
+    n, more = df.agg(F.count("*"), F.sum(sum((F.coalesce(x, F.lit(0)) for x in varying), F.lit(0)))).first()
+    return F.broadcast(df) if n * (ROW_BYTES + 8 * len(df.columns)) + (more or 0) <= MOST_BROADCAST else df
