@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from veritrail.llm import decontamination, line_dedup, near_dedup
+from veritrail.llm import decontamination, line_dedup, near_dedup, shared
 
 DOCS = "doc_id long, text string, bucket string, n_hit long, shingles string"  # names that operators use inside
 
@@ -105,7 +105,7 @@ def lines_of(rows, least=40, most=5):
     held = {}
     for i, t in rows:
         for k in {key(x) for x in (t or "").split("\n") if len(x.strip(" \t\n\x0b\f\r")) >= least}:
-            held.setdefault(k, []).append(i)
+            held.setdefault(k, set()).add(i)
     out = {}
     for i, t in rows:
         parts = (t or "").split("\n")
@@ -125,9 +125,33 @@ def test_lines(spark):
 
 def test_no_lines(spark):
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
-    rows = [(None, LINE)] * 3 + [(5, LINE)] * 2
+    rows = [(None, LINE)] * 4 + [(5, LINE)] * 2
     got = sorted((str(r.doc_id), r.n_dropped) for r in line_dedup.dedup_lines(docs(spark, rows)).collect())
-    assert got == [("5", 0), ("5", 0), ("None", 1), ("None", 1), ("None", 1)]
+    assert got == [("5", 0), ("5", 0)] + [("None", 1)] * 4
+
+
+def test_lines_of_repeated_ids(spark):
+    two = [(7, LINE)] * 5 + [(8, LINE)]  # two documents hold the line
+    five = [(k, LINE + " !") for k in (1, 2, 3, 4, 9, 9)]
+    got = sorted((r.doc_id, r.n_dropped) for r in line_dedup.dedup_lines(docs(spark, two + five)).collect())
+    assert got == [(1, 1), (2, 1), (3, 1), (4, 1)] + [(7, 0)] * 5 + [(8, 0), (9, 0), (9, 0)]
+
+
+def test_digests_that_share_64_bits(tmp_path):
+    arrays = shared.HashArrays(f"file://{tmp_path}", "x", 0, {"b": "<u8", "keeper": "<i8"})
+    keys = np.array([3, 5, 5, 5, 9], np.uint64)
+    arrays.write(0, keys, {"b": np.array([1, 1, 2, 3, 1]), "keeper": np.array([10, 11, 12, 13, 14])})
+    found, values = arrays.find(np.array([3, 5, 5, 5, 9, 10], np.uint64), {"b": np.array([1, 3, 4, 1, 2, 1], np.uint64)})
+    assert found.tolist() == [True, True, False, True, False, False] and values["keeper"].tolist() == [10, 13, 0, 11, 0, 0]
+
+
+def test_segments_merged_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "MERGED", 20)
+    rng = random.Random(2)
+    rows = [(k, "\n".join(rng.choice([LINE + f" {j}" for j in range(40)]) for _ in range(8)) + f"\n{k} is in this line of its own and nowhere else") for k in range(120)]
+    want = lines_of(rows)
+    got = {r.doc_id: (r.kept_text, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(docs(spark, rows).repartition(7)).collect()}
+    assert got == want
 
 
 def test_twice_seen_filter(tmp_path):
@@ -139,7 +163,7 @@ def test_twice_seen_filter(tmp_path):
             once.setdefault(s, []).append(a)
             twice.setdefault(s, []).append(b)
     for s in once:
-        f.merge(s, once[s], twice[s])
+        f.write(s, [f.seen(once[s][:1], twice[s][:1]), f.seen(once[s][1:], twice[s][1:])])
     seen = f.may_hold(hashes)
     assert seen[1000:1200].all() and seen[:5].all() and seen.mean() < 0.5
 

@@ -2,14 +2,17 @@
 
 A line's key is the line without white space at its ends, A-Z lower-cased. Keys
 of ``min_chars`` code points that ``min_docs`` documents hold lose their lines in
-all of them but the one with the largest doc_id.
+all of them but the one with the largest doc_id. Rows of one doc_id are one document,
+rows without doc_id are a document each.
 
 1. Each task hashes its keys and sends, for each segment of the filters, the bits
    it saw once and twice. A segment's owner merges them: a bit that two tasks saw
-   once was seen twice. Segments hold about as many bits at any size of the input.
+   once was seen twice. Segments hold about as many bits at any size of the input;
+   where one gets the bits of many more keys than that, parts of them are made into
+   bitmaps first and these are merged.
 2. Each task maps the twice-seen segments into memory and sends only suspected
-   repeats, as SHA-256 digest and doc_id. An aggregation with partial counts
-   confirms them exactly and picks the document that keeps the line.
+   repeats, as SHA-256 digest and doc_id. Counts by digest and doc_id, then by
+   digest, confirm them exactly and pick the document that keeps the line.
 3. Confirmed keys become sorted hash arrays in the shared folder, and each task
    rewrites its texts by them. No text is ever shuffled.
 
@@ -17,8 +20,7 @@ Past ``MAX_BITS`` the filter grows no more: more lines are suspected then, and
 results stay the same.
 
 Null and empty texts are one empty line. A null doc_id never keeps a line that
-another document holds. Rows that repeat a doc_id count as documents of their own;
-those with the largest doc_id all keep the line.
+another document holds. Rows that repeat the largest doc_id all keep the line.
 """
 
 from __future__ import annotations
@@ -36,7 +38,9 @@ from pyspark.sql import types as T
 from .shared import HashArrays, bits_for, bounded, map_file, scratch, stored, write_file
 
 SPACE = " \t\n\x0b\x0c\r"
-BITS_PER_KEY, MIN_SEGMENT_BITS, MAX_BITS = 8, 20, 33
+BITS_PER_KEY, MIN_SEGMENT_BITS, MAX_SEGMENT_BITS, MAX_BITS = 8, 20, 23, 36
+#: Keys of a segment that one task turns into bits, roughly.
+MERGED = 1 << 22
 
 
 def _keys(text: str | None, min_chars: int) -> Iterator[tuple[int, bytes]]:
@@ -51,7 +55,7 @@ class TwiceSeen:
 
     def __init__(self, uri: str, total_bits: int):
         self.uri, self.total = uri, total_bits
-        self.segment_bits = min(total_bits, max(MIN_SEGMENT_BITS, total_bits - 10))
+        self.segment_bits = min(total_bits, max(MIN_SEGMENT_BITS, min(MAX_SEGMENT_BITS, total_bits - 10)))
 
     def path(self, segment: int) -> str:
         return f"{self.uri}/twice-{segment:05d}.bin"
@@ -73,17 +77,24 @@ class TwiceSeen:
             if b > a:
                 yield int(segment[a]), bits[a:b].tobytes(), bits[a:b][n[a:b] > 1].tobytes()
 
-    def merge(self, segment: int, once: list[bytes], twice: list[bytes]) -> int:
-        """Writes a segment's twice-seen bits; how many are set."""
-        seen = np.zeros(1 << self.segment_bits, np.uint8)
+    def seen(self, once: list[bytes], twice: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Bitmaps of a segment's bits seen once at least, and twice at least."""
+        count = np.zeros(1 << self.segment_bits, np.uint8)
         for x in once:
             at = np.unique(np.frombuffer(x, np.uint32))
-            seen[at] = np.minimum(seen[at] + 1, 2)
+            count[at] = np.minimum(count[at] + 1, 2)
         for x in twice:
-            seen[np.frombuffer(x, np.uint32)] = 2
-        both = seen >= 2
-        write_file(self.path(segment), [np.packbits(both, bitorder="little")])
-        return int(both.sum())
+            count[np.frombuffer(x, np.uint32)] = 2
+        return np.packbits(count >= 1, bitorder="little"), np.packbits(count >= 2, bitorder="little")
+
+    def write(self, segment: int, maps: list[tuple[np.ndarray, np.ndarray]]) -> int:
+        """Merges bitmaps and writes a segment's twice-seen bits; how many are set."""
+        once, twice = (np.zeros(max(1, (1 << self.segment_bits) // 8), np.uint8) for _ in range(2))
+        for a, b in maps:
+            twice |= b | (once & a)
+            once |= a
+        write_file(self.path(segment), [twice])
+        return int(np.bitwise_count(twice).sum())
 
     def may_hold(self, hashes: np.ndarray) -> np.ndarray:
         out = np.zeros(len(hashes), bool)
@@ -97,7 +108,7 @@ class TwiceSeen:
         return out
 
 
-def _build(docs: DataFrame, text: str, seen: TwiceSeen, min_chars: int) -> None:
+def _build(docs: DataFrame, text: str, seen: TwiceSeen, min_chars: int, lines: int) -> None:
     def partials(batches):
         held: list[np.ndarray] = []
         count = 0
@@ -120,11 +131,26 @@ def _build(docs: DataFrame, text: str, seen: TwiceSeen, min_chars: int) -> None:
 
     def merge(table: pa.Table) -> pa.Table:
         k = table["segment"][0].as_py()
-        n = seen.merge(k, table["once"].to_pylist(), table["twice"].to_pylist())
+        n = seen.write(k, [seen.seen(table["once"].to_pylist(), table["twice"].to_pylist())])
         return pa.table({"segment": pa.array([k], pa.int64()), "n": pa.array([n], pa.int64())})
 
-    parts = docs.select(text).mapInArrow(partials, "segment long, once binary, twice binary")
-    parts.groupBy("segment").applyInArrow(merge, "segment long, n long").agg(F.sum("n")).collect()
+    def part(table: pa.Table) -> pa.Table:
+        once, twice = seen.seen(table["once"].to_pylist(), table["twice"].to_pylist())
+        return pa.table({"segment": pa.array([table["segment"][0].as_py()], pa.int64()), "once": pa.array([once.tobytes()], pa.binary()), "twice": pa.array([twice.tobytes()], pa.binary())})
+
+    def join(table: pa.Table) -> pa.Table:
+        k = table["segment"][0].as_py()
+        n = seen.write(k, [tuple(np.frombuffer(table[c][i].as_py(), np.uint8) for c in ("once", "twice")) for i in range(table.num_rows)])
+        return pa.table({"segment": pa.array([k], pa.int64()), "n": pa.array([n], pa.int64())})
+
+    rows = docs.select(text).mapInArrow(partials, "segment long, once binary, twice binary")
+    parts = -(-lines // (MERGED << (seen.total - seen.segment_bits)))  # into which a segment's keys are dealt by the tasks that saw them
+    if parts > 1:
+        dealt = rows.withColumn("part", F.spark_partition_id() % F.lit(parts))
+        made = dealt.groupBy("segment", "part").applyInArrow(part, "segment long, once binary, twice binary").groupBy("segment").applyInArrow(join, "segment long, n long")
+    else:
+        made = rows.groupBy("segment").applyInArrow(merge, "segment long, n long")
+    made.agg(F.sum("n")).collect()
 
 
 def _confirm(docs: DataFrame, doc_id: str, text: str, seen: TwiceSeen, min_chars: int, min_docs: int, uri: str) -> HashArrays:
@@ -140,7 +166,9 @@ def _confirm(docs: DataFrame, doc_id: str, text: str, seen: TwiceSeen, min_chars
             yield pa.RecordBatch.from_pydict({"digest": pa.array([hashlib.sha256(keys[j]).digest() for j in kept], pa.binary()), "doc_id": pa.array([ids[j] for j in kept], pa.int64())})
 
     repeats = docs.select(doc_id, text).mapInArrow(suspects, "digest binary, doc_id long")
-    confirmed = stored(repeats.groupBy("digest").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs), "confirmed", uri)
+    held = repeats.groupBy("digest", "doc_id").agg(F.count("*").alias("n"))  # a frequent line is counted by many tasks
+    counted = held.groupBy("digest").agg(F.sum(F.when(F.col("doc_id").isNull(), F.col("n")).otherwise(1)).alias("n"), F.max("doc_id").alias("keeper"))
+    confirmed = stored(counted.where(F.col("n") >= min_docs), "confirmed", uri)
     n = confirmed.count()
     arrays = HashArrays(uri, "lines", bits_for(n, 1 << 20), {"b": "<u8", "c": "<u8", "d": "<u8", "keeper": "<i8"})
 
@@ -150,11 +178,9 @@ def _confirm(docs: DataFrame, doc_id: str, text: str, seen: TwiceSeen, min_chars
         def flush():
             table = pa.Table.from_batches(held)
             raw = np.frombuffer(b"".join(table["digest"].to_pylist()), ">u8").reshape(-1, 4)
-            key, at = np.unique(raw[:, 0].astype(np.uint64), return_index=True)
-            if len(key) < len(raw):
-                raise ValueError("two line digests share 64 bits")
+            at = np.argsort(raw[:, 0], kind="stable")
             keeper = table["keeper"].fill_null(-(1 << 63)).to_numpy()
-            arrays.write(shard, key, {"b": raw[at, 1], "c": raw[at, 2], "d": raw[at, 3], "keeper": keeper[at]})
+            arrays.write(shard, raw[at, 0].astype(np.uint64), {"b": raw[at, 1], "c": raw[at, 2], "d": raw[at, 3], "keeper": keeper[at]})
             return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64())})
 
         for batch in batches:
@@ -182,9 +208,7 @@ def _dropped(keys: list[bytes], ids: list[int | None], arrays: HashArrays) -> np
         return out
     raw = np.frombuffer(b"".join(hashlib.sha256(k).digest() for k in keys), ">u8").reshape(-1, 4).astype(np.uint64)
     unique, at, back = np.unique(raw, axis=0, return_index=True, return_inverse=True)
-    found, values = arrays.lookup(unique[:, 0])
-    for j, name in enumerate("bcd", 1):
-        found &= values[name] == unique[:, j]
+    found, values = arrays.find(unique[:, 0], {name: unique[:, j] for j, name in enumerate("bcd", 1)})
     back = back.reshape(-1)
     own = np.array([-(1 << 63) if i is None else i for i in ids], np.int64)
     return found[back] & (values["keeper"][back] != own)
@@ -198,7 +222,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     docs = bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *more)
     lines = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0
     seen = TwiceSeen(uri, min(MAX_BITS, max(16, int(np.ceil(np.log2(max(1, lines * BITS_PER_KEY)))))))
-    _build(docs, "text", seen, min_chars)
+    _build(docs, "text", seen, min_chars, lines)
     arrays = _confirm(docs, "doc_id", "text", seen, min_chars, min_docs, uri)
 
     def rewrite(batches):

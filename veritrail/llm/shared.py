@@ -88,7 +88,7 @@ def map_file(uri: str) -> np.ndarray | None:
 
 
 class HashArrays:
-    """Sorted 64-bit keys and columns of values, in one file a shard; a shard holds the keys that share their top bits.
+    """Sorted 64-bit keys and columns of values, in one file a shard; a shard holds the keys that share their top bits. Keys may repeat (see ``find``).
 
     A file is the keys, then each column. Lookups map the files and search
     batches of sorted keys, so memory holds pages, not tables.
@@ -104,7 +104,7 @@ class HashArrays:
         return (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
 
     def write(self, shard: int, keys: np.ndarray, values: dict[str, np.ndarray]) -> int:
-        """Keys sorted and distinct, all of this shard."""
+        """Keys sorted, all of this shard."""
         return write_file(self.path(shard), [np.ascontiguousarray(keys, "<u8")] + [np.ascontiguousarray(values[k], d) for k, d in self.columns.items()])
 
     def shard(self, shard: int) -> tuple[np.ndarray, dict[str, np.ndarray]] | None:
@@ -120,6 +120,10 @@ class HashArrays:
 
     def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """Which of these sorted keys are there, and their values (0 where not)."""
+        return self.find(keys, {})
+
+    def find(self, keys: np.ndarray, same: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """``lookup`` of keys that may stand there several times: the row is meant whose columns are as in ``same``."""
         found = np.zeros(len(keys), bool)
         out = {k: np.zeros(len(keys), d) for k, d in self.columns.items()}
         shards = self.shard_of(keys)
@@ -128,12 +132,18 @@ class HashArrays:
             if a == b or (at := self.shard(int(shards[a]))) is None:
                 continue
             there, values = at
-            i = np.searchsorted(there, keys[a:b])
-            i[i == len(there)] = 0
-            hit = there[i] == keys[a:b]
-            found[a:b] = hit
-            for k in out:
-                out[k][a:b][hit] = values[k][i[hit]]
+            own, i = np.arange(a, b), np.searchsorted(there, keys[a:b])
+            while len(own):  # once, and again for keys that go on with another row
+                ok = i < len(there)
+                ok[ok] = there[i[ok]] == keys[own[ok]]
+                own, i = own[ok], i[ok]
+                hit = np.ones(len(own), bool)
+                for k, want in same.items():
+                    hit &= values[k][i] == want[own]
+                found[own[hit]] = True
+                for k in out:
+                    out[k][own[hit]] = values[k][i[hit]]
+                own, i = own[~hit], i[~hit] + 1
         return found, out
 
 
