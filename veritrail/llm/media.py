@@ -12,13 +12,15 @@ by its RIFF chunks. Features of the samples:
 
 ``feature_table`` cuts the log-mel matrix into tensors of ``ROWS`` x ``MELS`` (a
 fixed-shape Arrow tensor extension column for ``to_arrow``), each with its time span;
-the last one is padded with the floor. ``media_features`` stores the media and then
-their tensors, as Arrow streams with a fixed-shape tensor column; its digests and
-features are what is read back of both. All sums run over one document in double
-precision and are rounded, so equal texts give equal values. Long texts are worked
+the last one is padded with the floor. ``media_features`` stores the media, reads them
+back, and stores their tensors as Arrow streams with a fixed-shape tensor column, one
+file after the other; its digests and features are what is read back of both. A file is
+read by the task that wrote it, so nothing is shuffled. All sums run over one document in
+double precision and are rounded, so equal texts give equal values. Long texts are worked
 through in pieces of ``PIECE`` samples that overlap as frames need.
 
-Null and empty texts are one frame of padding.
+Null and empty texts are one frame of padding. Rows that repeat a doc_id are rows each,
+a null doc_id stays null.
 """
 
 from __future__ import annotations
@@ -38,13 +40,13 @@ from pyspark.sql import functions as F
 from .shared import bounded, open_file, scratch, stored, write_file
 
 FRAME, PAD = 576, 255
-RATE, UP, DOWN = 16_000, 1, 2
+RATE, UP, DOWN = 20_000, 2, 5  # to 8 kHz: the filter has two branches
 TAPS = 16  # on each side of the centre, in input samples
 WINDOW, HOP, MELS, ROWS = 256, 128, 32, 64
 HIGH, LOW = 1.1, 0.9  # of the mean frame energy
 FLOOR = 1e-6
 PIECE = 1 << 20
-#: Tensors of an Arrow batch; bytes from which a file of tensors is closed.
+#: Tensors of an Arrow batch; bytes from which on a file of tensors is closed.
 BATCH, FILE_BYTES = 128, 8 << 20
 
 
@@ -141,12 +143,12 @@ def segments(energy: np.ndarray) -> list[tuple[int, int]]:
 def features(samples) -> tuple[np.ndarray, list[tuple[float, float]]]:
     """log-mel matrix and active time spans in milliseconds of 8-bit samples."""
     raw = np.frombuffer(samples, np.uint8)
-    parts = []
-    for a in range(0, len(raw), PIECE):  # with what the filter sees on both sides
-        lo, hi = max(0, a - 2 * TAPS * DOWN), min(len(raw), a + PIECE + 2 * TAPS * DOWN)
+    parts, step = [], PIECE // DOWN * DOWN  # pieces start where an output does
+    for a in range(0, len(raw), step):  # with what the filter sees on both sides
+        lo, hi = max(0, a - 2 * TAPS * DOWN), min(len(raw), a + step + 2 * TAPS * DOWN)
         y = resample((raw[lo:hi].astype(np.float64) - 128) / 128)
         skip = (a - lo) * UP // DOWN
-        parts.append(y[skip : skip + -(-(min(a + PIECE, len(raw)) - a) * UP // DOWN)])
+        parts.append(y[skip : skip + -(-(min(a + step, len(raw)) - a) * UP // DOWN)])
     whole = np.concatenate(parts)
     mel, energy = log_mel(whole)
     ms = 1000 * DOWN / UP / RATE
@@ -174,31 +176,39 @@ def with_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tensor_file string"
+
+
 def media_features(media: DataFrame) -> DataFrame:
-    """What is read back of each row's stored media and tensors: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature."""
+    """``FEATURES`` of each row, from its stored media and tensors: sizes, hashes, feature, and the file that holds its tensors."""
     uri = scratch(media.sparkSession, "media")
-    numbered = bounded(media).select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_bytes", "media")
-    held = stored(numbered, "media", uri)
-    files = stored(write_tensors(held, uri), "files", uri)
-    return digests(held).join(read_features(files).hint("merge"), "row").drop("row")  # a list of files looks small enough to broadcast
+    held = stored(bounded(media).select("doc_id", "n_bytes", "media"), "media", uri)
 
+    def run(it):
+        names, kinds = zip(*(x.split() for x in FEATURES.split(", ")), strict=True)
+        arrow = {"long": pa.int64(), "string": pa.string()}
+        sink, rows = None, []
 
-def digests(media: DataFrame) -> DataFrame:
-    """row, doc_id, n_bytes, and sizes and hashes of each row's media."""
-    schema = "row long, doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+        def done():
+            name = sink.close()
+            found = list(read_file(name))
+            columns = list(zip(*(r + (f, name) for r, f in zip(rows, found, strict=True)), strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c, arrow[k]) for c, k in zip(columns, kinds, strict=True)], names)
 
-    def run(it):
         for batch in it:
-            rows = []
-            for x in batch.column(3):
+            for i, n, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 raw = x.as_py()
                 got = payload(raw)
-                rows.append((len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-32:]), len(raw), hashlib.sha256(raw).hexdigest()))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [x.split()[0] for x in schema.split(", ")])
+                sink = sink or TensorFile(f"{uri}/tensors")
+                sink.add(len(rows), tensors(got))
+                rows.append((i, n, len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-32:]), len(raw), hashlib.sha256(raw).hexdigest()))
+                if sink.size() >= FILE_BYTES:
+                    yield done()
+                    sink, rows = None, []
+        if rows:
+            yield done()
 
-    return bounded(media).select("row", "doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    return held.mapInArrow(run, FEATURES)
 
 
 def tensors(samples) -> Iterator[tuple]:
@@ -229,78 +239,58 @@ TENSOR = pa.fixed_shape_tensor(pa.float32(), (ROWS, MELS))
 FILE = pa.schema([("row", pa.int64()), ("k", pa.int32()), ("start_ms", pa.float64()), ("end_ms", pa.float64()), ("frames", pa.int32()), ("log_mel", TENSOR), ("spans", SPANS)])
 
 
-def write_tensors(media: DataFrame, uri: str) -> DataFrame:
-    """Writes each row's tensors into Arrow streams of about ``FILE_BYTES`` below ``uri``; gives file and rows (tensors) of each. A row is whole in one file."""
-
-    def run(it):
-        sink = writer = None
-        held, total = [], 0
-
-        def flush():
-            nonlocal sink, writer, held, total
-            if writer is None:
-                sink = pa.BufferOutputStream()
-                writer = pa.ipc.new_stream(sink, FILE, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 9)))
-            row, k, start, end, n, part, spans = zip(*held, strict=True)
-            flat = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(part).reshape(-1)), ROWS * MELS)
-            columns = [pa.array(x, f.type) for x, f in zip((row, k, start, end, n), FILE, strict=False)]
-            writer.write_batch(pa.RecordBatch.from_arrays([*columns, pa.ExtensionArray.from_storage(TENSOR, flat), pa.array(spans, SPANS)], schema=FILE))
-            total, held = total + len(held), []
-
-        def close():
-            nonlocal writer, total
-            writer.close()
-            name, n = f"{uri}/tensors/{uuid.uuid4().hex}.arrow", total
-            write_file(name, [sink.getvalue()])
-            writer, total = None, 0
-            return pa.RecordBatch.from_pydict({"file": pa.array([name]), "rows": pa.array([n], pa.int64())})
-
-        for batch in it:
-            for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for t in tensors(payload(x.as_py())):
-                    held.append((i, *t))
-                    if len(held) >= BATCH:
-                        flush()
-                if writer is not None and sink.tell() >= FILE_BYTES:
-                    if held:
-                        flush()
-                    yield close()
-        if held:
-            flush()
-        if writer is not None:
-            yield close()
-
-    return bounded(media).select("row", "media").mapInArrow(run, "file string, rows long")
-
-
-def read_features(files: DataFrame) -> DataFrame:
-    """row and feature, from the tensors and spans in files of ``write_tensors``."""
-
-    def run(it):
-        for batch in it:
-            for name in batch.column(0).to_pylist():
-                rows, texts, parts, spans, last = [], [], [], [], None
-
-                def done():
-                    mel = np.round(np.concatenate(parts).astype(np.float64), 3)
-                    rows.append(last)
-                    texts.append(feature_text(mel, joined_spans(spans)))
-
-                with open_file(name) as src, pa.ipc.open_stream(src) as stream:
-                    for part in stream:
-                        cube = part["log_mel"].to_numpy_ndarray()
-                        for i, n, x, held in zip(part["row"].to_pylist(), part["frames"].to_pylist(), cube, part["spans"].to_pylist(), strict=True):
-                            if i != last and parts:
-                                done()
-                                parts, spans = [], []
-                            last = i
-                            parts.append(x[:n])
-                            spans += [(s["start_ms"], s["end_ms"]) for s in held]
-                if parts:
-                    done()
-                yield pa.RecordBatch.from_pydict({"row": pa.array(rows, pa.int64()), "feature": pa.array(texts, pa.string())})
-
-    return files.repartition(max(1, files.count())).select("file").mapInArrow(run, "row long, feature string")
+class TensorFile:
+    """An Arrow stream of rows' tensors, written to the shared folder when it is closed."""
+
+    def __init__(self, folder: str):
+        self.folder, self.sink, self.held = folder, pa.BufferOutputStream(), []
+        self.writer = pa.ipc.new_stream(self.sink, FILE, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 9)))
+
+    def add(self, row: int, parts: Iterator[tuple]) -> None:
+        for x in parts:
+            self.held.append((row, *x))
+            if len(self.held) >= BATCH:
+                self._flush()
+
+    def size(self) -> int:
+        return self.sink.tell()
+
+    def _flush(self) -> None:
+        row, k, start, end, n, part, spans = zip(*self.held, strict=True)
+        flat = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(part).reshape(-1)), ROWS * MELS)
+        columns = [pa.array(x, f.type) for x, f in zip((row, k, start, end, n), FILE, strict=False)]
+        self.writer.write_batch(pa.RecordBatch.from_arrays([*columns, pa.ExtensionArray.from_storage(TENSOR, flat), pa.array(spans, SPANS)], schema=FILE))
+        self.held = []
+
+    def close(self) -> str:
+        """The file's name. A task that is tried again writes another file."""
+        if self.held:
+            self._flush()
+        self.writer.close()
+        name = f"{self.folder}/{uuid.uuid4().hex}.arrow"
+        write_file(name, [self.sink.getvalue()])
+        return name
+
+
+def read_file(name: str) -> Iterator[str]:
+    """The feature of each row in a file, from its tensors and spans."""
+    parts, spans, last = [], [], None
+    with open_file(name) as src, pa.ipc.open_stream(src) as stream:
+        for batch in stream:
+            cube = batch["log_mel"].to_numpy_ndarray()
+            for row, n, x, held in zip(batch["row"].to_pylist(), batch["frames"].to_pylist(), cube, batch["spans"].to_pylist(), strict=True):
+                if row != last and parts:
+                    yield feature_text(_mel(parts), joined_spans(spans))
+                    parts, spans = [], []
+                last = row
+                parts.append(x[:n])
+                spans += [(s["start_ms"], s["end_ms"]) for s in held]
+    if parts:
+        yield feature_text(_mel(parts), joined_spans(spans))
+
+
+def _mel(parts: list[np.ndarray]) -> np.ndarray:
+    return np.round(np.concatenate(parts).astype(np.float64), 3)
 
 
 def feature_table(media: DataFrame) -> DataFrame:
@@ -324,4 +314,4 @@ def to_arrow(features: pa.Table) -> pa.Table:
 
 
 def op3_media(spark, sf_dir: str) -> DataFrame:
-    return media_features(with_media(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return media_features(with_media(spark.read.parquet(f"{sf_dir}/documents.parquet"))).drop("tensor_file")
