@@ -218,3 +218,31 @@ def test_content_column(spark):
     rows = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", None)], "conv_id long, turn long, role string, content string")
     (row,) = chat.conversations(chat.format_turns(rows)).collect()
     assert row.attachments[0].ref == "r" and row.attachment_tokens == 576 and "look<|image|>" in row.formatted
+
+
+PARTS = [
+    ("not json", "not json", 0), ("null", "", 0), ("[null]", "", 0), ('["a", "b"]', "ab", 0), ('"a"', "a", 0), ('{"text": "x"}', "x", 0), ("7", "7", 0), ("[true, 1.5]", "true1.5", 0), ("", "", 0), (None, "", 0),
+    ('{"type": "image", "width": "wide", "height": -3}', "<|image|>", 576), ('{"type": "image", "width": "700"}', "<|image|>", 3 * 576), ('{"type": "audio", "seconds": NaN}', "<|audio|>", 1),
+    ('{"type": "audio", "seconds": 1e400}', "<|audio|>", 2_500_000), ('{"type": "document", "pages": [3], "ref": {"a": 1}}', "<|document|>", 800), ('{"type": ["text"], "text": 5}', "5", 0), ('{"type": "", "text": null}', "", 0),
+    ('{"type": "other"}', "<|file|>", 1), ('{"type": "_attach"}', "<|file|>", 1), ('{"text": "\\ud800"}', "?", 0), ("[" * 100000, "[" * 100000, 0), ("[[1, 2]]", "[1, 2]", 0),
+]
+
+
+def test_odd_content(spark):
+    rows = spark.createDataFrame([(k, 0, "user", c) for k, (c, _, _) in enumerate(PARTS)], "conv_id long, turn long, role string, content string")
+    got = {r.conv_id: r for r in chat.format_turns(rows).collect()}
+    for k, (c, text, tokens) in enumerate(PARTS):
+        assert got[k].formatted == f"<|im_start|>user\n{text}<|im_end|>\n" and got[k].attachment_tokens == tokens, c
+
+
+_values = st.recursive(st.none() | st.booleans() | st.floats() | st.integers() | st.text(max_size=5), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.sampled_from(["type", "text", "ref", "width", "height", "seconds", "pages"]), x | st.sampled_from(["text", "image", "audio", "document"]), max_size=5), max_leaves=8)
+
+
+@settings(max_examples=300, deadline=None)
+@given(_values)
+def test_any_content_has_a_form(value):
+    flat = chat.flatten(chat.parts_of(json.dumps(value)))
+    whole = chat.format_turn("user", flat.text)
+    assert [r for r, *_ in chat.parse_turns(whole)] == ["user"] and 0 <= flat.tokens < 2**62
+    assert all(isinstance(a["ref"], str) and 0 < a["tokens"] < 2**31 for a in flat.attachments)
+    whole.encode()

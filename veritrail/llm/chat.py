@@ -18,6 +18,12 @@ conversation that holds a third of all rows needs no more.
 
 Null roles and texts are empty. Turns are ordered by turn, nulls first, then by role
 and formatted text: repeated rows stay. A null conv_id is one conversation.
+
+Content that is no JSON is a text as it stands. In JSON, null is nothing, a text is a
+text part, an object is a part, and an array holds such values one by one; numbers and
+truth values are texts of their JSON form. Sizes that are no positive numbers count as if they
+were missing: one tile, no seconds, one page. A ``ref`` or ``text`` that is no text
+counts as its JSON form, a ``type`` that is none as a text part.
 """
 
 from __future__ import annotations
@@ -25,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
+import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -39,6 +46,9 @@ START, END = "<|im_start|>", "<|im_end|>"
 ESCAPE = "\\"
 #: Tokens that a placeholder stands for: per image tile, second of audio, document page.
 TILE, TILE_TOKENS, SECOND_TOKENS, PAGE_TOKENS = 336, 576, 25, 800
+KINDS = ("text", "image", "audio", "document")
+#: Sizes count up to this, so that tokens fit their columns.
+MOST = 100_000.0
 _control = re.compile(r"<(\\*)\|")
 _escaped = re.compile(r"<\\(\\*)\|")
 _turn = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
@@ -52,6 +62,33 @@ def unescape(text: str) -> str:
     return _escaped.sub(lambda m: f"<{m[1]}|", text)
 
 
+def as_text(x) -> str:
+    """A text as it stands, without what UTF-8 cannot hold; other values in JSON; null is empty."""
+    out = "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
+    return out.encode("utf-8", "replace").decode()
+
+
+def as_number(x) -> float:
+    """A positive number up to ``MOST``, also in a text; 0 for all else."""
+    try:
+        n = float(x) if not isinstance(x, bool) else 0.0
+    except (TypeError, ValueError, OverflowError):
+        return 0.0
+    return min(n, MOST) if n > 0 else 0.0
+
+
+def parts_of(content: str | None) -> list[dict]:
+    """Parts that a content column's value means."""
+    if not content:
+        return []
+    try:
+        found = json.loads(content)
+    except (ValueError, RecursionError):
+        found = content
+    values = found if isinstance(found, list) else [found]
+    return [x if isinstance(x, dict) else {"type": "text", "text": x} for x in values if x is not None]
+
+
 @dataclass
 class Flat:
     text: str = ""
@@ -69,10 +106,11 @@ class Flattener:
         self.tokens = 0
 
     def visit(self, part: dict) -> None:
-        getattr(self, f"visit_{part.get('type') or 'text'}", self.visit_other)(part)
+        kind = part.get("type")
+        getattr(self, f"visit_{kind}" if kind in KINDS else "visit_other" if isinstance(kind, str) and kind else "visit_text")(part)
 
     def visit_text(self, part: dict) -> None:
-        self.words.append(part.get("text") or "")
+        self.words.append(as_text(part.get("text")))
 
     def text(self) -> str:
         self.out.append(escape("".join(self.words)))
@@ -80,20 +118,20 @@ class Flattener:
         return "".join(self.out)
 
     def visit_image(self, part: dict) -> None:
-        across, down = (-(-max(int(part.get(k) or 1), 1) // TILE) for k in ("width", "height"))
+        across, down = (-(-max(math.ceil(as_number(part.get(k))), 1) // TILE) for k in ("width", "height"))
         self._attach("image", part, across * down * TILE_TOKENS)
 
     def visit_audio(self, part: dict) -> None:
-        self._attach("audio", part, max(1, -(-int(float(part.get("seconds") or 0) * 1000) * SECOND_TOKENS // 1000)))
+        self._attach("audio", part, max(1, -(-int(as_number(part.get("seconds")) * 1000) * SECOND_TOKENS // 1000)))
 
     def visit_document(self, part: dict) -> None:
-        self._attach("document", part, max(int(part.get("pages") or 1), 1) * PAGE_TOKENS)
+        self._attach("document", part, max(int(as_number(part.get("pages"))), 1) * PAGE_TOKENS)
 
     def visit_other(self, part: dict) -> None:
         self._attach("file", part, 1)
 
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
-        self.attachments.append({"k": len(self.attachments), "kind": kind, "ref": part.get("ref") or "", "tokens": tokens})
+        self.attachments.append({"k": len(self.attachments), "kind": kind, "ref": as_text(part.get("ref")), "tokens": tokens})
         self.text()
         self.out.append(f"<|{kind}|>")
         self.tokens += tokens
@@ -135,7 +173,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
             rows = []
             for role, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 role = role or ""
-                flat = flatten(json.loads(text) if content and text else [{"type": "text", "text": text}])
+                flat = flatten(parts_of(text) if content else [{"type": "text", "text": text}])
                 whole = format_turn(role, flat.text)
                 end = len(whole) - len(END) - 1
                 rows.append((whole, end - len(flat.text) if role == "assistant" else end, end, flat.attachments, flat.tokens))
