@@ -19,20 +19,21 @@ def docs(spark, rows):
     return spark.createDataFrame([(i, t, "x", 0.5, 1) for i, t in rows], DOCS)
 
 
-def kneser_ney(train, scored):
+def kneser_ney(train, scored, order):
     """Interpolated modified Kneser-Ney on strings, and the add-0.1 unigram."""
     split = lambda t: (t or "").encode().lower().split() + ["</s>"]
-    c, pairs = Counter(), Counter()
+    c, grams = Counter(), {k: Counter() for k in range(1, order + 1)}
     for t in train:
-        w = split(t)
-        c.update(w)
-        pairs.update(zip(["<s>", *w[:-1]], w, strict=True))
-    n, v, t = sum(c.values()), len(c), len(pairs)
-    total, kinds, before = Counter(), defaultdict(lambda: [0, 0, 0]), Counter()
-    for (a, b), k in pairs.items():
-        total[a] += k
-        kinds[a][min(k, 3) - 1] += 1
-        before[b] += 1
+        w = ["<s>", *split(t)]
+        c.update(w[1:])
+        for i in range(1, len(w)):
+            for k in range(2, order + 1):
+                if i - k + 1 >= 0 and (k == order or i - k + 1 == 0):
+                    grams[k][tuple(w[i - k + 1 : i + 1])] += 1
+    for k in range(order, 1, -1):
+        for g in grams[k]:
+            grams[k - 1][g[1:]] += 1
+    n, v = sum(c.values()), len(c)
 
     def discounts(values):
         m = [sum(x == k for x in values) for k in (1, 2, 3, 4)]
@@ -41,31 +42,45 @@ def kneser_ney(train, scored):
         y = m[0] / (m[0] + 2 * m[1])
         return [0] + [min(max(k - (k + 1) * y * m[k] / m[k - 1], 0.05), k - 0.05) for k in (1, 2, 3)]
 
-    d, low = discounts(pairs.values()), discounts(before.values())
-    rest = sum(low[min(x, 3)] for x in before.values()) / t if t else 1.0
+    d = {k: discounts(x.values()) for k, x in grams.items()}
+    follow = {k: defaultdict(list) for k in grams}
+    for k, x in grams.items():
+        for g, count in x.items():
+            follow[k][g[:-1]].append(count)
+    t = sum(grams[1].values())
+    rest = sum(d[1][min(x, 3)] for x in grams[1].values()) / t if t else 1.0
+
+    def p(word, before, k):
+        if k == 1:
+            x = grams[1][(word,)]
+            return (max(x - d[1][min(x, 3)], 0) / t if t else 0) + rest / (v + 1)
+        low = p(word, before, k - 1)
+        context = tuple(before[-(k - 1) :])
+        if len(context) < k - 1 or context not in follow[k]:
+            return low
+        counts, x = follow[k][context], grams[k][(*context, word)]
+        return max(x - d[k][min(x, 3)], 0) / sum(counts) + sum(d[k][min(y, 3)] for y in counts) / sum(counts) * low
+
     out = {}
     for i, text in scored:
-        w, s, base, known = split(text), 0.0, 0.0, 0
-        for a, b in zip(["<s>", *w[:-1]], w, strict=True):
-            p = (max(before[b] - low[min(before[b], 3)], 0) / t if t else 0) + rest / (v + 1)
-            if total[a]:
-                p = max(pairs[a, b] - d[min(pairs[a, b], 3)], 0) / total[a] + sum(d[k + 1] * kinds[a][k] for k in range(3)) / total[a] * p
-            s += math.log10(p)
-            base += math.log10((c[b] + 0.1) / (n + 0.1 * (v + 1)))
-            known += c[b] > 0
-        out[i] = (len(w), known, base, s)
+        w = ["<s>", *split(text)]
+        s = sum(math.log10(p(w[j], w[max(0, j - order + 1) : j], order)) for j in range(1, len(w)))
+        base = sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w[1:])
+        out[i] = (len(w) - 1, sum(c[x] > 0 for x in w[1:]), base, s)
     return n, out
 
 
-@pytest.mark.parametrize("block", [3 << 20, 50])
-def test_kneser_ney(spark, monkeypatch, block):
+@pytest.mark.parametrize(("order", "block", "limit"), [(2, 3 << 20, 0xFFFFFFFF), (2, 50, 3), (3, 3 << 20, 2), (3, 40, 0xFFFFFFFF), (4, 33, 5)])
+def test_kneser_ney(spark, monkeypatch, order, block, limit):
     monkeypatch.setattr(L, "BLOCK", block)
+    monkeypatch.setattr(L.HashArrays, "LIMIT", limit)
+    monkeypatch.setattr(L, "bits_for", lambda rows, _: 4)
     rng = random.Random(4)
     words = ["The", "the", "of", "é", "x."] + [f"w{k}" for k in range(25)]
-    train = [(k, " ".join(rng.choice(words[: 5 + rng.randrange(25)]) for _ in range(rng.randrange(40)))) for k in range(60)] + [(99, None), (98, ""), (97, " \n")]
+    train = [(k, " ".join(rng.choice(words[: 5 + rng.randrange(25)]) for _ in range(rng.randrange(40)))) for k in range(60)] + [(99, None), (98, ""), (97, " \n"), (96, "of the " * 200)]
     scored = [*train[:20], (200, "never seen the words"), (201, None), (202, "the " * 500)]
-    n, want = kneser_ney([t for _, t in train], scored)
-    model = L.train(docs(spark, train))
+    n, want = kneser_ney([t for _, t in train], scored, order)
+    model = L.train(docs(spark, train), order=order)
     assert model.tokens == n
     for r in L.score(docs(spark, scored), model).collect():
         m, known, base, s = want[r.doc_id]
@@ -73,21 +88,31 @@ def test_kneser_ney(spark, monkeypatch, block):
         assert math.isclose(r.perplexity, 10 ** (-s / m), rel_tol=1e-9)
 
 
-def test_probabilities_add_up(spark):
-    """Over the known words and one unknown, after any word."""
+@pytest.mark.parametrize("order", [2, 3])
+def test_probabilities_add_up(spark, order):
+    """Over the known words and one unknown, after any words."""
     import numpy as np
 
-    model = L.train(docs(spark, [(1, "a b a c a b d"), (2, "b a"), (3, "e e e f")]))
-    words = ["a", "b", "c", "d", "e", "f"]
+    model = L.train(docs(spark, [(1, "a b a c a b d"), (2, "b a"), (3, "e e e f")]), order=order)
     h = lambda w: L.hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]), L.SPACED)[0][0]
-    for context in ("a", "b", "e", "zzz"):
+    for context in ("a", "b", "e", "zzz", "a b", "e e", "zzz a"):
         total = 0.0
-        for w in [*map(h, words), L.END, h("unknown")]:
-            first, second = np.array([L.START, h(context)], np.uint64), np.array([h(context), w], np.uint64)
-            total += 10 ** model.score(first, second)[0][1]
+        for w in [*map(h, "abcdef"), L.END, h("unknown")]:
+            row = np.array([L.START, *map(h, context.split()), w], np.uint64)
+            total += 10 ** model.score(row, np.array([0, len(row)]))[0][-1]
         assert math.isclose(total, 1.0, rel_tol=1e-9)
 
 
+def test_counts_of_any_size(tmp_path, monkeypatch):
+    import numpy as np
+
+    arrays = L.HashArrays(f"file://{tmp_path}", "x", 0, {"n": "<u4", "m": "<u4"})
+    n = np.array([1, 2**32 - 2, 2**32 - 1, 2**40], np.uint64)
+    arrays.write(0, np.array([3, 4, 5, 6], np.uint64), {"n": n, "m": n[::-1].copy()})
+    _, got = arrays.lookup(np.array([3, 4, 5, 6, 7], np.uint64))
+    assert got["n"].tolist() == [*n.tolist(), 0] and got["m"].tolist() == [*n.tolist()[::-1], 0]
+
+
 def test_model_of_nothing(spark):
     model = L.train(docs(spark, []))
     (r,) = L.score(docs(spark, [(1, "a")]), model).collect()
@@ -95,8 +120,14 @@ def test_model_of_nothing(spark):
     assert L.score(docs(spark, []), model).count() == 0
 
 
-def test_held_out_rows_are_not_learned():
-    assert [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0]
+def test_held_out_rows_are_not_learned(spark, monkeypatch):
+    rows = [(i, f"own{i} shared") for i in range(200)]
+    with monkeypatch.context() as m:
+        m.setattr(type(spark), "read", property(lambda _: type("R", (), {"parquet": lambda *_: docs(spark, rows)})()))
+        got = {r.doc_id: r for r in L.op2_lm_scoring(spark, "x").collect()}
+    held = {i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0}
+    assert held and {i for i, r in got.items() if r.held_out} == held
+    assert all(r.n_known == (2 if i in held else 3) and r.train_tokens == 3 * (200 - len(held)) for i, r in got.items())
 
 
 def test_toxicity_generalises(spark):

@@ -1,21 +1,24 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and kept as sorted hash arrays.
-
-1. Each task counts its bigrams in blocks of ``BLOCK`` tokens: word hashes in
-   sorted runs of equal first words. Blocks go to shards by some bits of the first
-   and some of the second word's hash, so a frequent word is split over many shards.
-2. A shard adds up its bigrams, writes them as a sorted array of keys with counts,
-   and sends on, for each of its words, how often it was followed, by how many
-   words once, twice and more often, and how many words it followed.
-3. Shards of words add these up and write the table of words.
-4. Scoring maps both tables into memory and looks up a batch's distinct words and
-   bigrams in key order. Probabilities come from counts and the discounts of the
-   whole model: a handful of numbers, the only ones that the driver sees.
-
-``<s>`` precedes each text and is never predicted, ``</s>`` ends it. Every word has
-a probability, as the continuation counts are interpolated with an even share for
-each known word and one unknown. No n-gram is cut off.
-
-Null and empty texts have no words but an end. A null doc_id is held out.
+"""Interpolated modified Kneser-Ney n-gram model, counted in Spark and kept as sorted hash arrays.
+
+1. Each task counts its n-grams in blocks of ``BLOCK`` tokens: word hashes in sorted
+   runs of equal prefixes. Blocks go to shards by some bits of the prefix' hash and
+   some of the last word's, so a frequent prefix is split over many shards.
+2. A shard adds up its n-grams, writes them as a sorted array of keys with counts, and
+   sends on to the next lower order: each n-gram's suffix, which it continues by one
+   word to the left, and of each prefix how often it was followed, and by how many
+   words once, twice and more often.
+3. Shards of each lower order add these up and write their table, down to words.
+4. Scoring maps the tables into memory and looks up a batch's distinct n-grams of each
+   order in key order. Probabilities come from counts and the discounts of the whole
+   model: a handful of numbers, the only ones that the driver sees.
+
+``<s>`` precedes each text and is never predicted, ``</s>`` ends it. N-grams that start
+with ``<s>`` have no word to their left: their count is how often they occur. Every word
+has a probability, as the continuation counts of words are interpolated with an even
+share for each known word and one unknown. No n-gram is cut off. Counts are 64 bits wide.
+
+Null and empty texts have no words but an end. A null doc_id is held out. Rows that
+repeat a doc_id are texts each, learned and scored by themselves.
 """
 
 from __future__ import annotations
@@ -30,93 +33,186 @@ from pyspark.sql import functions as F
 from .shared import HashArrays, bits_for, bounded, scratch
 from .words import BASE, SPACED, batches, hashes, mix
 
-BLOCK = 3 << 20
+ORDER, BLOCK = 2, 3 << 20
 START, END = mix(np.array([0x5354415254, 0x454E44], np.uint64))
-WORD_COLUMNS = {"c": "<u8", "total": "<u8", "n1": "<u4", "n2": "<u4", "n3": "<u4", "before": "<u4"}
+PAD = np.uint64(0)  # before <s>
+CONTEXT = ("total", "n1", "n2", "n3")
 
 
-def sequences(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and second words of all bigrams of these rows, and each row's bounds: a row of n words has n + 1."""
+def sequences(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of all rows between <s> and </s>, and each row's bounds: a row of n words has n + 2."""
     words, at = hashes(data, bounds, SPACED)
-    rows = len(bounds) - 1
-    cut = at + np.arange(rows + 1)
-    second = np.empty(len(words) + rows, np.uint64)
-    ends = np.zeros(len(second), bool)
-    ends[cut[1:] - 1] = True
-    second[ends], second[~ends] = END, words
-    first = np.empty_like(second)
-    first[1:] = second[:-1]
-    first[cut[:-1]] = START
-    return first, second, cut
-
-
-def pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    cut = at + 2 * np.arange(len(bounds))
+    out = np.empty(cut[-1], np.uint64)
+    inner = np.ones(len(out), bool)
+    for place, word in ((cut[:-1], START), (cut[1:] - 1, END)):
+        out[place], inner[place] = word, False
+    out[inner] = words
+    return out, cut
+
+
+def folded(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Key of an n-gram, of its prefix' key and its last word. A single word is its own key."""
     with np.errstate(over="ignore"):
-        return mix(first * BASE + second)
+        return mix(prefix * BASE + word)
+
+
+def key_of(columns: list[np.ndarray]) -> np.ndarray:
+    out = columns[0]
+    for word in columns[1:]:
+        out = folded(out, word)
+    return out
 
 
 class Grid:
-    """Shards of bigrams: top bits of the first word's hash, then of the second's. Keys carry the shard on top."""
+    """Shards of the longest n-grams: top bits of the prefix' key, then of the last word's hash. Keys carry the shard on top."""
 
     def __init__(self, bits: int):
         self.bits, self.a, self.b = bits, bits - bits // 2, bits // 2
 
-    def shard(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    def shard(self, prefix: np.ndarray, last: np.ndarray) -> np.ndarray:
         if not self.bits:
-            return np.zeros(len(first), np.int64)
-        hi = first >> np.uint64(64 - self.a)
-        return ((hi << np.uint64(self.b)) | (second >> np.uint64(64 - self.b)) if self.b else hi).astype(np.int64)
+            return np.zeros(len(prefix), np.int64)
+        hi = prefix >> np.uint64(64 - self.a)
+        return ((hi << np.uint64(self.b)) | (last >> np.uint64(64 - self.b)) if self.b else hi).astype(np.int64)
 
-    def keys(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        key = pair_key(first, second)
-        return key if not self.bits else (self.shard(first, second).astype(np.uint64) << np.uint64(64 - self.bits)) | (key >> np.uint64(self.bits))
+    def keys(self, prefix: np.ndarray, last: np.ndarray) -> np.ndarray:
+        key = folded(prefix, last)
+        return key if not self.bits else (self.shard(prefix, last).astype(np.uint64) << np.uint64(64 - self.bits)) | (key >> np.uint64(self.bits))
 
 
-def _pack(first: np.ndarray, second: np.ndarray, n: np.ndarray) -> bytes:
-    """Sorted by first word: its runs, then second words and counts."""
-    run = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
-    size = np.diff(np.append(run, len(first))).astype("<u4")
-    return np.array([len(run), len(first)], "<u4").tobytes() + first[run].tobytes() + size.tobytes() + second.tobytes() + n.astype("<u4").tobytes()
+def _pack(columns: list[np.ndarray], n: np.ndarray) -> bytes:
+    """N-grams sorted by prefix: the prefixes of its runs and their lengths, then last words and counts."""
+    other = np.zeros(len(n) - 1, bool)
+    for c in columns[:-1]:
+        other |= c[1:] != c[:-1]
+    run = np.flatnonzero(np.concatenate([[True], other]))
+    size = np.diff(np.append(run, len(n))).astype("<u4")
+    return np.array([len(run), len(n)], "<u4").tobytes() + b"".join(c[run].tobytes() for c in columns[:-1]) + size.tobytes() + columns[-1].tobytes() + n.astype("<u4").tobytes()
 
 
-def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(raw: bytes, order: int) -> tuple[np.ndarray, ...]:
+    """The columns and the counts."""
     runs, rows = (int(x) for x in np.frombuffer(raw, "<u4", 2))
-    first = np.frombuffer(raw, "<u8", runs, 8)
-    size = np.frombuffer(raw, "<u4", runs, 8 + 8 * runs)
-    at = 8 + 12 * runs
-    return np.repeat(first, size), np.frombuffer(raw, "<u8", rows, at), np.frombuffer(raw, "<u4", rows, at + 8 * rows)
-
-
-def _counted(first: np.ndarray, second: np.ndarray, grid: Grid):
-    """Packed block of each shard of these bigrams."""
-    n = len(second)
-    before = np.append(START, second[:-1])
-    start = first == START
-    other = np.flatnonzero(~start & (first != before))  # where a long text was cut
-    words, back = np.unique(np.concatenate([second, [START], first[other]]), return_inverse=True)
-    b = back[:n].astype(np.uint64)
-    a = np.append(np.uint64(back[n]), b[:-1])
-    a[start], a[other] = back[n], back[n + 1 :]
-    del before, back
-    key = np.sort((a << np.uint64(32)) | b)
+    at = 8 + 8 * runs * (order - 1)
+    size = np.frombuffer(raw, "<u4", runs, at)
+    prefix = [np.repeat(np.frombuffer(raw, "<u8", runs, 8 + 8 * runs * k), size) for k in range(order - 1)]
+    at += 4 * runs
+    return *prefix, np.frombuffer(raw, "<u8", rows, at), np.frombuffer(raw, "<u4", rows, at + 8 * rows)
+
+
+def _counted(pieces: list[tuple[np.ndarray, int]], order: int, grid: Grid):
+    """Packed block of each shard of these pieces' n-grams. A piece is words, and how many at its start are only what others follow."""
+    words = np.concatenate([x for x, _ in pieces])
+    begin = np.cumsum([0, *(len(x) for x, _ in pieces[:-1])])
+    place = np.arange(len(words))
+    fresh = words == START
+    said = ~fresh
+    for at, (_, skip) in zip(begin, pieces, strict=True):
+        said[at : at + skip] = False
+    fresh[begin] = True
+    depth = place - np.maximum.accumulate(np.where(fresh, place, 0))
+    kinds, back = np.unique(words, return_inverse=True)
+    del fresh, words
+    back = (back + 1).astype(np.uint64)  # 0 is PAD
+    said = np.flatnonzero(said)
+
+    def before(j: int) -> np.ndarray:
+        """Numbers of the words j before."""
+        out = back[said - np.minimum(j, said)]
+        out[depth[said] < j] = 0
+        return out
+
+    key, pairs = before(order - 1), []
+    for j in range(order - 2, -1, -1):
+        key = (key << np.uint64(32)) | before(j)
+        if j:
+            kept, key = np.unique(key, return_inverse=True)
+            pairs.append(kept)
+            key = key.astype(np.uint64)
+    del said, depth, back
+    key = np.sort(key)
+    if not len(key):
+        return
     at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     n, key = np.diff(np.append(at, len(key))), key[at]
-    a, b = words[(key >> np.uint64(32)).astype(np.int64)], words[(key & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-    shard = grid.shard(a, b)
-    order = np.argsort(shard, kind="stable")
-    shard, a, b, n = shard[order], a[order], b[order], n[order]
+    columns = []
+    while True:
+        columns.append((key & np.uint64(0xFFFFFFFF)).astype(np.int64))
+        key = key >> np.uint64(32)
+        if not pairs:
+            break
+        key = pairs.pop()[key.astype(np.int64)]
+    kinds = np.concatenate([[PAD], kinds])
+    columns = [kinds[x] for x in [key.astype(np.int64), *reversed(columns)]]
+    shard = grid.shard(key_of(columns[:-1]), columns[-1])
+    by = np.argsort(shard, kind="stable")
+    shard, n, columns = shard[by], n[by], [c[by] for c in columns]
     cuts = np.flatnonzero(np.diff(shard)) + 1
     for i, j in zip([0, *cuts], [*cuts, len(shard)], strict=True):
-        if j > i:
-            yield int(shard[i]), _pack(a[i:j], b[i:j], n[i:j])
+        yield int(shard[i]), _pack([c[i:j] for c in columns], n[i:j])
 
 
 def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct sorted keys, and the sums of each column."""
+    """Distinct sorted keys, the place of one row of each, and the sums of each column."""
     order = np.argsort(key, kind="stable")
     key = key[order]
     at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return key[at], *(np.add.reduceat(v[order], at) if len(at) else v for v in values)
+    return key[at], order[at], *(np.add.reduceat(v[order], at) if len(at) else v for v in values)
+
+
+class Level:
+    """N-grams of an order below the model's: their table, and records on the way to it."""
+
+    def __init__(self, order: int, arrays: HashArrays):
+        self.order, self.arrays = order, arrays
+        self.names = ["n", *CONTEXT] + ["c"] * (order == 1)
+        self.sent = {"n": "<u4" if order == 1 else "<u8", "total": "<u8", "n1": "<u4", "n2": "<u4", "n3": "<u4", "c": "<u8"}
+
+    def blocks(self, words: list[np.ndarray], values: dict[str, np.ndarray]):
+        """Shard and packed records, added up by key. Values that are not given are 0."""
+        key = key_of(words)
+        zero = np.zeros(len(key), np.uint64)
+        key, at, *sums = _summed(key, *(values.get(k, zero) for k in self.names))
+        home = self.arrays.shard_of(key)
+        cuts = [0, *(np.flatnonzero(np.diff(home)) + 1), len(key)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if j > i:
+                yield int(home[i]), b"".join(w[at[i:j]].tobytes() for w in words) + b"".join(x[i:j].astype(self.sent[k]).tobytes() for k, x in zip(self.names, sums, strict=True))
+
+    def read(self, blocks: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], dict[str, np.ndarray]]:
+        """Distinct keys, their words and sums."""
+        kinds = ["<u8"] * self.order + [self.sent[k] for k in self.names]
+        width = sum(np.dtype(d).itemsize for d in kinds)
+        columns: list[list[np.ndarray]] = [[] for _ in kinds]
+        for x in blocks:
+            n, at = len(x) // width, 0
+            for k, d in enumerate(kinds):
+                columns[k].append(np.frombuffer(x, d, n, at).astype(np.uint64))
+                at += n * np.dtype(d).itemsize
+        whole = [np.concatenate(x) for x in columns]
+        words = whole[: self.order]
+        key, at, *sums = _summed(key_of(words), *whole[self.order :])
+        return key, [w[at] for w in words], dict(zip(self.names, sums, strict=True))
+
+
+def _passed_on(words: list[np.ndarray], n: np.ndarray, top: bool, levels: dict[int, Level]):
+    """Order, shard and block of what distinct n-grams with these counts tell lower orders."""
+    order, real = len(words), words[0] != PAD
+    one, two, more = (x.astype(np.uint64) for x in (n == 1, n == 2, n > 2))
+    level = levels[order - 1]
+    key, at, *sums = _summed(key_of([w[real] for w in words[:-1]]), *(x[real] for x in (n, one, two, more)))
+    prefix = [w[real][at] for w in words[:-1]]
+    values = {"n": np.where(real, 1, n).astype(np.uint64)} | ({"c": n} if top and order == 2 else {})
+    key, at, *more = _summed(key_of(words[1:]), *values.values())
+    suffix = [w[at] for w in words[1:]]
+    a, b = (np.zeros(len(x[0]), np.uint64) for x in (prefix, suffix))
+    both = {k: np.concatenate([v, b]) for k, v in zip(CONTEXT, sums, strict=True)} | {k: np.concatenate([a, v]) for k, v in zip(values, more, strict=True)}
+    for shard, block in level.blocks([np.concatenate(x) for x in zip(prefix, suffix, strict=True)], both):
+        yield order - 1, shard, block
+    if top and order > 2:
+        for shard, block in levels[1].blocks(words[-1:], {"c": n}):
+            yield 1, shard, block
 
 
 def _discounts(n: list[int]) -> tuple[float, float, float]:
@@ -127,139 +223,142 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k - 0.05) for k in (1, 2, 3))
 
 
+def _less(n: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
+    """Counts less their discounts."""
+    return np.maximum(n - np.choose(np.minimum(n, 3).astype(np.int64), [0.0, *d]), 0)
+
+
 @dataclass
-class BigramModel:
-    bigrams: HashArrays
-    words: HashArrays
+class Model:
+    """``tables``: of order 1, 2 and so on. ``pairs``: the sum of words' continuation counts."""
+
+    tables: list[HashArrays]
     grid: Grid
     tokens: int
     types: int
     pairs: int
-    discounts: tuple[float, float, float]
-    lower: tuple[float, float, float]
+    discounts: list[tuple[float, float, float]]
     rest: float
 
-    def score(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each second word after the first, and its count in training."""
-        unique, back = np.unique(second, return_inverse=True)
-        _, got = self.words.lookup(unique)
-        seen = {k: v[back].astype(np.float64) for k, v in got.items()}
-        starts = {k: 0.0 for k in WORD_COLUMNS}
-        found, got = self.words.lookup(np.array([START], np.uint64))
-        if found[0]:
-            starts = {k: float(v[0]) for k, v in got.items()}
-        context = {}
-        begin = first == START
-        for k in ("total", "n1", "n2", "n3"):  # the word before is the one before in this batch
-            context[k] = np.concatenate([[0.0], seen[k][:-1]])
-            context[k][begin] = starts[k]
-        key, back = np.unique(self.grid.keys(first, second), return_inverse=True)
-        _, got = self.bigrams.lookup(key)
-        n = got["n"][back].astype(np.float64)
-
-        def cut(x, d):
-            return np.choose(np.minimum(x, 3).astype(np.int64), [0.0, *d])
-
-        low = self.rest / (self.types + 1)
-        if self.pairs:
-            low = low + np.maximum(seen["before"] - cut(seen["before"], self.lower), 0) / self.pairs
-        total = np.maximum(context["total"], 1)
-        d = self.discounts
-        gamma = np.where(context["total"] > 0, (d[0] * context["n1"] + d[1] * context["n2"] + d[2] * context["n3"]) / total, 1.0)
-        return np.log10(np.maximum(n - cut(n, d), 0) / total + gamma * low), seen["c"]
+    def score(self, words: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each word after those before it in its row, and its count in training; both 0 at <s>."""
+
+        def found(table: HashArrays, keys: np.ndarray) -> dict[str, np.ndarray]:
+            unique, back = np.unique(keys, return_inverse=True)
+            return {k: v[back].astype(np.float64) for k, v in table.lookup(unique)[1].items()}
 
+        def shifted(x: np.ndarray) -> np.ndarray:
+            return np.concatenate([x[:1], x[:-1]])
 
-def train(docs: DataFrame, text: str = "text") -> BigramModel:
-    """Counts all of ``docs``. Files go to the shared folder."""
+        depth = np.arange(len(words)) - np.repeat(cut[:-1], np.diff(cut))
+        key, got = words, found(self.tables[0], words)
+        seen, p = got["c"], np.full(len(words), self.rest / (self.types + 1))
+        if self.pairs:
+            p += _less(got["n"], self.discounts[0]) / self.pairs
+        for order in range(2, len(self.tables) + 1):
+            before, d = {k: shifted(got[k]) for k in CONTEXT}, self.discounts[order - 1]
+            last = order == len(self.tables)
+            key = (self.grid.keys if last else folded)(shifted(key), words)
+            got = found(self.tables[order - 1], key)
+            total = np.maximum(before["total"], 1)
+            gamma = (d[0] * before["n1"] + d[1] * before["n2"] + d[2] * before["n3"]) / total
+            p = np.where((depth >= order - 1) & (before["total"] > 0), _less(got["n"], d) / total + gamma * p, p)
+        log = np.log10(p)
+        log[cut[:-1]] = 0
+        return log, seen
+
+
+def train(docs: DataFrame, text: str = "text", order: int = ORDER) -> Model:
+    """Counts all of ``docs``, n-grams of 2 words or more. Files go to the shared folder."""
+    if order < 2:
+        raise ValueError("order is 2 at least")
     spark = docs.sparkSession
-    uri = scratch(spark, "bigrams")
+    uri = scratch(spark, "ngrams")
     docs = bounded(docs).select(F.col(text).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     grid = Grid(bits_for(size / 6, 1 << 20))
-    bigrams = HashArrays(uri, "bigrams", grid.bits, {"n": "<u4"})
-    words = HashArrays(uri, "words", bits_for(size / 60, 1 << 18), WORD_COLUMNS)
+    highest = HashArrays(uri, f"order{order}", grid.bits, {"n": "<u4"})
+    levels = {k: Level(k, HashArrays(uri, f"order{k}", bits_for(size / 6, 1 << 20), dict.fromkeys(["n", *CONTEXT], "<u4"))) for k in range(2, order)}
+    levels[1] = Level(1, HashArrays(uri, "order1", bits_for(size / 60, 1 << 18), dict.fromkeys(["n", *CONTEXT, "c"], "<u8")))
+    schema = "level int, shard long, block binary"  # level 0: sums
 
-    def count(it):
-        held, n = [], 0
+    def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["level", "shard", "block"])
 
-        def flush():
-            rows = list(_counted(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), grid)) if held else []
-            held.clear()
-            return pa.RecordBatch.from_pydict({"shard": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([r[1] for r in rows], pa.binary())})
+    def sums(k: int, n: np.ndarray, tokens: int = 0, types: int = 0) -> tuple[int, int, bytes]:
+        """Order, n-grams, those with counts 1 to 4, the sum of counts, tokens and types."""
+        return 0, k, np.array([k, len(n), *(int((n == x).sum()) for x in (1, 2, 3, 4)), int(n.sum()), tokens, types], "<u8").tobytes()
 
+    def count(it):
+        held, n = [], 0
         for batch in it:
             for _, _, data, bounds in batches(batch, "text"):
-                first, second, _ = sequences(data, bounds)
-                for k in range(0, len(first), BLOCK):
-                    held.append((first[k : k + BLOCK], second[k : k + BLOCK]))
-                    n += len(held[-1][0])
+                words, _ = sequences(data, bounds)
+                for k in range(0, len(words), BLOCK):
+                    skip = min(k, order - 1)
+                    held.append((words[k - skip : k + BLOCK], skip))
+                    n += len(held[-1][0]) - skip
                     if n >= BLOCK:
-                        yield flush()
-                        n = 0
-        yield flush()
-
-    def add_pairs(table: pa.Table) -> pa.Table:
-        shard = table["shard"][0].as_py()
-        blocks = [_unpack(x.as_py()) for x in table["block"]]
-        a, b, n = (np.concatenate([x[k] for x in blocks]) for k in range(3))
+                        yield rows_of([(order, *x) for x in _counted(held, order, grid)])
+                        held, n = [], 0
+        if held:
+            yield rows_of([(order, *x) for x in _counted(held, order, grid)])
+
+    def add_highest(table: pa.Table) -> pa.Table:
+        blocks = [_unpack(x.as_py(), order) for x in table["block"]]
+        *words, n = (np.concatenate(x) for x in zip(*blocks, strict=True))
         del blocks
-        key, order = (k := grid.keys(a, b)), np.argsort(k)
-        key = key[order]
-        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        total = np.add.reduceat(n[order].astype(np.uint64), at)
-        bigrams.write(shard, key[at], {"n": np.minimum(total, 0xFFFFFFFF)})
-        a, b = a[order][at], b[order][at]
-        one, two, more = total == 1, total == 2, total > 2
-        after = _summed(a, total, one.astype(np.uint64), two.astype(np.uint64), more.astype(np.uint64))
-        before = _summed(b, np.ones(len(b), np.uint64), total)
-        zero = [np.zeros(len(x), np.uint64) for x in (after[0], before[0])]
-        w, *v = _summed(np.concatenate([after[0], before[0]]), *(np.concatenate(x) for x in ((zero[0], before[2]), (after[1], zero[1]), (after[2], zero[1]), (after[3], zero[1]), (after[4], zero[1]), (zero[0], before[1]))))
-        home = words.shard_of(w)
-        cuts = [0, *(np.flatnonzero(np.diff(home)) + 1), len(w)]
-        rows = [(int(home[i]), w[i:j].tobytes() + b"".join(x[i:j].astype(d).tobytes() for x, d in zip(v, WORD_COLUMNS.values(), strict=True))) for i, j in zip(cuts, cuts[1:], strict=False)]
-        rows.append((-1, np.array([len(total), *(int((total == k).sum()) for k in (1, 2, 3, 4))], "<u8").tobytes()))
-        return pa.table({"shard": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([r[1] for r in rows], pa.binary())})
-
-    def add_words(table: pa.Table) -> pa.Table:
-        shard = table["shard"][0].as_py()
-        blocks = [x.as_py() for x in table["block"]]
-        if shard < 0:
-            s = np.sum([np.frombuffer(x, "<u8") for x in blocks], axis=0)
-            out = [int(x) for x in s] + [0] * 6
-        else:
-            width = 8 + sum(np.dtype(d).itemsize for d in WORD_COLUMNS.values())
-            columns: list[list[np.ndarray]] = [[] for _ in range(len(WORD_COLUMNS) + 1)]
-            for x in blocks:
-                n, at = len(x) // width, 0
-                for k, d in enumerate(["<u8", *WORD_COLUMNS.values()]):
-                    columns[k].append(np.frombuffer(x, d, n, at).astype(np.uint64))
-                    at += n * np.dtype(d).itemsize
-            w, *v = _summed(*(np.concatenate(x) for x in columns))
-            words.write(shard, w, dict(zip(WORD_COLUMNS, v, strict=True)))
-            c, before = v[0], v[5]
-            out = [0] * 5 + [int(c.sum()), int((c > 0).sum()), *(int((before == k).sum()) for k in (1, 2, 3, 4))]
-        return pa.table({f"x{i}": pa.array([v], pa.int64()) for i, v in enumerate(out)})
-
-    pairs = docs.mapInArrow(count, "shard long, block binary").groupBy("shard").applyInArrow(add_pairs, "shard long, block binary")
-    sums = pairs.groupBy("shard").applyInArrow(add_words, ", ".join(f"x{i} long" for i in range(11)))
-    got = [x or 0 for x in sums.agg(*(F.sum(f"x{i}") for i in range(11))).first()]
-    lower = _discounts(got[7:11])
-    fewer = got[7], got[8], got[6] - got[7] - got[8]
-    rest = sum(d * n for d, n in zip(lower, fewer, strict=True)) / got[0] if got[0] else 1.0
-    return BigramModel(bigrams, words, grid, got[5], got[6], got[0], _discounts(got[1:5]), lower, rest)
-
-
-def score(docs: DataFrame, model: BigramModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+        key, at, n = _summed(grid.keys(key_of(words[:-1]), words[-1]), n.astype(np.uint64))
+        words = [w[at] for w in words]
+        real = words[0] != PAD
+        highest.write(table["shard"][0].as_py(), key[real], {"n": n[real]})
+        return pa.Table.from_batches([rows_of([*_passed_on(words, n, True, levels), sums(order, n[real])])])
+
+    def add_level(k: int):
+        def run(table: pa.Table) -> pa.Table:
+            if table["level"][0].as_py() != k:
+                return table
+            key, words, got = levels[k].read([x.as_py() for x in table["block"]])
+            real, n = words[0] != PAD, got["n"]
+            levels[k].arrays.write(table["shard"][0].as_py(), key[real], {c: v[real] for c, v in got.items()})
+            some = n > 0
+            if k == 1:
+                return pa.Table.from_batches([rows_of([sums(1, n[some], int(got["c"].sum()), int((got["c"] > 0).sum()))])])
+            return pa.Table.from_batches([rows_of([*_passed_on([w[some] for w in words], n[some], False, levels), sums(k, n[some & real])])])
+
+        return run
+
+    made = docs.mapInArrow(count, schema).groupBy("level", "shard").applyInArrow(add_highest, schema)
+    for k in range(order - 1, 0, -1):
+        made = made.groupBy("level", "shard").applyInArrow(add_level(k), schema)
+
+    def read_sums(it):
+        for batch in it:
+            got = np.array([np.frombuffer(x.as_py(), "<i8") for x in batch.column(2)], np.int64).reshape(-1, 9)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in got.T], [f"x{i}" for i in range(9)])
+
+    found = made.mapInArrow(read_sums, ", ".join(f"x{i} long" for i in range(9))).groupBy("x0").agg(*(F.sum(f"x{i}").alias(f"x{i}") for i in range(1, 9))).collect()
+    by = {r["x0"]: [r[f"x{i}"] for i in range(1, 9)] for r in found}  # a row for each order
+    none = [0] * 8
+    discounts = [_discounts(by.get(k, none)[1:5]) for k in range(1, order + 1)]
+    types, one, two, _, _, pairs, tokens, known = by.get(1, none)
+    rest = sum(d * n for d, n in zip(discounts[0], (one, two, types - one - two), strict=True)) / pairs if pairs else 1.0
+    return Model([*(levels[k].arrays for k in range(1, order)), highest], grid, tokens, known, pairs, discounts, rest)
+
+
+def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score (log10) and perplexity of each row."""
 
     def run(it):
         unit = np.log10(model.tokens + 0.1 * (model.types + 1))
         for batch in it:
             for a, b, data, bounds in batches(batch, "text", 2 << 20):
-                first, second, cut = sequences(data, bounds)
-                p, c = model.score(first, second)
+                words, cut = sequences(data, bounds)
+                p, c = model.score(words, cut)
                 base = np.log10(c + 0.1) - unit
-                n = np.diff(cut)
+                base[cut[:-1]] = 0
+                n = np.diff(cut) - 1
                 total = np.add.reduceat(p, cut[:-1])
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, b - a), "n_tokens": n, "n_known": np.add.reduceat((c > 0).astype(np.int64), cut[:-1]), "base_score": np.add.reduceat(base, cut[:-1]), "score": total, "perplexity": 10.0 ** np.minimum(-total / n, 300)})
 

@@ -91,9 +91,12 @@ class HashArrays:
     """Sorted 64-bit keys and columns of values, in one file a shard; a shard holds the keys that share their top bits. Keys may repeat (see ``find``).
 
     A file is the keys, then each column. Lookups map the files and search
-    batches of sorted keys, so memory holds pages, not tables.
+    batches of sorted keys, so memory holds pages, not tables. Columns of 32 bits hold
+    any count: those from ``LIMIT`` on stand in arrays of their own.
     """
 
+    LIMIT = 0xFFFFFFFF
+
     def __init__(self, uri: str, name: str, bits: int, columns: dict[str, str]):
         self.uri, self.name, self.bits, self.columns = uri, name, bits, columns
 
@@ -105,8 +108,18 @@ class HashArrays:
 
     def write(self, shard: int, keys: np.ndarray, values: dict[str, np.ndarray]) -> int:
         """Keys sorted, all of this shard."""
+        narrow = [j for j, (k, d) in enumerate(self.columns.items()) if d == "<u4" and (np.asarray(values[k]) >= self.LIMIT).any()]
+        if narrow:
+            names = list(self.columns)
+            rows = [(i, j) for j in narrow for i in np.flatnonzero(np.asarray(values[names[j]]) >= self.LIMIT)]
+            rows.sort()
+            self.large().write(shard, keys[[i for i, _ in rows]], {"column": np.array([j for _, j in rows]), "value": np.array([values[names[j]][i] for i, j in rows])})
+            values = {k: np.minimum(values[k], self.LIMIT) if d == "<u4" else values[k] for k, d in self.columns.items()}
         return write_file(self.path(shard), [np.ascontiguousarray(keys, "<u8")] + [np.ascontiguousarray(values[k], d) for k, d in self.columns.items()])
 
+    def large(self) -> HashArrays:
+        return HashArrays(self.uri, f"{self.name}-large", self.bits, {"column": "<u8", "value": "<u8"})
+
     def shard(self, shard: int) -> tuple[np.ndarray, dict[str, np.ndarray]] | None:
         raw = map_file(self.path(shard))
         if raw is None or not len(raw):
@@ -125,7 +138,7 @@ class HashArrays:
     def find(self, keys: np.ndarray, same: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """``lookup`` of keys that may stand there several times: the row is meant whose columns are as in ``same``."""
         found = np.zeros(len(keys), bool)
-        out = {k: np.zeros(len(keys), d) for k, d in self.columns.items()}
+        out = {k: np.zeros(len(keys), "<u8" if d == "<u4" else d) for k, d in self.columns.items()}
         shards = self.shard_of(keys)
         cuts = np.flatnonzero(np.diff(shards)) + 1
         for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True):
@@ -144,6 +157,9 @@ class HashArrays:
                 for k in out:
                     out[k][own[hit]] = values[k][i[hit]]
                 own, i = own[~hit], i[~hit] + 1
+        for j, (k, d) in enumerate(self.columns.items()):
+            if d == "<u4" and len(at := np.flatnonzero(out[k] >= self.LIMIT)):
+                out[k][at] = self.large().find(keys[at], {"column": np.full(len(at), j, np.uint64)})[1]["value"]
         return found, out
 
 
