@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import HashArrays, bits_for, bounded, map_file, scratch, stored, write_file
+from .shared import HashArrays, bits_for, bounded, map_file, scratch, write_file
 
 SPACE = " \t\n\x0b\x0c\r"
 BITS_PER_KEY, MIN_SEGMENT_BITS, MAX_SEGMENT_BITS, MAX_BITS = 8, 20, 23, 36
@@ -108,7 +108,8 @@ class TwiceSeen:
         return out
 
 
-def _build(docs: DataFrame, text: str, seen: TwiceSeen, min_chars: int, lines: int) -> None:
+def _build(docs: DataFrame, text: str, seen: TwiceSeen, min_chars: int, lines: int) -> int:
+    """Writes the filter; how many bits it has."""
     def partials(batches):
         held: list[np.ndarray] = []
         count = 0
@@ -150,10 +151,12 @@ def _build(docs: DataFrame, text: str, seen: TwiceSeen, min_chars: int, lines: i
         made = dealt.groupBy("segment", "part").applyInArrow(part, "segment long, once binary, twice binary").groupBy("segment").applyInArrow(join, "segment long, n long")
     else:
         made = rows.groupBy("segment").applyInArrow(merge, "segment long, n long")
-    made.agg(F.sum("n")).collect()
+    return made.agg(F.sum("n")).first()[0] or 0
 
 
-def _confirm(docs: DataFrame, doc_id: str, text: str, seen: TwiceSeen, min_chars: int, min_docs: int, uri: str) -> HashArrays:
+def _confirm(docs: DataFrame, doc_id: str, text: str, seen: TwiceSeen, min_chars: int, min_docs: int, uri: str, bits: int) -> HashArrays:
+    """Sorted arrays of the confirmed lines. ``bits`` of the filter tell how many there may be: a repeated line has two."""
+
     def suspects(batches):
         for batch in batches:
             ids, keys, hashes = [], [], []
@@ -168,9 +171,8 @@ def _confirm(docs: DataFrame, doc_id: str, text: str, seen: TwiceSeen, min_chars
     repeats = docs.select(doc_id, text).mapInArrow(suspects, "digest binary, doc_id long")
     held = repeats.groupBy("digest", "doc_id").agg(F.count("*").alias("n"))  # a frequent line is counted by many tasks
     counted = held.groupBy("digest").agg(F.sum(F.when(F.col("doc_id").isNull(), F.col("n")).otherwise(1)).alias("n"), F.max("doc_id").alias("keeper"))
-    confirmed = stored(counted.where(F.col("n") >= min_docs), "confirmed", uri)
-    n = confirmed.count()
-    arrays = HashArrays(uri, "lines", bits_for(n, 1 << 20), {"b": "<u8", "c": "<u8", "d": "<u8", "keeper": "<i8"})
+    confirmed = counted.where(F.col("n") >= min_docs)
+    arrays = HashArrays(uri, "lines", bits_for(bits / 2, 1 << 20), {"b": "<u8", "c": "<u8", "d": "<u8", "keeper": "<i8"})
 
     def write(batches):
         shard, held = None, []
@@ -222,8 +224,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     docs = bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *more)
     lines = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0
     seen = TwiceSeen(uri, min(MAX_BITS, max(16, int(np.ceil(np.log2(max(1, lines * BITS_PER_KEY)))))))
-    _build(docs, "text", seen, min_chars, lines)
-    arrays = _confirm(docs, "doc_id", "text", seen, min_chars, min_docs, uri)
+    bits = _build(docs, "text", seen, min_chars, lines)
+    arrays = _confirm(docs, "doc_id", "text", seen, min_chars, min_docs, uri, bits)
 
     def rewrite(batches):
         for batch in batches:
