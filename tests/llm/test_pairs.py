@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 
+from veritrail import store
 from veritrail.llm import decontamination, line_dedup, near_dedup, shared
 
 DOCS = "doc_id long, text string, bucket string, n_hit long, shingles string"  # names that operators use inside
@@ -218,9 +220,64 @@ def test_nothing_to_find(spark):
 def test_proximity(spark):
     items = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
     rows = [(1, "alpha beta gamma delta"), (2, "alpha x beta gamma y delta"), (3, "delta gamma beta alpha"), (4, "alpha beta gamma"), (5, "alpha " + "z " * 20 + "beta gamma delta")]
-    index = decontamination.Index(docs(spark, rows), items)
-    assert sorted(r.doc_id for r in index.near(2).collect()) == [1, 2] and sorted(r.doc_id for r in index.near(0).collect()) == [1]
-    assert [(r.doc_id, r.pos, r.length) for r in index.phrases().collect()] == [(1, 0, 4)]
+    found = decontamination.Matches(decontamination.Index(docs(spark, rows)), items)
+    assert sorted(r.doc_id for r in found.near(2).collect()) == [1, 2] and sorted(r.doc_id for r in found.near(0).collect()) == [1]
+    assert [(r.doc_id, r.pos, r.length) for r in found.phrases().collect()] == [(1, 0, 4)]
+
+
+def near_windows(doc_rows, items, slop, window):
+    """Windows with an assignment of their words to different document words near their places, by trying all."""
+
+    def fits(need, word, used):
+        if not need:
+            return True
+        (j, t), *rest = need
+        return any(word.get(p) == t and p not in used and fits(rest, word, used | {p}) for p in range(j - slop, j + slop + 1))
+
+    index = Counter(x for _, t in doc_rows for x in t.split())
+    out = set()
+    for item, text in items:
+        v = text.split()
+        k = min(len(v), window)
+        for s in range(len(v) - k + 1):
+            own = list(enumerate(v[s : s + k], s))
+            if not all(index[t] for _, t in own):
+                continue
+            j1, rare = min(own, key=lambda x: (index[x[1]], x[0]))
+            for i, t in doc_rows:
+                word = dict(enumerate(t.split()))
+                if any(fits([(p - j1 + j, t) for j, t in own], word, set()) for p, x in word.items() if x == rare):
+                    out.add((item, s, i))
+    return out
+
+
+@pytest.mark.parametrize("slop", [0, 1, 2])
+def test_proximity_takes_words_once(spark, slop):
+    rng = random.Random(9)
+    items = [(1, "alpha alpha"), (2, "a b a b c"), (3, "x"), (4, "a a a b"), (5, "c b a d a c")]
+    rows = [(1, "alpha"), (2, "alpha alpha"), (3, "alpha z alpha"), (4, "")] + [(10 + k, " ".join(rng.choice("aabbcdx") for _ in range(rng.randrange(1, 12)))) for k in range(25)]
+    found = decontamination.Matches(decontamination.Index(docs(spark, rows)), spark.createDataFrame(items, "item_id long, text string"), window=4)
+    got = {(r.item_id, r.s, r.doc_id) for r in found.near(slop).collect()}
+    assert got == near_windows(rows, items, slop, 4) and got
+
+
+def test_an_index_serves_several_benchmarks(spark):
+    text = [f"w{k}" for k in range(30)]
+    index = decontamination.Index(docs(spark, [(1, " ".join(text)), (2, "w3 other w4")]))
+    for first in (0, 7):
+        items = spark.createDataFrame([(first, " ".join(text[first : first + 12]))], "item_id long, text string")
+        assert [(r.item_id, r.doc_id, r.pos, r.length) for r in decontamination.Matches(index, items).phrases().collect()] == [(first, 1, first, 12)]
+
+
+@pytest.mark.parametrize("most", [16 << 20, -1])
+def test_rows_of_repeated_and_missing_ids(spark, monkeypatch, most):
+    """Each row by itself, also where nothing is small enough to broadcast."""
+    monkeypatch.setattr(store, "MOST_BROADCAST", most)
+    v = [f"v{k}" for k in range(12)]
+    rows = [(1, " ".join(v[:5])), (1, "x x x x x " + " ".join(v[5:10])), (2, " ".join(v)), (2, " ".join(v)), (2, "clean"), (None, " ".join(v[1:])), (None, "clean"), (None, None)]
+    got = decontamination.decontaminate(docs(spark, rows), spark.createDataFrame([(7, " ".join(v))], "item_id long, text string"), carry="bucket").collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got), key=str) == sorted([(1, 5, 0, []), (1, 10, 0, []), (2, 12, 12, ["7"]), (2, 12, 12, ["7"]), (2, 1, 0, []), (None, 11, 11, ["7"]), (None, 1, 0, []), (None, 0, 0, [])], key=str)
+    assert {r.bucket for r in got} == {"x"}
 
 
 @pytest.mark.parametrize("text", ["ÀB C", "", None, "İSTANBUL k", "a_b c-d"])
