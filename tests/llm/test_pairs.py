@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from veritrail import store
+from veritrail.store import scratch
 from veritrail.llm import decontamination, line_dedup, near_dedup, shared
 
 DOCS = "doc_id long, text string, bucket string, n_hit long, shingles string"  # names that operators use inside
@@ -65,11 +66,35 @@ def test_near_duplicates(spark, monkeypatch):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs(spark, rows)).collect()}
     assert got == {i: (n, c, c == i) for i, (n, c) in want.items()}
     assert len({c for _, c in want.values()}) < len(rows) - 50
-    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    monkeypatch.setattr(near_dedup, "LED", 4)
+    monkeypatch.setattr(store, "MOST_BROADCAST", -1)
     again = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs(spark, rows)).collect()}
     assert again == {i: c for i, (_, c) in want.items()}
 
 
+def test_cells_meet_every_pair_of_components_once(spark, monkeypatch):
+    """Of a bucket with a large component and some small ones, with blocks of a few classes."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    component = [0] * 20 + [1] * 5 + [2] * 4 + [3]
+    regs = np.zeros(near_dedup.REGISTERS, np.uint16).tobytes()
+    classes = spark.createDataFrame([(k, 10, bytearray(regs)) for k in range(30)], "rep long, n long, registers binary")
+    bands = spark.createDataFrame([(7, 0, k) for k in range(30)] + [(8, 0, k) for k in range(9)], "bucket long, band byte, rep long")
+    labels = spark.createDataFrame(list(enumerate(component)), "rep long, component long")
+    got = near_dedup._suspects(bands, labels, classes, 0.75, scratch(spark, "t"), 30).collect()
+    assert {r.bucket for r in got} == {7} and {r.rep for r in got} == set(range(30))
+    together = {(min(a.rep, b.rep), max(a.rep, b.rep)) for a in got for b in got if a.cell == b.cell and a.component != b.component}
+    assert together == {(a, b) for a in range(30) for b in range(a + 1, 30) if component[a] != component[b]}
+    assert max(Counter(r.cell for r in got).values()) <= 14
+
+
+def test_pairs_of_ranges():
+    low, high = np.array([1, 2, 5, 3, 5]), np.array([5, 5, 5, 5, 5])
+    want = [(x, y) for x in range(5) for y in range(low[x], high[x])]
+    for most in (1, 2, 100):
+        assert [(int(a), int(b)) for x, y in near_dedup._pairs(low, high, most) for a, b in zip(x, y, strict=True)] == want
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(docs(spark, [])).count() == 0
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (4, None)]

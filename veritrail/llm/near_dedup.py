@@ -14,10 +14,15 @@ probability near the Jaccard similarity for b near 1.
 3. A pair's similarity is estimated by joint likelihood of both register arrays;
    hopeless pairs go. The rest is confirmed on full shingle sets.
 4. Links make components. Buckets whose classes then lie in several components are
-   looked at again: sketches tell which classes may have a partner in another
-   component, and the full sets of these are compared in their bucket's task. It
-   gives the links that join components, one less than it joins: nothing is lost to
-   the choice of leaders, and no rows stand for other pairs.
+   looked at again: the classes outside of a bucket's largest component meet all others
+   there, in blocks. Sketches tell which may have a partner in another component, and
+   the full sets of these are compared in their block's task. It gives the links that
+   join components, one less than it joins: nothing is lost to the choice of leaders,
+   and no rows stand for other pairs. A bucket of one component, as a large group of
+   near copies makes it, costs nothing here.
+
+Hot keys: buckets are joined with stored tables, so Spark can split them; a leader of
+more than ``LED`` classes is copied, and its classes are dealt out among the copies.
 
 Texts without words are linked with nothing. A null doc_id takes part in no link.
 Rows that repeat a doc_id are one document: whatever any of them is linked with, it is
@@ -42,8 +47,10 @@ REGISTERS = BANDS * ROWS
 B, A, Q = 1.001, 20.0, (1 << 16) - 2
 #: A pair goes unconfirmed only if its estimate is so many standard errors too low.
 SIGMAS = 6.0
-#: Classes and shingles of a bucket that one task compares at most, times two.
-BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
+#: Classes and shingles of a block of a bucket: two blocks are compared at a time.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Classes that are compared with one copy of their leader.
+LED = 1024
 
 with np.errstate(over="ignore"):
     _seeds = mix(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -167,10 +174,22 @@ def _banded(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "registers").mapInArrow(run, "bucket long, band byte, rep long")
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+def _with_leader(pairs: DataFrame, table: DataFrame, n: int) -> DataFrame:
+    """``pairs`` (a, b; stored, n rows) with the columns of ``table``, one of which is a. A leader of many has copies."""
+    if n <= LED:
+        return pairs.join(table, "a")
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / LED).cast("int").alias("copies")).where("copies > 1")
+    many = small(many)
+    copies = F.coalesce("copies", F.lit(1))
+    salted = pairs.join(many, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), copies).cast("int")).drop("copies")
+    copied = table.join(many, "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies")
+    return salted.join(copied, ["a", "salt"]).drop("salt")
+
+
+def _estimated(pairs: DataFrame, classes: DataFrame, threshold: float, rows: int) -> DataFrame:
     """Pairs whose sizes and sketches allow the similarity."""
     c = classes.select("rep", "n", "registers")
-    both = pairs.join(c.toDF("a", "na", "ra"), "a").join(c.toDF("b", "nb", "rb"), "b").where(F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb"))
+    both = _with_leader(pairs, c.toDF("a", "na", "ra"), rows).join(c.toDF("b", "nb", "rb"), "b").where(F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb"))
     least = _least(threshold)
 
     def run(it):
@@ -197,8 +216,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "fingerprint binary, shingles array<long>").join(small(wanted.select("rep", "fingerprint")), "fingerprint").select("rep", "shingles")
 
 
-def _wanted(reps: DataFrame, classes: DataFrame, label: str, uri: str) -> DataFrame:
-    return stored(classes.join(small(reps.distinct()), "rep", "left_semi").select("rep", "lead", "fingerprint"), label, uri, True)
+def _wanted(reps: DataFrame, classes: DataFrame, label: str, uri: str, rows: int) -> DataFrame:
+    return stored(classes.join(small(reps.distinct()), "rep", "left_semi").select("rep", "lead", "fingerprint"), label, uri, rows)
 
 
 def _same_documents(named: DataFrame, classes: DataFrame) -> DataFrame:
@@ -209,24 +228,23 @@ def _same_documents(named: DataFrame, classes: DataFrame) -> DataFrame:
     return links.join(c.toDF("lo", "a"), "lo").join(c.toDF("fingerprint", "b"), "fingerprint").select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, uri: str) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, uri: str, rows: int) -> DataFrame:
     """Pairs whose full shingle sets are similar enough."""
-    sets = _sets(docs, _wanted(pairs.select(F.explode(F.array("a", "b")).alias("rep")), classes, "wanted0", uri))
-    both = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
+    sets = _sets(docs, _wanted(pairs.select(F.explode(F.array("a", "b")).alias("rep")), classes, "wanted0", uri, rows))
+    both = _with_leader(pairs, sets.toDF("a", "sa"), rows).join(sets.toDF("b", "sb"), "b")
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
     ok = F.lit(100) * shared >= F.lit(percent) * (F.size("sa") + F.size("sb") - shared)
     return both.where(ok).select("a", "b").distinct()
 
 
-def _pairs_within(starts: np.ndarray, sizes: np.ndarray, most: int):
-    """Index pairs x < y within runs of rows, at most about ``most`` at a time."""
-    left = np.repeat(starts + sizes, sizes) - np.arange(starts[0], starts[-1] + sizes[-1]) - 1  # partners after each row
-    row = np.arange(starts[0], starts[-1] + sizes[-1])
+def _pairs(low: np.ndarray, high: np.ndarray, most: int):
+    """Index pairs of each row x and all of low[x] to high[x] - 1, about ``most`` at a time."""
+    left, row = high - low, np.arange(len(low))
     cuts = np.searchsorted(np.cumsum(left), np.arange(most, left.sum() + most, most))
     for i, j in zip([0, *(cuts + 1)], [*(cuts + 1), len(row)], strict=True):
-        x = np.repeat(row[i:j], left[i:j])
-        if len(x):
-            yield x, x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(left[i:j]) - left[i:j], left[i:j])
+        n = left[i:j]
+        if n.sum():
+            yield np.repeat(row[i:j], n), np.repeat(low[i:j], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
 def _whole_cells(it, least: int = 1 << 14):
@@ -254,27 +272,44 @@ def _starts(bucket: np.ndarray, cell: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (cell[1:] != cell[:-1])]))
 
 
-def _suspects(bands: DataFrame, labels: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+def _suspects(bands: DataFrame, labels: DataFrame, classes: DataFrame, threshold: float, uri: str, rows: int) -> DataFrame:
     """bucket, cell, rep, component: classes that have a partner in another component in their bucket, as far as sketches tell.
 
-    A bucket with many shingles is dealt out as pairs of blocks. A pair that shares
+    A bucket's classes are dealt out in blocks: ``few`` of those outside of its largest
+    component, ``most`` of the others. Each of the first meets each of the second in a
+    cell, and each other one of the first in another; side 1 of a cell is compared with
+    side 0, and with itself where the cell is the first of its block. A pair that shares
     several buckets is looked at in the first of their bands.
     """
-    held = bands.join(labels, "rep").join(classes.select("rep", "n", "registers"), "rep")
-    mixed = held.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), F.sum("n").alias("s")).where("lo < hi")
-    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("s") / BLOCK_SHINGLES)).cast("int")
-    members = held.join(mixed.select("bucket", blocks.alias("g")), "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.least(j, F.col("block")) * F.col("g") + F.greatest(j, F.col("block")))
-    dealt = members.withColumn("cell", F.explode(cells)).select("bucket", "band", "cell", "rep", "component", "n", "registers")
+    held = bands.select("bucket", "band", "rep").join(labels, "rep").join(classes.select("rep", "n"), "rep")
+    each = held.groupBy("bucket", "component").agg(F.struct(F.count("*").alias("c"), F.sum("n").alias("s"), F.col("component").alias("top")).alias("x"))
+    mixed = each.groupBy("bucket").agg(F.max("x").alias("x"), F.sum("x.c").alias("c"), F.sum("x.s").alias("s"), F.count("*").alias("k")).where("k > 1")
+    blocks = lambda c, s: F.greatest(F.ceil(c / BLOCK), F.ceil(s / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    mixed = mixed.select("bucket", "x.top", blocks(F.col("x.c"), F.col("x.s")).alias("most"), blocks(F.col("c") - F.col("x.c"), F.col("s") - F.col("x.s")).alias("few"))
+    members = held.join(small(stored(mixed, "mixed", uri, rows)), "bucket").withColumn("own", F.col("component") != F.col("top"))
+    members = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("own"), F.col("few")).otherwise(F.col("most"))).cast("int"))
+    block, few, most = F.col("block"), F.col("few"), F.col("most")
+    cell = lambda number, side, inner: F.struct(number.cast("int").alias("cell"), side.cast("byte").alias("side"), inner.alias("inner"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    none = F.lit(False)
+    theirs = F.transform(upto(few), lambda i: cell(i * most + block, F.lit(0), none))
+    ours = F.transform(upto(most), lambda j: cell(block * most + j, F.lit(1), j == 0))
+    others = F.transform(F.filter(upto(few), lambda i: i != block), lambda i: cell(few * most + F.least(i, block) * few + F.greatest(i, block), i < block, none))
+    dealt = members.join(classes.select("rep", "registers"), "rep").withColumn("x", F.explode(F.when(F.col("own"), F.concat(ours, others)).otherwise(theirs)))
+    dealt = dealt.select("bucket", "band", "x.cell", "x.side", "x.inner", "rep", "component", "n", "registers")
     least = _least(threshold)
 
     def run(it):
         for table in _whole_cells(it):
-            rep, comp, n, band, bucket, cell = (table[k].to_numpy() for k in ("rep", "component", "n", "band", "bucket", "cell"))
+            rep, comp, n, band, bucket, cell, side, inner = (table[k].to_numpy() for k in ("rep", "component", "n", "band", "bucket", "cell", "side", "inner"))
             regs = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
             starts = _starts(bucket, cell)
+            sizes, place = np.diff(np.append(starts, len(rep))), np.arange(len(rep))
+            end = np.repeat(starts + sizes, sizes)
+            zero = np.repeat(starts + np.add.reduceat((side == 1).astype(np.int64), starts), sizes)  # where side 0 begins
+            low = np.where(side == 1, np.where(inner, place + 1, zero), end)
             flagged = np.zeros(len(rep), bool)
-            for x, y in _pairs_within(starts, np.diff(np.append(starts, len(rep))), 1 << 17):
+            for x, y in _pairs(low, end, 1 << 17):
                 ok = (comp[x] != comp[y]) & (np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]))
                 x, y = x[ok], y[ok]
                 for i in range(0, len(x), 4096):
@@ -285,15 +320,16 @@ def _suspects(bands: DataFrame, labels: DataFrame, classes: DataFrame, threshold
                     if len(u):
                         good = joint_similarity(regs[u], regs[v], n[u].astype(float), n[v].astype(float)) >= least
                         flagged[u[good]] = flagged[v[good]] = True
-            yield table.select(["bucket", "cell", "rep", "component"]).filter(pa.array(flagged)).combine_chunks().to_batches()[0] if flagged.any() else pa.RecordBatch.from_pylist([], table.select(["bucket", "cell", "rep", "component"]).schema)
+            got = table.select(["bucket", "cell", "rep", "component"]).filter(pa.array(flagged)).combine_chunks()
+            yield from got.to_batches()
 
-    return dealt.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell").mapInArrow(run, "bucket long, cell int, rep long, component long")
+    return dealt.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell", F.desc("side")).mapInArrow(run, "bucket long, cell int, rep long, component long")
 
 
-def _across(suspects: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, uri: str) -> DataFrame:
+def _across(suspects: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, uri: str, rows: int) -> DataFrame:
     """Links a, b between components, of full sets: in each cell as many as join all that can be joined there, fewer than it has components."""
-    sets = _sets(docs, _wanted(suspects.select("rep"), classes, "wanted1", uri))
-    rows = suspects.join(sets, "rep").select("bucket", "cell", "rep", "component", "shingles")
+    sets = _sets(docs, _wanted(suspects.select("rep"), classes, "wanted1", uri, rows))
+    full = suspects.join(sets, "rep").select("bucket", "cell", "rep", "component", "shingles")
 
     def links(rep, comp, sets, size):
         at = np.repeat(np.arange(len(rep)), size)
@@ -323,7 +359,7 @@ def _across(suspects: DataFrame, docs: DataFrame, classes: DataFrame, percent: i
             got = [p for i, j in zip(starts, [*starts[1:], len(rep)], strict=True) for p in links(rep[i:j], comp[i:j], flat[cut[i] : cut[j]], size[i:j])]
             yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in got], pa.int64()), "b": pa.array([p[1] for p in got], pa.int64())})
 
-    return rows.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell").mapInArrow(run, "a long, b long").distinct()
+    return full.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
@@ -335,36 +371,33 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = sketched.where("doc_id IS NOT NULL AND fingerprint IS NOT NULL")
     grouped = named.groupBy("fingerprint").agg(F.min("doc_id").alias("lead"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
     classes = stored(grouped.withColumn("rep", F.monotonically_increasing_id()), "classes", uri)
-    bands = stored(_shared_buckets(_banded(classes)), "bands", uri)
-    leaders = bands.groupBy("bucket").agg(F.min("rep").alias("a"))
-    led = bands.withColumnRenamed("rep", "b").join(leaders, "bucket").where("a < b").groupBy("b", "a").agg(F.count("*").alias("m"))
-    stars = led.groupBy("b").agg(F.max_by("a", F.struct("m", -F.col("a"))).alias("a")).select("a", "b")
-    likely = stored(_estimated(stars, classes, threshold), "likely", uri, True)
-    links = _confirmed(likely, docs, classes, percent, uri).unionByName(_same_documents(named, classes))
-    roots = component_roots(stored(links, "links0", uri, True), f"{uri}/components0")
-    labels = stored(classes.select("rep").join(roots, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component")), "labels0", uri, True)
-    suspects = stored(_suspects(bands, labels, classes, threshold), "suspects", uri, True)
-    found = stored(_across(suspects, docs, classes, percent, uri), "links1", uri, True)
+    n = classes.count()
+    banded = _banded(classes)
+    leaders = stored(banded.groupBy("bucket").agg(F.min("rep").alias("a"), F.count("*").alias("m")).where("m > 1").select("bucket", "a"), "leaders", uri)
+    bands = stored(banded.join(leaders, "bucket").select("bucket", "band", "rep", "a"), "bands", uri)
+    led = bands.where("a < rep").groupBy(F.col("rep").alias("b"), "a").agg(F.count("*").alias("m"))
+    stars = stored(led.groupBy("b").agg(F.max_by("a", F.struct("m", -F.col("a"))).alias("a")).select("a", "b"), "stars", uri, n)
+    likely = stored(_estimated(stars, classes, threshold, n), "likely", uri, n)
+    links = _confirmed(likely, docs, classes, percent, uri, n).unionByName(_same_documents(named, classes))
+    roots = component_roots(stored(links, "links0", uri, n), f"{uri}/components0", n)
+    labels = stored(classes.select("rep").join(roots, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component")), "labels0", uri, n)
+    suspects = stored(_suspects(bands, labels, classes, threshold, uri, n), "suspects", uri, n)
+    found = stored(_across(suspects, docs, classes, percent, uri, n), "links1", uri, n)
     ends = found.join(labels.toDF("a", "ca"), "a").join(labels.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    roots = component_roots(ends, f"{uri}/components1").toDF("component", "root")
+    roots = component_roots(ends, f"{uri}/components1", n).toDF("component", "root")
     labels = labels.join(roots, "component", "left").select("rep", F.coalesce("root", "component").alias("component"))
-    by_class = stored(classes.select("fingerprint", "lead", "rep").join(labels, "rep").select("fingerprint", "lead", "component"), "labels1", uri, True)
+    by_class = stored(classes.select("fingerprint", "lead", "rep").join(labels, "rep").select("fingerprint", "lead", "component"), "labels1", uri, n)
     least = by_class.groupBy("component").agg(F.min("lead").alias("least"), F.count("*").alias("m")).where("m > 1").select("component", "least")
-    by_print = by_class.join(small(stored(least, "least", uri, True)), "component", "left").select("fingerprint", F.coalesce("least", "lead").alias("component"))
+    by_print = by_class.join(small(stored(least, "least", uri, n)), "component", "left").select("fingerprint", F.coalesce("least", "lead").alias("component"))
+    by_print = stored(by_print, "components", uri, n)
     wordless = small(sketched.where("doc_id IS NOT NULL AND fingerprint IS NULL").select("doc_id").distinct())
     other = named.join(wordless, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("fingerprint").alias("other"))  # of rows that repeat a wordless one's id
-    rows = sketched.select("doc_id", "n_shingles", "fingerprint").join(small(stored(other, "other", uri, True)), "doc_id", "left")
+    rows = sketched.select("doc_id", "n_shingles", "fingerprint").join(small(stored(other, "other", uri, n)), "doc_id", "left")
     out = rows.select("doc_id", "n_shingles", F.coalesce("fingerprint", "other").alias("fingerprint")).join(by_print, "fingerprint", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _shared_buckets(bands: DataFrame) -> DataFrame:
-    """Rows of buckets that hold two classes at least."""
-    several = bands.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
-    return bands.join(several, "bucket", "left_semi")
-
-
 def op5_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
