@@ -166,3 +166,72 @@ def test_sample_is_bounded(spark, monkeypatch):
     model = T.train(docs(spark, rows).select("doc_id", "text"), spark.createDataFrame([(i, 1 - i % 2) for i in range(1000)], "doc_id long, label int"))
     s = {r.doc_id: r.score for r in T.score(docs(spark, rows), model).collect()}
     assert s[0] > 0.7 > 0.3 > s[1]
+
+
+def scalar_ftrl(rows, epochs, alpha, beta, l1, l2):
+    """FTRL-proximal of the paper, a coordinate at a time on plain numbers. The coordinate None is the bias, without penalties of L1."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        lam = 0.0 if i is None else l1
+        if abs(z[i]) <= lam:
+            return 0.0
+        return -(z[i] - math.copysign(lam, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(epochs):
+        for x, y in rows:
+            w = {i: weight(i) for i in [*x, None]}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in w:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in list(z)}
+
+
+def test_ftrl_by_the_paper(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(T, "L1", 0.7)
+    rng = random.Random(8)
+    rows = [(sorted(rng.sample(range(40), rng.randrange(0, 9))), int(rng.random() < 0.4)) for _ in range(120)]
+    model = T.Ftrl(40)
+    for _ in range(3):
+        for x, y in rows:
+            model.learn(np.array([*x, 40]), y)
+    want = scalar_ftrl(rows, 3, T.ALPHA, T.BETA, 0.7, T.L2)
+    got = model.weights(np.arange(41))
+    assert all(math.isclose(got[40 if i is None else i], w, rel_tol=1e-9, abs_tol=1e-12) for i, w in want.items())
+    assert sum(w == 0 for w in got) >= 3 and len(want) == 41
+
+
+def test_scores_by_brute_force(spark):
+    """The whole operator on strings' feature numbers: learned in its order of rows, scored on sets."""
+    import numpy as np
+
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["good", "bad", "so", "Very", "é"]) for _ in range(rng.randrange(0, 12)))) for i in range(80)] + [(3, "bad bad again"), (None, "bad so")]
+    labels = [(i, int("bad" in t), 0) for i, t in rows if i is not None]
+    got = T.toxicity(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int, quality int"), carry="text").collect()
+
+    def features(t):
+        w = t.lower().split()
+        grams = [(x,) for x in w] + [(a, 1, b) for a, b in zip(w, w[1:], strict=False)] + [(a, 2, b) for a, b in zip(w, w[2:], strict=False)]
+        return set(grams)
+
+    learned = [(i, t) for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 3 != 1]
+    order = {r.doc_id: r.h for r in spark.createDataFrame([(i,) for i in range(80)], "doc_id long").selectExpr("doc_id", "xxhash64(doc_id) AS h").collect()}
+
+    def numbers(t):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        return sorted(set(T.features(raw, np.array([0, len(raw)]))[0].tolist()))
+
+    label = {i: y for i, y, _ in labels}
+    for i, y, _ in labels:
+        label[i] = max(label[i], y)
+    learned.sort(key=lambda r: (order[r[0]], r[0], numbers(r[1])))
+    weights = scalar_ftrl([(features(t), label[i]) for i, t in learned], T.EPOCHS, T.ALPHA, T.BETA, T.L1, T.L2)
+    for r in got:
+        s = 1 / (1 + math.exp(-sum(weights.get(f, 0.0) for f in [*features(r.text), None])))
+        assert math.isclose(r.score, s, rel_tol=1e-9), r
+    assert any(w for f, w in weights.items() if f is not None)

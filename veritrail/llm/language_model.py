@@ -279,7 +279,7 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER) -> Model:
     grid = Grid(bits_for(size / 6, 1 << 20))
     highest = HashArrays(uri, f"order{order}", grid.bits, {"n": "<u4"})
     levels = {k: Level(k, HashArrays(uri, f"order{k}", bits_for(size / 6, 1 << 20), dict.fromkeys(["n", *CONTEXT], "<u4"))) for k in range(2, order)}
-    levels[1] = Level(1, HashArrays(uri, "order1", bits_for(size / 60, 1 << 18), dict.fromkeys(["n", *CONTEXT, "c"], "<u8")))
+    levels[1] = Level(1, HashArrays(uri, "order1", bits_for(size / 60, 1 << 18), dict.fromkeys(["n", *CONTEXT], "<u4") | {"total": "<u8", "c": "<u8"}))
     schema = "level int, shard long, block binary"  # level 0: sums
 
     def rows_of(rows: list[tuple]) -> pa.RecordBatch:

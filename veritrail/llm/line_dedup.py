@@ -220,8 +220,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     """doc_id, kept_text, n_lines and n_dropped of each row; a text is kept whole where no line goes. ``carry``: a column that goes along."""
     spark = docs.sparkSession
     uri = scratch(spark, "lines")
-    more = [carry] if carry else []
-    docs = bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *more)
+    more = [T.StructField(carry, docs.schema[carry].dataType)] if carry else []
+    docs = bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *(F.col(carry).alias("carry") for _ in more))
     lines = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0
     seen = TwiceSeen(uri, min(MAX_BITS, max(16, int(np.ceil(np.log2(max(1, lines * BITS_PER_KEY)))))))
     bits = _build(docs, "text", seen, min_chars, lines)
@@ -244,9 +244,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
             for r, gone in goes.items():
                 out[r] = "\n".join(line for i, line in enumerate(out[r].split("\n")) if i not in gone)
             dropped = [len(goes.get(r, ())) for r in range(len(out))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), *batch.columns[2:]], ["doc_id", "kept_text", "n_lines", "n_dropped", *more])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), *batch.columns[2:]], ["doc_id", "kept_text", "n_lines", "n_dropped", *(f.name for f in more)])
 
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), *(docs.schema[c] for c in more)])
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), *more])
     return docs.mapInArrow(rewrite, schema)
 
 

@@ -11,7 +11,8 @@ The model is fitted on a bounded sample of labelled rows: those with the smalles
 hashes of doc_id, ``TRAIN_ROWS`` or about as many. All else covers every row.
 
 Null and empty texts have no features and get the score of the bias alone. Null
-labels are not learned from. Rows that repeat a doc_id are scored each by itself.
+labels are not learned from; of several labels of a doc_id the largest counts. Rows that
+repeat a doc_id are learned and scored each by itself; a null doc_id is scored only.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import bounded
-from .words import ALNUM, batches, grams, hashes, rows_of
+from .words import ALNUM, batches, grams, hashes, mix, rows_of
 
 DIM_BITS = 20
 #: Bound of the sample that the model is fitted on.
@@ -38,7 +40,8 @@ def features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     found, rows = [words], [rows_of(at)]
     for offsets in ((0, 1), (0, 2)):
         x, cut = grams(words, at, offsets)
-        found.append(x + np.uint64(offsets[-1]))
+        with np.errstate(over="ignore"):
+            found.append(mix(x + np.uint64(offsets[-1])))  # a pair side by side is another feature than one with a word between
         rows.append(rows_of(cut))
     return (np.concatenate(found) >> np.uint64(64 - DIM_BITS)).astype(np.int64), np.concatenate(rows)
 
@@ -99,9 +102,11 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     return got.feature.to_numpy()[:-1], got.weight.to_numpy()[:-1], float(got.weight.iloc[-1])
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and the probability of label 1 of each row."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], doc_id: str = "doc_id", text: str = "text", carry: str | None = None) -> DataFrame:
+    """doc_id and the probability of label 1 of each row. ``carry``: a column that goes along."""
     at, weight, bias = model
+    more = [T.StructField(carry, docs.schema[carry].dataType)] if carry else []
+    docs = bounded(docs).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), *(F.col(carry).alias("carry") for _ in more))
 
     def run(it):
         dense = np.zeros(1 << DIM_BITS)
@@ -112,9 +117,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], doc_id:
                 hit = dense[x] != 0
                 key = np.unique(row[hit] << DIM_BITS | x[hit])
                 total = np.bincount(key >> DIM_BITS, dense[key & ((1 << DIM_BITS) - 1)], b - a) + bias
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, b - a), "score": 1 / (1 + np.exp(-np.clip(total, -35, 35)))})
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35)))), *(c.slice(a, b - a) for c in batch.columns[2:])], ["doc_id", "score", *(f.name for f in more)])
 
-    return bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType()), *more]))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -122,12 +127,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "utf-8")) % 3 == 1, F.lit(False))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted of each row, learning from the labels that are not held out."""
+def toxicity(docs: DataFrame, labels: DataFrame, carry: str | None = None) -> DataFrame:
+    """doc_id, held_out, score and predicted of each row, learning from the labels that are not held out. ``carry``: a column that goes along."""
     known = labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").alias("label"))
     model = train(docs.select("doc_id", "text").where(~held_out(F.col("doc_id"))), known)
-    out = score(docs, model)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    out = score(docs, model, carry=carry)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), *([carry] if carry else []))
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
