@@ -3,6 +3,12 @@
 Toxic documents go, repeated lines go, one document of each group of near copies
 stays, documents with passages of the benchmark go, and the rest is packed. Stages
 but the last return the columns of ``documents``; texts that change get a new n_chars.
+
+Rows that repeat a doc_id are judged each by its own text for toxicity and passages; as
+for near copies they are one document, which stays or goes with all its rows. A null
+doc_id takes no part in near copies; such rows are judged like others in the other stages.
+Null and empty texts are clean: they stay. Lines go from all documents but the one with
+the largest doc_id; an emptied text stays as an empty one. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -12,24 +18,34 @@ from pyspark.sql import functions as F
 
 from veritrail.llm import decontamination, line_dedup, near_dedup, packing
 from veritrail.llm import toxicity as toxic
-from veritrail.llm.shared import scratch, stored
+from veritrail.llm.shared import scratch, small, stored
+
+
+def _row(docs: DataFrame):
+    return F.struct(*(F.col(c) for c in docs.columns)).alias("_row")
 
 
-def _kept(docs: DataFrame, verdict: DataFrame, keep: str) -> DataFrame:
-    """Rows of documents that are kept. The rejected are few, so they are what is joined; a null doc_id stays."""
-    return docs.join(verdict.where(~F.col(keep)).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+def _without(docs: DataFrame, rejected: DataFrame, *key) -> DataFrame:
+    """Rows whose key columns (null equals null) are not among those of ``rejected``, which are few."""
+    rejected = small(stored(rejected.distinct(), "rejected"))
+    rows = docs.select(_row(docs), *(k.alias(f"_k{i}") for i, k in enumerate(key)))
+    named = rejected.toDF(*(f"_r{i}" for i in range(len(key))))
+    same = F.lit(True)
+    for i in range(len(key)):
+        same = same & F.col(f"_k{i}").eqNullSafe(F.col(f"_r{i}"))
+    return rows.join(named, same, "left_anti").select("_row.*")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    verdict = toxic.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _kept(docs, verdict.withColumn("keep", F.col("predicted") == 0), "keep")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    verdict = toxic.toxicity(docs.select("doc_id", "text", _row(docs)), labels, carry="_row")
+    return verdict.where("predicted = 0").select("_row.*")
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents repeat stay in one of them; an emptied document stays as an empty text."""
-    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
-    out = line_dedup.dedup_lines(rows, carry="_row")
+    out = line_dedup.dedup_lines(docs.select("doc_id", "text", _row(docs)), carry="_row")
     changed = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("_row.text"))
     columns = {"text": changed, "n_chars": F.when(F.col("n_dropped") > 0, F.length("kept_text").cast("long")).otherwise(F.col("_row.n_chars"))}
     return out.select(*(columns.get(c, F.col(f"_row.{c}")).alias(c) for c in docs.columns))
@@ -37,13 +53,15 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the smallest doc_id stays."""
-    return _kept(docs, near_dedup.near_duplicates(docs), "kept")
+    verdict = near_dedup.near_duplicates(docs)
+    return _without(docs, verdict.where("NOT kept").select("doc_id"), F.col("doc_id"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    verdict = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _kept(docs, verdict.withColumn("keep", ~F.col("contaminated")), "keep")
+    text = F.xxhash64("text")
+    verdict = decontamination.decontaminate(docs.withColumn("_text", text), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry="_text")
+    return _without(docs, verdict.where("contaminated").select("doc_id", "_text"), F.col("doc_id"), text)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +77,7 @@ STAGES = [
     ("best-fit packing", packed),
 ]
 
-#: A trained classifier and a tokenizer have no SQL form: tests hold run() against a brute-force version.
+#: A trained classifier and a tokenizer have no SQL form: a test holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
