@@ -241,23 +241,3 @@ def test_groups_as_they_come(spark, monkeypatch):
             held.setdefault(shard_of[g], []).append(n)
     assert sorted(sum(x) for x in held.values()) == best_fit([n for n in sizes.values() if 0 < n <= 400], 400)
     assert sharding.assign(spark.createDataFrame([], "g string, n long"), "g", "n", capacity=400).count() == 0
-
-
-def test_pipeline(spark):
-    """Each stage against what the operators' own tests hold: kept rows, order of stages, columns."""
-    import corpus_pipeline as P
-
-    from veritrail.llm.shared import stored
-
-    sf = "/root/testdata/sf0.001"
-    docs_ = spark.read.parquet(f"{sf}/documents.parquet")
-    columns, before = docs_.columns, docs_.count()
-    for k, (name, stage) in enumerate(P.STAGES):
-        docs_ = stored(stage(spark, docs_, sf), "s")
-        if k < 4:
-            assert docs_.columns == columns and 0 < docs_.count() <= before, name
-            before = docs_.count()
-            assert docs_.where("n_chars <> length(text)").count() == 0
-    last = {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in docs_.collect()}
-    again = {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in P.run(spark, sf).collect()}
-    assert last == again
