@@ -13,12 +13,23 @@ the largest doc_id; an emptied text stays as an empty one. Empty tables give emp
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritrail.llm import decontamination, line_dedup, near_dedup, packing
 from veritrail.llm import toxicity as toxic
-from veritrail.llm.shared import scratch, small, stored
+from veritrail.llm.shared import limit_batches, scratch, small, stored
+
+
+def _stage(apply):
+    @functools.wraps(apply)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        limit_batches(spark)
+        return apply(spark, docs, sf_dir)
+
+    return run
 
 
 def _row(docs: DataFrame):
@@ -36,6 +47,7 @@ def _without(docs: DataFrame, rejected: DataFrame, *key) -> DataFrame:
     return rows.join(named, same, "left_anti").select("_row.*")
 
 
+@_stage
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -43,6 +55,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return verdict.where("predicted = 0").select("_row.*")
 
 
+@_stage
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents repeat stay in one of them; an emptied document stays as an empty text."""
     out = line_dedup.dedup_lines(docs.select("doc_id", "text", _row(docs)), carry="_row")
@@ -51,12 +64,14 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return out.select(*(columns.get(c, F.col(f"_row.{c}")).alias(c) for c in docs.columns))
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the smallest doc_id stays."""
     verdict = near_dedup.near_duplicates(docs)
     return _without(docs, verdict.where("NOT kept").select("doc_id"), F.col("doc_id"))
 
 
+@_stage
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     text = F.xxhash64("text")
@@ -64,6 +79,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return _without(docs, verdict.where("contaminated").select("doc_id", "_text"), F.col("doc_id"), text)
 
 
+@_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences."""
     return packing.pack(docs)
