@@ -36,3 +36,29 @@ def test_long_words():
     raw = b"x" * 5000 + b" y"
     got, _ = W.hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), W.SPACED, 100)
     assert len(got) == 2 and int(got[0]) == one(b"x" * 5000, W.SPACED) != one(b"x" * 4999, W.SPACED)
+
+
+def test_files_are_kept_up_to_a_limit(tmp_path, monkeypatch):
+    from urllib.parse import urlparse
+
+    from veritrail.llm import shared
+
+    for k in range(4):
+        (tmp_path / f"{k}").write_bytes(bytes([k]) * 10)
+    files = shared.Files(limit=25)
+    assert all(files.get(f"file://{tmp_path}/{k}").tolist() == [k] * 10 for k in range(4)) and files.size == 0
+    assert files.get(f"file://{tmp_path}/none") is None
+    monkeypatch.setattr(shared, "urlparse", lambda x: urlparse(x)._replace(scheme="other"))
+    monkeypatch.setattr(shared, "_filesystem", lambda x: (__import__("pyarrow.fs").fs.LocalFileSystem(), urlparse(x).path))
+    files = shared.Files(limit=25)
+    assert [files.get(f"other://{tmp_path}/{k}").tolist() for k in range(4)] == [[k] * 10 for k in range(4)]
+    assert files.size == 20 and len(files.held) == 2
+
+
+def test_sessions_keep_their_own_limits(spark):
+    from veritrail.llm.shared import limit_batches
+
+    other = spark.newSession()
+    other.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "77")
+    limit_batches(other)
+    assert other.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "77" and other.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4m"

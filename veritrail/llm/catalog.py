@@ -10,12 +10,21 @@ from .media import op3_media
 from .near_dedup import OP5_SQL, op5_near_dedup
 from .packing import op9_packing
 from .sharding import op6_sharding
+from .shared import limit_batches
 from .toxicity import op7_toxicity
 from .warc import OP4_SQL, op4_warc
 
 
+def _limited(query):
+    def run(spark, sf_dir):
+        limit_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict:
-    return {
+    found = {
         "op1_decontamination": op1_decontamination,
         "op2_lm_scoring": op2_lm_scoring,
         "op3_media": op3_media,
@@ -27,6 +36,7 @@ def queries() -> dict:
         "op9_packing": op9_packing,
         "op10_line_dedup": op10_line_dedup,
     }
+    return {name: _limited(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import bounded, scratch, small, stored
+from .shared import scratch, small, stored
 
 #: What stands between words, after lower-casing A-Z.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -52,7 +52,7 @@ class Index:
     """Stored postings of a corpus: t (term), row and pos; where t is null: doc_id and the column ``carry`` of the row, and as pos its number of words."""
 
     def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: str | None = None):
-        self.uri = scratch(bounded(docs).sparkSession, "index")
+        self.uri = scratch(docs.sparkSession, "index")
         more = [F.col(carry).alias("carry")] if carry else []
         rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), *more, F.concat(words(F.col(text)), F.array(F.lit(""))).alias("w"))
         flat = rows.select("row", "doc_id", *["carry"] * len(more), F.posexplode("w").alias("pos", "term"))

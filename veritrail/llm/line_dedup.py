@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import HashArrays, bits_for, bounded, map_file, scratch, write_file
+from .shared import HashArrays, bits_for, map_file, scratch, write_file
 
 SPACE = " \t\n\x0b\x0c\r"
 BITS_PER_KEY, MIN_SEGMENT_BITS, MAX_SEGMENT_BITS, MAX_BITS = 8, 20, 23, 36
@@ -221,7 +221,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     spark = docs.sparkSession
     uri = scratch(spark, "lines")
     more = [T.StructField(carry, docs.schema[carry].dataType)] if carry else []
-    docs = bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *(F.col(carry).alias("carry") for _ in more))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *(F.col(carry).alias("carry") for _ in more))
     lines = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0
     seen = TwiceSeen(uri, min(MAX_BITS, max(16, int(np.ceil(np.log2(max(1, lines * BITS_PER_KEY)))))))
     bits = _build(docs, "text", seen, min_chars, lines)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded, open_file, scratch, stored, write_file
+from .shared import open_file, scratch, stored, write_file
 
 FRAME, PAD = 576, 255
 RATE, UP, DOWN = 20_000, 2, 5  # to 8 kHz: the filter has two branches
@@ -173,7 +173,7 @@ def with_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
                 texts = part.column(1).to_pylist()
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len((x or "").encode()) for x in texts], pa.int64()), pa.array([store(padded(x)) for x in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tensor_file string"
@@ -182,7 +182,7 @@ FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string
 def media_features(media: DataFrame) -> DataFrame:
     """``FEATURES`` of each row, from its stored media and tensors: sizes, hashes, feature, and the file that holds its tensors."""
     uri = scratch(media.sparkSession, "media")
-    held = stored(bounded(media).select("doc_id", "n_bytes", "media"), "media", uri)
+    held = stored(media.select("doc_id", "n_bytes", "media"), "media", uri)
 
     def run(it):
         names, kinds = zip(*(x.split() for x in FEATURES.split(", ")), strict=True)
@@ -302,7 +302,7 @@ def feature_table(media: DataFrame) -> DataFrame:
                 for k, start, end, n, part, inside in tensors(payload(x.as_py())):
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array([i], pa.int64()), "k": pa.array([k], pa.int32()), "start_ms": [start], "end_ms": [end], "frames": pa.array([n], pa.int32()), "log_mel": pa.array([part.reshape(-1)], pa.list_(pa.float32())), "spans": pa.array([inside], SPANS)})
 
-    return bounded(media).select("doc_id", "media").mapInArrow(run, "doc_id long, k int, start_ms double, end_ms double, frames int, log_mel array<float>, spans array<struct<start_ms: double, end_ms: double>>")
+    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, k int, start_ms double, end_ms double, frames int, log_mel array<float>, spans array<struct<start_ms: double, end_ms: double>>")
 
 
 def to_arrow(features: pa.Table) -> pa.Table:

@@ -2,40 +2,39 @@
 
 Scratch data (tables between passes, filters, hashed models) goes below
 ``spark.checkpoint.dir``. Workers reach it through ``pyarrow.fs``, so any scheme
-that library knows will do; a local or mounted path is mapped in place, another
-one is copied once into the worker's temporary folder and mapped there.
+that library knows will do. A local or mounted path is mapped in place; of another one
+a worker keeps the files in memory that it used last, so mount it for large models.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
+from collections import OrderedDict
 from urllib.parse import unquote, urlparse
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import SparkSession
 
 from ..store import scratch, small, stored  # noqa: F401  (operators take all of it from here)
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """``df``; batches that its session reads and sends to Python workers hold a few megabytes from now on, whatever the rows' length.
+def limit_batches(spark: SparkSession) -> None:
+    """Batches that this session reads and sends to Python workers hold a few megabytes from now on, whatever the rows' length.
 
     The defaults fit narrow rows: 4,096 texts are read at a time, and 64 MB sent, of
-    which the JVM and the worker hold several. A session that has its own limits keeps
-    them.
+    which the JVM and the worker hold several. Operators leave a session's settings
+    alone: call this where the session is made, or set limits of your own, which are
+    kept. The queries and the pipeline call it.
     """
-    conf = df.sparkSession.conf
     defaults = {
         "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "4000"),
         "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m"),
         "spark.sql.parquet.columnarReaderBatchSize": ("4096", "1024"),
     }
     for key, (default, value) in defaults.items():
-        if conf.get(key, default) == default:
-            conf.set(key, value)
-    return df
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, value)
 
 
 def _filesystem(uri: str):
@@ -65,26 +64,39 @@ def open_file(uri: str):
     return fs.open_input_file(path)
 
 
-_mapped: dict[str, np.ndarray | None] = {}
+class Files:
+    """Bytes of shared files that this process looked at last: local ones mapped, others read into memory up to ``limit`` bytes together."""
 
+    def __init__(self, limit: int = 256 << 20, most: int = 1 << 16):
+        self.limit, self.most, self.held, self.size = limit, most, OrderedDict(), 0
 
-def map_file(uri: str) -> np.ndarray | None:
-    """Bytes of a shared file, memory-mapped and kept by this process; None where there is none."""
-    if uri not in _mapped:
+    def get(self, uri: str) -> np.ndarray | None:
+        """None where there is none."""
+        if uri in self.held:
+            self.held.move_to_end(uri)
+            return self.held[uri][0]
         fs, path = _filesystem(uri)
-        if not fs.get_file_info(path).is_file:
-            _mapped[uri] = None
-        else:
-            if urlparse(uri).scheme != "file":
-                with fs.open_input_stream(path) as src:
-                    handle, path = tempfile.mkstemp(prefix="veritrail-")
-                    with os.fdopen(handle, "wb") as out:
-                        while piece := src.read(1 << 22):
-                            out.write(piece)
-            _mapped[uri] = np.memmap(path, dtype=np.uint8, mode="r") if os.path.getsize(path) else np.zeros(0, np.uint8)
-            if urlparse(uri).scheme != "file":
-                os.unlink(path)  # stays readable while mapped
-    return _mapped[uri]
+        found, cost = None, 0
+        if fs.get_file_info(path).is_file:
+            if urlparse(uri).scheme == "file":
+                found = np.memmap(path, dtype=np.uint8, mode="r") if os.path.getsize(path) else np.zeros(0, np.uint8)
+            else:
+                with fs.open_input_file(path) as src:
+                    found = np.frombuffer(src.read(), np.uint8)
+                cost = len(found)
+        self.held[uri] = found, cost
+        self.size += cost
+        while len(self.held) > 1 and (self.size > self.limit or len(self.held) > self.most):
+            self.size -= self.held.popitem(last=False)[1][1]
+        return found
+
+
+_files = Files()
+
+
+def map_file(uri: str) -> np.ndarray | None:
+    """Bytes of a shared file; None where there is none."""
+    return _files.get(uri)
 
 
 class HashArrays:

@@ -23,7 +23,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bounded
 from .words import ALNUM, batches, grams, hashes, mix, rows_of
 
 DIM_BITS = 20
@@ -73,7 +72,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     if n > TRAIN_ROWS:
         labels = labels.where(order < int((1 << 30) * TRAIN_ROWS / n))
         docs = docs.where(order < int((1 << 30) * TRAIN_ROWS / n))
-    rows = bounded(docs).select("doc_id", "text").join(labels, "doc_id")
+    rows = docs.select("doc_id", "text").join(labels, "doc_id")
 
     def extract(it):
         for batch in it:
@@ -106,7 +105,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], doc_id:
     """doc_id and the probability of label 1 of each row. ``carry``: a column that goes along."""
     at, weight, bias = model
     more = [T.StructField(carry, docs.schema[carry].dataType)] if carry else []
-    docs = bounded(docs).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), *(F.col(carry).alias("carry") for _ in more))
+    docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), *(F.col(carry).alias("carry") for _ in more))
 
     def run(it):
         dense = np.zeros(1 << DIM_BITS)

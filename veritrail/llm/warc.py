@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bounded, open_file, scratch, stored, write_file
+from .shared import open_file, scratch, small, stored, write_file
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT, WINDOW, HEADER = 8 << 20, 1 << 20, 1 << 16
@@ -178,18 +178,19 @@ def read(spark: SparkSession, files: DataFrame, split: int = SPLIT) -> DataFrame
                             rows, held = [], 0
                 yield flush()
 
-    dealt = bounded(ranges).repartition(max(1, min(100_000, ranges.count())), F.xxhash64("file", "start"))
+    dealt = ranges.repartition(max(1, min(100_000, ranges.count())), F.xxhash64("file", "start"))
     return dealt.mapInArrow(run, RECORD)
 
 
 def archive_pages(pages: DataFrame, uri: str, page_id: str = "page_id", html: str = "html", url: str = "url", least: int = 0) -> DataFrame:
     """Archives of pages, deduplicated from ``least`` payload bytes on; file and bytes of each."""
     raw = F.encode(F.coalesce(F.col(html), F.lit("")), "utf-8")
-    p = bounded(pages).select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("uri"), raw.alias("payload"))
+    p = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("uri"), raw.alias("payload"))
     # only ids and digests are grouped: a payload that a third of all pages share is one partial maximum a task
     digests = stored(p.where(F.col("page_id").isNotNull() & (F.length("payload") >= least)).select("page_id", F.sha1("payload").alias("sha"), F.length("payload").alias("size")), "digests", uri)
     best = digests.groupBy("sha", "size").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).where("n > 1").select("sha", "size", "best")
     refers = digests.join(best, ["sha", "size"]).where("page_id < best").select("page_id", "sha", "best").distinct()
+    refers = small(stored(refers, "refers", uri))  # where they are few no payload is shuffled
     marked = p.withColumn("sha", F.sha1("payload")).join(refers, ["page_id", "sha"], "left")
     name = F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")))
 
@@ -213,7 +214,7 @@ def resolved(records: DataFrame) -> DataFrame:
             d = [given if x is None else digest_of(x) for x, given in zip(bodies, batch.column(4).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(d, pa.string())], ["record_id", "record_type", "refers_to", "payload_bytes", "payload_digest"])
 
-    r = bounded(records).select("record_id", "record_type", "refers_to", "payload", "payload_digest").mapInArrow(run, "record_id string, record_type string, refers_to string, payload_bytes long, payload_digest string")
+    r = records.select("record_id", "record_type", "refers_to", "payload", "payload_digest").mapInArrow(run, "record_id string, record_type string, refers_to string, payload_bytes long, payload_digest string")
     r = stored(r, "records", scratch(records.sparkSession, "warc"))
     full = r.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("full_bytes"))
     out = r.join(full, ["refers_to", "payload_digest"], "left")
