@@ -80,6 +80,13 @@ def test_no_json(spark):
     assert apply(spark, ["none", "[1]", None, "{broken"], lambda c: X.extract_json(c, LLM_RESPONSE)) == [None] * 4
 
 
+def test_mended():
+    assert X.mended('{"a": 0.5 - 0.6, "b": 1.2.3-4}') == '{"a": 0.55, "b": 1.2.3-4}'
+    assert X.mended('{"a": true\n"b": 1\n"c": "x"\n"d": [1,\n]}') == '{"a": true,\n"b": 1,\n"c": "x",\n"d": [1]}'
+    assert X.mended('["el"\n"x y": 1') == '["el"\n"x y": 1' and X.mended('{"score: 0.5"}') == '{"score": 0.5}'
+    assert X.find_object("[1]") is None and X.find_object(None) is None and X.find_object('x {"a": [1,]} y') == {"a": [1]} and X.find_object("[" * 10**5) is None
+
+
 def test_clamped(spark):
     assert apply(spark, [0.85, 1.0, 0.0, None, 1.5, -0.2], S.llm_confidence, "double") == [0.85, 1.0, 0.0, 1.0, 1.0, 0.0]
 

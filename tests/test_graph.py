@@ -8,8 +8,10 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from veritrail.config import TACTICS, RetrievalConfig
+from veritrail.functions.vector import dot
 from veritrail.operators import align, context, extract, graph, retrieve, traverse, trust
 from veritrail.operators import components
 from veritrail.operators.components import component_roots
@@ -99,6 +101,10 @@ def test_scores_before_and_after_alignment(spark):
     missing = trust.score_edges(edges, plain).withColumn("trust", F.when(F.col("source") == "2019_1", F.lit(0.123)))
     again = {r.source: r.trust for r in trust.score_missing(missing, aligned).collect()}
     assert again["2019_1"] == 0.123 and len(again) == 3 and again["2019_2"] > 0.5
+    some = trust.score_missing(trust.reset(missing), aligned, sample=2)
+    assert some.count() == 3 and sorted(r.source for r in some.where("trust IS NOT NULL").collect()) == ["2019_1", "2019_2"]
+    none = missing.withColumn("source", F.lit(None).cast("string")).withColumn("trust", F.lit(None).cast("double"))
+    assert trust.score_missing(none, aligned).where("trust IS NOT NULL").count() == 3
     assert trust.reset(missing).where("trust IS NOT NULL").count() == 0
 
 
@@ -165,11 +171,31 @@ def test_non_ascii_names_merge_unless_guarded(spark):
     assert align.exact_groups(nodes, guard_empty=True).select("rep").distinct().count() == 2
 
 
+def similar_by_join(vectors, k, threshold):
+    """Pairs in relational form."""
+    a, b = vectors.toDF(*(f"{c}_a" for c in vectors.columns)), vectors.toDF(*(f"{c}_b" for c in vectors.columns))
+    pairs = a.join(b, (F.col("type_a") == F.col("type_b")) & (F.col("i_a") != F.col("i_b"))).withColumn("sim", dot(F.col("embedding_a"), F.col("embedding_b")))
+    rank = F.row_number().over(Window.partitionBy("type_a", "i_a").orderBy(F.desc("sim"), "i_b"))
+    return pairs.withColumn("rank", rank).where((F.col("rank") <= k - 1) & (F.col("i_b") > F.col("i_a")) & (F.col("sim") >= threshold)).select(F.col("i_a").alias("i"), F.col("i_b").alias("j"))
+
+
+def test_nearest_of_many(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(i, "t" if i % 2 else "u", f"c{i % 9}", [rng.gauss(0, 1) for _ in range(3)]) for i in range(40)]
+    index = spark.createDataFrame(rows, "n long, type string, canonical_id string, embedding array<float>")
+    asks = index.where("n % 10 = 0").select(F.col("n").alias("ask"), "embedding")
+    monkeypatch.setattr(align, "BLOCK", 7)
+    got = retrieve.nearest_each(index, asks, 6, "n").collect()
+    for ask in (0, 10, 20, 30):
+        one = retrieve.nearest(index, [float(x) for x in index.where(f"n = {ask}").first().embedding], 6, "n").collect()
+        assert sorted((r.n, r.similarity) for r in got if r.ask == ask) == sorted((r.n, r.similarity) for r in one)
+
+
 def test_similar_pairs_in_blocks(spark, monkeypatch):
     rng = random.Random(1)
     rows = [("t", i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(40)]
     v = spark.createDataFrame(rows, "type string, i long, embedding array<float>")
-    want = {(r.i, r.j) for r in align.similar_by_join(v, 6, 0.5).collect()}
+    want = {(r.i, r.j) for r in similar_by_join(v, 6, 0.5).collect()}
     monkeypatch.setattr(align, "BLOCK", 7)
     assert {(r.i, r.j) for r in align.similar_pairs(v, 6, 0.5).collect()} == want and want
 

@@ -47,6 +47,16 @@ def test_last_of_a_file_wins(spark, tmp_path):
     assert row.info_title == "second"
 
 
+def test_only_whole_files_and_their_own_events_count(spark, tmp_path):
+    one = EVENT.format(id=5, date="2020-01-01", info="first", attributes="")[3:-4]
+    (tmp_path / "cut.xml").write_text(f"<E>{one}{one[:40]}")
+    (tmp_path / "deep.xml").write_text(f"<E><Wrap>{one}</Wrap><Event><id>6</id><date>2020-1-5</date><info>\n own </info><Event><id>7</id></Event></Event></E>")
+    (tmp_path / "none.xml").write_text("")
+    (tmp_path / "odd.xml").write_text("<E><Event><id>x</id></Event><Event><date>2020-01-01</date></Event><Event><id> -8 </id><date>2020-01-01 junk</date></Event></E>")
+    got = {r.event_id: r for r in events.scan_events(spark, str(tmp_path)).collect()}
+    assert set(got) == {6, -8} and (str(got[6].date), got[6].info_title) == ("2020-01-05", "own") and str(got[-8].date) == "1970-01-01"
+
+
 def fold(titles):
     """The rule for titles, written down again."""
     title, date = titles[0]
@@ -117,6 +127,22 @@ def test_models(spark):
     assert models.respond(df, "p", chat, check=lambda x: x.startswith("{")).where("p = 'a'").first().raw_response == "{}"
 
 
+def test_models_that_fail(spark):
+    df = spark.createDataFrame([("key",), ("once",), ("json",), ("never",), (None,)], "p string")
+
+    def chat(messages):
+        said = messages[0]["content"]
+        if said == "key" or (said == "once" and not calls.append(1) and len(calls) == 1):
+            raise KeyError("message")
+        return "no object" if said == "never" or len(messages) == 1 and said == "json" else '{"a": 1}'
+
+    calls = []
+    from veritrail.functions.text import find_object
+
+    got = {r.p: r.raw_response for r in models.respond(df.coalesce(1), "p", chat, check=lambda x: find_object(x) is not None).collect()}
+    assert got == {"key": None, "once": '{"a": 1}', "json": '{"a": 1}', "never": "no object", None: None}
+
+
 def test_records(spark, tmp_path):
     (tmp_path / "2019_7.json").write_text(json.dumps({"entities": [], "relations": []}))
     x = tables.read_extractions(spark, str(tmp_path))

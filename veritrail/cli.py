@@ -1,6 +1,6 @@
 """Jobs from the command line: ``python -m veritrail.cli JOB ...``.
 
-normalize, extract, ingest, score, align, verify, index, query and decisions.
+normalize, extract, ingest, score, align, verify, index, query, questions and decisions.
 Every job reads folders and writes new ones, so a failed job leaves its inputs as they were.
 """
 
@@ -11,7 +11,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import AlignConfig, RetrievalConfig, TrustConfig
+from .config import ALIGNABLE_TYPES, AlignConfig, RetrievalConfig, TrustConfig
 from .operators import align, graph, retrieve, trust
 from .plans import jobs
 from .sources import tables
@@ -32,13 +32,14 @@ def parser() -> argparse.ArgumentParser:
             s.add_argument(flag, action="store_true") if v is False else s.add_argument(flag, default=v, type=type(v) if v is not None else str)
 
     add("normalize", "out", "run-at", events=None, cves=None)
-    add("extract", "data", "out", chat_url=None, chat_model="")
+    add("extract", "data", out=None, event=None, cve=None, chat_url=None, chat_model="")
     add("ingest", "facts", "graph", "out", limit=0)
     add("score", "graph", "out", taxonomy=None, force=False, sample=0)
-    add("align", "graph", "out", log=None, threshold=AlignConfig().threshold, names_only=False)
+    add("align", "graph", "out", log=None, type=None, threshold=AlignConfig().threshold, names_only=False)
     add("verify", "graph")
     add("index", "graph", "out")
     add("query", "graph", "index", "text", top_k=RetrievalConfig().top_k, depth=RetrievalConfig().depth, chat_url=None, chat_model="")
+    add("questions", "graph", "index", top_k=RetrievalConfig().top_k, depth=RetrievalConfig().depth, chat_url=None, chat_model="")
     add("decisions", "log", last=20)
     return p
 
@@ -55,7 +56,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     chat = http_chat(a.chat_url, a.chat_model) if getattr(a, "chat_url", None) else None
     if a.job == "normalize":
         jobs.normalize(spark, a.events, a.cves, a.out, a.run_at)
+    elif a.job == "extract" and (a.event or a.cve):
+        one = jobs.extract_one(spark, a.data, "events" if a.event else "cves", a.event or a.cve, chat)
+        print("\n".join(one.toJSON().collect()) or "no such record")  # one row
+        if a.out:
+            tables.write_table(one, a.out)
     elif a.job == "extract":
+        if not a.out:
+            raise SystemExit("extract: --out is required for all records")
         _show(jobs.extract_all(spark, a.data, a.out, chat))
     elif a.job == "ingest":
         facts = spark.read.parquet(a.facts)
@@ -71,13 +79,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             terms = [r.term for r in taxonomy(spark, a.taxonomy).select("term").collect()]  # a fixed public vocabulary
             config = TrustConfig.from_env()
             rows = edges if not a.force or "trust" not in edges.columns else trust.reset(edges)
-            scored = trust.score_missing(rows, nodes, terms, config)
-            tables.write_graph(nodes, scored.limit(a.sample) if a.sample else scored, a.out)
+            tables.write_graph(nodes, trust.score_missing(rows, nodes, terms, config, a.sample or None), a.out)
             _show(trust.run_summary(spark.read.parquet(f"{a.out}/edges")))
         elif a.job == "align":
             text = F.concat(F.col("type"), F.lit(": "), F.col("name")).alias("text")
             vectors = None if a.names_only else embed(nodes.select("name", "type", text), "text", hashed_ngrams())
-            aligned, decisions = align.align(nodes, edges, vectors, AlignConfig(threshold=a.threshold))
+            aligned, decisions = align.align(nodes, edges, vectors, AlignConfig(threshold=a.threshold), types=(a.type,) if a.type else ALIGNABLE_TYPES)
             tables.write_graph(aligned, edges, a.out)
             if a.log:
                 tables.log_decisions(decisions, a.log)
@@ -89,6 +96,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             _show(trust.by_relation(edges))
         elif a.job == "index":
             retrieve.build_index(nodes, a.out)
+        elif a.job == "questions":
+            config = RetrievalConfig(top_k=a.top_k, depth=a.depth)
+            for got in jobs.verify(spark, nodes, edges, retrieve.load_index(spark, a.index), chat=chat, config=config):
+                print(f"{got['question']}\nentities: {len(got['entities'])}, {', '.join(f'{k}: {v}' for k, v in got['stats'].items() if k != 'sources')}\n{got['answer'] or ''}")
         elif a.job == "query":
             config = RetrievalConfig(top_k=a.top_k, depth=a.depth)
             got = jobs.answer(spark, a.text, nodes, edges, retrieve.load_index(spark, a.index), chat=chat, config=config)

@@ -37,6 +37,21 @@ TACTICS = {
 }
 FILE_EXTENSIONS = ("exe", "dll", "pdf", "doc", "docx", "zip", "rar", "bin", "apk", "sh", "py", "vbs", "bat", "cab")
 
+#: Patterns that decide what is read from texts. Java and Python know them alike.
+ENTITY_REPR = r"""^\{['"](?:text|canonical_name)['"]\s*:\s*['"]([^'"]+)['"]\}$"""
+BARE_HASH = r"^[a-f0-9]{32,64}$"
+BARE_ADDRESS = r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
+BARE_FILE = r"^[a-z0-9_\-\.]+\.(" + "|".join(FILE_EXTENSIONS) + ")$"
+THINK_CLOSED = r"(?is)<think>.*?</think>"
+THINK_OPEN = r"(?is)<think>.*$"
+JSON_FENCED = r"(?is)```(?:json)?\s*(\{.*?\})\s*```"
+JSON_OUTER = r"(?s)(\{.*\})"
+#: Mistakes in models' JSON, in the order in which they are mended: a range of numbers, a quoted pair, no comma at a line's end, a comma before a bracket.
+JSON_RANGE = r":\s*([0-9\.]+)\s*[-–]\s*([0-9\.]+)"
+JSON_PAIR = r'"\s*([a-zA-Z_]+)\s*:\s*([0-9\.]+)\s*"'
+JSON_LINE = r'("|[0-9\.]+|null|true|false)\s*\n\s*("[a-zA-Z_]+"\s*:)'
+JSON_SPARE = r",\s*([}\]])"
+
 
 def _number(name: str, default: float) -> float:
     return float(os.environ.get(name, default))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import FILE_EXTENSIONS
-
+from .. import config as K
 
 SPACE = " \t\n\x0b\f\r"
 
@@ -32,7 +34,7 @@ def clean_relation(c: Column) -> Column:
 def clean_entity_text(c: Column) -> Column:
     """Trimmed; a one-entry dict's repr gives its value."""
     t = strip(F.coalesce(c, F.lit("")))
-    inner = F.regexp_extract(t, r"""^\{['"](?:text|canonical_name)['"]\s*:\s*['"]([^'"]+)['"]\}$""", 1)
+    inner = F.regexp_extract(t, K.ENTITY_REPR, 1)
     return F.when(inner != "", strip(inner)).otherwise(t)
 
 
@@ -46,7 +48,7 @@ def is_narrative(c: Column) -> Column:
     t = strip(F.coalesce(c, F.lit("")))
     parts = F.split(t, r"\s+")
     first = F.lower(F.get(parts, 0))
-    bare = first.rlike("^[a-f0-9]{32,64}$") | first.rlike(r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}") | first.rlike(r"^[a-z0-9_\-\.]+\.(" + "|".join(FILE_EXTENSIONS) + ")$")
+    bare = first.rlike(K.BARE_HASH) | first.rlike(K.BARE_ADDRESS) | first.rlike(K.BARE_FILE)
     return ~((F.size(parts) <= 2) & bare)
 
 
@@ -58,34 +60,51 @@ def token_count(c: Column) -> Column:
 
 def strip_think(c: Column) -> Column:
     """Without thinking blocks, closed or open at the end."""
-    x = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?is)<think>.*?</think>", "")
-    return strip(F.regexp_replace(x, r"(?is)<think>.*$", ""))
+    return strip(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), K.THINK_CLOSED, ""), K.THINK_OPEN, ""))
 
 
-@F.pandas_udf(T.StringType())
-def _midpoints(s: pd.Series) -> pd.Series:
-    """Number ranges after a colon become their mean, rounded to two digits."""
-    return s.str.replace(r":\s*(\d+(?:\.\d+)?)\s*[-–]\s*(\d+(?:\.\d+)?)", lambda m: f": {round((float(m[1]) + float(m[2])) / 2, 2)}", regex=True)
+def mended(text: str) -> str:
+    """JSON without the usual mistakes of models; a range of numbers becomes its mean of two digits."""
 
+    def mean(m: re.Match) -> str:
+        try:
+            return f": {round((float(m[1]) + float(m[2])) / 2, 2)}"
+        except ValueError:  # digits and points, but no number
+            return m[0]
 
-def repair_json(c: Column) -> Column:
-    """Usual mistakes of models, in order: ranges, a quoted pair, a missing comma at a line's end, a comma before a bracket."""
-    ranged = F.when(c.rlike(r":\s*\d+(?:\.\d+)?\s*[-–]\s*\d"), _midpoints(c)).otherwise(c)
-    x = F.regexp_replace(ranged, r'"\s*(\w+)\s*:\s*([0-9.]+)\s*"', '"$1": $2')
-    x = F.regexp_replace(x, r'(["\d\]}el])\s*\n(\s*"[^"\n]+"\s*:)', "$1,\n$2")
-    return F.regexp_replace(x, r",\s*([}\]])", "$1")
+    out = re.sub(K.JSON_RANGE, mean, text)
+    for pattern, by in ((K.JSON_PAIR, r'"\1": \2'), (K.JSON_LINE, r"\1,\n\2"), (K.JSON_SPARE, r"\1")):
+        out = re.sub(pattern, by, out)
+    return out.strip()
 
 
-def extract_json(c: Column, schema: str) -> Column:
-    """The object in a model's answer: all of it, a fenced block, or what lies between the outer braces, the last two also repaired; null if none parses."""
-    t = strip_think(c)
-    fenced = F.regexp_extract(t, r"(?is)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    outer = F.regexp_extract(t, r"(?s)(\{.*\})", 1)
+def find_object(answer: str | None) -> dict | None:
+    """The object in a model's answer: all of it, a fenced block, or what lies between the outer braces, the last two also mended."""
+    text = re.sub(K.THINK_OPEN, "", re.sub(K.THINK_CLOSED, "", answer or "")).strip()
+    tries = [text]
+    for pattern in (K.JSON_FENCED, K.JSON_OUTER):
+        if held := re.search(pattern, text):
+            tries += [held[1], mended(held[1])]
+    for one in tries:
+        try:
+            found = json.loads(one)
+        except (ValueError, RecursionError):
+            continue
+        if isinstance(found, dict):
+            return found
+    return None
 
-    def parsed(x: Column) -> Column:
-        return F.when(F.try_parse_json(x).isNotNull() & x.rlike(r"^\s*\{"), F.from_json(x, schema))
 
-    return F.coalesce(parsed(t), parsed(fenced), parsed(repair_json(fenced)), parsed(outer), parsed(repair_json(outer)))
+@F.pandas_udf(T.StringType())
+def _object_text(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if (found := find_object(x)) is None else json.dumps(found), na_action="ignore")
+
+
+def extract_json(c: Column, schema: str) -> Column:
+    """What ``find_object`` finds, or null. Python sees only answers that are no JSON as they stand."""
+    plain = F.try_parse_json(c).isNotNull() & c.rlike(r"^\s*\{")
+    found = _object_text(F.when(~F.coalesce(plain, F.lit(False)), c))
+    return F.from_json(F.when(plain, c).otherwise(found), schema)
 
 
 def title_label(c: Column) -> Column:

@@ -12,11 +12,10 @@ from pyspark.sql.window import Window
 from ..config import ALIASES, ALIGNABLE_TYPES, AlignConfig
 from ..functions.text import normalize_name
 from ..functions.time import overlap
-from ..functions.vector import dot
-from ..store import scratch, stored
+from ..store import scratch, small, stored
 from .components import component_roots
 
-#: Names of a type up to which all similarities are computed in one pass over a broadcast block.
+#: Names of a block: the similarities of two blocks are one task's.
 BLOCK = 4096
 
 
@@ -44,73 +43,81 @@ def exact_groups(nodes: DataFrame, guard_empty: bool = False) -> DataFrame:
     return named.join(reps, ["type", "norm"])
 
 
-def similar_pairs(vectors: DataFrame, k: int, threshold: Column | float) -> DataFrame:
-    """Pairs a, b of one type with similarity: b is among a's k - 1 nearest others, comes after a in order, and is similar enough.
+def multiplied(asks: DataFrame, rows: DataFrame, k: int, others: bool) -> DataFrame:
+    """type, i (of asks), j (of rows) and sim: of each ask the best k rows of its type in each block of rows, ``others`` than itself.
 
-    ``vectors``: type, i (order), id, embedding. Each type is cut into blocks; pairs
-    of blocks are multiplied as matrices on the executors, and each row keeps its best
-    k before anything moves, so a type of n names shuffles k * n / BLOCK rows a name.
+    ``asks``, ``rows``: type, i, embedding. Each type is cut into blocks; pairs of blocks
+    are multiplied as matrices on the executors, and each ask keeps its best k before
+    anything moves.
     """
     import numpy as np
     import pyarrow as pa
 
-    numbered = vectors.select("type", F.col("i").cast("long").alias("i"), "embedding")
-    sizes = numbered.groupBy("type").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("g"))
-    blocks = numbered.join(F.broadcast(sizes), "type").withColumn("block", F.pmod(F.xxhash64("i"), F.col("g")).cast("int"))
-    left = blocks.withColumn("side", F.lit(0)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).withColumns({"a": F.col("block"), "b": F.col("other")})
-    right = blocks.withColumn("side", F.lit(1)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).withColumns({"a": F.col("other"), "b": F.col("block")})
-    cells = left.unionByName(right).select("type", "a", "b", "side", "i", "embedding")
+    blocks = lambda df, name: df.groupBy("type").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    sizes = small(stored(blocks(asks, "gq").join(blocks(rows, "gr"), "type"), "blocks"))
+
+    def dealt(df: DataFrame, side: int, own: str, other: str) -> DataFrame:
+        each = df.select("type", "i", "embedding").join(sizes, "type").withColumn("_own", F.pmod(F.xxhash64("i"), F.col(own)).cast("int"))
+        each = each.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        a, b = ("_own", "_other") if side == 0 else ("_other", "_own")
+        return each.select("type", F.col(a).alias("a"), F.col(b).alias("b"), F.lit(side).alias("side"), F.col("i").cast("long").alias("i"), "embedding")
 
     def run(t: pa.Table) -> pa.Table:
         side, ids = t["side"].to_numpy(), t["i"].to_numpy()
         v = np.array(t["embedding"].to_pylist(), np.float64)
         q, r = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        out_i, out_j, out_s = [], [], []
-        for s in range(0, len(q), 512):
-            sim = np.zeros((len(q[s : s + 512]), len(r)))
+        out: list[list] = [[], [], []]
+        for s in range(0, len(q) if len(r) else 0, 512):
+            part = q[s : s + 512]
+            sim = np.zeros((len(part), len(r)))
             for d in range(v.shape[1]):  # in this order, as a fold over the array would
-                sim += v[q[s : s + 512], d][:, None] * v[r, d][None, :]
-            for row, x in enumerate(q[s : s + 512]):
-                others = r[ids[r] != ids[x]]
-                mine = sim[row][ids[r] != ids[x]]
-                best = np.lexsort((ids[others], -mine))[:k]
-                out_i += [ids[x]] * len(best)
-                out_j += list(ids[others[best]])
-                out_s += list(mine[best])
+                sim += v[part, d][:, None] * v[r, d][None, :]
+            if others:
+                sim[ids[part][:, None] == ids[r][None, :]] = -np.inf
+            for row, x in enumerate(part):
+                best = np.lexsort((ids[r], -sim[row]))[:k]
+                best = best[np.isfinite(sim[row][best])]
+                for held, found in zip(out, ([ids[x]] * len(best), ids[r[best]], sim[row][best]), strict=True):
+                    held.extend(found)
         kind = t["type"][0].as_py()
-        return pa.table({"type": pa.array([kind] * len(out_i), pa.string()), "i": pa.array(out_i, pa.int64()), "j": pa.array(out_j, pa.int64()), "sim": pa.array(out_s, pa.float64())})
+        return pa.table({"type": pa.array([kind] * len(out[0]), pa.string()), "i": pa.array(out[0], pa.int64()), "j": pa.array(out[1], pa.int64()), "sim": pa.array(out[2], pa.float64())})
 
-    near = cells.groupBy("type", "a", "b").applyInArrow(run, "type string, i long, j long, sim double")
-    rank = F.row_number().over(Window.partitionBy("type", "i").orderBy(F.desc("sim"), "j"))
-    return near.withColumn("rank", rank).where((F.col("rank") <= k - 1) & (F.col("j") > F.col("i")) & (F.col("sim") >= threshold)).select("type", "i", "j", "sim")
+    cells = dealt(asks, 0, "gq", "gr").unionByName(dealt(rows, 1, "gr", "gq"))
+    return cells.groupBy("type", "a", "b").applyInArrow(run, "type string, i long, j long, sim double")
 
 
-def similar_by_join(vectors: DataFrame, k: int, threshold: float) -> DataFrame:
-    """The same pairs in relational form, for few vectors a type."""
-    a, b = vectors.toDF(*(f"{c}_a" for c in vectors.columns)), vectors.toDF(*(f"{c}_b" for c in vectors.columns))
-    pairs = a.join(b, (F.col("type_a") == F.col("type_b")) & (F.col("i_a") != F.col("i_b"))).withColumn("sim", dot(F.col("embedding_a"), F.col("embedding_b")))
-    rank = F.row_number().over(Window.partitionBy("type_a", "i_a").orderBy(F.desc("sim"), "i_b"))
-    return pairs.withColumn("rank", rank).where((F.col("rank") <= k - 1) & (F.col("i_b") > F.col("i_a")) & (F.col("sim") >= threshold)).select(F.col("type_a").alias("type"), F.col("i_a").alias("i"), F.col("i_b").alias("j"), "sim")
+def similar_pairs(vectors: DataFrame, k: int, threshold: Column | float) -> DataFrame:
+    """Pairs i, j of one type with similarity: j is among i's k - 1 nearest others, comes after i in order, and is similar enough.
+
+    ``vectors``: type, i (order), embedding. A type of n names costs n * n products, and
+    shuffles k * n / BLOCK rows a name.
+    """
+    near = multiplied(vectors, vectors, k, True)
+    rank = F.row_number().over(Window.partitionBy("type", "i").orderBy(F.desc("sim"), "j"))
+    return near.withColumn("rank", rank).where((F.col("rank") <= k - 1) & (F.col("j") > F.col("i")) & (F.col("sim") >= threshold)).select("type", "i", "j", "sim")
 
 
-def align(nodes: DataFrame, edges: DataFrame, vectors: DataFrame | None = None, config: AlignConfig = AlignConfig(), decided_at: Column | None = None, guard_empty: bool = False) -> tuple[DataFrame, DataFrame]:
+def align(nodes: DataFrame, edges: DataFrame, vectors: DataFrame | None = None, config: AlignConfig = AlignConfig(), decided_at: Column | None = None, guard_empty: bool = False, types: tuple[str, ...] = ALIGNABLE_TYPES) -> tuple[DataFrame, DataFrame]:
     """Nodes with canonical_id, and decisions (entity_a, entity_b, type, method, similarity, temporal_check, temporal_reason, decision, timestamp).
 
     ``vectors``: name, type, embedding of names that may be representatives. Exact and
     alias matches have no temporal check; similar ones compare the representatives'
-    spans. Nodes of other types, and all without a match, get their name.
+    spans. Nodes of other types than ``types``, and all without a match, keep their
+    canonical_id, or get their name.
     """
     uri = scratch(nodes.sparkSession, "align")
     at = decided_at if decided_at is not None else F.current_timestamp()
-    mine = degrees(nodes, edges).where(F.col("type").isin(*ALIGNABLE_TYPES))
+    mine = degrees(nodes, edges).where(F.col("type").isin(*(t for t in types if t in ALIGNABLE_TYPES)))
     groups = stored(exact_groups(mine, guard_empty), "groups", uri)
     exact = groups.where("name <> rep").select(
         F.col("rep").alias("entity_a"), F.col("name").alias("entity_b"), "type", F.lit("exact_or_alias_match").alias("method"), F.lit(1.0).alias("similarity"),
         F.lit(True).alias("temporal_check"), F.lit(None).cast("string").alias("temporal_reason"), F.lit("merged").alias("decision"), at.alias("timestamp"),
     )
     reps = groups.where("name = rep")
-    order = F.row_number().over(Window.partitionBy("type").orderBy(F.desc("degree"), "name"))
-    reps = stored(reps.select("type", "name", "degree", "first_seen", "last_seen", order.alias("i")), "representatives", uri)
+    # numbers in the order of type, degree and name: partitions are ranges of it
+    order = ["type", F.desc("degree"), "name"]
+    ranged = reps.select("type", "name", "degree", "first_seen", "last_seen").repartitionByRange(*order).sortWithinPartitions(*order)
+    reps = stored(ranged.withColumn("i", F.monotonically_increasing_id()), "representatives", uri)
     decisions, links = exact, None
     if vectors is not None:
         with_v = reps.join(vectors.select("name", "type", "embedding"), ["name", "type"])
@@ -125,12 +132,9 @@ def align(nodes: DataFrame, edges: DataFrame, vectors: DataFrame | None = None,
             F.col("t.ok").alias("temporal_check"), F.col("t.reason").alias("temporal_reason"), F.when(F.col("t.ok"), "merged").otherwise("rejected").alias("decision"), at.alias("timestamp"),
         ))
         links = checked.where("t.ok").select("type", "i", "j")
-    # numbers of representatives over all types, in the order of type and rank
-    key = F.xxhash64("type", "name")
-    node = reps.select("type", "i", "name", "degree", key.alias("rep_id"))
+    node = reps.select("type", "name", "degree", F.col("i").alias("rep_id"))
     if links is not None:
-        e = links.join(node.select("type", "i", F.col("rep_id").alias("a")), ["type", "i"]).join(node.select("type", F.col("i").alias("j"), F.col("rep_id").alias("b")), ["type", "j"])
-        roots = component_roots(e.select("a", "b"), f"{uri}/components").toDF("rep_id", "component")
+        roots = component_roots(links.select(F.col("i").alias("a"), F.col("j").alias("b")), f"{uri}/components").toDF("rep_id", "component")
         node = node.join(roots, "rep_id", "left")
     else:
         node = node.withColumn("component", F.lit(None).cast("long"))
@@ -138,8 +142,8 @@ def align(nodes: DataFrame, edges: DataFrame, vectors: DataFrame | None = None,
     canon = node.groupBy("type", "component").agg(F.min_by("name", F.struct(-F.col("degree"), "name")).alias("canonical"))
     of_rep = node.join(canon, ["type", "component"]).select("type", F.col("name").alias("rep"), "canonical")
     found = groups.select("type", "name", "rep").join(of_rep, ["type", "rep"]).select("type", "name", "canonical")
-    out = nodes.drop("canonical_id").join(nodes.select("name", "type", F.col("canonical_id").alias("_old")), ["name", "type"]).join(found, ["type", "name"], "left")
-    return out.select("name", "type", "raw_text", F.coalesce("canonical", "_old", "name").alias("canonical_id"), "first_seen", "last_seen"), decisions
+    out = nodes.join(found, ["type", "name"], "left")
+    return out.select("name", "type", "raw_text", F.coalesce("canonical", "canonical_id", "name").alias("canonical_id"), "first_seen", "last_seen"), decisions
 
 
 def by_type(nodes: DataFrame) -> DataFrame:

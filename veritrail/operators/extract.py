@@ -96,6 +96,12 @@ def summary(extractions: DataFrame) -> DataFrame:
     return extractions.agg(F.count("*").alias("records"), F.coalesce(F.sum(F.size("entities")), F.lit(0)).alias("entities"), F.coalesce(F.sum(F.size("relations")), F.lit(0)).alias("relations"))
 
 
+def confidence_summary(extractions: DataFrame) -> DataFrame:
+    """Number, minimum, maximum and mean of relations' confidences."""
+    c = F.col("c")
+    return extractions.select(F.explode("relations.confidence").alias("c")).agg(F.count(c).alias("n"), F.min(c).alias("lowest"), F.max(c).alias("highest"), F.round(F.avg(c), 6).alias("mean"))
+
+
 def confidence_histogram(extractions: DataFrame) -> DataFrame:
     r = extractions.select(F.explode("relations.confidence").alias("c"))
     return r.groupBy(F.round("c", 2).alias("confidence")).agg(F.count("*").alias("n"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import blank
+from ..functions.text import blank, strip
 from ..functions.time import parse_date
 from ..schemas import EVENT_XML, IOCS
 
@@ -23,29 +28,74 @@ def attributes(c: Column) -> Column:
     leaves = F.flatten(F.transform(c, lambda a: F.when(F.size(a.item) > 0, a.item).otherwise(F.array(F.struct(a.category, a.comment, a.type, a.value)))))
 
     def or_else(x: Column, default: str) -> Column:
-        return F.coalesce(F.nullif(F.trim(x), F.lit("")), F.lit(default))
+        return F.coalesce(F.nullif(strip(x), F.lit("")), F.lit(default))
 
-    named = F.transform(leaves, lambda a: F.struct(or_else(a.category, "Other").alias("category"), or_else(a.type, "other").alias("type"), F.trim(F.coalesce(a.value, F.lit(""))).alias("value"), or_else(a.comment, "").alias("comment")))
+    named = F.transform(leaves, lambda a: F.struct(or_else(a.category, "Other").alias("category"), or_else(a.type, "other").alias("type"), strip(F.coalesce(a.value, F.lit(""))).alias("value"), or_else(a.comment, "").alias("comment")))
     return F.coalesce(F.filter(named, lambda a: a.value != ""), F.array().cast(IOCS))
 
 
+LEAF = ("category", "comment", "type", "value")
+
+
+def _leaf(node: ElementTree.Element) -> dict:
+    return {k: None if (x := node.find(k)) is None else x.text for k in LEAF}
+
+
+def events_in(raw: bytes) -> list[dict]:
+    """Fields of the ``Event`` elements right below a file's root, in order; none if the file is not well-formed."""
+    out, depth = [], 0
+    try:
+        for what, node in ElementTree.iterparse(io.BytesIO(raw), ("start", "end")):
+            depth += 1 if what == "start" else -1
+            if what == "end" and depth == 1:
+                if node.tag == "Event":
+                    found = {k: None if (x := node.find(k)) is None else x.text for k in ("id", "date", "info")}
+                    out.append(found | {"Attribute": [_leaf(x) | {"item": [_leaf(y) for y in x.findall("item")]} for x in node.findall("Attribute")]})
+                node.clear()
+    except ElementTree.ParseError:
+        return []
+    return out
+
+
+def parse_files(files: DataFrame) -> DataFrame:
+    """file, ord (place in the file) and ``EVENT_XML`` of each event. ``files``: file, content (binary). A file is parsed as a whole by one task."""
+    leaf = [(k, pa.string()) for k in LEAF]
+    schema = pa.schema([("file", pa.string()), ("ord", pa.int64()), *((k, pa.string()) for k in ("id", "date", "info")), ("Attribute", pa.list_(pa.struct([*leaf, ("item", pa.list_(pa.struct(leaf)))])))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = [{"file": name, "ord": k} | e for k, e in enumerate(events_in(raw.as_py() or b""))]
+                for k in range(0, len(rows), 1000):
+                    yield pa.RecordBatch.from_pylist(rows[k : k + 1000], schema)
+
+    return files.select("file", "content").mapInArrow(run, f"file string, ord long, {EVENT_XML}")
+
+
+def event_date(c: Column) -> Column:
+    """A date, or that of an ISO time; 1970-01-01 for all else."""
+    t = strip(c)
+    day = F.when(t.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), F.try_to_date(t, "yyyy-M-d"))
+    moment = F.when(t.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ]") & F.try_to_timestamp(t).isNotNull(), parse_date(t))
+    return F.coalesce(day, moment, F.lit(EPOCH).cast("date"))
+
+
+def scanned_events(parsed: DataFrame) -> DataFrame:
+    """file, year, event_id, date, info_title and iocs of parsed events; of those with one id in a file the last."""
+    rows = parsed.select("file", "ord", strip(F.col("id")).try_cast("long").alias("event_id"), event_date(F.col("date")).alias("date"), strip(F.coalesce("info", F.lit(""))).alias("info_title"), attributes(F.col("Attribute")).alias("iocs"))
+    last = rows.where("event_id IS NOT NULL").groupBy("file", "event_id").agg(F.max_by(F.struct("date", "info_title", "iocs"), "ord").alias("e"))
+    return last.select("file", file_year(F.col("file")).alias("year"), "event_id", "e.*")
+
+
 def scan_events(spark: SparkSession, path: str) -> DataFrame:
-    """file, year, event_id, date, info_title and iocs of each event of the ``*.xml`` files of a folder (or one file).
+    """``scanned_events`` of the ``*.xml`` files of a folder, or of one file.
 
-    Events without a positive number as id are dropped; a bad date is 1970-01-01. Of
-    events with one id in a file the last one stays. A file that doesn't parse, or
-    has no events, gives no rows.
+    Events whose id is no whole number are dropped; a bad date is 1970-01-01. A file that
+    doesn't parse, or has no events below its root, gives no rows. Files are read whole
+    (2 GB each at most), as what is wrong may stand at their end.
     """
-    raw = spark.read.format("xml").option("rowTag", "Event").option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.xml").schema(EVENT_XML).load(path)
-    rows = raw.select(
-        F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("ord"),
-        F.try_to_number(F.trim("id"), F.lit("999999999999999999")).cast("long").alias("event_id"),
-        F.coalesce(parse_date(F.trim("date")), F.lit(EPOCH).cast("date")).alias("date"),
-        F.trim(F.coalesce("info", F.lit(""))).alias("info_title"), attributes(F.col("Attribute")).alias("iocs"),
-    )
-    rows = rows.where("event_id IS NOT NULL")
-    last = rows.groupBy("file", "event_id").agg(F.max_by(F.struct("date", "info_title", "iocs"), "ord").alias("e"))
-    return last.select("file", file_year(F.col("file")).alias("year"), "event_id", "e.*")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(path)
+    return scanned_events(parse_files(found.select(F.col("_metadata.file_name").alias("file"), "content")))
 
 
 def merge_events(scanned: DataFrame) -> DataFrame:
@@ -56,7 +106,7 @@ def merge_events(scanned: DataFrame) -> DataFrame:
     with the same lower-case type and trimmed value are one, at the first one's place:
     the first with a comment, or else the first.
     """
-    files = scanned.groupBy("year", "event_id").agg(F.array_sort(F.collect_list(F.struct("file", "info_title", "date", "iocs"))).alias("f"))
+    files = scanned.groupBy("year", "event_id").agg(F.array_sort(F.collect_list(F.struct("file", "info_title", "date"))).alias("f"))
 
     def step(acc: Column, x: Column) -> Column:
         old, new = acc.title, x.info_title
