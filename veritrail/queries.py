@@ -8,6 +8,7 @@ stream of events are indicators. What an adapter does is stated in its SQL too.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from .functions import text as X
 from .functions import time as Time
 from .functions import trust as S
-from .operators import align, context, extract, graph, traverse, trust
+from .operators import align, context, extract, graph, retrieve, traverse, trust
 from .operators.components import component_roots
 from .sources import cves, events
 from .store import scratch, stored
@@ -44,12 +45,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 EDGES_SQL = """
 raw AS (
-  SELECT 'Supplier#' || l_suppkey AS head_name, CASE l_returnflag WHEN 'R' THEN 'USES' WHEN 'A' THEN 'TARGETS' ELSE 'EXPLOITS' END AS rel_type,
-    p_brand || ' ' || p_type AS tail_name, concat(year(o_orderdate), '_', o_orderkey) AS source, CAST(l_shipdate AS DATE) AS tau,
-    1 - l_discount AS confidence, 'line ' || l_linenumber AS evidence, l_linenumber, struct_pack(n := l_linenumber, p := l_partkey, s := l_suppkey, d := l_shipdate, c := l_discount) AS ord
+  SELECT 'Supplier#' || l_suppkey AS head_name, CASE l_returnflag WHEN 'R' THEN 'USES' WHEN 'A' THEN 'HAS_HASH' ELSE 'BELONGS_TO_TACTIC' END AS rel_type,
+    p_brand || ' ' || p_type AS tail_name, CASE left(o_orderpriority, 1) WHEN '1' THEN 'CVE-' || o_orderkey WHEN '5' THEN 'feed-' || o_orderkey ELSE concat(year(o_orderdate), '_', o_orderkey) END AS source,
+    CASE WHEN l_linenumber <> 6 THEN CAST(l_shipdate AS DATE) END AS tau, CASE WHEN l_linenumber <> 7 THEN 1 - l_discount END AS confidence, 'line ' || l_linenumber AS evidence, l_linenumber, struct_pack(n := l_linenumber, p := l_partkey, s := l_suppkey, d := l_shipdate, c := l_discount) AS ord
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
 edges AS (
-  SELECT head_name, rel_type, tail_name, source, arg_max(tau, ord) AS tau, arg_max(confidence, ord) AS confidence, arg_max(evidence, ord) AS evidence
+  SELECT head_name, rel_type, tail_name, source, arg_max_null(tau, ord) AS tau, arg_max_null(confidence, ord) AS confidence, arg_max(evidence, ord) AS evidence
   FROM raw GROUP BY ALL)"""
 
 SCORED_SQL = (
@@ -58,9 +59,11 @@ SCORED_SQL = (
 stats AS (
   SELECT head_name, rel_type, tail_name, count(DISTINCT source) AS n, coalesce(datediff('day', min(tau), max(tau)) > 365, false) AS contra
   FROM edges GROUP BY ALL),
-spans AS (SELECT head_name, min(tau) AS lo, max(tau) AS hi FROM edges WHERE year(tau) = 1998 GROUP BY head_name),
+spans AS (SELECT head_name, min(tau) + 900 AS lo, max(tau) - 1300 AS hi FROM edges GROUP BY head_name),
 factors AS (
-  SELECT e.*, greatest(0::DOUBLE, least(1::DOUBLE, e.confidence)) AS s1, 0.8::DOUBLE AS s2, 0.5::DOUBLE AS s3,
+  SELECT e.*, greatest(0::DOUBLE, least(1::DOUBLE, coalesce(e.confidence, 1))) AS s1,
+    CASE WHEN starts_with(source, 'CVE-') THEN 0.9 WHEN starts_with(source, 'feed') THEN 0.5 WHEN rel_type = 'HAS_HASH' THEN 0.65 ELSE 0.8 END::DOUBLE AS s2,
+    CASE rel_type WHEN 'HAS_HASH' THEN 0.3 WHEN 'BELONGS_TO_TACTIC' THEN 0.9 ELSE 0.5 END::DOUBLE AS s3,
     CASE WHEN n >= 3 THEN 1 WHEN n = 2 THEN 0.6 ELSE 0.3 END::DOUBLE AS s4,
     CASE WHEN tau IS NULL THEN 0.5 WHEN lo IS NULL THEN 1.0 WHEN tau BETWEEN lo AND hi + 365 THEN 1.0
       WHEN greatest(datediff('day', tau, lo), datediff('day', hi + 365, tau)) <= 180 THEN 0.7 ELSE 0.3 END::DOUBLE AS s5,
@@ -74,13 +77,16 @@ scored AS (SELECT *, round(x, 4) AS trust, x >= 0.8::DOUBLE AS trusted FROM sums
 
 def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, o, p = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
-    rel = F.when(F.col("l_returnflag") == "R", "USES").when(F.col("l_returnflag") == "A", "TARGETS").otherwise("EXPLOITS")
+    rel = F.when(F.col("l_returnflag") == "R", "USES").when(F.col("l_returnflag") == "A", "HAS_HASH").otherwise("BELONGS_TO_TACTIC")
+    kind, key = F.left("o_orderpriority", F.lit(1)), F.col("o_orderkey").cast("string")
+    source = F.when(kind == "1", F.concat(F.lit("CVE-"), key)).when(kind == "5", F.concat(F.lit("feed-"), key)).otherwise(F.concat_ws("_", F.year("o_orderdate"), key))
+    day = F.when(F.col("l_linenumber") != 6, F.to_date("l_shipdate"))
     rows = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
     return rows.select(
         F.concat(F.lit("Supplier#"), F.col("l_suppkey").cast("string")).alias("head_name"), F.lit("ThreatActor").alias("head_type"), rel.alias("rel_type"),
-        F.concat_ws(" ", "p_brand", "p_type").alias("tail_name"), F.lit("Malware").alias("tail_type"), F.concat_ws("_", F.year("o_orderdate"), "o_orderkey").alias("source"),
-        F.to_date("l_shipdate").cast("timestamp").alias("tau"), F.to_date("l_shipdate").cast("string").alias("tau_raw"), F.lit("day").alias("tau_precision"),
-        F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("evidence"), (1 - F.col("l_discount")).alias("confidence"),
+        F.concat_ws(" ", "p_brand", "p_type").alias("tail_name"), F.lit("Malware").alias("tail_type"), source.alias("source"),
+        day.cast("timestamp").alias("tau"), F.coalesce(day.cast("string"), F.lit("unknown")).alias("tau_raw"), F.when(day.isNull(), "unknown").otherwise("day").alias("tau_precision"),
+        F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("evidence"), F.when(F.col("l_linenumber") != 7, 1 - F.col("l_discount")).alias("confidence"),
         F.lit("2024-01-01").cast("timestamp").alias("created_at"), "l_linenumber",
         F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_discount").alias("ord"),  # lines repeat; this orders all that differ
     )
@@ -90,16 +96,21 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.upsert_edges(raw_edges(spark, sf_dir), F.col("ord"))
 
 
-def nodes_of(e: DataFrame, span_year: int | None = None) -> DataFrame:
-    """Nodes of edges, aligned each to itself; spans of heads within a year, if one is given."""
-    day = F.col("tau") if span_year is None else F.when(F.year("tau") == span_year, F.col("tau"))
-    ends = e.select(F.explode(F.array(*(F.struct(F.col(f"{x}_name").alias("name"), F.col(f"{x}_type").alias("type")) for x in ("head", "tail")))).alias("n"), day.alias("day"))
-    return ends.groupBy("n.name", "n.type").agg(F.min("day").alias("first_seen"), F.max("day").alias("last_seen")).select("name", "type", F.col("name").alias("raw_text"), F.col("name").alias("canonical_id"), "first_seen", "last_seen")
+def kept_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored: for what reads them several times."""
+    return stored(edges(spark, sf_dir), "edges")
+
+
+def nodes_of(e: DataFrame, late: int = 0, early: int = 0) -> DataFrame:
+    """Nodes of edges, aligned each to itself; spans begin so many days ``late`` and end so many ``early``, so that edges lie outside of them."""
+    ends = e.select(F.explode(F.array(*(F.struct(F.col(f"{x}_name").alias("name"), F.col(f"{x}_type").alias("type")) for x in ("head", "tail")))).alias("n"), F.to_date("tau").alias("day"))
+    spans = (F.date_add(F.min("day"), late).cast("timestamp").alias("first_seen"), F.date_sub(F.max("day"), early).cast("timestamp").alias("last_seen"))
+    return ends.groupBy("n.name", "n.type").agg(*spans).select("name", "type", F.col("name").alias("raw_text"), F.col("name").alias("canonical_id"), "first_seen", "last_seen")
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = edges(spark, sf_dir)
-    return trust.score_edges(e, nodes_of(e, 1998))
+    e = kept_edges(spark, sf_dir)
+    return trust.score_edges(e, nodes_of(e, 900, 1300))
 
 
 @query(f"WITH {SCORED_SQL} SELECT rel_type, count(*) AS total, count(*) FILTER (WHERE trusted) AS trusted, round(100.0::DOUBLE * count(*) FILTER (WHERE trusted) / count(*), 2) AS trusted_pct, round(avg(trust), 6) AS avg_trust FROM scored GROUP BY rel_type")
@@ -130,7 +141,7 @@ def edge_upsert(spark, sf_dir):
     return edges(spark, sf_dir).select("head_name", "rel_type", "tail_name", "source", F.to_date("tau").alias("tau"), "confidence", "evidence")
 
 
-@query(f"""WITH {EDGES_SQL}, merged AS (SELECT head_name, rel_type, tail_name, source, arg_max(confidence, ord) AS confidence, bool_or(l_linenumber = 1) AS was_there FROM raw GROUP BY ALL)
+@query(f"""WITH {EDGES_SQL}, merged AS (SELECT head_name, rel_type, tail_name, source, arg_max_null(confidence, ord) AS confidence, bool_or(l_linenumber = 1) AS was_there FROM raw GROUP BY ALL)
 SELECT head_name, rel_type, tail_name, source, confidence, CASE WHEN was_there THEN 0.5::DOUBLE END AS trust, CASE WHEN was_there THEN DATE '2023-01-01' ELSE DATE '2024-01-01' END AS created FROM merged""")
 def edge_merge(spark, sf_dir):
     """Lines after the first of each order are merged into a graph of the first lines, whose trust and time of creation stay."""
@@ -140,20 +151,9 @@ def edge_merge(spark, sf_dir):
     return graph.merge_edges(old, new).select("head_name", "rel_type", "tail_name", "source", "confidence", "trust", F.to_date("created_at").alias("created"))
 
 
-
-
-@query(f"WITH {EDGES_SQL}, ends AS (SELECT head_name AS name, 'ThreatActor' AS type, source AS id, tau, ord FROM raw UNION ALL SELECT tail_name, 'Malware', source, tau, ord FROM raw), files AS (SELECT name, type, id, arg_min(tau, ord) AS tau FROM ends GROUP BY ALL) SELECT name, type, min(tau) AS first_seen, max(tau) AS last_seen FROM files GROUP BY ALL")
-def node_upsert(spark, sf_dir):
-    """Nodes of each order (with the date of the first line that names them), upserted over all orders."""
-    rows = raw_edges(spark, sf_dir)
-    ends = rows.select(F.col("source").alias("id"), "ord", "tau", F.explode(F.array(*(F.struct(F.col(f"{x}_name").alias("name"), F.col(f"{x}_type").alias("type")) for x in ("head", "tail")))).alias("n"))
-    files = ends.groupBy("id", "n.name", "n.type").agg(F.min_by("tau", "ord").alias("tau")).withColumn("raw_text", F.col("name"))
-    return graph.nodes(files).select("name", "type", F.to_date("first_seen").alias("first_seen"), F.to_date("last_seen").alias("last_seen"))
-
-
 @query(f"WITH {SCORED_SQL} SELECT head_name AS head_canonical, rel_type, tail_name AS tail_canonical, n AS src_cnt, contra AS contradiction FROM stats")
 def triple_stats(spark, sf_dir):
-    e = edges(spark, sf_dir)
+    e = kept_edges(spark, sf_dir)
     return trust.triple_stats(e, nodes_of(e))
 
 
@@ -169,15 +169,17 @@ def source_reliability(spark, sf_dir):
     return counted.withColumn("reliability", S.source_reliability(F.col("source"), F.col("rel"), F.col("head_type"), F.lit("Unknown")))
 
 
-@query("""WITH spans AS (SELECT l_suppkey, min(CAST(l_shipdate AS DATE)) AS lo, max(CAST(l_shipdate AS DATE)) AS hi FROM lineitem WHERE year(l_shipdate) = 1998 GROUP BY l_suppkey),
-t AS (SELECT l.l_suppkey, CASE WHEN l_linenumber <> 7 THEN CAST(l_shipdate AS DATE) END AS tau, lo, hi FROM lineitem l LEFT JOIN spans s ON l.l_suppkey = s.l_suppkey),
-c AS (SELECT CASE WHEN tau IS NULL THEN 0.5 WHEN lo IS NULL THEN 1.0 WHEN tau BETWEEN lo AND hi + 365 THEN 1.0 WHEN greatest(datediff('day', tau, lo), datediff('day', hi + 365, tau)) <= 180 THEN 0.7 ELSE 0.3 END::DOUBLE AS consistency FROM t)
+@query("""WITH spans AS (SELECT l_suppkey, min(CAST(l_shipdate AS DATE)) + 900 AS lo, max(CAST(l_shipdate AS DATE)) - 1300 AS hi FROM lineitem GROUP BY l_suppkey),
+t AS (SELECT l.l_suppkey, l_linenumber, CASE WHEN l_linenumber <> 7 THEN CAST(l_shipdate AS DATE) END AS tau, CASE WHEN l_linenumber <> 5 THEN lo END AS lo, CASE WHEN l_linenumber = 1 THEN lo ELSE hi END AS hi FROM lineitem l LEFT JOIN spans s ON l.l_suppkey = s.l_suppkey),
+c AS (SELECT CASE WHEN tau IS NULL THEN 0.5 WHEN lo IS NULL THEN 1.0 WHEN l_linenumber = 1 THEN CASE WHEN tau = lo THEN 1.0 ELSE 0.5 END WHEN tau BETWEEN lo AND hi + 365 THEN 1.0 WHEN greatest(datediff('day', tau, lo), datediff('day', hi + 365, tau)) <= 180 THEN 0.7 ELSE 0.3 END::DOUBLE AS consistency FROM t)
 SELECT consistency, count(*) AS n FROM c GROUP BY consistency""")
 def temporal_consistency(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_linenumber", F.to_date("l_shipdate").alias("d"))
-    spans = li.where(F.year("d") == 1998).groupBy("l_suppkey").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-    tau = F.when(F.col("l_linenumber") != 7, F.col("d"))
-    return li.join(spans, "l_suppkey", "left").select(S.temporal_consistency(tau, F.lit("ThreatActor"), F.col("lo"), F.col("hi")).alias("consistency")).groupBy("consistency").agg(F.count("*").alias("n"))
+    spans = li.groupBy("l_suppkey").agg(F.date_add(F.min("d"), 900).alias("lo"), F.date_sub(F.max("d"), 1300).alias("hi"))
+    n, lo = F.col("l_linenumber"), F.col("lo")
+    kind = F.when(n == 1, "IOC").otherwise("ThreatActor")
+    factor = S.temporal_consistency(F.when(n != 7, F.col("d")), kind, F.when(n != 5, lo), F.when(n == 1, lo).otherwise(F.col("hi")))
+    return li.join(spans, "l_suppkey", "left").select(factor.alias("consistency")).groupBy("consistency").agg(F.count("*").alias("n"))
 
 
 # -- scalar functions
@@ -209,12 +211,15 @@ def confidence_parse(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(S.parse_confidence(raw), 9).alias("confidence"))
 
 
-@query(r"""WITH r AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN md5(coalesce(text, '')) WHEN 1 THEN lang || doc_id || '.EXE' WHEN 2 THEN concat('10.0.0.', doc_id % 256, ' ', lang) ELSE text END AS t FROM documents), s AS (SELECT doc_id, string_split_regex(trim(coalesce(t, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[ \t\n\x0B\f\r]+') AS w FROM r)
-SELECT doc_id, NOT (len(w) <= 2 AND (regexp_full_match(lower(w[1]), '[a-f0-9]{32,64}') OR regexp_matches(lower(w[1]), '^[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}') OR regexp_full_match(lower(w[1]), '[a-z0-9_\-\.]+\.(exe|dll|pdf|doc|docx|zip|rar|bin|apk|sh|py|vbs|bat|cab)'))) AS narrative FROM s""")
+@query(r"""WITH r AS (SELECT doc_id, 'text' AS form, text AS t FROM documents UNION ALL SELECT doc_id, 'hash', md5(coalesce(text, '')) FROM documents UNION ALL SELECT doc_id, 'file', lang || doc_id || '.EXE' FROM documents UNION ALL SELECT doc_id, 'address', concat('10.0.0.', doc_id % 256, ' ', lang) FROM documents), s AS (SELECT doc_id, form, string_split_regex(trim(coalesce(t, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[ \t\n\x0B\f\r]+') AS w FROM r)
+SELECT doc_id, form, NOT (len(w) <= 2 AND (regexp_full_match(lower(w[1]), '[a-f0-9]{32,64}') OR regexp_matches(lower(w[1]), '^[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}') OR regexp_full_match(lower(w[1]), '[a-z0-9_\-\.]+\.(exe|dll|pdf|doc|docx|zip|rar|bin|apk|sh|py|vbs|bat|cab)'))) AS narrative FROM s""")
 def narrative_filter(spark, sf_dir):
-    k = F.col("doc_id") % 4
-    t = F.when(k == 0, F.md5(F.coalesce("text", F.lit("")))).when(k == 1, F.concat(F.col("lang"), F.col("doc_id").cast("string"), F.lit(".EXE"))).when(k == 2, F.concat(F.lit("10.0.0."), (F.col("doc_id") % 256).cast("string"), F.lit(" "), F.col("lang"))).otherwise(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", X.is_narrative(t).alias("narrative"))
+    """Every document's text, and besides it a bare hash, file name and address made of each."""
+    number = F.col("doc_id").cast("string")
+    forms = {"text": F.col("text"), "hash": F.md5(F.coalesce("text", F.lit(""))), "file": F.concat("lang", number, F.lit(".EXE")), "address": F.concat(F.lit("10.0.0."), (F.col("doc_id") % 256).cast("string"), F.lit(" "), F.col("lang"))}
+    docs = table(spark, sf_dir, "documents")
+    judged = [docs.select("doc_id", F.lit(k).alias("form"), X.is_narrative(t).alias("narrative")) for k, t in forms.items()]
+    return reduce(DataFrame.unionByName, judged)
 
 
 @query(r"""WITH s AS (SELECT doc_id, trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM documents)
@@ -223,7 +228,7 @@ def token_count(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.token_count(F.col("text")).alias("tokens"))
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(coalesce(left(url, 60), '')) , '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS norm FROM (SELECT page_id AS doc_id, url FROM pages)""")
+@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(coalesce(url, '')) , '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS norm FROM (SELECT page_id AS doc_id, url FROM pages)""")
 def name_normalize(spark, sf_dir):
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), X.normalize_name(F.col("url")).alias("norm"))
 
@@ -287,7 +292,7 @@ def ioc_extract(spark, sf_dir):
 
 @query(f"""WITH {EVENT_SQL}, f AS (SELECT user_id, list(struct_pack(title := CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN event_type WHEN 2 THEN event_type || ' ' || value ELSE event_type || '_' || event_id END, date := CASE WHEN event_id % 5 = 0 THEN DATE '1970-01-01' ELSE CAST(ts AS DATE) END) ORDER BY lpad(event_id::VARCHAR, 12, '0')) AS l FROM ev GROUP BY user_id),
 r AS (SELECT user_id, list_reduce(l, lambda a, x: CASE WHEN trim(x.title) <> '' AND (trim(a.title) = '' OR length(x.title) > length(a.title) OR (contains(x.title, ' ') AND NOT contains(a.title, ' '))) THEN struct_pack(title := x.title, date := CASE WHEN x.date <> DATE '1970-01-01' THEN x.date ELSE a.date END) ELSE a END) AS m FROM f)
-SELECT '2024_' || user_id AS id, m.title AS info_title, m.date AS date FROM r""")
+SELECT '2024_' || user_id AS id, m.title AS info_title, m.date AS date, files FROM r JOIN (SELECT user_id, string_agg(DISTINCT lpad(event_id::VARCHAR, 12, '0'), ',' ORDER BY lpad(event_id::VARCHAR, 12, '0')) AS files FROM ev GROUP BY user_id) USING (user_id)""")
 def title_fold(spark, sf_dir):
     """Events of one user are one record in many files, with titles of all kinds."""
     k = F.col("event_id") % 4
@@ -296,35 +301,69 @@ def title_fold(spark, sf_dir):
         F.lpad(F.col("event_id").cast("string"), 12, "0").alias("file"), F.lit(2024).alias("year"), F.col("user_id").alias("event_id"),
         F.when(F.col("event_id") % 5 == 0, F.lit("1970-01-01").cast("date")).otherwise(F.to_date("ts")).alias("date"), title.alias("info_title"), F.array("ioc").alias("iocs"),
     )
-    return events.merge_events(rows).select("id", "info_title", "date")
+    return events.merge_events(rows).select("id", "info_title", "date", F.array_join("source_files", ",").alias("files"))
 
 
-RESOLVE_SQL = """li AS (SELECT concat(year(o_orderdate), '_', o_orderkey) AS id, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, 'P' || l_partkey, 'Supplier#' || l_suppkey) - 1 AS ord, 'P' || l_partkey AS raw, p_brand || ' ' || p_type AS name, CASE WHEN p_size % 2 = 0 THEN 'Malware' ELSE 'Tool' END AS type, 'Supplier#' || l_suppkey AS supplier FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
-keys AS (SELECT id, ord, name, type, unnest([lower(raw), lower(name)]) AS key FROM li), m AS (SELECT id, key, arg_max(struct_pack(name := name, type := type), ord) AS e FROM keys GROUP BY id, key)"""
+RESOLVE_SQL = """raws AS (SELECT concat(year(o_orderdate), '_', o_orderkey) AS id, l_linenumber AS n, 'p' || l_partkey AS tail, CASE l_linenumber WHEN 2 THEN '{''text'': ''P' || l_partkey || '''}' WHEN 3 THEN ' ' ELSE 'P' || l_partkey END AS said,
+  CASE WHEN p_size % 2 = 0 THEN 'Malware' ELSE 'Tool' END AS type, CASE WHEN l_linenumber = 3 THEN '' ELSE p_brand || ' ' || p_type END AS canonical, CASE WHEN l_linenumber = 5 THEN '  ' ELSE 'Supplier#' || l_suppkey END AS head,
+  CASE WHEN l_linenumber = 4 THEN 'unknown' ELSE strftime(l_shipdate, '%Y-%m-%d') END AS time FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
+li AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n, said, type, canonical, head, tail, time) - 1 AS ord, upper(tail) AS raw, CASE WHEN time <> 'unknown' THEN time::DATE END AS tau FROM raws),
+ents AS (SELECT id, ord, raw, canonical AS name, type FROM li WHERE n <> 3), keys AS (SELECT id, ord, name, type, unnest([lower(raw), lower(name)]) AS key FROM ents), m AS (SELECT id, key, arg_max(struct_pack(name := name, type := type), ord) AS e FROM keys GROUP BY id, key),
+rels AS (SELECT li.id, li.ord, li.n, head, tail, tau, coalesce(m.e.name, tail) AS tail_name, coalesce(m.e.type, 'Unknown') AS tail_type, m.e IS NULL AS tail_missing FROM li LEFT JOIN m ON li.id = m.id AND m.key = tail WHERE n <> 5),
+files AS (SELECT id, name, type, arg_min(raw, o) AS raw_text, arg_min(tau, o) FILTER (WHERE tau IS NOT NULL) AS tau FROM (SELECT id, name, type, raw, struct_pack(k := 0, o := ord) AS o, NULL::DATE AS tau FROM ents
+  UNION ALL SELECT id, head, 'Unknown', head, struct_pack(k := 1, o := ord), tau FROM rels UNION ALL SELECT id, tail_name, tail_type, tail, struct_pack(k := 1, o := ord), tau FROM rels) GROUP BY id, name, type)"""
 
 
 def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An extraction for each order: its parts are listed, its suppliers are only named in relations."""
+    """An extraction for each order: its parts are listed, its suppliers are only named in relations. Some texts are dicts' reprs, some names and ends are blank, some times and confidences missing."""
     li, o, p = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
     rows = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
-    raw = F.concat(F.lit("P"), F.col("l_partkey").cast("string"))
-    entity = F.struct(raw.alias("text"), F.when(F.col("p_size") % 2 == 0, "Malware").otherwise("Tool").alias("type"), F.concat_ws(" ", "p_brand", "p_type").alias("canonical_name"), F.lit(0.9).alias("confidence"))
-    relation = F.struct(F.concat(F.lit("Supplier#"), F.col("l_suppkey").cast("string")).alias("head"), F.lit("drops-file").alias("relation"), F.lower(raw).alias("tail"), F.to_date("l_shipdate").cast("string").alias("time"), F.lit("").alias("evidence"), F.lit(0.9).alias("confidence"))
+    n, raw = F.col("l_linenumber"), F.concat(F.lit("P"), F.col("l_partkey").cast("string"))
+    text = F.when(n == 2, F.concat(F.lit("{'text': '"), raw, F.lit("'}"))).when(n == 3, " ").otherwise(raw)
+    kind = F.when(F.col("p_size") % 2 == 0, "Malware").otherwise("Tool")
+    entity = F.struct(text.alias("text"), kind.alias("type"), F.when(n == 3, "").otherwise(F.concat_ws(" ", "p_brand", "p_type")).alias("canonical_name"), F.lit(0.9).alias("confidence"))
+    head = F.when(n == 5, "  ").otherwise(F.concat(F.lit("Supplier#"), F.col("l_suppkey").cast("string")))
+    time = F.when(n == 4, "unknown").otherwise(F.to_date("l_shipdate").cast("string"))
+    relation = F.struct(head.alias("head"), F.lit("drops-file").alias("relation"), F.lower(raw).alias("tail"), time.alias("time"), F.lit("").alias("evidence"), F.when(n != 6, 0.9).alias("confidence"))
     got = rows.groupBy(F.concat_ws("_", F.year("o_orderdate"), "o_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", entity.alias("e"), relation.alias("r")))).alias("x"))
     return got.select("id", F.transform("x", lambda v: v.e).alias("entities"), F.transform("x", lambda v: v.r).alias("relations"))
 
 
-@query(f"WITH {RESOLVE_SQL} SELECT li.id, li.ord, supplier AS head_name, 'Unknown' AS head_type, m.e.name AS tail_name, m.e.type AS tail_type, true AS head_missing FROM li JOIN m ON li.id = m.id AND m.key = lower(li.raw)")
-def resolve_endpoints(spark, sf_dir):
+def resolved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Listed entities, and relations with their ends."""
     x = extractions(spark, sf_dir)
-    return graph.resolve(graph.relations(x), graph.entities(x)).select("id", F.col("ord").cast("long").alias("ord"), "head_name", "head_type", "tail_name", "tail_type", "head_missing")
+    listed = graph.entities(x)
+    return listed, graph.resolve(graph.relations(x), listed)
+
+
+@query(f"WITH {RESOLVE_SQL} SELECT id, ord, head AS head_name, 'Unknown' AS head_type, tail_name, tail_type, true AS head_missing, tail_missing, CASE WHEN n = 6 THEN 1 ELSE 0.9 END::DOUBLE AS confidence FROM rels")
+def resolve_endpoints(spark, sf_dir):
+    return resolved(spark, sf_dir)[1].select("id", F.col("ord").cast("long").alias("ord"), "head_name", "head_type", "tail_name", "tail_type", "head_missing", "tail_missing", "confidence")
 
 
-@query(f"WITH {RESOLVE_SQL} SELECT id, '[' || id || '] Entity reference ''' || supplier || ''' not found in entities list. Defaulting type to ''Unknown''.' AS message FROM li")
+@query(f"WITH {RESOLVE_SQL}, refs AS (SELECT id, head AS ref FROM rels UNION ALL SELECT id, tail FROM rels WHERE tail_missing) SELECT id, '[' || id || '] Entity reference ''' || ref || ''' not found in entities list. Defaulting type to ''Unknown''.' AS message FROM refs")
 def resolve_warnings(spark, sf_dir):
-    x = extractions(spark, sf_dir)
-    listed = graph.entities(x)
-    return graph.warnings(graph.resolve(graph.relations(x), listed), listed)
+    listed, ends = resolved(spark, sf_dir)
+    return graph.warnings(ends, listed)
+
+
+@query(f"WITH {RESOLVE_SQL} SELECT id, name, type, raw_text, tau FROM files")
+def file_nodes(spark, sf_dir):
+    return graph.file_nodes(*resolved(spark, sf_dir)).select("id", "name", "type", "raw_text", F.to_date("tau").alias("tau"))
+
+
+@query(f"WITH {RESOLVE_SQL} SELECT name, type, arg_min(raw_text, id) AS raw_text, min(tau) AS first_seen, max(tau) AS last_seen FROM files GROUP BY ALL")
+def node_upsert(spark, sf_dir):
+    got = graph.nodes(graph.file_nodes(*resolved(spark, sf_dir)))
+    return got.select("name", "type", "raw_text", F.to_date("first_seen").alias("first_seen"), F.to_date("last_seen").alias("last_seen"))
+
+
+@query(f"""WITH {RESOLVE_SQL}, edges AS (SELECT DISTINCT id, head, tail_name, tail_type FROM rels), warned AS (SELECT count(*) + count(*) FILTER (WHERE tail_missing) AS n FROM rels)
+SELECT (SELECT count(DISTINCT id) FROM li) AS files, (SELECT count(DISTINCT (name, type)) FROM files) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT n FROM warned) AS warnings, (SELECT count(*) FROM li) AS entities, (SELECT count(*) FROM li) AS relations""")
+def ingest_stats(spark, sf_dir):
+    x = stored(extractions(spark, sf_dir), "extractions")
+    nodes, made, warned = graph.build(x, F.lit("2024-01-01").cast("timestamp"))
+    return graph.ingest_summary(x, nodes, made, warned).join(F.broadcast(extract.summary(x).select("entities", "relations")))  # one row each
 
 
 @query(f"WITH {EDGES_SQL} SELECT CASE WHEN tau IS NULL THEN 'null' ELSE 'populated' END AS tau_status, count(*) AS n FROM edges GROUP BY ALL")
@@ -398,7 +437,7 @@ def top_clusters(spark, sf_dir):
 
 @query(f"WITH {EDGES_SQL}, ends AS (SELECT head_name AS name, 'ThreatActor' AS type FROM edges UNION ALL SELECT tail_name, 'Malware' FROM edges) SELECT name, type, count(*) AS degree FROM ends GROUP BY ALL")
 def node_degree(spark, sf_dir):
-    e = edges(spark, sf_dir)
+    e = kept_edges(spark, sf_dir)
     return align.degrees(nodes_of(e), e).select("name", "type", "degree")
 
 
@@ -425,24 +464,23 @@ def components(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("rep")).join(roots, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
 
 
-@query("""WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0), t AS (SELECT vec_id, label::VARCHAR AS type, 'C' || (vec_id % 50) AS canonical_id, list_inner_product(embedding::DOUBLE[], q.e) AS sim FROM embeddings, q ORDER BY sim DESC, vec_id LIMIT 20)
-SELECT vec_id, type, canonical_id, round(sim, 4) AS similarity FROM t QUALIFY row_number() OVER (PARTITION BY type, canonical_id ORDER BY sim DESC, vec_id) = 1""")
+@query("""WITH q AS (SELECT vec_id AS ask, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0), t AS (SELECT ask, vec_id, label::VARCHAR AS type, 'C' || (vec_id % 50) AS canonical_id, list_inner_product(embedding::DOUBLE[], q.e) AS sim FROM embeddings, q QUALIFY row_number() OVER (PARTITION BY ask ORDER BY sim DESC, vec_id) <= 20)
+SELECT ask, vec_id, type, canonical_id, round(sim, 4) AS similarity FROM t QUALIFY row_number() OVER (PARTITION BY ask, type, canonical_id ORDER BY sim DESC, vec_id) = 1""")
 def knn_query(spark, sf_dir):
-    """The vector that asks is row 0; all rows are searched."""
-    from .operators.retrieve import nearest
-
+    """Every hundredth row asks; all rows are searched."""
     v = table(spark, sf_dir, "embeddings")
-    asks = v.where("vec_id = 0").select(F.col("embedding").alias("asks"))
+    asks = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("ask"), "embedding")
     rows = v.select("vec_id", F.col("label").cast("string").alias("type"), F.concat(F.lit("C"), (F.col("vec_id") % 50).cast("string")).alias("canonical_id"), "embedding")
-    return nearest(rows.join(F.broadcast(asks)), F.col("asks"), 20, "vec_id").drop("asks")
+    return retrieve.nearest_each(rows, asks, 20, "vec_id")
 
 
-@query("""WITH s AS (SELECT o_custkey, min(CAST(o_orderdate AS DATE)) AS lo, max(CAST(o_orderdate AS DATE)) AS hi FROM orders WHERE o_totalprice > 200000 OR o_orderstatus = 'F' GROUP BY o_custkey), n AS (SELECT c_custkey, lo, hi FROM customer LEFT JOIN s ON c_custkey = o_custkey),
+@query("""WITH s AS (SELECT o_custkey, min(CAST(o_orderdate AS DATE)) AS lo, min(CAST(o_orderdate AS DATE)) + (o_custkey % 60)::INT AS hi FROM orders GROUP BY o_custkey), n AS (SELECT c_custkey, lo, hi FROM customer LEFT JOIN s ON c_custkey = o_custkey),
 p AS (SELECT a.c_custkey AS a, b.c_custkey AS b, a.lo AS fa, b.lo AS fb, greatest(datediff('day', a.hi, b.lo), datediff('day', b.hi, a.lo)) AS gap FROM n a JOIN n b ON b.c_custkey = a.c_custkey + 1)
 SELECT a, b, fa IS NULL OR fb IS NULL OR gap <= 100 AS ok, CASE WHEN fa IS NULL OR fb IS NULL THEN 'No timeline constraint (missing dates)' WHEN gap > 100 THEN concat('Temporal gap of ', gap, ' days exceeds limit (100 days)') ELSE 'Temporal overlap/gap within 730 days' END AS reason FROM p""")
 def temporal_overlap(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_totalprice > 200000 OR o_orderstatus = 'F'")
-    s = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min(F.to_date("o_orderdate")).alias("lo"), F.max(F.to_date("o_orderdate")).alias("hi"))
+    """Spans begin with a customer's first order and last a number of days by its key."""
+    first = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min(F.to_date("o_orderdate")).alias("lo"))
+    s = first.withColumn("hi", F.expr("date_add(lo, CAST(c_custkey % 60 AS INT))"))
     n = table(spark, sf_dir, "customer").select("c_custkey").join(s, "c_custkey", "left")
     a, b = n.toDF("a", "fa", "la"), n.toDF("b", "fb", "lb")
     both = a.join(b, F.col("b") == F.col("a") + 1)
@@ -460,7 +498,7 @@ def _level(n: int) -> str:
 PATHS_SQL = (
     EDGES_SQL
     + """,
-scored AS (SELECT *, confidence AS trust, confidence >= 0.95::DOUBLE AS trusted FROM edges),
+scored AS (SELECT *, confidence AS trust, confidence >= 0.95::DOUBLE AS trusted FROM edges WHERE confidence IS NOT NULL),
 e AS (SELECT head_name || '::ThreatActor::' || rel_type || '::' || tail_name || '::Malware::' || source AS eid, * FROM scored),
 steps AS (SELECT head_name AS src, tail_name AS dst, eid, trust, struct_pack(a := head_name, ht := 'ThreatActor', r := rel_type, b := tail_name, tt := 'Malware', d := tau, ev := evidence, trust := trust, trusted := trusted, source := source, conf := confidence) AS hop FROM e
   UNION ALL SELECT tail_name, head_name, eid, trust, struct_pack(a := tail_name, ht := 'Malware', r := rel_type, b := head_name, tt := 'ThreatActor', d := tau, ev := evidence, trust := trust, trusted := trusted, source := source, conf := confidence) FROM e),
@@ -475,12 +513,12 @@ FACTS_SQL = (
     + """,
 h AS (SELECT rank, unnest(range(len(hops))) AS pos, unnest(hops) AS x FROM ranked),
 f AS (SELECT rank, pos, x.*, concat_ws('::', x.a, x.r, x.b, x.source) AS fact_key FROM h QUALIFY row_number() OVER (PARTITION BY concat_ws('::', x.a, x.r, x.b, x.source) ORDER BY rank, pos) = 1),
-facts AS (SELECT *, CASE r WHEN 'EXPLOITS' THEN 2 ELSE 3 END AS priority, row_number() OVER (ORDER BY CASE r WHEN 'EXPLOITS' THEN 2 ELSE 3 END, trust DESC, d DESC NULLS LAST, rank, pos) AS fact_rank FROM f)"""
+facts AS (SELECT *, CASE r WHEN 'BELONGS_TO_TACTIC' THEN 2 WHEN 'USES' THEN 3 ELSE 6 END AS priority, row_number() OVER (ORDER BY CASE r WHEN 'BELONGS_TO_TACTIC' THEN 2 WHEN 'USES' THEN 3 ELSE 6 END, trust DESC, d DESC NULLS LAST, rank, pos) AS fact_rank FROM f)"""
 )
 
 
 def supplier_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Confidence stands in for trust: some edges have all of it, so that longer paths rank high too. Edges and steps are stored: each hop joins them again."""
+    """Confidence stands in for trust: some edges have all of it, so that longer paths rank high too, some have none. Edges and steps are stored: each hop joins them again."""
     e = edges(spark, sf_dir).withColumns({"trust": F.col("confidence"), "trusted": F.col("confidence") >= 0.95})
     e = stored(e, "edges", scratch(spark, "paths"))
     steps = stored(traverse.walkable(e, nodes_of(e)), "steps", scratch(spark, "paths"))
@@ -520,6 +558,11 @@ def window_counts(spark, sf_dir):
     return windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type")
 
 
+@query("SELECT count(*) AS n, 1 - max(l_discount) AS lowest, 1 - min(l_discount) AS highest, round(avg(1 - l_discount), 6) AS mean FROM lineitem")
+def confidence_summary(spark, sf_dir):
+    return extract.confidence_summary(table(spark, sf_dir, "lineitem").select(F.array(F.struct((1 - F.col("l_discount")).alias("confidence"))).alias("relations")))
+
+
 @query()
 def fuzzy_terms(spark, sf_dir):
     """Part types against the tactics; ratios have no SQL form, tests hold them against the standard library."""
