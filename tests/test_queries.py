@@ -8,6 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from veritrail import catalog as C
 from veritrail import queries as Q
 
 DATA = Path("/root/testdata/sf0.001")
@@ -35,13 +36,13 @@ def rows(df: pd.DataFrame) -> list[tuple]:
 
 
 @pytest.mark.skipif(not DATA.is_dir(), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", sorted(Q.SQL))
+@pytest.mark.parametrize("name", sorted(C.SQL))
 def test_same_as_sql(spark, duck, name):
     assert rows(Q.QUERIES[name](spark, str(DATA)).toPandas()) == rows(duck.execute(Q.SQL[name]).df())
 
 
 @pytest.mark.skipif(not DATA.is_dir(), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.SQL)))
+@pytest.mark.parametrize("name", sorted(set(C.QUERIES) - set(C.SQL)))
 def test_runs(spark, name):
     assert Q.QUERIES[name](spark, str(DATA)).count() > 0
 
