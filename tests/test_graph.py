@@ -200,6 +200,20 @@ def test_similar_pairs_in_blocks(spark, monkeypatch):
     assert {(r.i, r.j) for r in align.similar_pairs(v, 6, 0.5).collect()} == want and want
 
 
+def test_buckets_find_most_similar_pairs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(60, 24))
+    v = (centres[rng.integers(0, 60, 600)] + 0.28 * rng.normal(size=(600, 24))).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(f"t{k % 2}", k, [float(x) for x in v[k]]) for k in range(600)], "type string, i long, embedding array<float>")
+    exact = {(r.type, r.i, r.j): r.sim for r in align.similar_pairs(rows, 50, 0.85).collect()}
+    found = {(r.type, r.i, r.j): r.sim for r in align.similar_pairs(rows, 50, 0.85, 8).collect()}
+    assert len(exact) > 500 and set(found) <= set(exact) and all(exact[k] == s for k, s in found.items())
+    assert len(found) >= 0.9 * len(exact)
+
+
 def brute_paths(edges, seed, depth, limit):
     """All trails, then the best."""
     steps = {}

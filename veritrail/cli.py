@@ -35,7 +35,7 @@ def parser() -> argparse.ArgumentParser:
     add("extract", "data", out=None, event=None, cve=None, chat_url=None, chat_model="")
     add("ingest", "facts", "graph", "out", limit=0)
     add("score", "graph", "out", taxonomy=None, force=False, sample=0)
-    add("align", "graph", "out", log=None, type=None, threshold=AlignConfig().threshold, names_only=False)
+    add("align", "graph", "out", log=None, type=None, threshold=AlignConfig().threshold, names_only=False, planes=0)
     add("verify", "graph")
     add("index", "graph", "out")
     add("query", "graph", "index", "text", top_k=RetrievalConfig().top_k, depth=RetrievalConfig().depth, chat_url=None, chat_model="")
@@ -84,7 +84,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         elif a.job == "align":
             text = F.concat(F.col("type"), F.lit(": "), F.col("name")).alias("text")
             vectors = None if a.names_only else embed(nodes.select("name", "type", text), "text", hashed_ngrams())
-            aligned, decisions = align.align(nodes, edges, vectors, AlignConfig(threshold=a.threshold), types=(a.type,) if a.type else ALIGNABLE_TYPES)
+            aligned, decisions = align.align(nodes, edges, vectors, AlignConfig(threshold=a.threshold, planes=a.planes or None), types=(a.type,) if a.type else ALIGNABLE_TYPES)
             tables.write_graph(aligned, edges, a.out)
             if a.log:
                 tables.log_decisions(decisions, a.log)

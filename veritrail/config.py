@@ -88,6 +88,8 @@ class AlignConfig:
     place_threshold: float = 0.95  # Location and Target
     neighbours: int = 50
     gap_days: int = 730
+    planes: int | None = None  # all pairs are compared without them
+    tables: int = 16
 
 
 @dataclass(frozen=True)

@@ -17,6 +17,7 @@ from .components import component_roots
 
 #: Names of a block: the similarities of two blocks are one task's.
 BLOCK = 4096
+SEP = "\x1f"
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -86,13 +87,42 @@ def multiplied(asks: DataFrame, rows: DataFrame, k: int, others: bool) -> DataFr
     return cells.groupBy("type", "a", "b").applyInArrow(run, "type string, i long, j long, sim double")
 
 
-def similar_pairs(vectors: DataFrame, k: int, threshold: Column | float) -> DataFrame:
+def bucketed(vectors: DataFrame, planes: int, tables: int, seed: int = 0) -> DataFrame:
+    """``vectors`` once for each of ``tables`` sets of random planes; the sides of the planes that a vector is on become part of its type."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(it):
+        normals = None
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            v = np.array(batch.column(2).to_pylist(), np.float64)
+            if normals is None:
+                normals = np.random.default_rng(seed).normal(size=(v.shape[1], tables, planes))
+            side = (np.tensordot(v, normals, 1) > 0) @ (1 << np.arange(planes))
+            for t in range(tables):
+                names = [f"{x}{SEP}{t}{SEP}{s}" for x, s in zip(batch.column(0).to_pylist(), side[:, t], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), batch.column(1), batch.column(2)], ["type", "i", "embedding"])
+
+    rows = vectors.select("type", F.col("i").cast("long").alias("i"), F.col("embedding").cast("array<float>").alias("embedding"))
+    return rows.mapInArrow(run, "type string, i long, embedding array<float>")
+
+
+def similar_pairs(vectors: DataFrame, k: int, threshold: Column | float, planes: int | None = None, tables: int = 16) -> DataFrame:
     """Pairs i, j of one type with similarity: j is among i's k - 1 nearest others, comes after i in order, and is similar enough.
 
-    ``vectors``: type, i (order), embedding. A type of n names costs n * n products, and
-    shuffles k * n / BLOCK rows a name.
+    ``vectors``: type, i (order), embedding. Exact: a type of n names costs n * n
+    products, and shuffles k * n / BLOCK rows a name. With ``planes`` only vectors that
+    share a bucket of so many random planes in one of the tables are compared: each
+    bucket has about n / 2**planes. Of pairs with a cosine of 0.85, eight planes and
+    sixteen tables find 97 in 100; what they find has its exact similarity.
     """
-    near = multiplied(vectors, vectors, k, True)
+    if planes:
+        held = stored(bucketed(vectors, planes, tables), "buckets")
+        near = multiplied(held, held, k, True).withColumn("type", F.substring_index("type", SEP, 1)).distinct()
+    else:
+        near = multiplied(vectors, vectors, k, True)
     rank = F.row_number().over(Window.partitionBy("type", "i").orderBy(F.desc("sim"), "j"))
     return near.withColumn("rank", rank).where((F.col("rank") <= k - 1) & (F.col("j") > F.col("i")) & (F.col("sim") >= threshold)).select("type", "i", "j", "sim")
 
@@ -122,7 +152,7 @@ def align(nodes: DataFrame, edges: DataFrame, vectors: DataFrame | None = None,
     if vectors is not None:
         with_v = reps.join(vectors.select("name", "type", "embedding"), ["name", "type"])
         need = F.when(F.col("type").isin("Location", "Target"), config.place_threshold).otherwise(config.threshold)
-        pairs = similar_pairs(with_v.select("type", "i", "name", "embedding"), config.neighbours, need)
+        pairs = similar_pairs(with_v.select("type", "i", "name", "embedding"), config.neighbours, need, config.planes, config.tables)
         ends = reps.select("type", "i", "name", "first_seen", "last_seen")
         both = pairs.join(ends.toDF("type", "i", "na", "fa", "la"), ["type", "i"]).join(ends.toDF("type", "j", "nb", "fb", "lb"), ["type", "j"])
         checked = both.withColumn("t", overlap(F.to_date("fa"), F.to_date("la"), F.to_date("fb"), F.to_date("lb"), config.gap_days))

@@ -570,18 +570,3 @@ def fuzzy_terms(spark, sf_dir):
 
     names = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_type", "p_brand").alias("name")).union(spark.createDataFrame([("Initial Acces",), ("execution",)], "name string"))
     return trust.match_terms(names, list(TACTICS.values()))
-
-
-@query()
-def align_full(spark, sf_dir):
-    """Suppliers and part kinds aligned by name and hashed vectors, with decisions counted; vectors come from Python."""
-    from .sources.models import embed
-
-    e = edges(spark, sf_dir)
-    n = nodes_of(e).withColumn("canonical_id", F.lit(None).cast("string"))
-    v = embed(n.select("name", "type", F.concat(F.col("type"), F.lit(": "), F.col("name")).alias("text")), "text")
-    nodes, decisions = align.align(n, e, v, decided_at=F.lit("2024-01-01").cast("timestamp"))
-    merged = decisions.groupBy("type").agg(F.count("*").alias("decisions"), F.sum((F.col("decision") == "merged").cast("int")).alias("merges"))
-    return align.by_type(nodes).join(merged, "type", "left")
-
-

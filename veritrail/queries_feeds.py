@@ -8,13 +8,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import ALIGNABLE_TYPES, ALIASES, TACTICS
+from .config import ALIGNABLE_TYPES, ALIASES, TACTICS, AlignConfig
 from .functions import time as Time
+from .functions.vector import unit
 from .operators import align, context, extract, retrieve, traverse, trust
 from .plans.jobs import event_facts
 from .queries import EDGES_SQL, FACTS_SQL, NAMES_SQL, SCORED_SQL, event_rows, kept_edges, nodes_of, part_names, query, supplier_paths, table
 from .schemas import CVE_JSON, EXTRACTION
-from .sources import cves, events, tables
+from .sources import cves, events, models, tables
 from .sources import taxonomy as terms
 from .store import scratch, stored
 
@@ -322,7 +323,7 @@ def align_by_names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return align.align(nodes, edges, decided_at=F.lit("2024-01-01").cast("timestamp"), types=ALIGNABLE_TYPES)
 
 
-LETTERS = "aeionrst"
+LETTERS = "0123456789aeionrst"
 VECTOR_SQL = "list_transform([%s], lambda x: x::FLOAT)" % ", ".join(f"length(lower(t)) - length(replace(lower(t), '{c}', ''))" for c in LETTERS)
 
 
@@ -347,6 +348,40 @@ def index_search(spark, sf_dir):
     return got.select("name", "type", "similarity")
 
 
+VECTORS_SQL = (
+    EDGES_SQL
+    + f""",
+ends AS (SELECT head_name AS name, 'ThreatActor' AS type, tau FROM edges UNION ALL SELECT tail_name, 'Malware', tau FROM edges),
+n AS (SELECT name, type, count(*) AS degree, min(tau) + (length(name) % 3 * 1000)::INT AS first, type || ': ' || name AS t FROM ends GROUP BY name, type),
+raws AS (SELECT *, {VECTOR_SQL} AS raw FROM n),
+u AS (SELECT *, list_transform(raw, lambda x: (x / CASE WHEN list_inner_product(raw::DOUBLE[], raw::DOUBLE[]) = 0 THEN 1 ELSE sqrt(list_inner_product(raw::DOUBLE[], raw::DOUBLE[])) END)::FLOAT)::DOUBLE[] AS e, row_number() OVER (PARTITION BY type ORDER BY degree DESC, name) AS i FROM raws),
+p AS (SELECT a.type, a.i, b.i AS j, list_inner_product(a.e, b.e) AS sim FROM u a JOIN u b ON a.type = b.type AND a.i <> b.i),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY type, i ORDER BY sim DESC, j) AS k FROM p) WHERE k <= 49 AND j > i AND sim >= 0.95::DOUBLE),
+decided AS (SELECT near.*, a.name AS entity_a, b.name AS entity_b, greatest(datediff('day', a.first, b.first), datediff('day', b.first, a.first)) AS gap FROM near JOIN u a ON near.type = a.type AND near.i = a.i JOIN u b ON near.type = b.type AND near.j = b.i)"""
+)
+
+
+def aligned_by_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Suppliers and kinds of parts by a model by rule; what they are first seen is moved by their names' length, so that some are too far apart."""
+    e = kept_edges(spark, sf_dir)
+    n = nodes_of(e).withColumns({"first_seen": F.date_add(F.to_date("first_seen"), F.length("name") % 3 * 1000).cast("timestamp"), "last_seen": F.lit(None).cast("timestamp"), "canonical_id": F.lit(None).cast("string")})
+    v = models.embed(n.select("name", "type", F.concat(F.col("type"), F.lit(": "), F.col("name")).alias("text")), "text", letter_counts)
+    v = v.select("name", "type", unit(F.col("embedding")).alias("embedding"))
+    return align.align(n, e, v, AlignConfig(threshold=0.95), F.lit("2024-01-01").cast("timestamp"))
+
+
+@query(f"""WITH RECURSIVE {VECTORS_SQL}, l AS (SELECT type, i AS a, j AS b FROM decided WHERE gap <= 730 UNION ALL SELECT type, j, i FROM decided WHERE gap <= 730), c(type, a, b) AS (SELECT type, a, b FROM l UNION SELECT c.type, c.a, l.b FROM c JOIN l ON c.type = l.type AND c.b = l.a),
+m AS (SELECT type, a, least(a, min(b)) AS lo FROM c GROUP BY type, a) SELECT u.name, u.type, coalesce(r.name, u.name) AS canonical_id FROM u LEFT JOIN m ON u.type = m.type AND u.i = m.a LEFT JOIN u r ON r.type = m.type AND r.i = m.lo""")
+def align_full(spark, sf_dir):
+    return aligned_by_vectors(spark, sf_dir)[0].select("name", "type", "canonical_id")
+
+
+@query(f"""WITH {VECTORS_SQL} SELECT type, entity_a, entity_b, 'faiss_embedding' AS method, round(sim, 4) AS similarity, gap <= 730 AS temporal_check, CASE WHEN gap > 730 THEN concat('Temporal gap of ', gap, ' days exceeds limit (730 days)') ELSE 'Temporal overlap/gap within 730 days' END AS temporal_reason,
+  CASE WHEN gap <= 730 THEN 'merged' ELSE 'rejected' END AS decision FROM decided""")
+def align_similar(spark, sf_dir):
+    return aligned_by_vectors(spark, sf_dir)[1].drop("timestamp")
+
+
 CONTEXT_SQL = (
     FACTS_SQL
     + """,
