@@ -78,7 +78,9 @@ def edges(resolved: DataFrame, created_at: Column) -> DataFrame:
 
 def upsert_edges(rows: DataFrame, order: Column) -> DataFrame:
     """One edge for each key: the last values, the first created_at."""
-    return rows.groupBy(*EDGE_KEY).agg(F.max_by(F.struct(*EDGE_VALUES), order).alias("v"), F.min_by("created_at", order).alias("created_at")).select(*EDGE_KEY, "v.*", "created_at")
+    # aggregates of structs sort by key: a number in front of it is what they mostly compare
+    keyed = rows.withColumn("_k", F.xxhash64(*EDGE_KEY)).groupBy("_k", *EDGE_KEY)
+    return keyed.agg(F.max_by(F.struct(*EDGE_VALUES), order).alias("v"), F.min_by("created_at", order).alias("created_at")).select(*EDGE_KEY, "v.*", "created_at")
 
 
 def merge_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
