@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import zipfile
 
 import numpy as np
+import pytest
 
 from veritrail.sources import cves, events, models, tables, taxonomy
 
@@ -109,7 +111,17 @@ def test_taxonomy(spark, tmp_path):
     assert taxonomy.taxonomy(spark).count() == 14
     (tmp_path / "t.csv").write_text('APT Group Name,Software ID,Group Techniques,Software Techniques\nAPT28,S1;S2,T1059; T1001,T1059\n')
     rows = {(r.term, r.kind) for r in taxonomy.taxonomy(spark, str(tmp_path / "t.csv")).collect()}
-    assert {("APT28", "group"), ("S2", "software"), ("T1059", "technique"), ("TA0001", "tactic")} <= rows and len(rows) == 28 + 5
+    want = {("APT28", "group"), ("S1;S2", "software"), ("T1059", "technique"), ("T1001", "technique"), ("TA0001", "tactic")}
+    assert want <= rows and len(rows) == 28 + 4
+    cells = "".join(f'<c r="{c}1" t="s"><v>{k}</v></c>' for k, c in enumerate("ABCE"))
+    second = '<c r="A2" t="inlineStr"><is><t>APT</t><t>28</t></is></c><c r="B2" t="s"><v>4</v></c><c r="C2" t="str"><v>T1059; T1001</v></c><c r="D2"><v>7</v></c><c r="E2" t="s"><v>5</v></c>'
+    strings = "".join(f"<si><t>{x}</t></si>" for x in ("APT Group Name", "Software ID", "Group Techniques", "Software Techniques")) + "<si><r><t>S1;</t></r><r><t>S2</t></r></si><si><t>T1059</t></si>"
+    space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "t.xlsx", "w") as book:
+        book.writestr("xl/sharedStrings.xml", f"<sst {space}>{strings}</sst>")
+        book.writestr("xl/worksheets/sheet1.xml", f'<worksheet {space}><sheetData><row r="1">{cells}</row><row r="2">{second}</row><row r="3"/></sheetData></worksheet>')
+    assert {(r.term, r.kind) for r in taxonomy.taxonomy(spark, str(tmp_path / "t.xlsx")).collect()} == rows
+    assert taxonomy.taxonomy(spark, str(tmp_path / "none.xlsx")).count() == 14
 
 
 def test_models(spark):
@@ -143,6 +155,22 @@ def test_models_that_fail(spark):
     assert got == {"key": None, "once": '{"a": 1}', "json": '{"a": 1}', "never": "no object", None: None}
 
 
+def test_a_file_for_each_record(spark, tmp_path):
+    rows = spark.createDataFrame([("2019_7", "é", [1, 2]), ("CVE-1/x", None, []), (None, "no name", [])], "id string, t string, a array<int>")
+    assert tables.write_files(rows, "id", f"file://{tmp_path}/out") == 2
+    assert json.loads((tmp_path / "out" / "2019_7.json").read_text()) == {"id": "2019_7", "t": "é", "a": [1, 2]}
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["2019_7.json", "CVE-1%2Fx.json"]
+
+
+def test_keys_are_checked_if_asked(spark, tmp_path):
+    nodes = spark.createDataFrame([("A", "Tool"), ("A", "Tool")], "name string, type string")
+    edges = spark.createDataFrame([("R", "A")], "rel_type string, head_name string")
+    with pytest.raises(ValueError, match="not unique"):
+        tables.write_graph(nodes, edges, str(tmp_path / "g"), check=True)
+    tables.write_graph(nodes.distinct(), edges, str(tmp_path / "g"), check=True)
+    assert spark.read.parquet(str(tmp_path / "g" / "nodes")).count() == 1
+
+
 def test_records(spark, tmp_path):
     (tmp_path / "2019_7.json").write_text(json.dumps({"entities": [], "relations": []}))
     x = tables.read_extractions(spark, str(tmp_path))

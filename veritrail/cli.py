@@ -1,6 +1,6 @@
 """Jobs from the command line: ``python -m veritrail.cli JOB ...``.
 
-normalize, extract, ingest, score, align, verify, index, query, questions and decisions.
+normalize, export, extract, ingest, score, align, verify, index, query, questions and decisions.
 Every job reads folders and writes new ones, so a failed job leaves its inputs as they were.
 """
 
@@ -33,7 +33,8 @@ def parser() -> argparse.ArgumentParser:
 
     add("normalize", "out", "run-at", events=None, cves=None)
     add("extract", "data", out=None, event=None, cve=None, chat_url=None, chat_model="")
-    add("ingest", "facts", "graph", "out", limit=0)
+    add("ingest", "facts", "graph", "out", limit=0, check=False)
+    add("export", "table", "key", "out")
     add("score", "graph", "out", taxonomy=None, force=False, sample=0)
     add("align", "graph", "out", log=None, type=None, threshold=AlignConfig().threshold, names_only=False, planes=0)
     add("verify", "graph")
@@ -67,10 +68,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         _show(jobs.extract_all(spark, a.data, a.out, chat))
     elif a.job == "ingest":
         facts = spark.read.parquet(a.facts)
-        jobs.ingest(spark, facts.orderBy("id").limit(a.limit) if a.limit else facts, a.graph, a.out, F.current_timestamp())
+        jobs.ingest(spark, facts.orderBy("id").limit(a.limit) if a.limit else facts, a.graph, a.out, F.current_timestamp(), a.check)
         nodes, edges = tables.read_graph(spark, a.out)
         for df in (graph.count_by(nodes, "type"), graph.count_by(edges, "rel_type"), graph.dated(edges)):
             _show(df)
+    elif a.job == "export":
+        print(f"files: {tables.write_files(spark.read.parquet(a.table), a.key, a.out)}")
     elif a.job == "decisions":
         _show(tables.last_decisions(spark, a.log, a.last))
     else:

@@ -221,7 +221,7 @@ def record_lookup(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT 'G ' || p_brand AS g, 'S' || p_size || ';S' || (p_size + 1) AS s, 'T1' || lpad((p_size * 7)::VARCHAR, 3, '0') || '; ' || p_type AS t, NULL AS u FROM part),
-x AS (SELECT unnest(string_split(g, ';')) AS term, 'group' AS kind FROM c UNION SELECT unnest(string_split(s, ';')), 'software' FROM c UNION SELECT unnest(string_split(t, ';')), 'technique' FROM c)
+x AS (SELECT g AS term, 'group' AS kind FROM c UNION SELECT s, 'software' FROM c UNION SELECT unnest(string_split(t, ';')), 'technique' FROM c)
 SELECT DISTINCT trim(term) AS term, kind, lower(trim(term)) AS term_lower FROM x WHERE trim(term) <> ''
 UNION SELECT unnest(%s), 'tactic', lower(unnest(%s))""" % (([*TACTICS, *TACTICS.values()],) * 2))
 def taxonomy_terms(spark, sf_dir):
@@ -268,6 +268,17 @@ def decision_log(spark, sf_dir):
     return tables.last_decisions(spark, at, 20).select("entity_a", "entity_b", "timestamp")
 
 
+@query("""SELECT concat(2000 + n_regionkey, '_', n_nationkey) AS id, n_name AS name, strftime(DATE '2024-01-01' + n_nationkey::INT, '%Y-%m-%d') AS date, concat('2000_', n_nationkey, '.json') = concat(2000 + n_regionkey, '_', n_nationkey, '.json') AS first FROM nation""")
+def record_files(spark, sf_dir):
+    """A JSON file for each record, named by its id, written and read again."""
+    at = scratch(spark, "files") + "/json"
+    k = F.col("n_nationkey")
+    rows = table(spark, sf_dir, "nation").select(F.concat_ws("_", 2000 + F.col("n_regionkey"), k).alias("id"), F.col("n_name").alias("name"), F.date_add(F.lit("2024-01-01").cast("date"), k).alias("date"))
+    tables.write_files(rows, "id", at)
+    found = spark.read.option("multiLine", True).schema("id string, name string, date string").json(at)
+    return found.select("id", "name", "date", F.col("_metadata.file_name").startswith("2000_").alias("first"))
+
+
 # -- the graph
 
 @query(f"WITH {SCORED_SQL} SELECT head_name, rel_type, tail_name, source, CASE WHEN tail_name LIKE '%STANDARD' THEN 0.123::DOUBLE ELSE trust END AS trust, CASE WHEN tail_name LIKE '%STANDARD' THEN NULL ELSE s4 END AS support FROM scored")
