@@ -41,7 +41,7 @@ def exact_groups(nodes: DataFrame, guard_empty: bool = False) -> DataFrame:
     g = F.when((g == "") & F.lit(guard_empty), F.col("name")).otherwise(g)
     named = nodes.withColumn("norm", g)
     reps = named.groupBy("type", "norm").agg(F.min_by("name", F.struct(-F.col("degree"), "name")).alias("rep"), F.count("*").alias("members"))
-    return named.join(reps, ["type", "norm"])
+    return named.join(stored(reps, "reps"), ["type", "norm"])  # stored: Spark can split the rows of a large group
 
 
 def multiplied(asks: DataFrame, rows: DataFrame, k: int, others: bool) -> DataFrame:
