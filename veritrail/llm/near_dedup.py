@@ -220,9 +220,10 @@ def _wanted(reps: DataFrame, classes: DataFrame, label: str, uri: str, rows: int
     return stored(classes.join(small(reps.distinct()), "rep", "left_semi").select("rep", "lead", "fingerprint"), label, uri, rows)
 
 
-def _same_documents(named: DataFrame, classes: DataFrame) -> DataFrame:
+def _same_documents(named: DataFrame, classes: DataFrame, uri: str) -> DataFrame:
     """Links a, b between the classes that share a doc_id: each with the one of least fingerprint."""
     several = named.groupBy("doc_id").agg(F.min("fingerprint").alias("lo"), F.max("fingerprint").alias("hi")).where("lo < hi").select("doc_id", "lo")
+    several = small(stored(several, "several", uri))
     links = named.select("doc_id", "fingerprint").join(several, "doc_id").where("fingerprint > lo").select("lo", "fingerprint").distinct()
     c = classes.select("fingerprint", "rep")
     return links.join(c.toDF("lo", "a"), "lo").join(c.toDF("fingerprint", "b"), "fingerprint").select("a", "b")
@@ -378,7 +379,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     led = bands.where("a < rep").groupBy(F.col("rep").alias("b"), "a").agg(F.count("*").alias("m"))
     stars = stored(led.groupBy("b").agg(F.max_by("a", F.struct("m", -F.col("a"))).alias("a")).select("a", "b"), "stars", uri, n)
     likely = stored(_estimated(stars, classes, threshold, n), "likely", uri, n)
-    links = _confirmed(likely, docs, classes, percent, uri, n).unionByName(_same_documents(named, classes))
+    links = _confirmed(likely, docs, classes, percent, uri, n).unionByName(_same_documents(named, classes, uri))
     roots = component_roots(stored(links, "links0", uri, n), f"{uri}/components0", n)
     labels = stored(classes.select("rep").join(roots, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component")), "labels0", uri, n)
     suspects = stored(_suspects(bands, labels, classes, threshold, uri, n), "suspects", uri, n)

@@ -189,6 +189,7 @@ def archive_pages(pages: DataFrame, uri: str, page_id: str = "page_id", html: st
     # only ids and digests are grouped: a payload that a third of all pages share is one partial maximum a task
     digests = stored(p.where(F.col("page_id").isNotNull() & (F.length("payload") >= least)).select("page_id", F.sha1("payload").alias("sha"), F.length("payload").alias("size")), "digests", uri)
     best = digests.groupBy("sha", "size").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).where("n > 1").select("sha", "size", "best")
+    best = small(stored(best, "best", uri))  # stored, so that Spark can split the pages of a frequent payload where it is not broadcast
     refers = digests.join(best, ["sha", "size"]).where("page_id < best").select("page_id", "sha", "best").distinct()
     refers = small(stored(refers, "refers", uri))  # where they are few no payload is shuffled
     marked = p.withColumn("sha", F.sha1("payload")).join(refers, ["page_id", "sha"], "left")
@@ -215,9 +216,10 @@ def resolved(records: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(d, pa.string())], ["record_id", "record_type", "refers_to", "payload_bytes", "payload_digest"])
 
     r = records.select("record_id", "record_type", "refers_to", "payload", "payload_digest").mapInArrow(run, "record_id string, record_type string, refers_to string, payload_bytes long, payload_digest string")
-    r = stored(r, "records", scratch(records.sparkSession, "warc"))
+    uri = scratch(records.sparkSession, "warc")
+    r = stored(r, "records", uri)
     full = r.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("full_bytes"))
-    out = r.join(full, ["refers_to", "payload_digest"], "left")
+    out = r.join(stored(full, "full", uri), ["refers_to", "payload_digest"], "left")  # stored for the revisits of a frequent payload
     return out.select("record_id", "record_type", "refers_to", F.coalesce("payload_bytes", "full_bytes").alias("payload_bytes"), "payload_digest")
 
 
