@@ -22,14 +22,14 @@ from .store import scratch, stored
 # -- event reports in XML: a file for each user, an event for each of their rows
 
 FILES_SQL = """ev AS (SELECT *, event_id % 40 AS number, json_extract_string(props, '$.k') AS k, event_id % 3 AS form, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM events WHERE user_id % 10 <> 9),
-named AS (SELECT *, CASE user_id % 3 WHEN 0 THEN concat('feed_', 2000 + user_id % 25, '_', lpad(user_id::VARCHAR, 6, '0'), '.xml') ELSE concat('feed_', lpad(user_id::VARCHAR, 3, 'x'), '.xml') END AS file, CASE user_id % 3 WHEN 0 THEN 2000 + user_id % 25 ELSE 1970 END::INT AS year FROM ev),
+named AS (SELECT *, CASE user_id % 3 WHEN 0 THEN concat('feed_', 2000 + user_id % 25, '_', lpad(user_id::VARCHAR, 12, '0'), '.xml') ELSE concat('feed_', translate(user_id::VARCHAR, '0123456789', 'abcdefghij'), '.xml') END AS file, CASE user_id % 3 WHEN 0 THEN 2000 + user_id % 25 ELSE 1970 END::INT AS year FROM ev),
 kept AS (SELECT * FROM named WHERE number <> 39 QUALIFY row_number() OVER (PARTITION BY file, number ORDER BY place DESC) = 1),
 told AS (SELECT file, year, number AS event_id, CASE WHEN event_id % 7 = 0 THEN DATE '1970-01-01' ELSE ts::DATE END AS date, CASE WHEN event_id % 5 = 0 THEN '' ELSE event_type || ' <' || k || '>' END AS info_title,
   CASE form WHEN 0 THEN [struct_pack(t := 'md5', v := k, c := 'Other'), struct_pack(t := 'other', v := event_type, c := 'Net')] WHEN 1 THEN [struct_pack(t := 'url', v := k, c := 'Other')] ELSE [] END AS iocs FROM kept)"""
 
 
 def event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """file and content. Ids repeat within a file, some are no numbers; dates, titles and values are missing in some; every tenth file ends in the middle."""
+    """file and content. Some names have a year, others the user in letters. Ids repeat within a file, some are no numbers; dates, titles and values are missing in some; every tenth file ends in the middle."""
     e = table(spark, sf_dir, "events")
     k, n, user = F.get_json_object("props", "$.k"), F.col("event_id"), F.col("user_id")
     number = F.when(n % 40 == 39, "none").otherwise((n % 40).cast("string"))
@@ -40,7 +40,7 @@ def event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     empty = F.lit("<Attribute><type>url</type><value> </value></Attribute><Wrap><Event><id>1</id></Event></Wrap>")
     own = F.concat(F.lit("<Event><id> "), number, F.lit("</id><date>"), day, F.lit("</date><info>"), title, F.lit("</info>"), F.when(n % 3 == 0, nested).when(n % 3 == 1, plain).otherwise(empty), F.lit("</Event>"))
     whole = e.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", own.alias("x")))), lambda v: v.x), "").alias("x"))
-    name = F.when(user % 3 == 0, F.concat(F.lit("feed_"), (2000 + user % 25).cast("string"), F.lit("_"), F.lpad(user.cast("string"), 6, "0"))).otherwise(F.concat(F.lit("feed_"), F.lpad(user.cast("string"), 3, "x")))
+    name = F.when(user % 3 == 0, F.concat(F.lit("feed_"), (2000 + user % 25).cast("string"), F.lit("_"), F.lpad(user.cast("string"), 12, "0"))).otherwise(F.concat(F.lit("feed_"), F.translate(user.cast("string"), "0123456789", "abcdefghij")))
     return whole.select(F.concat(name, F.lit(".xml")).alias("file"), F.encode(F.concat(F.lit("<Set>"), "x", F.when(user % 10 == 9, "<Event>").otherwise("</Set>")), "utf-8").alias("content"))
 
 
@@ -236,8 +236,8 @@ def taxonomy_terms(spark, sf_dir):
     return terms.taxonomy(spark, at).select("term", "kind", "term_lower")
 
 
-@query("""WITH r AS (SELECT p_partkey AS k, CASE p_partkey %% 4 WHEN 0 THEN 'Initial ACCESS ' WHEN 1 THEN 'seen t1059.001 in ' || p_name WHEN 2 THEN repeat(p_name || ' of no such kind at all, ', 4) END AS name FROM part)
-SELECT DISTINCT name, CASE k %% 4 WHEN 2 THEN 0 WHEN 3 THEN 0 ELSE 1 END::DOUBLE AS score FROM r""".replace("%%", "%"))
+@query("""WITH r AS (SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN 'Initial ACCESS ' WHEN 1 THEN 'seen t1059.001 in ' || p_name WHEN 2 THEN repeat(p_name || ' of no such kind at all, ', 4) END AS name FROM part)
+SELECT DISTINCT name, CASE k % 4 WHEN 2 THEN 0 WHEN 3 THEN 0 ELSE 1 END::DOUBLE AS score FROM r""")
 def taxonomy_exact(spark, sf_dir):
     """Terms whatever their case, technique ids within names, names too long for any term, and none."""
     k, name = F.col("p_partkey") % 4, F.col("p_name")
