@@ -517,13 +517,12 @@ facts AS (SELECT *, CASE r WHEN 'BELONGS_TO_TACTIC' THEN 2 WHEN 'USES' THEN 3 EL
 )
 
 
-def supplier_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+def supplier_paths(spark: SparkSession, sf_dir: str, seeds: tuple[str, ...] = ("Supplier#1",)) -> DataFrame:
     """Confidence stands in for trust: some edges have all of it, so that longer paths rank high too, some have none. Edges and steps are stored: each hop joins them again."""
     e = edges(spark, sf_dir).withColumns({"trust": F.col("confidence"), "trusted": F.col("confidence") >= 0.95})
     e = stored(e, "edges", scratch(spark, "paths"))
     steps = stored(traverse.walkable(e, nodes_of(e)), "steps", scratch(spark, "paths"))
-    seeds = spark.createDataFrame([("Supplier#1",)], "canonical_id string")
-    return traverse.ranked_paths(traverse.best_paths(steps, seeds, 4, 100))
+    return traverse.ranked_paths(traverse.best_paths(steps, spark.createDataFrame([(s,) for s in seeds], "canonical_id string"), 4, 100))
 
 
 @query(f"WITH {PATHS_SQL} SELECT rank, start, array_to_string(eids, ' / ') AS eids, length, round(path_trust, 9) AS path_trust FROM ranked")

@@ -8,12 +8,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import ALIGNABLE_TYPES, ALIASES, TACTICS, AlignConfig
+from .config import ALIGNABLE_TYPES, ALIASES, TACTICS, AlignConfig, RetrievalConfig
 from .functions import time as Time
 from .functions.vector import unit
-from .operators import align, context, extract, retrieve, traverse, trust
-from .plans.jobs import event_facts
-from .queries import EDGES_SQL, FACTS_SQL, NAMES_SQL, SCORED_SQL, event_rows, kept_edges, nodes_of, part_names, query, supplier_paths, table
+from .operators import align, context, extract, graph, retrieve, traverse, trust
+from .plans.jobs import answer, event_facts
+from .queries import EDGES_SQL, FACTS_SQL, NAMES_SQL, RESOLVE_SQL, SCORED_SQL, event_rows, extractions, kept_edges, nodes_of, part_names, query, supplier_paths, table
 from .schemas import CVE_JSON, EXTRACTION
 from .sources import cves, events, models, tables
 from .sources import taxonomy as terms
@@ -342,12 +342,15 @@ def letter_counts(texts: list[str]) -> np.ndarray:
     """A model by rule: how often a text holds each of some letters."""
     return np.array([[t.lower().count(c) for c in LETTERS] for t in texts], np.float32).reshape(len(texts), len(LETTERS))
 
-
-@query(f"""WITH {EDGES_SQL}, ends AS (SELECT head_name AS name, 'ThreatActor' AS type FROM edges UNION SELECT tail_name, 'Malware' FROM edges), m AS (SELECT name, type, type || ': ' || name AS t FROM ends WHERE type <> 'Time'),
+INDEX_SQL = f""",
+ends AS (SELECT head_name AS name, 'ThreatActor' AS type FROM edges UNION SELECT tail_name, 'Malware' FROM edges), m AS (SELECT name, type, type || ': ' || name AS t FROM ends),
 v AS (SELECT name, type, {VECTOR_SQL} AS raw FROM m), q AS (SELECT {VECTOR_SQL} AS e FROM (SELECT 'Which threat actor uses standard tin brass?' AS t)),
 u AS (SELECT name, type, list_transform(raw, lambda x: (x / CASE WHEN list_inner_product(raw::DOUBLE[], raw::DOUBLE[]) = 0 THEN 1 ELSE sqrt(list_inner_product(raw::DOUBLE[], raw::DOUBLE[])) END)::FLOAT) AS e FROM v),
-s AS (SELECT name, type, list_inner_product(u.e::DOUBLE[], q.e::DOUBLE[]) AS sim FROM u, q), top AS (SELECT * FROM s ORDER BY sim DESC, type || '::' || name LIMIT 20)
-SELECT name, type, round(sim, 4) AS similarity FROM top""")
+s AS (SELECT name, type, list_inner_product(u.e::DOUBLE[], q.e::DOUBLE[]) AS sim FROM u, q), top AS (SELECT * FROM s ORDER BY sim DESC, type || '::' || name LIMIT %d)"""
+QUESTION = "Which threat actor uses standard tin brass?"
+
+
+@query(f"WITH {EDGES_SQL}{INDEX_SQL % 20} SELECT name, type, round(sim, 4) AS similarity FROM top")
 def index_search(spark, sf_dir):
     """An index of the graph's nodes, written, read and searched with a model by rule."""
     e = kept_edges(spark, sf_dir)
@@ -355,7 +358,7 @@ def index_search(spark, sf_dir):
     n = nodes_of(e)
     dated = n.unionByName(n.limit(1).withColumns({"type": F.lit("Time"), "name": F.lit("2020")}))  # a type that is not indexed
     retrieve.build_index(dated, at, letter_counts)
-    got = retrieve.search(retrieve.load_index(spark, at), "Which threat actor uses standard tin brass?", 20, letter_counts)
+    got = retrieve.search(retrieve.load_index(spark, at), QUESTION, 20, letter_counts)
     return got.select("name", "type", "similarity")
 
 
@@ -393,9 +396,12 @@ def align_similar(spark, sf_dir):
     return aligned_by_vectors(spark, sf_dir)[1].drop("timestamp")
 
 
-CONTEXT_SQL = (
-    FACTS_SQL
-    + """,
+def context_sql(facts: str, question: str) -> str:
+    """The context's parts after SQL that ends with facts."""
+    return facts + CONTEXT_SQL.replace("who acts?", question)
+
+
+CONTEXT_SQL = """,
 t AS (SELECT *, list_filter([x.d for x in hops], lambda d: d IS NOT NULL) AS ds FROM ranked), c AS (SELECT rank, 'Temporal Causal' AS label, 0 AS k FROM t WHERE len(hops) >= 2 AND len(ds) >= 2 AND ds = list_sort(ds) ORDER BY rank LIMIT 5),
 picked AS (SELECT row_number() OVER (ORDER BY k, rank) AS position, label, rank FROM (SELECT * FROM c UNION ALL SELECT * FROM (SELECT rank, 'Structural', 1 FROM ranked ORDER BY rank LIMIT 5)) ORDER BY k, rank LIMIT 5),
 plines AS (SELECT position, 'Path ' || position || ' (' || label || ', Trust=' || printf('%.2f', path_trust) || '):' || chr(10) || array_to_string(list_transform(hops, lambda h: '  (' || h.ht || ': ' || h.a || ') --[' || h.r || ']--> (' || h.tt || ': ' || h.b || ') | Date: ' || coalesce(strftime(h.d, '%Y-%m-%d'), 'Date Unknown') || ' | Evidence: "' || h.ev || '"'), chr(10)) AS line FROM picked JOIN ranked USING (rank)),
@@ -403,13 +409,13 @@ flines AS (SELECT *, '- (' || ht || ': ' || a || ') ' || r || ' (' || tt || ': '
 paths AS (SELECT string_agg(line, chr(10) ORDER BY position) AS x, count(*) AS n FROM plines),
 base AS (SELECT '=== RETRIEVED GRAPH CONTEXT ===' || chr(10) || chr(10) || '[Temporal & Causal Paths]' || chr(10) || x || chr(10) || chr(10) || '[Supporting Facts & Relations]' AS head, chr(10) || chr(10) || '[Query]' || chr(10) || 'who acts?' || chr(10) AS tail, n FROM paths),
 w AS (SELECT f.*, row_number() OVER o AS place, sum(len(string_split_regex(trim(line), '\\s+'))) OVER o AS words FROM flines f WINDOW o AS (ORDER BY NOT trusted, fact_rank ROWS UNBOUNDED PRECEDING)),
-fit AS (SELECT w.*, floor((words + (SELECT len(string_split_regex(trim(head || tail), '\\s+')) FROM base)) * 1.3::DOUBLE) <= 700 AS fits FROM w),
-over AS (SELECT trusted FROM fit WHERE NOT fits ORDER BY place LIMIT 1)"""
-)
+fit AS (SELECT w.*, floor((words + (SELECT len(string_split_regex(trim(head || tail, chr(32) || chr(10)), '\\s+')) FROM base)) * 1.3::DOUBLE) <= 700 AS fits FROM w),
+over AS (SELECT trusted FROM fit WHERE NOT fits ORDER BY place LIMIT 1),
+told AS (SELECT head || coalesce(chr(10) || (SELECT string_agg(line, chr(10) ORDER BY place) FROM fit WHERE fits), '') || tail AS text, n AS paths_used, (SELECT count(*) FILTER (WHERE trusted) FROM fit) - (SELECT count(*) FROM over WHERE trusted) AS trusted_facts_used,
+  (SELECT count(*) FILTER (WHERE NOT trusted) FROM fit) - (SELECT count(*) FROM over WHERE NOT trusted) AS untrusted_facts_used, (SELECT count(*) FROM fit WHERE fits) AS facts_included, (SELECT string_agg(DISTINCT source, ',' ORDER BY source) FROM fit) AS sources FROM base)"""
 
 
-@query(f"""WITH {CONTEXT_SQL} SELECT head || coalesce(chr(10) || (SELECT string_agg(line, chr(10) ORDER BY place) FROM fit WHERE fits), '') || tail AS text, n AS paths_used, (SELECT count(*) FILTER (WHERE trusted) FROM fit) - (SELECT count(*) FROM over WHERE trusted) AS trusted_facts_used,
-  (SELECT count(*) FILTER (WHERE NOT trusted) FROM fit) - (SELECT count(*) FROM over WHERE NOT trusted) AS untrusted_facts_used, (SELECT count(*) FROM fit WHERE fits) AS facts_included, (SELECT string_agg(DISTINCT source, ',' ORDER BY source) FROM fit) AS sources FROM base""")
+@query(f"WITH {context_sql(FACTS_SQL, 'who acts?')} SELECT * FROM told")
 def context_text(spark, sf_dir):
     """The whole text of a question's context, cut to a budget, and what it says of itself."""
     paths = stored(supplier_paths(spark, sf_dir), "paths")
@@ -417,3 +423,50 @@ def context_text(spark, sf_dir):
     row = (text, stats["paths_used"], stats["trusted_facts_used"], stats["untrusted_facts_used"], stats["facts_included"], ",".join(stats["sources"]))
     return spark.createDataFrame([row], "text string, paths_used long, trusted_facts_used long, untrusted_facts_used long, facts_included long, sources string")
 
+
+PATHS_OF_TOP = EDGES_SQL + INDEX_SQL % 3 + FACTS_SQL[len(EDGES_SQL) :].replace("src = 'Supplier#1'", "src IN (SELECT name FROM top)")
+
+
+@query(f"WITH {context_sql(PATHS_OF_TOP, QUESTION)} SELECT (SELECT string_agg(name, ', ' ORDER BY name) FROM top) AS entities, text AS context, paths_used, facts_included, 'lines: ' || (length(text) - length(replace(text, chr(10), '')) + 3) AS answer FROM told")
+def question_answer(spark, sf_dir):
+    """A question from end to end: three seeds from the index, their paths and facts, the context, and a model by rule that thinks aloud."""
+    e = stored(kept_edges(spark, sf_dir).withColumns({"trust": F.col("confidence"), "trusted": F.col("confidence") >= 0.95}), "trusted")
+    n = nodes_of(e)
+    at = scratch(spark, "index") + "/v1"
+    retrieve.build_index(n, at, letter_counts)
+    chat = lambda m: f"<think>well</think> lines: {m[0]['content'].count(chr(10)) + 1}"
+    got = answer(spark, QUESTION, n, e, retrieve.load_index(spark, at), letter_counts, chat, RetrievalConfig(top_k=3, max_tokens=700))
+    row = (", ".join(sorted(x["name"] for x in got["entities"])), got["context"], got["stats"]["paths_used"], got["stats"]["facts_included"], got["answer"])
+    return spark.createDataFrame([row], "entities string, context string, paths_used long, facts_included long, answer string")
+
+
+@query(f"WITH {FACTS_SQL.replace("src = 'Supplier#1'", "src IN ('Supplier#1', 'Supplier#7')")} SELECT rank, start, len(hops)::INT AS length, round(path_trust, 9) AS path_trust FROM ranked")
+def paths_of_seeds(spark, sf_dir):
+    """Two seeds, one of them given twice."""
+    got = supplier_paths(spark, sf_dir, ("Supplier#1", "Supplier#7", "Supplier#1"))
+    return got.select("rank", F.col("start.name").alias("start"), "length", F.round("path_trust", 9).alias("path_trust"))
+
+
+@query(f"WITH {RESOLVE_SQL}, few AS (SELECT DISTINCT id FROM li ORDER BY id LIMIT 40) SELECT tail_type, count(*) AS edges FROM (SELECT DISTINCT id, head, tail_name, tail_type FROM rels WHERE id IN (SELECT id FROM few)) GROUP BY tail_type")
+def ingest_limit(spark, sf_dir):
+    """The first forty files by id."""
+    some = stored(extractions(spark, sf_dir).orderBy("id").limit(40), "some")
+    return graph.build(some, F.lit("2024-01-01").cast("timestamp"))[1].groupBy("tail_type").agg(F.count("*").alias("edges"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END ELSE 0.9 END::DOUBLE AS similarity FROM part""")
+def technique_scores(spark, sf_dir):
+    """Edges to tactics, to techniques by id in the name or in the canonical name, to unknown ones, and between others by their relation."""
+    k, name = F.col("p_partkey"), F.col("p_name")
+    tail = F.when(k % 4 == 0, "Initial ACCESS ").when(k % 4 == 1, F.concat(F.lit("seen t1059.001 in "), name)).otherwise(F.repeat(F.concat(name, F.lit(" of no such kind at all, ")), 4))
+    kind = F.when(k % 4 == 0, "ATT&CKTactic").when(k % 4 == 3, "Malware").otherwise("AttackTechnique")
+    parts = table(spark, sf_dir, "part").select(k.alias("p_partkey"), F.concat(tail, F.lit(" "), F.when(k % 4 != 0, k.cast("string")).otherwise("")).alias("tail"), kind.alias("kind"), "p_size")
+    none = F.lit(None)
+    e = parts.select(
+        F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("head_name"), F.lit("Tool").alias("head_type"), F.when(F.col("kind") == "Malware", "BELONGS_TO_TACTIC").otherwise("USES").alias("rel_type"), F.col("tail").alias("tail_name"), F.col("kind").alias("tail_type"),
+        F.lit("2024_1").alias("source"), none.cast("timestamp").alias("tau"), F.lit("unknown").alias("tau_raw"), F.lit("unknown").alias("tau_precision"), F.lit("").alias("evidence"), F.lit(0.9).alias("confidence"), F.lit("2024-01-01").cast("timestamp").alias("created_at"),
+    )
+    n = parts.groupBy(F.col("tail").alias("name"), F.col("kind").alias("type")).agg(F.max(F.when((F.col("p_partkey") % 4 == 2) & (F.col("p_size") % 2 == 0), "T1059")).alias("canonical_id"))
+    n = n.select("name", "type", F.col("name").alias("raw_text"), "canonical_id", none.cast("timestamp").alias("first_seen"), none.cast("timestamp").alias("last_seen"))
+    got = trust.score_edges(e, n, [*TACTICS.values(), "T1059"])
+    return got.select(F.substring("head_name", 2, 20).cast("long").alias("p_partkey"), F.col("score_attck_similarity").alias("similarity"))
