@@ -23,7 +23,8 @@ Content that is no JSON is a text as it stands. In JSON, null is nothing, a text
 text part, an object is a part, and an array holds such values one by one; numbers and
 truth values are texts of their JSON form. Sizes that are no positive numbers count as if they
 were missing: one tile, no seconds, one page. A ``ref`` or ``text`` that is no text
-counts as its JSON form, a ``type`` that is none as a text part.
+counts as its JSON form, a ``type`` that is none as a text part. Empty tables give no
+rows; texts may be as long as a row can be; other columns are not looked at.
 """
 
 from __future__ import annotations

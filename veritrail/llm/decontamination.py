@@ -20,8 +20,10 @@ Spark can split.
 Items are matched by number, one for each distinct pair of id and text, and get their
 ids when matches are collected: copies count once, other texts of an id are looked for too.
 
-Null and empty texts have no words. Null ids of items are dropped. Rows are looked at
-each by itself, whether they repeat a doc_id or have none. Two words with the same hash
+Null and empty texts have no words, and long ones are no other: their postings stream.
+Without items nothing is contaminated; without documents there are no rows. Other columns
+of the inputs are not looked at, whatever their names. Null ids of items are dropped. Rows
+are looked at each by itself, whether they repeat a doc_id or have none. Two words with the same hash
 would count as one: for a benchmark of 10^5 words and a corpus of 10^9 that has a
 probability of 10^-5, and all of a window's words must agree.
 """

@@ -17,8 +17,10 @@ with ``<s>`` have no word to their left: their count is how often they occur. Ev
 has a probability, as the continuation counts of words are interpolated with an even
 share for each known word and one unknown. No n-gram is cut off. Counts are 64 bits wide.
 
-Null and empty texts have no words but an end. A null doc_id is held out. Rows that
-repeat a doc_id are texts each, learned and scored by themselves.
+Null and empty texts have no words but an end; long ones are counted in blocks and scored
+as one row. A null doc_id is held out. Rows that repeat a doc_id are texts each, learned
+and scored by themselves. A model of no rows gives every word the same probability. Other
+columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations

@@ -20,7 +20,9 @@ Past ``MAX_BITS`` the filter grows no more: more lines are suspected then, and
 results stay the same.
 
 Null and empty texts are one empty line. A null doc_id never keeps a line that
-another document holds. Rows that repeat the largest doc_id all keep the line.
+another document holds. Rows that repeat the largest doc_id all keep the line. A text is
+split as a whole, so it may be as long as a row can be. Empty tables give no rows. Other
+columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations

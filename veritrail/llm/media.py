@@ -20,7 +20,7 @@ double precision and are rounded, so equal texts give equal values. Long texts a
 through in pieces of ``PIECE`` samples that overlap as frames need.
 
 Null and empty texts are one frame of padding. Rows that repeat a doc_id are rows each,
-a null doc_id stays null.
+a null doc_id stays null. Empty tables give no rows. Other columns are not looked at.
 """
 
 from __future__ import annotations

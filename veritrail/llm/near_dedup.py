@@ -26,7 +26,9 @@ more than ``LED`` classes is copied, and its classes are dealt out among the cop
 
 Texts without words are linked with nothing. A null doc_id takes part in no link.
 Rows that repeat a doc_id are one document: whatever any of them is linked with, it is
-linked with. Classes that share a doc_id are linked, whatever their texts.
+linked with. Classes that share a doc_id are linked, whatever their texts. Long texts
+are sketched in parts that merge. Empty tables give no rows. Other columns are not looked
+at, whatever their names.
 """
 
 from __future__ import annotations

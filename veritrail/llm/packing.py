@@ -16,7 +16,7 @@ into full pieces; the first piece takes what is over.
 Null and empty texts are the end id alone. Rows that repeat a doc_id are packed each
 by itself; a null doc_id too. Long texts are tokenised in parts, cut where no token can
 cross, so memory follows ``PART`` and not the text; long white space has a tokenizer of
-its own (see ``Tokenizer``).
+its own (see ``Tokenizer``). Empty tables give no rows. Other columns are not looked at.
 """
 
 from __future__ import annotations

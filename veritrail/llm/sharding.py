@@ -18,7 +18,7 @@ its own. Groups are equal texts in ``shard_documents``, null being one of its ow
 that repeat a doc_id or text belong to one group; a null doc_id is a row like any other.
 Slots go by doc_id, then checksum and size of the text; rows that are alike in these get
 theirs in any order. Columns of the input keep their values, whatever their names, but
-for ``shard`` and ``slot``, which are replaced.
+for ``shard`` and ``slot``, which are replaced. Empty tables give no rows.
 """
 
 from __future__ import annotations

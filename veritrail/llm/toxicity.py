@@ -13,6 +13,8 @@ hashes of doc_id, ``TRAIN_ROWS`` or about as many. All else covers every row.
 Null and empty texts have no features and get the score of the bias alone. Null
 labels are not learned from; of several labels of a doc_id the largest counts. Rows that
 repeat a doc_id are learned and scored each by itself; a null doc_id is scored only.
+Long texts are scored whole. Without labels every score is 0.5. Other columns of the
+inputs are not looked at, whatever their names.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ holds a window of the file and one record.
 
 Null html is an empty payload. A page without a page_id is a response of its own.
 Rows that repeat a page_id are records each: if it is the largest of its payload, all
-of them are responses.
+of them are responses. Empty tables give no archives. A record is held in memory whole,
+so html may be as long as a row can be. Other columns are not looked at.
 """
 
 from __future__ import annotations
