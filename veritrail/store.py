@@ -18,6 +18,8 @@ MOST_BROADCAST, ROW_BYTES = 16 << 20, 32
 #: Types of columns that take up 8 bytes or less.
 WIDTH = {"boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp"}
 ROWS_A_FILE = 250_000
+#: Bytes of a row group: what the writer of a task holds in memory.
+ROW_GROUP = 32 << 20
 
 
 def folder(spark: SparkSession) -> str:
@@ -67,12 +69,12 @@ def stored(df: DataFrame, label: str, uri: str | None = None, rows: int | None =
         df = df.repartition(max(1, -(-rows // ROWS_A_FILE)))
     uri = f"{uri or scratch(spark, label)}/{label}"
     # zstd streams: other codecs hold direct buffers until the next full collection, which many small tables add up
-    df.write.mode("overwrite").option("compression", "zstd").parquet(uri)
+    df.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(uri)
     return spark.read.schema(df.schema).parquet(uri)
 
 
 def small(df: DataFrame) -> DataFrame:
     """Marked for broadcasting if its rows take up few bytes, else left to a shuffle. Looks through the rows, so store what is costly."""
     varying = [F.octet_length(c if kind in ("string", "binary") else F.to_json(F.struct(c))).cast("long") for c, kind in df.dtypes if kind not in WIDTH]
-    n, more = df.agg(F.count("*"), F.sum(sum((F.coalesce(x, F.lit(0)) for x in varying), F.lit(0)))).first()
+    n, more = df.agg(F.count("*"), F.sum(sum((F.coalesce(x, F.lit(0)) for x in varying), F.lit(0)))).first() if varying else (df.count(), 0)
     return F.broadcast(df) if n * (ROW_BYTES + 8 * len(df.columns)) + (more or 0) <= MOST_BROADCAST else df
