@@ -159,23 +159,48 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, fingerprint binary, registers binary")
 
 
+def _buckets(registers: pa.Array) -> np.ndarray:
+    """The bucket of each class in each band, one after the other."""
+    regs = np.frombuffer(b"".join(registers.to_pylist()), np.uint16).reshape(-1, BANDS, ROWS).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        key = np.arange(BANDS, dtype=np.uint64)[None, :] + np.uint64(1)
+        for r in range(ROWS):
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + regs[:, :, r])
+    return key.reshape(-1).view(np.int64)
+
+
 def _banded(classes: DataFrame) -> DataFrame:
     """Bucket, band and class: a row for each band."""
 
     def run(it):
         for batch in it:
-            if not batch.num_rows:
-                continue
-            regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, BANDS, ROWS).astype(np.uint64)
-            with np.errstate(over="ignore"):
-                key = np.arange(BANDS, dtype=np.uint64)[None, :] + np.uint64(1)
-                for r in range(ROWS):
-                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + regs[:, :, r])
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(key.reshape(-1).view(np.int64)), "band": pa.array(np.tile(np.arange(BANDS, dtype=np.int8), len(regs))), "rep": pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))})
+            if n := batch.num_rows:
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(_buckets(batch.column(1))), "band": pa.array(np.tile(np.arange(BANDS, dtype=np.int8), n)), "rep": pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))})
 
     return classes.select("rep", "registers").mapInArrow(run, "bucket long, band byte, rep long")
 
 
+def _leaders(classes: DataFrame) -> DataFrame:
+    """bucket and its smallest class, of buckets with two classes at least.
+
+    Most buckets hold one class, so partial sums of a task would be a large table that
+    saves little. Only what a batch holds of a bucket is added up before the shuffle: a
+    row of a frequent bucket for each batch.
+    """
+
+    def run(it):
+        for batch in it:
+            if batch.num_rows:
+                bucket, rep = _buckets(batch.column(1)), np.repeat(batch.column(0).to_numpy(), BANDS)
+                order = np.lexsort((rep, bucket))
+                bucket, rep = bucket[order], rep[order]
+                at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[at]), "a": pa.array(rep[at]), "m": pa.array(np.diff(np.append(at, len(bucket))))})
+
+    parts = classes.select("rep", "registers").mapInArrow(run, "bucket long, a long, m long").repartition("bucket")
+    return parts.groupBy("bucket").agg(F.min("a").alias("a"), F.sum("m").alias("m")).where("m > 1").select("bucket", "a")
+
+
 def _with_leader(pairs: DataFrame, table: DataFrame, n: int) -> DataFrame:
     """``pairs`` (a, b; stored, n rows) with the columns of ``table``, one of which is a. A leader of many has copies."""
     if n <= LED:
@@ -376,7 +401,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = stored(grouped.withColumn("rep", F.monotonically_increasing_id()), "classes", uri)
     n = classes.count()
     banded = _banded(classes)
-    leaders = stored(banded.groupBy("bucket").agg(F.min("rep").alias("a"), F.count("*").alias("m")).where("m > 1").select("bucket", "a"), "leaders", uri)
+    leaders = stored(_leaders(classes), "leaders", uri)
     bands = stored(banded.join(leaders, "bucket").select("bucket", "band", "rep", "a"), "bands", uri)
     led = bands.where("a < rep").groupBy(F.col("rep").alias("b"), "a").agg(F.count("*").alias("m"))
     stars = stored(led.groupBy("b").agg(F.max_by("a", F.struct("m", -F.col("a"))).alias("a")).select("a", "b"), "stars", uri, n)
