@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import HashArrays, bits_for, scratch
+from .shared import HashArrays, bits_for, scratch, tidy
 from .words import BASE, SPACED, batches, hashes, mix
 
 ORDER, BLOCK = 2, 3 << 20
@@ -331,7 +331,7 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER) -> Model:
 
         return run
 
-    made = docs.mapInArrow(count, schema).groupBy("level", "shard").applyInArrow(add_highest, schema)
+    made = docs.mapInArrow(tidy(count), schema).groupBy("level", "shard").applyInArrow(add_highest, schema)
     for k in range(order - 1, 0, -1):
         made = made.groupBy("level", "shard").applyInArrow(add_level(k), schema)
 
@@ -364,7 +364,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
                 total = np.add.reduceat(p, cut[:-1])
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, b - a), "n_tokens": n, "n_known": np.add.reduceat((c > 0).astype(np.int64), cut[:-1]), "base_score": np.add.reduceat(base, cut[:-1]), "score": total, "perplexity": 10.0 ** np.minimum(-total / n, 300)})
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double, perplexity double")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), "doc_id long, n_tokens long, n_known long, base_score double, score double, perplexity double")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import HashArrays, bits_for, map_file, scratch, write_file
+from .shared import HashArrays, bits_for, map_file, scratch, tidy, write_file
 
 SPACE = " \t\n\x0b\x0c\r"
 BITS_PER_KEY, MIN_SEGMENT_BITS, MAX_SEGMENT_BITS, MAX_BITS = 8, 20, 23, 36
@@ -146,7 +146,7 @@ def _build(docs: DataFrame, text: str, seen: TwiceSeen, min_chars: int, lines: i
         n = seen.write(k, [tuple(np.frombuffer(table[c][i].as_py(), np.uint8) for c in ("once", "twice")) for i in range(table.num_rows)])
         return pa.table({"segment": pa.array([k], pa.int64()), "n": pa.array([n], pa.int64())})
 
-    rows = docs.select(text).mapInArrow(partials, "segment long, once binary, twice binary")
+    rows = docs.select(text).mapInArrow(tidy(partials), "segment long, once binary, twice binary")
     parts = -(-lines // (MERGED << (seen.total - seen.segment_bits)))  # into which a segment's keys are dealt by the tasks that saw them
     if parts > 1:
         dealt = rows.withColumn("part", F.spark_partition_id() % F.lit(parts))
@@ -170,7 +170,7 @@ def _confirm(docs: DataFrame, doc_id: str, text: str, seen: TwiceSeen, min_chars
             kept = np.flatnonzero(seen.may_hold(np.array(hashes, np.uint64)))
             yield pa.RecordBatch.from_pydict({"digest": pa.array([hashlib.sha256(keys[j]).digest() for j in kept], pa.binary()), "doc_id": pa.array([ids[j] for j in kept], pa.int64())})
 
-    repeats = docs.select(doc_id, text).mapInArrow(suspects, "digest binary, doc_id long")
+    repeats = docs.select(doc_id, text).mapInArrow(tidy(suspects), "digest binary, doc_id long")
     held = repeats.groupBy("digest", "doc_id").agg(F.count("*").alias("n"))  # a frequent line is counted by many tasks
     counted = held.groupBy("digest").agg(F.sum(F.when(F.col("doc_id").isNull(), F.col("n")).otherwise(1)).alias("n"), F.max("doc_id").alias("keeper"))
     confirmed = counted.where(F.col("n") >= min_docs)
@@ -249,7 +249,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), *batch.columns[2:]], ["doc_id", "kept_text", "n_lines", "n_dropped", *(f.name for f in more)])
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), *more])
-    return docs.mapInArrow(rewrite, schema)
+    return docs.mapInArrow(tidy(rewrite), schema)
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import component_roots
-from .shared import scratch, small, stored
+from .shared import scratch, small, stored, tidy
 from .words import SPACED, batches, grams, hashes, mix
 
 BANDS, ROWS = 32, 4
@@ -156,7 +156,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     regs[i] = sketch[j].tobytes()
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, b - a), "n_shingles": pa.array([len(x) for x in sets], pa.int64()), "fingerprint": pa.array(prints, pa.binary()), "registers": pa.array(regs, pa.binary())})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, fingerprint binary, registers binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, fingerprint binary, registers binary")
 
 
 def _buckets(registers: pa.Array) -> np.ndarray:
@@ -177,7 +177,7 @@ def _banded(classes: DataFrame) -> DataFrame:
             if n := batch.num_rows:
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array(_buckets(batch.column(1))), "band": pa.array(np.tile(np.arange(BANDS, dtype=np.int8), n)), "rep": pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))})
 
-    return classes.select("rep", "registers").mapInArrow(run, "bucket long, band byte, rep long")
+    return classes.select("rep", "registers").mapInArrow(tidy(run), "bucket long, band byte, rep long")
 
 
 def _leaders(classes: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def _leaders(classes: DataFrame) -> DataFrame:
                 at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[at]), "a": pa.array(rep[at]), "m": pa.array(np.diff(np.append(at, len(bucket))))})
 
-    parts = classes.select("rep", "registers").mapInArrow(run, "bucket long, a long, m long").repartition("bucket")
+    parts = classes.select("rep", "registers").mapInArrow(tidy(run), "bucket long, a long, m long").repartition("bucket")
     return parts.groupBy("bucket").agg(F.min("a").alias("a"), F.sum("m").alias("m")).where("m > 1").select("bucket", "a")
 
 
@@ -226,7 +226,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, threshold: float, rows: int
                 j = joint_similarity(u, v, batch.column(2).to_numpy().astype(float), batch.column(3).to_numpy().astype(float))
                 yield batch.select([0, 1]).filter(pa.array(j >= least))
 
-    return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(tidy(run), "a long, b long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -240,7 +240,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), lists], ["fingerprint", "shingles"])
 
     texts = docs.join(small(wanted.select(F.col("lead").alias("doc_id")).distinct()), "doc_id", "left_semi").select("text")
-    return texts.mapInArrow(run, "fingerprint binary, shingles array<long>").join(small(wanted.select("rep", "fingerprint")), "fingerprint").select("rep", "shingles")
+    return texts.mapInArrow(tidy(run), "fingerprint binary, shingles array<long>").join(small(wanted.select("rep", "fingerprint")), "fingerprint").select("rep", "shingles")
 
 
 def _wanted(reps: DataFrame, classes: DataFrame, label: str, uri: str, rows: int) -> DataFrame:
@@ -351,7 +351,7 @@ def _suspects(bands: DataFrame, labels: DataFrame, classes: DataFrame, threshold
             got = table.select(["bucket", "cell", "rep", "component"]).filter(pa.array(flagged)).combine_chunks()
             yield from got.to_batches()
 
-    return dealt.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell", F.desc("side")).mapInArrow(run, "bucket long, cell int, rep long, component long")
+    return dealt.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell", F.desc("side")).mapInArrow(tidy(run), "bucket long, cell int, rep long, component long")
 
 
 def _across(suspects: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, uri: str, rows: int) -> DataFrame:
@@ -387,7 +387,7 @@ def _across(suspects: DataFrame, docs: DataFrame, classes: DataFrame, percent: i
             got = [p for i, j in zip(starts, [*starts[1:], len(rep)], strict=True) for p in links(rep[i:j], comp[i:j], flat[cut[i] : cut[j]], size[i:j])]
             yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in got], pa.int64()), "b": pa.array([p[1] for p in got], pa.int64())})
 
-    return full.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell").mapInArrow(run, "a long, b long").distinct()
+    return full.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .shared import scratch, stored
+from .shared import scratch, stored, tidy
 
 CAPACITY, END_ID = 1024, 2
 #: Characters of a text that are tokenised at a time, at least; white space from which on the slower tokenizer is used.
@@ -131,7 +131,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: tuple[str, str,
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 1 else pa.int64()) for k, c in enumerate(columns)], PIECES.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), PIECES)
 
 
 @dataclass

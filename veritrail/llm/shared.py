@@ -8,12 +8,15 @@ a worker keeps the files in memory that it used last, so mount it for large mode
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections import OrderedDict
+from collections.abc import Callable
 from urllib.parse import unquote, urlparse
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 from ..store import scratch, small, stored  # noqa: F401  (operators take all of it from here)
@@ -37,6 +40,20 @@ def limit_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+def tidy(run: Callable) -> Callable:
+    """``run`` of a partition, after which the worker gives memory that it no longer uses back to the system: it lives on for other tasks, and allocators keep what large arrays took."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+                trim(0)
+
+    return tidied
+
+
 def _filesystem(uri: str):
     from pyarrow import fs
 

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import tidy
 from .words import ALNUM, batches, grams, hashes, mix, rows_of
 
 DIM_BITS = 20
@@ -85,7 +86,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
                 lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array((key & ((1 << DIM_BITS) - 1)).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in (0, 2)), lists], ["doc_id", "label", "features"])
 
-    sets = rows.select("doc_id", "text", "label").mapInArrow(extract, "doc_id long, label int, features array<int>")
+    sets = rows.select("doc_id", "text", "label").mapInArrow(tidy(extract), "doc_id long, label int, features array<int>")
 
     def fit(it):
         held = [(y, np.append(x.values.to_numpy(), 1 << DIM_BITS)) for batch in it for y, x in zip(batch.column(1).to_pylist(), batch.column(2), strict=True) if y is not None]
@@ -120,7 +121,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], doc_id:
                 total = np.bincount(key >> DIM_BITS, dense[key & ((1 << DIM_BITS) - 1)], b - a) + bias
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35)))), *(c.slice(a, b - a) for c in batch.columns[2:])], ["doc_id", "score", *(f.name for f in more)])
 
-    return docs.mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType()), *more]))
+    return docs.mapInArrow(tidy(run), T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType()), *more]))
 
 
 def held_out(doc_id: Column) -> Column:
